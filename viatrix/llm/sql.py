@@ -1,3 +1,22 @@
 """DuckDB SQL for the queries that SQL can express on whole tables."""
 
 ORACLES: dict[str, str] = {}
+
+ORACLES["op10_line_dedup"] = """
+WITH l AS (
+  SELECT doc_id, unnest(range(0, len(string_split(text, chr(10))))) AS i, unnest(string_split(text, chr(10))) AS x
+  FROM documents WHERE text IS NOT NULL),
+t AS (SELECT doc_id, i, trim(x, ' ') AS x FROM l WHERE trim(x, ' ') <> ''),
+w AS (
+  SELECT doc_id, i, x, lead(x) OVER o AS y, lead(i) OVER o AS j FROM t
+  WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+p AS (SELECT *, row_number() OVER (PARTITION BY x, y ORDER BY doc_id, i) AS n FROM w WHERE y IS NOT NULL),
+g AS (SELECT doc_id, i FROM p WHERE n > 1 UNION SELECT doc_id, j FROM p WHERE n > 1),
+r AS (
+  SELECT l.doc_id, count(*) AS n_lines, count(g.i) AS n_removed,
+         coalesce(string_agg(l.x, chr(10) ORDER BY l.i) FILTER (WHERE g.i IS NULL), '') AS text
+  FROM l LEFT JOIN g ON l.doc_id = g.doc_id AND l.i = g.i GROUP BY l.doc_id)
+SELECT d.doc_id, coalesce(r.n_lines, 0)::BIGINT AS n_lines, coalesce(r.n_removed, 0)::BIGINT AS n_removed,
+       length(coalesce(r.text, ''))::BIGINT AS n_chars, md5(coalesce(r.text, '')) AS text_md5
+FROM documents d LEFT JOIN r ON d.doc_id = r.doc_id
+"""
