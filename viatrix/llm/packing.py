@@ -122,7 +122,7 @@ class Encoder:
     the tokenizer itself.
     """
 
-    KEEP = 1_000_000
+    KEEP = 500_000
 
     def __init__(self, path: str):
         import json
