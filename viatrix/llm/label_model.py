@@ -3,12 +3,13 @@
 import numpy as np
 
 
-def fit_votes(votes: np.ndarray, start: np.ndarray, rounds: int = 40) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def fit_votes(votes: np.ndarray, start: np.ndarray, anchor: np.ndarray | None = None, rounds: int = 40) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Posterior of class 1 for rows of votes (1 for, -1 against, 0 abstains); the voters' accuracies; their weights.
 
     Each class gives each voter its own chances of the three votes. After a first fit, voters whose votes go
     together within a class share their weight: a voter counts 1 / (1 + the sum of its positive
-    residual correlations with the others). Rows alike in all votes may be repeated. An empty matrix
+    residual correlations above 0.3 with the others). anchor holds log-odds of a source with known accuracy, which
+    keeps the classes from trading places or drifting to a subset. Rows alike in all votes may be repeated. An empty matrix
     gives the start back.
     """
     p = np.clip(start.astype(float), 0.01, 0.99)
@@ -20,7 +21,7 @@ def fit_votes(votes: np.ndarray, start: np.ndarray, rounds: int = 40) -> tuple[n
     for fit in range(2):
         for _ in range(rounds):
             prior = np.clip(p.mean(), 1e-4, 1 - 1e-4)
-            odds = np.full(n, np.log(prior / (1 - prior)))
+            odds = np.full(n, np.log(prior / (1 - prior))) + (0 if anchor is None else anchor)
             tables = []
             for kind in kinds:
                 up = (p @ kind + 0.1) / (p.sum() + 0.3)
@@ -43,7 +44,7 @@ def fit_votes(votes: np.ndarray, start: np.ndarray, rounds: int = 40) -> tuple[n
                 sd = np.sqrt(np.maximum(np.diag(cov), 1e-9))
                 excess = np.maximum(excess, cov / np.outer(sd, sd))
             np.fill_diagonal(excess, 0)
-            weight = 1 / (1 + np.where(excess > 0.1, excess, 0).sum(axis=1))
+            weight = 1 / (1 + np.where(excess > 0.3, excess, 0).sum(axis=1))
     return p, accuracy, weight
 
 

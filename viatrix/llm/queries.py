@@ -16,6 +16,12 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), 1024, 2)
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from viatrix.llm.langid import languages
+
+    return languages(table(spark, sf_dir, "documents"))
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from viatrix.llm.toxicity import toxicity
 

@@ -3,8 +3,8 @@
 Features of a text are its distinct words (runs of bytes other than ASCII white space and
 punctuation, A-Z in lower case) and the words' beginnings of 4, 5 and 6 bytes. On a bounded sample
 of labelled rows, features that stand out in toxic ones become voters: lexicon voters (words)
-and pattern voters (beginnings). A generative model estimates their accuracies and correlations without
-looking at the labels again; its posterior labels train a linear classifier, which scores every whole text.
+and pattern voters (beginnings). A generative model estimates their accuracies and correlations, with the
+given labels as one more source of fixed accuracy; its posterior labels train a linear classifier, which scores every whole text.
 """
 
 from collections.abc import Iterator
@@ -19,7 +19,7 @@ from viatrix.llm.words import Hasher, mix, shingle_hashes, slices, split, string
 
 #: at most so many labelled rows are learned from
 SAMPLE = 20_000
-VOTERS, FEATURES = 256, 4096
+VOTERS, FEATURES, TRUST = 256, 4096, 0.95
 APART = np.zeros(256, bool)
 APART[:128] = ~np.array([chr(i).isalnum() for i in range(128)])
 
@@ -109,10 +109,11 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> dict:
                 own = np.frombuffer(x, np.uint64)
                 at = np.minimum(np.searchsorted(hashes, own), len(hashes) - 1)
                 out.append(at[hashes[at] == own].astype(np.int32))
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.list_(pa.int32()))], names=["hit"])
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.list_(pa.int32())), batch.column(1)], names=["hit", "toxic"])
 
-    sets = [r["hit"] for r in used.orderBy("doc_id").select("own").mapInArrow(hits, "hit array<int>").collect()]  # bounded by sample and FEATURES
+    learned = used.select("own", "toxic").mapInArrow(hits, "hit array<int>, toxic int").collect()  # bounded by sample and FEATURES
     cuts.drop(rows)
+    sets, told = [r["hit"] for r in learned], np.array([r["toxic"] for r in learned])
     row = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
     column = np.array([x for s in sets for x in s], np.int64)
     matrix = np.zeros((len(sets), len(hashes)), bool)
@@ -120,7 +121,9 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> dict:
     votes = matrix[:, voters].astype(np.int8)
     silent = ~matrix.any(axis=1)
     votes = np.concatenate([votes, np.where(silent, -1, 0)[:, None].astype(np.int8)], axis=1)  # the voter for clean texts
-    posterior, _, _ = fit_votes(votes.astype(np.float32), np.where(votes[:, :-1].any(axis=1), 0.8, 0.05))
+    # the given labels are one more source, right in TRUST of cases
+    anchor = np.where(told > 0, 1, -1) * np.log(TRUST / (1 - TRUST))
+    posterior, _, _ = fit_votes(votes.astype(np.float32), np.where(told > 0, TRUST, 1 - TRUST), anchor)
     weights, bias = fit_linear(row, column, len(hashes), posterior)
     return {"hashes": hashes, "weights": weights, "bias": bias}
 
