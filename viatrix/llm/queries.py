@@ -8,6 +8,13 @@ from viatrix.llm import sql
 from viatrix.session import table
 
 
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from viatrix.llm.decontaminate import contamination
+
+    out = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return out.withColumn("item_ids", F.concat_ws(",", F.transform("item_ids", lambda x: x.cast("string"))))
+
+
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -31,7 +38,7 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from viatrix.llm.ngram_join import near_groups
 
-    return near_groups(table(spark, sf_dir, "documents"), 5, 75, 100)
+    return near_groups(table(spark, sf_dir, "documents"), 5, 75, 100).drop("n_alike")
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

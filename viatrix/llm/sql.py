@@ -20,3 +20,52 @@ SELECT d.doc_id, coalesce(r.n_lines, 0)::BIGINT AS n_lines, coalesce(r.n_removed
        length(coalesce(r.text, ''))::BIGINT AS n_chars, md5(coalesce(r.text, '')) AS text_md5
 FROM documents d LEFT JOIN r ON d.doc_id = r.doc_id
 """
+
+_WORDS = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ \\t\\n\\x0B\\f\\r]+')"
+
+ORACLES["op6_ngram_jaccard_join"] = f"""
+WITH RECURSIVE w AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, CASE WHEN len(w) >= 5 THEN w[i:i + 4] ELSE w END AS s
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM w WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY 1, 2),
+e AS (
+  SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 75 * (x.n + y.n - c)),
+v AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+r AS (
+  SELECT doc_id AS a, doc_id AS b FROM documents
+  UNION
+  SELECT r.a, v.b FROM r JOIN v ON r.b = v.a),
+least_of AS (SELECT a, min(b) AS c FROM r GROUP BY a)
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, c AS component_id
+FROM documents d JOIN least_of ON a = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id
+"""
+
+ORACLES["op7_decontamination"] = f"""
+WITH b AS (SELECT item_id, {_WORDS} AS w FROM benchmark),
+i AS (SELECT item_id, w, len(w) AS size FROM b WHERE len(w) >= 5),
+theirs AS (SELECT item_id, size, unnest(range(0, size - 4)) AS q, unnest(list_transform(range(1, size - 3), lambda x: w[x:x + 4])) AS s FROM i),
+d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+ours AS (
+  SELECT doc_id, len(w) AS words, unnest(range(0, len(w) - 4)) AS p, unnest(list_transform(range(1, len(w) - 3), lambda x: w[x:x + 4])) AS s
+  FROM d WHERE len(w) >= 5),
+seeds AS (
+  SELECT DISTINCT doc_id, item_id, size, greatest(0, least(p - q, words - size)) AS start
+  FROM ours JOIN theirs ON ours.s = theirs.s),
+win AS (
+  SELECT doc_id, item_id, start, ours.s, count(*) AS n
+  FROM seeds JOIN ours USING (doc_id) WHERE p >= start AND p <= start + size - 5 GROUP BY ALL),
+own AS (SELECT item_id, s, count(*) AS m FROM theirs GROUP BY ALL),
+sims AS (
+  SELECT doc_id, item_id, start, sum(least(n, coalesce(m, 0))) AS common, sum(n) AS total
+  FROM win LEFT JOIN own USING (item_id, s) GROUP BY ALL),
+hit AS (
+  SELECT doc_id, item_id, max(common / (total + size - 4 - common)) AS similarity
+  FROM sims JOIN i USING (item_id) WHERE 100 * common >= 75 * (total + size - 4 - common) GROUP BY ALL),
+per AS (
+  SELECT doc_id, count(*) AS n, string_agg(item_id::VARCHAR, ',' ORDER BY item_id) AS items, max(similarity) AS similarity
+  FROM hit GROUP BY doc_id)
+SELECT documents.doc_id, per.n IS NOT NULL AS leaked, coalesce(per.n, 0)::BIGINT AS n_items, coalesce(items, '') AS item_ids, similarity
+FROM documents LEFT JOIN per ON per.doc_id = documents.doc_id
+"""
