@@ -9,10 +9,9 @@ from viatrix.session import table
 
 
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from viatrix.llm.decontaminate import contamination
+    from viatrix.llm.decontaminate import leaks
 
-    out = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
-    return out.withColumn("item_ids", F.concat_ws(",", F.transform("item_ids", lambda x: x.cast("string"))))
+    return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).select("doc_id", "item_id", F.round("similarity", 9).alias("similarity"))
 
 
 def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,6 +28,12 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), 1024, 2)
 
 
+def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from viatrix.llm.quality import quality
+
+    return quality(table(spark, sf_dir, "documents"))
+
+
 def op2_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from viatrix.llm.embedding_dedup import links
 
@@ -47,6 +52,12 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from viatrix.llm.chunk_dedup import repeats
+
+    return repeats(table(spark, sf_dir, "documents"), 100)
+
+
 def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from viatrix.llm.ngram_join import near_groups
 

@@ -59,13 +59,7 @@ win AS (
 own AS (SELECT item_id, s, count(*) AS m FROM theirs GROUP BY ALL),
 sims AS (
   SELECT doc_id, item_id, start, sum(least(n, coalesce(m, 0))) AS common, sum(n) AS total
-  FROM win LEFT JOIN own USING (item_id, s) GROUP BY ALL),
-hit AS (
-  SELECT doc_id, item_id, max(common / (total + size - 4 - common)) AS similarity
-  FROM sims JOIN i USING (item_id) WHERE 100 * common >= 75 * (total + size - 4 - common) GROUP BY ALL),
-per AS (
-  SELECT doc_id, count(*) AS n, string_agg(item_id::VARCHAR, ',' ORDER BY item_id) AS items, max(similarity) AS similarity
-  FROM hit GROUP BY doc_id)
-SELECT documents.doc_id, per.n IS NOT NULL AS leaked, coalesce(per.n, 0)::BIGINT AS n_items, coalesce(items, '') AS item_ids, similarity
-FROM documents LEFT JOIN per ON per.doc_id = documents.doc_id
+  FROM win LEFT JOIN own USING (item_id, s) GROUP BY ALL)
+SELECT doc_id, item_id, round(max(common / (total + size - 4 - common)), 9) AS similarity
+FROM sims JOIN i USING (item_id) WHERE 100 * common >= 75 * (total + size - 4 - common) GROUP BY ALL
 """
