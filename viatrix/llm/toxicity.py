@@ -128,29 +128,53 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> dict:
     return {"hashes": hashes, "weights": weights, "bias": bias}
 
 
-def score(docs: DataFrame, model: dict) -> DataFrame:
-    """(doc_id, score) of every row; an empty or null text gets the model's bias alone."""
+def scorer(model: dict):
+    """Scores of a string column; an empty or null text gets the model's bias alone."""
     hashes, weights, bias = model["hashes"], model["weights"], model["bias"]
 
+    low = np.uint64(2**20 - 1)
+    maybe = np.zeros(2**20, bool)
+    maybe[hashes & low] = True
+
+    def scores(column: pa.Array, hasher: Hasher) -> np.ndarray:
+        z = np.full(len(column), bias)
+        if len(hashes):
+            found, of, _, _ = features(column, hasher)
+            some = maybe[found & low]
+            found, of = found[some], of[some]
+            at = np.minimum(np.searchsorted(hashes, found), len(hashes) - 1)
+            true = hashes[at] == found
+            pairs = np.unique(of[true] * len(hashes) + at[true])
+            z += np.bincount(pairs // len(hashes), weights=weights[pairs % len(hashes)], minlength=len(column))
+        return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+
+    return scores
+
+
+def score(docs: DataFrame, model: dict) -> DataFrame:
+    """(doc_id, score) of every row."""
+    scores = scorer(model)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher, low = Hasher(seed=4), np.uint64(2**20 - 1)
-        maybe = np.zeros(2**20, bool)
-        maybe[hashes & low] = True
+        hasher = Hasher(seed=4)
         for batch in slices(batches, 1):
-            z = np.full(len(batch), bias)
-            if len(hashes):
-                found, of, _, _ = features(batch.column(1), hasher)
-                some = maybe[found & low]
-                found, of = found[some], of[some]
-                at = np.minimum(np.searchsorted(hashes, found), len(hashes) - 1)
-                true = hashes[at] == found
-                pairs = np.unique(of[true] * len(hashes) + at[true])
-                z += np.bincount(pairs // len(hashes), weights=weights[pairs % len(hashes)], minlength=len(batch))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(1 / (1 + np.exp(-np.clip(z, -30, 30))))], names=["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores(batch.column(1), hasher))], names=["doc_id", "score"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, score double")
 
 
+def drop_toxic(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
+    """docs, all columns, without the rows that score 0.5 or more; no row moves between partitions."""
+    scores, at = scorer(learn(docs, labels, sample)), docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher = Hasher(seed=4)
+        for batch in slices(batches, at):
+            yield batch.filter(pa.array(scores(batch.column(at), hasher) < 0.5))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """(doc_id, held_out, score, predicted) of every row of docs (doc_id, text; other columns are not read).
 
