@@ -1 +1,3 @@
 """Imports every module that registers queries."""
+
+from viatrix.plans import appraisal_plans, network_plans, relational_plans  # noqa: F401
