@@ -28,7 +28,7 @@ RECURSE = D.EDGES + """,
 brand AS (SELECT DISTINCT p_brand AS g, (regexp_extract(p_brand, '[0-9]+')::INT % 25)::INT AS i FROM part),
 net AS (SELECT g, u, v, tt FROM (SELECT g FROM brand UNION ALL SELECT 'sq') CROSS JOIN edges UNION ALL SELECT g, i, ((i + 9) % 25)::INT, 2 FROM brand UNION ALL SELECT g, ((i + 9) % 25)::INT, i, 2 FROM brand),
 walk AS (SELECT g, u AS src, v AS node, min(tt)::INT AS d, 1 AS hops FROM net GROUP BY ALL
-  UNION SELECT w.g, w.src, e.v, min(w.d + e.tt)::INT, w.hops + 1 FROM walk w JOIN net e ON w.g = e.g AND w.node = e.u WHERE w.hops < 12 GROUP BY w.g, w.src, e.v, w.hops),
+  UNION SELECT w.g, w.src, e.v, min(w.d + e.tt)::INT, w.hops + 1 FROM walk w JOIN net e ON w.g = e.g AND w.node = e.u WHERE w.hops < 24 GROUP BY w.g, w.src, e.v, w.hops),
 best AS (SELECT g, src, node, min(d)::DOUBLE AS d FROM walk WHERE src <> node GROUP BY ALL)"""
 FLAGSHIP = f"""WITH RECURSIVE {D.TRIPS}, {RECURSE},
 kept AS (SELECT o, d, trips FROM trips JOIN nation a ON o = a.n_nationkey JOIN nation b ON d = b.n_nationkey WHERE o <> d AND (a.n_regionkey = 0 OR b.n_regionkey = 0)),
@@ -176,11 +176,11 @@ def n7(s, d):
     return g.select("district", F.round("s1", 8).alias("s1"), F.round(C("s1") - (C("s1") - 1) / 3, 8).alias("s2"), F.round(C("s1") + (C("s1") - 1) / 3, 8).alias("s3"))
 
 
-@register("n8_growth_on_cells", f'WITH {D.CELLS} SELECT "row", col, round(value * (1 + ("row" // 20) * 0.1) * CASE WHEN col < 50 THEN 1.05 ELSE 1 END, 4) AS value FROM cells')
+@register("n8_growth_on_cells", f'WITH {D.CELLS} SELECT "row", col, round(value * (1 + ("row" // 20) * 0.1) * CASE WHEN col < 50 THEN 1.05 ELSE 1 END, 6) AS value FROM cells')
 def n8(s, d):
     f = s.range(5).select(C("id").cast("int").alias("zone"), (1 + C("id") * 0.1).alias("f"))
     x = D.cells(s, d).withColumn("zone", F.floor(C("row") / 20).cast("int")).join(F.broadcast(f), "zone")
-    return x.select("row", "col", F.round(C("value") * C("f") * F.when(C("col") < 50, 1.05).otherwise(1.0), 4).alias("value"))
+    return x.select("row", "col", F.round(C("value") * C("f") * F.when(C("col") < 50, 1.05).otherwise(1.0), 6).alias("value"))
 
 
 @register("n9_dummy_scenarios", f"SELECT s AS scenario, round({' * '.join(f'(1 + 0.1 * ({S.draw_sql(chr(115), str(k), 7)}))' for k in range(4))}, 8) AS factor FROM range(100) r(s)")
@@ -309,13 +309,13 @@ def k12(s, d):
     return seg.join(i, "segment").select("dev", "id", "cost").distinct().groupBy("dev").agg(F.sum("cost").alias("cost"))
 
 
-@register("b1_construction_cost", f"WITH {D.DEVS} SELECT dev, round(length * 33250.0 + n * 104000.0, 2) AS construction, round((length * 33250.0 + n * 104000.0) * 0.03 * 0.65, 2) AS maintenance, round(length / 2 * 879 * (1 - 0.623) * 1.1, 4) AS operating FROM devs")
+@register("b1_construction_cost", f"WITH {D.DEVS} SELECT dev, round(length * 33250.0 + n * 104000.0, 2) AS construction, round((length * 33250.0 + n * 104000.0) * 0.03 * 0.65, 4) AS maintenance, round(length / 2 * 879 * (1 - 0.623) * 1.1, 4) AS operating FROM devs")
 def b1(s, d):
     c = C("length") * V.TRACK + C("n") * V.TUNNEL
-    return D.developments(s, d).select("dev", F.round(c, 2).alias("construction"), F.round(c * V.MAINTENANCE * V.MAINTENANCE_SHARE, 2).alias("maintenance"), F.round(C("length") / 2 * 879 * (1 - 0.623) * 1.1, 4).alias("operating"))
+    return D.developments(s, d).select("dev", F.round(c, 2).alias("construction"), F.round(c * V.MAINTENANCE * V.MAINTENANCE_SHARE, 4).alias("maintenance"), F.round(C("length") / 2 * 879 * (1 - 0.623) * 1.1, 4).alias("operating"))
 
 
-B3 = f"WITH {D.DEVS} SELECT dev, c_mktsegment AS scenario, y::INT AS year, CASE WHEN y = 2050 THEN round(cost, 2) ELSE 0.0 END AS const_cost, CASE WHEN y > 2050 THEN round(cost * 0.03, 2) ELSE 0.0 END AS maint_cost, round(length * (y - 2049) / 7.0, 4) AS benefit FROM devs CROSS JOIN (SELECT DISTINCT c_mktsegment FROM customer) CROSS JOIN range(2050, 2101) r(y)"
+B3 = f"WITH {D.DEVS} SELECT dev, c_mktsegment AS scenario, y::INT AS year, CASE WHEN y = 2050 THEN round(cost, 2) ELSE 0.0 END AS const_cost, CASE WHEN y > 2050 THEN round(round(cost, 2) * 0.03, 4) ELSE 0.0 END AS maint_cost, round(length * (y - 2049) / 7.0, 4) AS benefit FROM devs CROSS JOIN (SELECT DISTINCT c_mktsegment FROM customer) CROSS JOIN range(2050, 2101) r(y)"
 
 
 def cba(s, d):
@@ -323,7 +323,7 @@ def cba(s, d):
     scenarios = table(s, d, "customer").select(C("c_mktsegment").alias("scenario")).distinct()
     b = x.join(F.broadcast(scenarios)).select("dev", "scenario", "length", F.explode(F.sequence(F.lit(2050), F.lit(2100))).alias("year"))  # a few scenarios
     b = b.select("dev", "scenario", "year", F.round(C("length") * (C("year") - 2049) / 7.0, 4).alias("benefit"))
-    return V.panel(x.select("dev", F.round("cost", 2).alias("construction"), F.round(C("cost") * 0.03, 2).alias("maintenance")), b, 2050, 2100)
+    return V.panel(x.select("dev", F.round("cost", 2).alias("construction"), F.round(F.round("cost", 2) * 0.03, 4).alias("maintenance")), b, 2050, 2100)
 
 
 @register("b3_cba_panel", B3)

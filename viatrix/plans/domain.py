@@ -79,10 +79,10 @@ PANEL = """panel AS (SELECT r_name AS district, year(o_orderdate)::INT AS year,
 def cells(spark: SparkSession, sf: str) -> DataFrame:
     """(row, col, value): customers' balances on a 100 x 100 grid."""
     c = table(spark, sf, "customer")
-    return c.groupBy((F.col("c_custkey") % 100).cast("int").alias("row"), (F.col("c_custkey") * 37 % 100).cast("int").alias("col")).agg(F.sum(F.greatest("c_acctbal", F.lit(0.0))).alias("value"))
+    return c.groupBy((F.col("c_custkey") % 100).cast("int").alias("row"), ((F.col("c_custkey") * 37 + F.floor(F.col("c_custkey") / 100) * 11) % 100).cast("int").alias("col")).agg(F.sum(F.greatest("c_acctbal", F.lit(0.0))).alias("value"))
 
 
-CELLS = """cells AS (SELECT (c_custkey % 100)::INT AS "row", (c_custkey * 37 % 100)::INT AS col, sum(greatest(c_acctbal, 0.0)) AS value FROM customer GROUP BY ALL)"""
+CELLS = """cells AS (SELECT (c_custkey % 100)::INT AS "row", ((c_custkey * 37 + c_custkey // 100 * 11) % 100)::INT AS col, sum(greatest(c_acctbal, 0.0)) AS value FROM customer GROUP BY ALL)"""
 
 
 def developments(spark: SparkSession, sf: str) -> DataFrame:
@@ -94,10 +94,10 @@ def developments(spark: SparkSession, sf: str) -> DataFrame:
 DEVS = """devs AS (SELECT p_brand AS dev, count(*) AS n, sum(p_size * 100)::BIGINT AS length, sum(p_retailprice) AS cost FROM part GROUP BY ALL)"""
 
 #: walks of up to so many hops reach every station
-HOPS = 12
+HOPS = 24
 SHORTEST = EDGES + """,
 walk AS (SELECT u AS src, v AS node, tt AS d, 1 AS hops FROM edges
-  UNION SELECT w.src, e.v, min(w.d + e.tt)::INT, w.hops + 1 FROM walk w JOIN edges e ON w.node = e.u WHERE w.hops < 12 GROUP BY w.src, e.v, w.hops),
+  UNION SELECT w.src, e.v, min(w.d + e.tt)::INT, w.hops + 1 FROM walk w JOIN edges e ON w.node = e.u WHERE w.hops < 24 GROUP BY w.src, e.v, w.hops),
 best AS (SELECT src, node, min(d)::DOUBLE AS d FROM walk WHERE src <> node GROUP BY ALL)"""
 
 

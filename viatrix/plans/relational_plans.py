@@ -33,9 +33,9 @@ def f4(s, d):
     return table(s, d, "nation").where(C("n_regionkey").isin(0, 2, 3)).select("n_nationkey", "n_name")
 
 
-@register("f5_anti_membership", "SELECT c_custkey, c_nationkey FROM customer c WHERE NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey)")
+@register("f5_anti_membership", "SELECT c_custkey, c_nationkey FROM customer c WHERE NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey AND o_orderpriority LIKE '1%')")
 def f5(s, d):
-    return table(s, d, "customer").join(table(s, d, "orders").select("o_custkey"), C("c_custkey") == C("o_custkey"), "left_anti").select("c_custkey", "c_nationkey")
+    return table(s, d, "customer").join(table(s, d, "orders").where(C("o_orderpriority").startswith("1")).select("o_custkey"), C("c_custkey") == C("o_custkey"), "left_anti").select("c_custkey", "c_nationkey")
 
 
 @register("f6_coordinate_box", f'WITH {D.CELLS} SELECT "row", col, round(value, 2) AS value FROM cells WHERE "row" BETWEEN 20 AND 50 AND col BETWEEN 10 AND 60')
@@ -189,10 +189,10 @@ def j13(s, d):
     return R.top_n(pairs, ["a"], 5, C("distance"), C("b")).select("a", "b", C("rank").cast("long").alias("rank"))
 
 
-@register("j14_distance_self_join", 'WITH p AS (SELECT s_suppkey AS id, (s_suppkey * 17 % 1000)::DOUBLE AS x, (s_suppkey * 31 % 1000)::DOUBLE AS y FROM supplier) SELECT p.id AS a, q.id AS b FROM p JOIN p q ON p.id < q.id AND sqrt((p.x-q.x)*(p.x-q.x)+(p.y-q.y)*(p.y-q.y)) <= 30')
+@register("j14_distance_self_join", 'WITH p AS (SELECT s_suppkey AS id, (s_suppkey * 17 % 97)::DOUBLE AS x, (s_suppkey * 31 % 89)::DOUBLE AS y FROM supplier) SELECT p.id AS a, q.id AS b FROM p JOIN p q ON p.id < q.id AND sqrt((p.x-q.x)*(p.x-q.x)+(p.y-q.y)*(p.y-q.y)) <= 9')
 def j14(s, d):
-    p = table(s, d, "supplier").select(C("s_suppkey").alias("id"), (C("s_suppkey") * 17 % 1000).cast("double").alias("x"), (C("s_suppkey") * 31 % 1000).cast("double").alias("y"))
-    return R.distance_join(p.select(C("id").alias("a"), C("x").alias("ax"), C("y").alias("ay")), p.select(C("id").alias("b"), C("x").alias("bx"), C("y").alias("by")), 30.0).where("a < b").select("a", "b")
+    p = table(s, d, "supplier").select(C("s_suppkey").alias("id"), (C("s_suppkey") * 17 % 97).cast("double").alias("x"), (C("s_suppkey") * 31 % 89).cast("double").alias("y"))
+    return R.distance_join(p.select(C("id").alias("a"), C("x").alias("ax"), C("y").alias("ay")), p.select(C("id").alias("b"), C("x").alias("bx"), C("y").alias("by")), 9.0).where("a < b").select("a", "b")
 
 
 RING = [(10.0, 10.0), (80.0, 20.0), (60.0, 85.0), (15.0, 60.0)]
