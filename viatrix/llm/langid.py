@@ -222,7 +222,7 @@ def languages(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
             row = np.fromiter(map(known.__getitem__, h), np.int64, len(h))[back]
             doc = np.searchsorted(first, of, side="right") - 1
             p = np.stack([np.bincount(doc, weights=sums[row, c], minlength=len(batch)) for c in range(len(langs))], axis=1)
-            p /= np.maximum(np.bincount(doc, weights=size[row], minlength=len(batch)), 1)[:, None]
+            p = p / np.maximum(np.bincount(doc, weights=size[row], minlength=len(batch)), 1)[:, None]
             best = p.argmax(1)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([langs[i] for i in best], pa.string()), pa.array(p.max(1))], names=["doc_id", "letters", "lang_pred", "score"])
 
