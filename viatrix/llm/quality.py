@@ -32,9 +32,9 @@ LABELLERS = [
     ("stutter", "stutter", 0.04, 0.02, 1),
     ("variety", "distinct", 0.12, 0.3, -1),
     ("long words", "length", 14.0, 9.0, 1),
-    ("digits", "digit", 0.2, 0.05, 1),
+    ("digits", "digit", 0.4, 0.05, 1),
     ("sentences", "stop", 0.005, 0.03, -1),
-    ("letters", "letter", 0.6, 0.75, -1),
+    ("letters", "letter", 0.5, 0.75, -1),
     ("brevity", "words", 1.0, 8.0, -1),
 ]
 NAMES = ["upper", "symbol", "shout", "bar", "stutter", "distinct", "length", "digit", "stop", "letter", "words"]
@@ -109,7 +109,10 @@ def learn(docs: DataFrame, sample: int = SAMPLE) -> tuple[np.ndarray, float, dic
         return np.zeros(WIDTH), 0.0, {}
     rows.sort(key=lambda r: r["doc_id"])
     votes = np.stack([np.frombuffer(bytes(r["votes"]), np.int8) for r in rows]).astype(np.float32)
-    p, accuracy, _ = fit_votes(votes, 1 / (1 + np.exp(-(votes == 1).sum(1) * 0.3 + (votes == -1).sum(1) * 2.0)))
+    # a bad vote tells more than a good one; this first guess keeps a part of its weight, so that a small
+    # sample's classes don't drift to some other trait
+    guess = np.clip((votes == 1).sum(1) * 0.3 - (votes == -1).sum(1) * 3.0, -6, 4)
+    p, accuracy, _ = fit_votes(votes, 1 / (1 + np.exp(-guess)), guess)
     own = [np.frombuffer(bytes(r["own"]), np.int32) for r in rows]
     w, b = fit_linear(np.repeat(np.arange(len(own)), [len(x) for x in own]), np.concatenate(own).astype(np.int64), WIDTH, p)
     return w, b, {name: float(a) for (name, *_), a in zip(LABELLERS, accuracy)}
