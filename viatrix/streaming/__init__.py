@@ -1 +1,4 @@
+"""Streams: the appraisal operators are batch work and none of them needs one.
 
+Those on DataFrames without sorting, windows over rows or grouped pandas code also run on a readStream frame.
+"""
