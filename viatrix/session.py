@@ -1,6 +1,8 @@
 """Session for local work; on a cluster the caller brings its own."""
 
+import atexit
 import os
+import shutil
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -31,4 +33,5 @@ def shared_dir(spark: SparkSession) -> str:
     if not found:
         found = f"file:///tmp/checkpoints/viatrix-{os.getpid()}"
         spark.conf.set("spark.checkpoint.dir", found)
+        atexit.register(shutil.rmtree, found.removeprefix("file://"), ignore_errors=True)
     return found.rstrip("/")
