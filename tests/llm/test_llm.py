@@ -251,6 +251,7 @@ def test_quality(spark, sf_dir):
     ("<body><nav><a href=/>x, y</a></nav><article><h1>T</h1><p><b>a,&nbsp;b\n c<br><p>d &amp;lt; e</article><footer>f, g</footer>", "T\na, b c\nd &lt; e"),
     ("<div id=sidebar><p>no, no</p></div><div class=content><p>One, two<ul><li>a<li><a href=x>b</a></ul><div class='comments'><p>c, d, e, f</p></div></div>", "One, two\na"),
     ("<script>var a='</p><p>no';</script><style>p{}</style><main><p>yes, it is</p></main><form><p>x, y, z</p></form>", "yes, it is"),
+    ("<div class='page has-sidebar'><div class=post><div class=post-header><h1>H</h1></div><p>one, two</div><div class=post-comments><p>c, d, e</div></div>", "H\none, two"),
     ("<body><div class='cookie-notice'><p>we, use, cookies</p></div><section><p>text, of, page</p></section>", "text, of, page"),
 ])
 def test_html(page, text):

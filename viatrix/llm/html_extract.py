@@ -31,6 +31,7 @@ MARKS = set(
     " header login masthead menu menubar modal nav navbar navigation newsletter notice notices notification pager pagination popup promo promotion promoted related replies reply search"
     " share sharing sidebar signup skip social sponsor sponsored subscribe subscription tags toolbar widget alert disclaimer".split()
 )
+ARTICLE, BESIDE = {"article", "post", "entry"}, {"has", "with", "no", "without"}
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPES = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table", "tr"}, "th": {"table", "tr"}, "option": {"select"}}
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6", "hgroup"}
@@ -47,8 +48,15 @@ def unlikely(tag: str, attributes: str, in_article: bool) -> bool:
         name, value = name.lower(), value.strip("\"'").lower()
         if name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value)):
             return True
-        if name in ("class", "id", "role") and not {"article", "post", "entry"} & (parts := set(re.split(r"[^a-z0-9]+", value))) and parts & MARKS:
-            return True
+        if name in ("class", "id", "role"):
+            parts = set(re.split(r"[^a-z0-9]+", value))
+            found = parts & MARKS
+            if parts & ARTICLE:
+                found -= {"header", "tags"}
+            if parts & BESIDE:  # a wrapper that tells what it has beside it
+                found -= {"sidebar", "banner", "header", "footer", "nav", "ad", "ads", "comments"}
+            if found:
+                return True
     return False
 
 
