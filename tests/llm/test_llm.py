@@ -93,13 +93,18 @@ def test_sketch_parts_keep_every_link():
 
 
 def test_lines(spark):
+    passage, shorter = " ".join(["word"] * 50), " ".join(["word"] * 49)
     texts = ["a\nb\nc", "x\na\nb\nc\ny", "a\nb", "b\nc\nd", "a\n\n b \nq", "a", None, "", "r\nr\nr\nr", "z\nz\nz"]
+    texts += [passage, f"m\n{passage} \nn", shorter, f"o\n{shorter}\np", f"{passage}\n{passage}"]
     got = {r.doc_id: (r.text, r.n_lines, r.n_removed) for r in line_dedup.dedup_lines(frame(spark, texts), 2).collect()}
     seen, want = set(), {}
     for i, t in enumerate(texts):
         lines = t.split("\n") if t is not None else []
         full = [(k, x.strip(" ")) for k, x in enumerate(lines) if x.strip(" ")]
         gone = set()
+        for k, x in full:
+            gone |= {k} if x == passage and passage in seen else set()
+            seen.add(x)
         for (k, x), (m, y) in zip(full, full[1:]):
             if (x, y) in seen:
                 gone |= {k, m}

@@ -1,11 +1,12 @@
 """Line dedup by winnowing (operator 10), in DataFrame functions only.
 
 A run of ``run_lines`` or more consecutive lines that stands earlier, in a document of a smaller
-doc_id or higher up in the same one, is deleted where it stands again. Lines that are blank take
-no part: they neither break a run nor are deleted by themselves.
+doc_id or higher up in the same one, is deleted where it stands again; a single line of ``long_words``
+words or more, a whole passage, is a run by itself. Lines that are blank take no part: they neither
+break a run nor are deleted by themselves.
 
 Winnowing: of every ``run_lines`` consecutive line hashes the smallest (the last of equals) is a
-fingerprint, so any two equal runs of that length share one. Fingerprints that only one window
+fingerprint, so any two equal runs of that length share one; a long line is its own. Fingerprints that only one window
 in the corpus has are dropped; the rest are joined back to their positions, and each is extended both
 ways to the whole window around it. A window whose lines occurred before marks its lines, and
 overlapping windows give runs of any length. Comparison with the first occurrence, by grouping,
@@ -18,14 +19,16 @@ from pyspark.sql import DataFrame, functions as F
 from viatrix.llm.store import Cuts
 
 
-def line_windows(docs: DataFrame, run_lines: int) -> DataFrame:
+def line_windows(docs: DataFrame, run_lines: int, long_words: int) -> DataFrame:
     """(doc_id, at, fingerprint, h1, h2): each window of non-blank lines, by the number of its first line."""
     lines = F.split(F.coalesce("text", F.lit("")), "\n")
     # number of the line, and two independent hashes that make 128 bits
     told = F.filter(F.transform(lines, lambda x, i: F.struct(i.alias("i"), F.trim(x).alias("x"))), lambda s: s["x"] != "")
-    hashed = F.transform(told, lambda s: F.struct(s["i"].alias("i"), F.xxhash64(s["x"]).alias("h"), F.xxhash64(s["x"], F.lit(17)).alias("g")))
-    d = docs.select("doc_id", hashed.alias("l")).where(F.size("l") >= run_lines)
-    starts = F.sequence(F.lit(0), F.size("l") - run_lines)
+    # words are what single spaces part
+    spaces = lambda x: F.length(x) - F.length(F.replace(x, F.lit(" "), F.lit("")))
+    hashed = F.transform(told, lambda s: F.struct(s["i"].alias("i"), F.xxhash64(s["x"]).alias("h"), F.xxhash64(s["x"], F.lit(17)).alias("g"), (spaces(s["x"]) + 1 >= long_words).alias("long")))
+    d = docs.select("doc_id", hashed.alias("l"))
+    starts = F.when(F.size("l") >= run_lines, F.sequence(F.lit(0), F.size("l") - run_lines)).otherwise(F.array().cast("array<int>"))
 
     def window(k):
         part = [F.get(F.col("l"), k + j) for j in range(run_lines)]
@@ -37,12 +40,16 @@ def line_windows(docs: DataFrame, run_lines: int) -> DataFrame:
             F.xxhash64(*[p["g"] for p in part]).alias("h2"),
         )
 
-    return d.select("doc_id", F.explode(F.transform(starts, window)).alias("w")).select("doc_id", "w.*")
+    def alone(s):
+        return F.struct(F.array(s["i"]).alias("rows"), s["i"].alias("at"), s["h"].alias("fingerprint"), s["h"].alias("h1"), s["g"].alias("h2"))
 
+    every = F.concat(F.transform(starts, window), F.transform(F.filter("l", lambda s: s["long"]), alone))
+    return d.select("doc_id", F.explode(every).alias("w")).select("doc_id", "w.*")
 
-def repeated_lines(docs: DataFrame, run_lines: int, cuts: Cuts) -> DataFrame:
+
+def repeated_lines(docs: DataFrame, run_lines: int, long_words: int, cuts: Cuts) -> DataFrame:
     """(doc_id, rows): numbers of the lines to delete."""
-    windows = cuts.cut(line_windows(docs, run_lines))
+    windows = cuts.cut(line_windows(docs, run_lines, long_words))
     shared = windows.groupBy("fingerprint").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("fingerprint")
     around = windows.join(shared, "fingerprint")
     first = around.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "at")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
@@ -50,7 +57,7 @@ def repeated_lines(docs: DataFrame, run_lines: int, cuts: Cuts) -> DataFrame:
     return later.groupBy("doc_id").agg(F.array_distinct(F.flatten(F.collect_set("rows"))).alias("rows"))
 
 
-def dedup_lines(docs: DataFrame, run_lines: int = 2) -> DataFrame:
+def dedup_lines(docs: DataFrame, run_lines: int = 2, long_words: int = 50) -> DataFrame:
     """docs with text cut, and n_lines, n_removed (of its lines, blank ones counted in n_lines) added.
 
     doc_id must be a key; of repeated rows with one doc_id each keeps or loses the same lines. A
@@ -60,7 +67,7 @@ def dedup_lines(docs: DataFrame, run_lines: int = 2) -> DataFrame:
     """
     rest = [c for c in docs.columns if c not in ("text", "n_lines", "n_removed")]
     keyed = docs.select("doc_id", "text")
-    gone = repeated_lines(keyed, run_lines, Cuts(docs.sparkSession, "lines")).select(F.col("doc_id").alias("_gone_id"), F.sort_array("rows").alias("_gone"))
+    gone = repeated_lines(keyed, run_lines, long_words, Cuts(docs.sparkSession, "lines")).select(F.col("doc_id").alias("_gone_id"), F.sort_array("rows").alias("_gone"))
     lines = F.split("text", "\n")
     # numbers of deleted lines as a map: a lookup a line, not a scan
     kept = F.filter(lines, lambda _, i: ~F.coalesce(F.get(F.col("_flags"), i), F.lit(False)))

@@ -11,7 +11,12 @@ w AS (
   SELECT doc_id, i, x, lead(x) OVER o AS y, lead(i) OVER o AS j FROM t
   WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
 p AS (SELECT *, row_number() OVER (PARTITION BY x, y ORDER BY doc_id, i) AS n FROM w WHERE y IS NOT NULL),
-g AS (SELECT doc_id, i FROM p WHERE n > 1 UNION SELECT doc_id, j FROM p WHERE n > 1),
+q AS (
+  SELECT doc_id, i, row_number() OVER (PARTITION BY x ORDER BY doc_id, i) AS n
+  FROM t WHERE length(x) - length(replace(x, ' ', '')) + 1 >= 50),
+g AS (
+  SELECT doc_id, i FROM p WHERE n > 1 UNION SELECT doc_id, j FROM p WHERE n > 1
+  UNION SELECT doc_id, i FROM q WHERE n > 1),
 r AS (
   SELECT l.doc_id, count(*) AS n_lines, count(g.i) AS n_removed,
          coalesce(string_agg(l.x, chr(10) ORDER BY l.i) FILTER (WHERE g.i IS NULL), '') AS text
