@@ -109,12 +109,25 @@ def double_mixed(stop: Column, passing: Column, n_stop: Column, n_pass: Column,
     return F.floor(F.lit(60.0) / (F.lit(headway) + changes / n * overtaking_penalty(stop, passing, headway)))
 
 
-def capacity(tracks: Column, stop: Column, passing: Column, n_stop: Column, n_pass: Column, strategy: str = "good") -> Column:
-    """1, 1.5, 2, 2.5, 3 or 4 tracks; half a track more halves the times of the section."""
+def capacity(tracks: Column, stop: Column, passing: Column, n_stop: Column, n_pass: Column, strategy: str = "good", stop_trains: Column | None = None, pass_trains: Column | None = None, overflow: str = "homogeneous") -> Column:
+    """Trains an hour and direction on any number of tracks; half a track more halves the times of the section.
+
+    Four tracks are two pairs, one for each kind of train. If just one kind has more trains (stop_trains, pass_trains; none
+    told: few) than its pair takes, overflow says what the other pair does: "homogeneous" keeps it apart, "mixed" shares it.
+    Beyond four, blocks of four add up, and of what remains one track takes passing trains alone, two are a
+    pair, three both.
+    """
     half = (tracks - F.floor(tracks)) >= 0.5
     s, p = F.when(half, stop / 2).otherwise(stop), F.when(half, passing / 2).otherwise(passing)
     uniform = (n_stop == 0) | (n_pass == 0)
-    two = F.when(uniform, F.lit(double_uniform())).otherwise(double_mixed(s, p, n_stop, n_pass, strategy))
-    three = F.when(uniform, F.lit(1.5 * double_uniform())).otherwise(F.floor(F.lit(60.0) / (F.lit(3.0) + F.lit(1) / (n_stop + n_pass) * overtaking_penalty(s, p)) + F.lit(60.0) / p / 2))
+    pair, lone = F.lit(double_uniform()), F.when(p > 0, F.lit(60.0) / p / 2)
+    two = F.when(uniform, pair).otherwise(double_mixed(s, p, n_stop, n_pass, strategy))
+    three = F.when(uniform, 1.5 * pair).otherwise(F.floor(F.lit(60.0) / (F.lit(3.0) + F.lit(1) / (n_stop + n_pass) * overtaking_penalty(s, p)) + lone))
+    block = 2 * pair
+    if overflow == "mixed":
+        over = [F.coalesce((F.lit(0.0) if x is None else x) > pair, F.lit(False)) for x in (stop_trains, pass_trains)]
+        block = F.when(~uniform & (over[0] != over[1]), pair + double_mixed(s, p, n_stop, n_pass, "good")).otherwise(block)
     whole = F.floor(tracks)
-    return F.when(whole <= 1, single_track(s)).when(whole == 2, two).when(whole == 3, three).otherwise(F.lit(2 * double_uniform()))
+    rest = whole % 4
+    more = F.when(rest == 1, lone).when(rest == 2, pair).when(rest == 3, pair + lone).otherwise(F.lit(0.0))
+    return F.when(whole <= 1, single_track(s)).when(whole == 2, two).when(whole == 3, three).otherwise(F.floor(whole / 4) * block + more)

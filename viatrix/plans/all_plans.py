@@ -1,3 +1,3 @@
 """Imports every module that registers queries."""
 
-from viatrix.plans import appraisal_plans, network_plans, raster_plans, relational_plans  # noqa: F401
+from viatrix.plans import appraisal_plans, network_plans, raster_plans, relational_plans, spatial_plans  # noqa: F401
