@@ -20,6 +20,9 @@ from viatrix.llm.words import Hasher, mix, shingle_hashes, slices, split, string
 #: at most so many labelled rows are learned from
 SAMPLE = 20_000
 VOTERS, FEATURES, TRUST = 256, 4096, 0.95
+#: of the classifier's squared weights against the sum of losses: of equal strength at every number of rows, and weak enough
+#: that a single clear word can decide
+PENALTY = 0.1
 APART = np.zeros(256, bool)
 APART[:128] = ~np.array([chr(i).isalnum() for i in range(128)])
 
@@ -124,7 +127,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> dict:
     # the given labels are one more source, right in TRUST of cases
     anchor = np.where(told > 0, 1, -1) * np.log(TRUST / (1 - TRUST))
     posterior, _, _ = fit_votes(votes.astype(np.float32), np.where(told > 0, TRUST, 1 - TRUST), anchor)
-    weights, bias = fit_linear(row, column, len(hashes), posterior)
+    weights, bias = fit_linear(row, column, len(hashes), posterior, decay=PENALTY / max(len(posterior), 1))
     return {"hashes": hashes, "weights": weights, "bias": bias}
 
 
