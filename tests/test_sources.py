@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql.types import DoubleType, IntegerType, StringType, StructField, StructType
 
 from viatrix.operators import graph_search as Q
-from viatrix.sources import readers
+from viatrix.sources import geometry, readers
 
 
 def test_swiss_csv(spark, tmp_path):
@@ -60,3 +60,26 @@ def test_sections(spark):
 def test_inward_development(spark):
     z = spark.createDataFrame([(0, i, 10.0, 25.0, float(i)) for i in range(4)], "scenario long, zone long, potential double, target double, draw double")
     assert [r.filled for r in Q.inward_development(z).orderBy("zone").collect()] == [10.0, 10.0, 5.0, 0.0]
+
+
+def test_geometry_texts(spark):
+    texts = ["POINT (1 2)", "SRID=2056;LINESTRING(0 0, 1.5 -2e1)", "POLYGON ((0 0, 4 0, 4 4), (1 1, 2 1, 2 2))", "POINT Z (1 2 3)", "LINESTRING EMPTY", "", None]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    got = {r.i: (r.k, None if r.p is None else [tuple(x) for x in r.p], None if r.n is None else [len(x) for x in r.n]) for r in df.select("i", geometry.wkt_kind(df.t).alias("k"), geometry.wkt_points(df.t).alias("p"), geometry.wkt_parts(df.t).alias("n")).collect()}
+    assert got[0] == ("POINT", [(1, 2)], [1]) and got[1] == ("LINESTRING", [(0, 0), (1.5, -20)], [2])
+    assert got[2][2] == [3, 3] and len(got[2][1]) == 6 and got[3][1] == [(1, 2)]
+    assert got[4] == ("LINESTRING", [], []) and got[5] == (None, [], []) and got[6] == (None, None, None)
+    js = spark.createDataFrame([('{"type":"Point","coordinates":[1,2.5]}',), ('{"type":"LineString","coordinates":[[0,0],[1,2,9]]}',), ("no",), (None,)], "t string")
+    assert [None if r.p is None else [tuple(x) for x in r.p] for r in js.select(geometry.geojson_points(js.t).alias("p")).collect()] == [[(1, 2.5)], [(0, 0), (1, 2)], None, None]
+
+
+def test_result_paths():
+    assert readers.result_path("r/", "AK_2035") == "r/baseline/network=AK_2035"
+    assert readers.result_path("r", "AK 2035_enhanced") == "r/enhanced/network=AK_2035_enhanced"
+    assert readers.result_path("r", "AK_2035_dev_100023") == "r/developments/dev_id=100023"
+
+
+def test_plain_csv(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("id,x\n1,2.5\n")
+    schema = StructType([StructField("id", IntegerType()), StructField("x", DoubleType())])
+    assert [tuple(r) for r in readers.read_csv(spark, str(tmp_path / "a.csv"), schema).collect()] == [(1, 2.5)]

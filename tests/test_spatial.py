@@ -6,7 +6,7 @@ import random
 from pyspark.sql import functions as F
 
 from viatrix.functions import exprs as X
-from viatrix.operators import elevation as E, spatial as G
+from viatrix.operators import elevation as E, sections as L, spatial as G
 
 C = F.col
 
@@ -71,3 +71,18 @@ def test_many_tracks(spark):
     more = {"stop_trains": F.lit(25.0), "pass_trains": F.lit(5.0)}
     row = spark.range(1).select(*[c.alias(f"c{i}") for i, c in enumerate([f(4, 9, 6, 2, 2), f(5, 9, 6, 2, 2), f(6, 9, 6, 2, 2), f(7, 9, 6, 2, 2), f(8, 9, 6, 2, 2), f(4, 20, 8, 4, 2, overflow="mixed", **more), f(4, 20, 8, 4, 2, **more), f(5, 9, 0, 2, 2)])]).first()
     assert list(row) == [40.0, 45.0, 60.0, 65.0, 80.0, 33.0, 40.0, None]
+
+
+def test_section_paths(spark):
+    e = spark.createDataFrame([(0, "a", 4, 3), (0, "a", 3, 9), (0, "a", 9, 1), (0, "r", 5, 6), (0, "r", 6, 7), (0, "r", 7, 5)], "network int, section string, u int, v int")
+    assert {r.section: r.path for r in L.section_paths(e).collect()} == {"a": [1, 9, 3, 4], "r": [5, 6, 7, 5]}
+
+
+def test_pattern_sections(spark):
+    paths = spark.createDataFrame([(0, "a", [1, 2, 3, 4]), (0, "b", [10, 11, 12]), (0, "c", [20, 21]), (0, "d", [30, 31, 32, 33, 34])], "network int, section string, path array<int>")
+    stops = spark.createDataFrame([(0, n, "S1") for n in (1, 2, 3, 10, 12, 30, 31, 32)] + [(0, n, "S2") for n in (10, 11, 12)], "network int, node int, service string")
+    got = {}
+    for r in L.split_by_pattern(paths, stops).orderBy("section", "part").collect():
+        got.setdefault(r.section, []).append(r.path)
+    assert got == {"a": [[1, 2, 3], [3, 4]], "b": [[10, 11, 12]], "c": [[20, 21]], "d": [[30, 31, 32], [32, 33, 34]]}
+    assert L.split_by_pattern(paths, stops.limit(0)).count() == 4

@@ -3,12 +3,12 @@
 from pyspark.sql import Window, functions as F
 
 from viatrix.functions import exprs as X
-from viatrix.operators import elevation as E, network as N, relational as R, spatial as G
+from viatrix.operators import elevation as E, graph_search as Q, network as N, relational as R, sections as L, spatial as G
 from viatrix.plans import domain as D
 from viatrix.plans.registry import register
 from viatrix.plans.relational_plans import SITES, sites
 from viatrix.session import table
-from viatrix.sources import readers
+from viatrix.sources import geometry, readers
 
 C = F.col
 LINKS = "links AS (SELECT u, v, p.x AS ax, p.y AS ay, q.x AS bx, q.y AS \"by\" FROM edges JOIN sites p ON u = p.id JOIN sites q ON v = q.id WHERE u < v)"
@@ -273,3 +273,18 @@ def p6(s, d):
     b = h.groupBy("network", "year").agg(m.alias("mean"), (m - 1.65 * v).alias("low"), (m + 1.65 * v).alias("high"))
     q = b.where("network = '1'").select("year", C("mean").alias("today"))
     return b.where("network <> '1'").join(q, "year").select("network", "year", *[F.round(c, 4).alias(c) for c in ("mean", "low", "high")], F.round(C("mean") - C("today"), 4).alias("change"))
+
+
+@register("k5_pattern_sections")
+def k5b(s, d):
+    """Sections of equal tracks, cut where a service changes how it stops; tested by worked cases."""
+    e = D.edges(s).where("u < v").select(F.lit(0).alias("network"), "u", "v", (1 + C("tt") % 2).alias("tracks"))
+    calls = D.services(s, d).where("(from_node + length(service) + ascii(service)) % 3 <> 0").select(F.lit(0).alias("network"), C("from_node").alias("node"), "service")
+    return L.split_by_pattern(L.section_paths(Q.sections(e)), calls).select("section", "part", F.array_join(C("path").cast("array<string>"), "-").alias("nodes"))
+
+
+@register("s5_geometry_texts", "SELECT s_suppkey, 3::BIGINT AS n_points, round(sqrt(pow(s_suppkey + 0.5 - 1, 2) + pow(s_acctbal - 2, 2)) + sqrt(pow(s_suppkey + 0.5, 2) + pow(s_acctbal + 7.25, 2)), 6) AS length FROM supplier")
+def s5(s, d):
+    text = F.concat(F.lit("LINESTRING Z (1 2 9.5, "), C("s_suppkey") + 0.5, F.lit(" "), C("s_acctbal"), F.lit(" 8, 0 -7.25 7)"))
+    x = table(s, d, "supplier").select("s_suppkey", geometry.wkt_points(text).alias("p"))
+    return x.select("s_suppkey", F.size("p").cast("long").alias("n_points"), F.round(X.line_length(C("p")), 6).alias("length"))

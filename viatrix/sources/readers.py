@@ -1,5 +1,6 @@
 """Sources and sinks of appraisal tables."""
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -18,6 +19,21 @@ def network_name(network: str) -> str:
     return NETWORKS[network]
 
 
+def result_path(root: str, label: str) -> str:
+    """Where a network's capacity tables stand: by development, enhanced or as it is, told from the label."""
+    safe = re.sub(r"[^\w-]+", "_", label).strip("_") or "current"
+    if found := re.search(r"_dev_(\d+)", safe):
+        kind = f"developments/dev_id={found[1]}"
+    else:
+        kind = ("enhanced" if "_enhanced" in safe else "baseline") + f"/network={safe}"
+    return f"{root.rstrip('/')}/{kind}"
+
+
+def read_csv(spark: SparkSession, path: str, schema: StructType, **options) -> DataFrame:
+    """A plain CSV file with a header; the schema is given, so the file is read once."""
+    return spark.read.csv(path, schema=schema, header=True, **options)
+
+
 def read_swiss_csv(spark: SparkSession, path: str, schema: StructType, encoding: str = "ISO-8859-1") -> DataFrame:
     """';' between fields, decimal comma, thousands marks; sentinels and unreadable numbers become null."""
     raw = StructType([StructField(f.name, StringType()) for f in schema])
