@@ -159,14 +159,19 @@ def test_plan_bins():
         assert used == counts
 
 
-def test_embeddings(spark):
+def test_codewords():
+    assert [embedding_dedup.codewords(n) for n in (0, 500, 2**20, 2**24, 2**60)] == [24, 24, 24, 48, 625]
+
+
+@pytest.mark.parametrize("words", [None, 64])
+def test_embeddings(spark, words):
     r = np.random.default_rng(0)
     x = r.normal(size=(300, 16))
     x[100:200] = x[:100] + 0.05 * r.normal(size=(100, 16))
     x[200:240] = x[7] + 0.1 * r.normal(size=(40, 16))
     rows = [v.tolist() for v in x] + [x[3].tolist(), None, [], [0.0] * 16, [float("nan")] + [1.0] * 15, [None] + [1.0] * 15, [float("inf")] + [1.0] * 15]
     df = spark.createDataFrame([(i, v, 0, 0) for i, v in enumerate(rows)], "vec_id long, embedding array<double>, label int, home int")
-    got = {g.vec_id: g for g in embedding_dedup.links(df, 0.9, block=32).collect()}
+    got = {g.vec_id: g for g in embedding_dedup.links(df, 0.9, words=words, block=32).collect()}
     ok = np.array(rows[:301])
     u = ok / np.linalg.norm(ok, axis=1, keepdims=True)
     hit = u @ u.T >= 0.9

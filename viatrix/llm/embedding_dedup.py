@@ -25,6 +25,11 @@ SAMPLE, QUERIES = 20_000, 400
 WORDS, BLOCK = 24, 1024
 
 
+def codewords(n: int, least: int = WORDS, sample: int = SAMPLE) -> int:
+    """Words of each codebook for n vectors: cells grow with the root of n beyond a million, as long as the sample gives 32 vectors a word."""
+    return max(least, min(int(least * (n / 2**20) ** 0.25), sample // 32))
+
+
 def unit(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Usable rows of a list column, and their vectors at length one; the commonest width counts."""
     rows, out = [], []
@@ -104,7 +109,7 @@ def fit(vectors: DataFrame, cosine: float, recall: float, sample: int, words: in
     return {"books": books, "half": half, "width": width, "reach": max(reach, 0.02)}
 
 
-def links(vectors: DataFrame, cosine: float = 0.9, recall: float = 0.999, sample: int = SAMPLE, words: int = WORDS, block: int = BLOCK) -> DataFrame:
+def links(vectors: DataFrame, cosine: float = 0.9, recall: float = 0.999, sample: int = SAMPLE, words: int | None = None, block: int = BLOCK) -> DataFrame:
     """(vec_id, n_links, component_id, kept) of every row of vectors (vec_id, embedding; other columns are not read).
 
     Vectors that are null, empty, zero, or hold null or non-finite components link with nothing, nor do
@@ -113,7 +118,7 @@ def links(vectors: DataFrame, cosine: float = 0.9, recall: float = 0.999, sample
     spark = vectors.sparkSession
     cuts = Cuts(spark, "imi")
     vectors = vectors.select("vec_id", "embedding")
-    model = fit(vectors, cosine, recall, sample, words)
+    model = fit(vectors, cosine, recall, sample, words or codewords(vectors.count(), sample=sample))
     alone = vectors.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
     if model is None:
         return alone
@@ -135,7 +140,7 @@ def links(vectors: DataFrame, cosine: float = 0.9, recall: float = 0.999, sample
     cells = known.groupBy("home").agg(F.count(F.lit(1)).alias("n"))
     seekers = known.select(F.explode("visits").alias("home")).groupBy("home").agg(F.count(F.lit(1)).alias("m"))
     sizes = cells.join(seekers, "home").select("home", F.ceil(F.col("n") / block).cast("int").alias("rows"), F.ceil(F.col("m") / block).cast("int").alias("cols"))
-    sizes = F.broadcast(sizes)  # one row a cell: words squared at most
+    sizes = F.broadcast(sizes)  # one row a cell: words squared at most, which the sample bounds
     own = known.select("id", "home", "v").join(sizes, "home").select("home", F.pmod(F.xxhash64("id"), "rows").cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("cols") - 1)).alias("j"), "id", "v", F.lit(True).alias("own"))
     seek = known.select("id", F.explode("visits").alias("home"), "v").join(sizes, "home").select("home", F.explode(F.sequence(F.lit(0), F.col("rows") - 1)).alias("i"), F.pmod(F.xxhash64("id", F.lit(7)), "cols").cast("int").alias("j"), "id", "v", F.lit(False).alias("own"))
 
