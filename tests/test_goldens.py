@@ -56,6 +56,9 @@ def test_transit_graph_times(spark):
     times = {(r.src, r.node): r.d for r in N.shortest_paths(graph).collect()}
     assert times["entry_A", "exit_B"] == 11 and times["entry_A", "exit_C"] == 16 and times["entry_A", "exit_D"] == 27
     assert ("entry_C", "exit_A") not in times
+    trips = spark.createDataFrame([("A", "C", 10.0), ("A", "D", 5.0), ("A", "B", 2.0), ("C", "A", 9.0), ("A", "A", 7.0)], "o string, d string, trips double")
+    flows = {tuple(r)[:4]: r.flow for r in N.assign_transit_flows(N.shortest_paths(graph), trips).collect()}
+    assert flows == {("A", "C", "S2", "A"): 10.0, ("A", "B", "S1", "A"): 7.0, ("B", "D", "S3", "A"): 5.0}
 
 
 def test_min_plus_equals_dijkstra(spark):

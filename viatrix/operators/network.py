@@ -93,6 +93,21 @@ def assign_flows(paths: DataFrame, trips: DataFrame) -> DataFrame:
     return explode_path(loaded, "path", "trips").groupBy("from_node", "to_node").agg(F.sum("trips").alias("flow"))
 
 
+def assign_transit_flows(paths: DataFrame, trips: DataFrame) -> DataFrame:
+    """Loads (from_node, to_node, service, direction, flow) of the rides on a transit graph's shortest paths.
+
+    paths (src, node, path) between entry and exit nodes, trips (o, d, trips) between stations. Boarding, alighting and changing load
+    nothing; trips without a path load nothing either. Station names hold no underscore.
+    """
+    from viatrix.operators.relational import explode_path
+
+    wanted = trips.where("o <> d and trips > 0").select(F.concat(F.lit("entry_"), "o").alias("src"), F.concat(F.lit("exit_"), "d").alias("node"), "trips")
+    hops = explode_path(wanted.join(paths.select("src", "node", "path"), ["src", "node"]), "path", "trips")
+    part = lambda c, i: F.regexp_extract(c, "^sub_([^_]*)_(.*)_([^_]*)$", i)
+    told = hops.where("from_node like 'sub%' and to_node like 'sub%'").select(part("from_node", 1).alias("from_node"), part("to_node", 1).alias("to_node"), part("from_node", 2).alias("service"), part("from_node", 3).alias("direction"), "trips")
+    return told.where("from_node <> to_node").groupBy("from_node", "to_node", "service", "direction").agg(F.sum("trips").alias("flow"))
+
+
 def simple_paths(edges: DataFrame, starts: DataFrame, ends: DataFrame, avoid: DataFrame, longest: int) -> DataFrame:
     """Paths without repeats from starts to ends (node), that touch no other node of avoid; up to longest nodes."""
     blocked = avoid.select(F.col("node").alias("v")).withColumn("blocked", F.lit(True))

@@ -62,6 +62,13 @@ def g5(s, d):
     return N.assign_flows(D.sq_times(s), D.trips(s, d))
 
 
+@register("g5_transit_flows")
+def g5b(s, d):
+    """By service and direction, on the paths that count boarding and changes."""
+    paths = N.shortest_paths(transit(s, d)).where("src like 'entry%' and node like 'exit%'")
+    return N.assign_transit_flows(paths, D.trips(s, d))
+
+
 @register("g6_closest_of_many", f"WITH RECURSIVE {D.SHORTEST}, t AS (SELECT n_nationkey AS node, CASE WHEN n_nationkey % 7 = 0 THEN 0.0 END AS zero FROM nation) SELECT t.node, coalesce(zero, (SELECT min(d) FROM best WHERE best.node = t.node AND src % 7 = 0)) AS time FROM t")
 def g6(s, d):
     e = D.edges(s).select(F.lit("sq").alias("graph_id"), "u", "v", C("tt").cast("double").alias("w"))
