@@ -105,3 +105,20 @@ def test_distance_join(spark):
     got = R.distance_join(df.toDF("a", "ax", "ay"), df.toDF("b", "bx", "by"), 12.0)
     want = {(a, b) for a, ax, ay in p for b, bx, by in p if ((ax - bx) ** 2 + (ay - by) ** 2) ** 0.5 <= 12.0}
     assert {(r.a, r.b) for r in got.collect()} == want
+
+
+def test_line_costs(spark):
+    c = V.line_construction(F.lit(1000.0), F.lit(500.0), F.lit(100.0))
+    assert [round(x, 2) for x in one(spark, c, V.line_maintenance(c))] == [92250000.0, 89943750.0]
+    assert list(one(spark, V.too_full(F.lit(24), F.lit(2)), V.too_full(F.lit(23), F.lit(2)), V.too_full(F.lit(12), F.lit("12")), V.too_full(F.lit(11), F.lit("12")))) == [True, False, True, False]
+
+
+def test_interventions(spark):
+    def cost(segments, tracks, length, platforms):
+        kind, added, more = V.intervention(*[F.lit(x) for x in (segments, tracks, length, platforms)])
+        return list(one(spark, kind, added, more, V.intervention_cost(kind, F.lit(tracks), added, F.lit(length), more)))
+
+    assert cost(1, 1.5, 1500.0, 2) == ["segment_passing_siding", 0.5, 0, 16625000.0]
+    assert cost(1, 1.5, 900.0, 2) == ["segment_passing_siding", 1.0, 0, 29925000.0]
+    assert cost(1, 2.0, 900.0, 2) == ["segment_passing_siding", 0.5, 0, 66500000.0]
+    assert cost(3, 2.5, 0.0, 1) == ["station_track", 1.0, 1, 36600000.0]

@@ -289,17 +289,21 @@ def k8(s, d):
     return x.where(C("capacity") - C("tphpd") < 2.0)
 
 
-K9 = "WITH s AS (SELECT s_suppkey AS id, s_suppkey % 3 + 1 AS segments, [1.0, 1.5, 2.0][1 + s_suppkey % 3] AS tracks, 400.0 + s_suppkey % 2000 AS len FROM supplier) SELECT id, CASE WHEN segments > 1 THEN 'station_track' ELSE 'siding' END AS type, CASE WHEN segments > 1 THEN 1.0 WHEN tracks - floor(tracks) > 0 AND len < 1000 THEN 1.0 ELSE 0.5 END AS added, round(CASE WHEN segments > 1 THEN 2 * 18300000.0 ELSE len * 33250 / 3 END, 2) AS cost, round(0.03 * CASE WHEN segments > 1 THEN 2 * 18300000.0 ELSE len * 33250 / 3 END, 2) AS maintenance FROM s"
+K9 = """WITH s AS (SELECT s_suppkey AS id, s_suppkey % 3 + 1 AS segments, [1.0, 1.5, 2.0, 2.5][1 + s_suppkey % 4] AS tracks, (400 + s_suppkey * 37 % 2000)::DOUBLE AS len, s_suppkey % 5 AS platforms FROM supplier),
+k AS (SELECT *, segments > 1 AS station, tracks - floor(tracks) = 0.5 AS half FROM s),
+c AS (SELECT *, CASE WHEN station OR (half AND len < 1000) THEN 1.0 ELSE 0.5 END AS added FROM k),
+m AS (SELECT *, CASE WHEN station THEN floor(tracks) * 18300000 WHEN half AND added = 0.5 THEN len * 33250 - floor(tracks) * 33250000 WHEN added = 1.0 THEN len * 33250 ELSE floor(tracks) * 33250000 END AS cost FROM c)
+SELECT id, CASE WHEN station THEN 'station_track' ELSE 'segment_passing_siding' END AS type, added::DOUBLE AS added, CASE WHEN station AND platforms < 2 THEN 1 ELSE 0 END AS platforms_added, round(cost, 2)::DOUBLE AS cost, round(cost * 0.03, 2)::DOUBLE AS maintenance FROM m"""
 
 
 @register("k9_k10_interventions", K9)
 def k9(s, d):
     k = C("s_suppkey")
-    x = table(s, d, "supplier").select(k.alias("id"), (k % 3 + 1).alias("segments"), F.get(F.array(*map(F.lit, (1.0, 1.5, 2.0))), (k % 3).cast("int")).alias("tracks"), (400.0 + k % 2000).alias("len"))
-    station = C("segments") > 1
-    cost = F.when(station, F.lit(2 * 18300000.0)).otherwise(C("len") * 33250 / 3)
-    added = F.when(station, 1.0).when((C("tracks") > F.floor("tracks")) & (C("len") < 1000), 1.0).otherwise(0.5)
-    return x.select("id", F.when(station, "station_track").otherwise("siding").alias("type"), added.alias("added"), F.round(cost, 2).alias("cost"), F.round(0.03 * cost, 2).alias("maintenance"))
+    x = table(s, d, "supplier").select(k.alias("id"), (k % 3 + 1).alias("segments"), F.get(F.array(*map(F.lit, (1.0, 1.5, 2.0, 2.5))), (k % 4).cast("int")).alias("tracks"), (400 + k * 37 % 2000).cast("double").alias("len"), (k % 5).alias("platforms"))
+    kind, added, platforms = V.intervention(C("segments"), C("tracks"), C("len"), C("platforms"))
+    x = x.select("id", "tracks", "len", kind.alias("type"), added.alias("added"), platforms.alias("platforms_added"))
+    cost = V.intervention_cost(C("type"), C("tracks"), C("added"), C("len"), C("platforms_added"))
+    return x.select("id", "type", "added", "platforms_added", F.round(cost, 2).alias("cost"), F.round(cost * V.MAINTENANCE, 2).alias("maintenance"))
 
 
 @register("k12_costs_by_overlap", "WITH seg AS (SELECT DISTINCT p_brand AS dev, p_size AS segment FROM part WHERE p_size <= 10), i AS (SELECT DISTINCT s_suppkey AS id, s_suppkey % 12 AS segment, 1000.0 * s_suppkey AS cost FROM supplier) SELECT dev, sum(cost) AS cost FROM (SELECT DISTINCT dev, id, cost FROM seg JOIN i USING (segment)) GROUP BY dev")
@@ -309,10 +313,29 @@ def k12(s, d):
     return seg.join(i, "segment").select("dev", "id", "cost").distinct().groupBy("dev").agg(F.sum("cost").alias("cost"))
 
 
-@register("b1_construction_cost", f"WITH {D.DEVS} SELECT dev, round(length * 33250.0 + n * 104000.0, 2) AS construction, round((length * 33250.0 + n * 104000.0) * 0.03 * 0.65, 4) AS maintenance, round(length / 2 * 879 * (1 - 0.623) * 1.1, 4) AS operating FROM devs")
+@register("b1_construction_cost", f"WITH {D.DEVS}, c AS (SELECT dev, length, length * 33250.0 + n * 10 * 104000.0 + n * 5 * 70000.0 AS c FROM devs) SELECT dev, round(c, 2) AS construction, round(c * 0.03 * 50 * 0.65, 2) AS maintenance, round(length / 2 * 879 * (1 - 0.623) * 1.1, 4) AS operating FROM c")
 def b1(s, d):
-    c = C("length") * V.TRACK + C("n") * V.TUNNEL
-    return D.developments(s, d).select("dev", F.round(c, 2).alias("construction"), F.round(c * V.MAINTENANCE * V.MAINTENANCE_SHARE, 4).alias("maintenance"), F.round(C("length") / 2 * 879 * (1 - 0.623) * 1.1, 4).alias("operating"))
+    """New lines, by metres of free track, tunnel and bridge."""
+    x = D.developments(s, d).withColumn("c", V.line_construction(C("length"), C("n") * 10, C("n") * 5))
+    return x.select("dev", F.round("c", 2).alias("construction"), F.round(V.line_maintenance(C("c")), 2).alias("maintenance"), F.round(V.uncovered_operation(C("length"), True), 4).alias("operating"))
+
+
+B1A = f"""WITH {D.SERVICES}, l AS (SELECT from_node AS u, to_node AS v, sum(frequency) AS f FROM services GROUP BY ALL),
+k AS (SELECT u, v, f, CASE (u + v) % 4 WHEN 0 THEN NULL WHEN 1 THEN 1 WHEN 2 THEN 2 ELSE 2 END AS per, (u * 100 + v) * 33250.0 + (u % 5) * 10 * 104000.0 + (v % 3) * 70000.0 AS c FROM l),
+h AS (SELECT i AS dev, (i + j) % 25 AS u, (i + j + 1) % 25 AS v FROM range(0, 25, 2) a(i) CROSS JOIN range(3) b(j)),
+t AS (SELECT dev, coalesce(sum(c), 0.0) AS c FROM h LEFT JOIN (SELECT * FROM k WHERE f / per >= 12) USING (u, v) GROUP BY dev)
+SELECT dev, round(c, 2) AS construction, round(c * 0.03 * 50 * 0.65, 2) AS maintenance FROM t"""
+
+
+@register("b1_extension_cost", B1A)
+def b1a(s, d):
+    """Extended lines pay for links that are too full."""
+    u, v = C("from_node"), C("to_node")
+    l = D.services(s, d).groupBy("from_node", "to_node").agg(F.sum("frequency").alias("frequency"))  # noqa: E741
+    tracks = F.get(F.array(*map(F.lit, (None, "12", "2", "23"))), (u + v) % 4)
+    l = l.select(u.alias("u"), v.alias("v"), "frequency", tracks.alias("tracks"), (u * 100 + v).cast("double").alias("track_m"), (u % 5 * 10).cast("double").alias("tunnel_m"), (v % 3).cast("double").alias("bridge_m"))  # noqa: E741
+    hops = s.range(0, 25, 2).select(C("id").alias("dev"), F.explode(F.sequence(F.lit(0), F.lit(2))).alias("j")).select("dev", ((C("dev") + C("j")) % 25).cast("int").alias("u"), ((C("dev") + C("j") + 1) % 25).cast("int").alias("v"))
+    return V.extension_costs(l, hops).select("dev", F.round("construction", 2).alias("construction"), F.round("maintenance", 2).alias("maintenance"))
 
 
 B3 = f"WITH {D.DEVS} SELECT dev, c_mktsegment AS scenario, y::INT AS year, CASE WHEN y = 2050 THEN round(cost, 2) ELSE 0.0 END AS const_cost, CASE WHEN y > 2050 THEN round(round(cost, 2) * 0.03, 4) ELSE 0.0 END AS maint_cost, round(length * (y - 2049) / 7.0, 4) AS benefit FROM devs CROSS JOIN (SELECT DISTINCT c_mktsegment FROM customer) CROSS JOIN range(2050, 2101) r(y)"
