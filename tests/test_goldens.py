@@ -1,5 +1,7 @@
 """Small cases worked out by hand, and invariants."""
 
+from statistics import NormalDist
+
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
@@ -122,3 +124,9 @@ def test_interventions(spark):
     assert cost(1, 1.5, 900.0, 2) == ["segment_passing_siding", 1.0, 0, 29925000.0]
     assert cost(1, 2.0, 900.0, 2) == ["segment_passing_siding", 0.5, 0, 66500000.0]
     assert cost(3, 2.5, 0.0, 1) == ["station_track", 1.0, 1, 36600000.0]
+
+
+def test_standard_normal(spark):
+    u = [1e-9, 0.001, 0.02425, 0.03, 0.25, 0.5, 0.75, 0.98, 0.999999]
+    got = spark.createDataFrame([(x,) for x in u], "u double").select("u", S.standard_normal(C("u")).alias("z")).collect()
+    assert all(abs(r.z - NormalDist().inv_cdf(r.u)) <= 1.2e-9 * max(1, abs(r.z)) for r in got)
