@@ -130,3 +130,10 @@ def test_standard_normal(spark):
     u = [1e-9, 0.001, 0.02425, 0.03, 0.25, 0.5, 0.75, 0.98, 0.999999]
     got = spark.createDataFrame([(x,) for x in u], "u double").select("u", S.standard_normal(C("u")).alias("z")).collect()
     assert all(abs(r.z - NormalDist().inv_cdf(r.u)) <= 1.2e-9 * max(1, abs(r.z)) for r in got)
+
+
+def test_service_cells(spark):
+    row = one(spark, X.service_cells(F.lit("S5.4; S14.2.5,S5.6, IC, .3, X.y")), X.service_direction_cells(F.lit("S5.A.4, S5.B.2.5, S5.A.7, S9.1")), X.service_names(F.lit("S9.A.1; IC,S9 , ")), X.service_cells(F.lit(None).cast("string")), X.service_names(F.lit("")))
+    assert [tuple(x) for x in row[0]] == [("S5", 6.0), ("S14", 2.5), ("X", 0.0)]
+    assert [tuple(x) for x in row[1]] == [("S5", "A", 7.0), ("S5", "B", 2.5)]
+    assert row[2] == ["IC", "S9"] and row[3] == [] and row[4] == []

@@ -48,10 +48,37 @@ def format_frequency(x: Column) -> Column:
     return F.when(x.isNull(), F.lit("")).when(F.abs(x - whole) <= 1e-6, whole.cast("bigint").cast("string")).otherwise(short)
 
 
+def _tokens(x: Column) -> Column:
+    return F.filter(F.transform(F.split(x, "[;,]"), lambda p: F.trim(p)), lambda p: p != "")
+
+
+def _largest(parts: Column, *keys: str) -> Column:
+    """One struct for each distinct key of (keys, frequency), with the largest frequency."""
+    key = lambda p: F.struct(*[p[k].alias(k) for k in keys])
+    return F.transform(F.array_distinct(F.transform(parts, key)), lambda k: F.struct(*[k[n].alias(n) for n in keys], F.array_max(F.transform(F.filter(parts, lambda p: key(p) == k), lambda p: p["frequency"])).alias("frequency")))
+
+
 def service_cells(x: Column) -> Column:
-    """'S5.4, S14.2' as an array of (service, frequency)."""
-    parts = F.filter(F.transform(F.split(x, "[;,]"), lambda p: F.trim(p)), lambda p: p != "")
-    return F.transform(parts, lambda p: F.struct(F.element_at(F.split(p, "\\."), 1).alias("service"), F.element_at(F.split(p, "\\."), -1).try_cast("double").alias("frequency")))
+    """'S5.4, S14.2.5' as an array of (service, frequency): what follows the first dot is the number; the largest counts.
+
+    Parts without a dot or a name are left out, an unreadable number is 0, and null has no parts.
+    """
+    parts = F.transform(F.filter(_tokens(F.coalesce(x, F.lit(""))), lambda p: p.contains(".")), lambda p: F.struct(F.trim(F.regexp_extract(p, r"^([^.]*)\.", 1)).alias("service"), comma_float(F.regexp_extract(p, r"^[^.]*\.(.*)$", 1)).alias("frequency")))
+    return _largest(F.filter(parts, lambda p: p["service"] != ""), "service")
+
+
+def service_direction_cells(x: Column) -> Column:
+    """'S5.A.4, S14.B.2.5' as an array of (service, direction, frequency), by the same rules."""
+    pattern = r"^([^.]*)\.([^.]*)\.(.*)$"
+    told = F.filter(_tokens(F.coalesce(x, F.lit(""))), lambda p: p.rlike(pattern))
+    parts = F.transform(told, lambda p: F.struct(F.trim(F.regexp_extract(p, pattern, 1)).alias("service"), F.trim(F.regexp_extract(p, pattern, 2)).alias("direction"), comma_float(F.regexp_extract(p, pattern, 3)).alias("frequency")))
+    return _largest(F.filter(parts, lambda p: p["service"] != ""), "service", "direction")
+
+
+def service_names(x: Column) -> Column:
+    """Names in a list of services, each once and in order."""
+    names = F.transform(_tokens(F.coalesce(x, F.lit(""))), lambda p: F.trim(F.element_at(F.split(p, r"\."), 1)))
+    return F.array_sort(F.array_distinct(F.filter(names, lambda n: n != "")))
 
 
 def segment_key(x: Column) -> Column:

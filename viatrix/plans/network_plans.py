@@ -179,11 +179,18 @@ def x4(s, d):
 
 @register("x5_service_cells", f"WITH {D.SERVICES} SELECT from_node AS node, service, max(frequency)::DOUBLE AS frequency FROM services GROUP BY ALL")
 def x5(s, d):
-    cell = F.concat("service", F.lit("."), C("frequency").cast("string"))
+    cell = F.concat("service", F.lit("."), C("frequency").cast("double").cast("string"))  # '12.0' has a dot of its own
     text = D.services(s, d).groupBy(C("from_node").alias("node")).agg(F.array_join(F.collect_list(cell), ", ").alias("cells"))
     return text.select("node", F.explode(X.service_cells(C("cells"))).alias("c")).groupBy("node", C("c.service").alias("service")).agg(F.max("c.frequency").alias("frequency"))
 
 
+@register("x5_direction_cells", f"WITH {D.SERVICES} SELECT from_node AS node, service, direction, max(frequency)::DOUBLE + 0.5 AS frequency FROM services GROUP BY ALL")
+def x5b(s, d):
+    cell = F.concat_ws(".", "service", "direction", (C("frequency") + 0.5).cast("string"))
+    text = D.services(s, d).groupBy(C("from_node").alias("node")).agg(F.array_join(F.collect_list(cell), "; ").alias("cells"))
+    return text.select("node", F.explode(X.service_direction_cells(C("cells"))).alias("c")).select("node", "c.service", "c.direction", "c.frequency")
+
+
 @register("x6_segment_key", f"WITH {D.TOPO} SELECT u, v, least(u, v) || '-' || greatest(u, v) AS segment FROM topo")
 def x6(s, d):
     return D.topology(s).select("u", "v", X.segment_key(F.concat_ws("-", "u", "v")).alias("segment"))
