@@ -292,13 +292,17 @@ def near_groups(docs: DataFrame, k: int = 5, numerator: int = 75, denominator: i
     own = ranked.withColumn("near", F.negative("hub.h")).join(onward, "near", "left").select("doc_id", F.negative(F.greatest("hub", "onward")["h"]).alias("hub"))
     own = cuts.cut(own.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", "hub", F.coalesce("component", "doc_id").alias("label")))
     blocked = blocked_pairs(own, sets, numerator, denominator, cuts)
+    # hubs of all their keys are in no block: they meet the rest of their keys' documents, where labels differ
+    pure = stars.select("doc_id", "hub").join(own.select(F.col("doc_id").alias("hub")), "hub", "left_anti").join(own.select("doc_id", "label"), "doc_id")
+    pure = pure.join(labels.toDF("hub", "other"), "hub", "left").where(F.col("label") != F.coalesce("other", "hub"))
+    pure = pure.select(F.least("hub", "doc_id").alias("a"), F.greatest("hub", "doc_id").alias("b"))
     # pairs that a key joins beyond the blocks: of other labels and other hubs
     named = groups.select("key", "doc_id").join(own, "doc_id")
     mixed = named.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.min("hub").alias("low"), F.max("hub").alias("high")).where("lo < hi and low < high").select("key")
     named = cuts.cut(named.join(mixed, "key").select("key", "doc_id", "label", "hub"))
     left, right = named.toDF("key", "a", "label_a", "hub_a"), named.toDF("key", "b", "label_b", "hub_b")
     across = left.join(right, "key").where("label_a < label_b and hub_a <> hub_b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    second = cuts.cut(across.union(blocked).distinct().join(first, ["a", "b"], "left_anti"))
+    second = cuts.cut(across.union(blocked).union(pure).distinct().join(first, ["a", "b"], "left_anti"))
     links = links.union(verified(second, sets, numerator, denominator, cuts))
     final = components(links, cuts)
     out = member.join(final.withColumnRenamed("node", "rep"), "rep", "left")
