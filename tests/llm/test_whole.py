@@ -2,6 +2,8 @@
 
 import random
 
+import pytest
+
 from test_llm import alike, frame, sentence
 from viatrix.llm import ngram_join
 
@@ -39,3 +41,11 @@ def test_ngram_join_links_hubs(spark):
         texts += group
     got = {r.doc_id: r.component_id for r in ngram_join.near_groups(frame(spark, texts)).collect()}
     assert [got[i] for i in range(len(texts))] == want
+
+
+@pytest.mark.parametrize("seed, n, m", [(17003, 3, 4), (48006, 6, 8), (156009, 9, 12)])
+def test_ngram_join_short_pairs(spark, seed, n, m):
+    """Sets of n and m shingles, alone in their table: the smaller names empty parts, the larger none."""
+    w = sentence(random.Random(seed), m + 4).split()
+    got = ngram_join.near_groups(frame(spark, [" ".join(w[: n + 4]), " ".join(w)])).collect()
+    assert [r.component_id for r in got] == [0, 0]

@@ -51,7 +51,8 @@ def sets_of(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[tuple[list[in
 def sketch_parts(members: np.ndarray, numerator: int, denominator: int, edges: np.ndarray) -> list[tuple[int, int, np.ndarray, np.ndarray]]:
     """(band, spare, part names, XORs) for each band where partners may lie; numerator/denominator is the similarity.
 
-    A partner shares more than ``spare`` of these parts. There are two bands at most, one after the other.
+    A partner shares more than ``spare`` of these parts; if empty ones are among them, only a partner that names its
+    empty parts too does, and any other shares a non-empty one. There are two bands at most, one after the other.
     """
     n = len(members)
     largest = n * denominator // numerator
@@ -83,7 +84,7 @@ def digest(members: np.ndarray) -> tuple[int, int]:
 
 
 def shingle_sets(docs: DataFrame, k: int, numerator: int, denominator: int) -> DataFrame:
-    """(doc_id, n, d1, d2, even, odd): size and digest of every set, and its spare parts in its band of even and of odd number."""
+    """(doc_id, n, d1, d2, even, odd): size and digest of every set, and its spare parts in its band of even and of odd number, with all bits turned if it names empty parts."""
 
     def run(batches):
         edges = band_edges()
@@ -91,8 +92,8 @@ def shingle_sets(docs: DataFrame, k: int, numerator: int, denominator: int) -> D
             rows = []
             for i, s in zip(ids, sets):
                 spare = [None, None]
-                for band, left, _, _ in sketch_parts(s, numerator, denominator, edges) if len(s) else ():
-                    spare[band % 2] = left
+                for band, left, _, xors in sketch_parts(s, numerator, denominator, edges) if len(s) else ():
+                    spare[band % 2] = left if xors.all() else ~left
                 rows.append((i, len(s), *digest(s), *spare))
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], names=["doc_id", "n", "d1", "d2", "even", "odd"])
 
@@ -100,7 +101,7 @@ def shingle_sets(docs: DataFrame, k: int, numerator: int, denominator: int) -> D
 
 
 def sketch_keys(docs: DataFrame, k: int, numerator: int, denominator: int) -> DataFrame:
-    """(key, doc_id): sketch parts, the band's parity in the lowest bit; of equal sets in one task only the first gives keys."""
+    """(key, doc_id): sketch parts, the band's parity in the lowest bit and 1 in the next for an empty part; of equal sets in one task only the first gives keys."""
 
     def run(batches):
         edges, seen = band_edges(), set()
@@ -113,7 +114,7 @@ def sketch_keys(docs: DataFrame, k: int, numerator: int, denominator: int) -> Da
                 seen.add(told)
                 for band, _, name, xors in sketch_parts(s, numerator, denominator, edges):
                     x = mix(xors ^ mix(name + np.uint64((band + 1) << 40)))
-                    keys.append((x & ~np.uint64(1)) | np.uint64(band % 2))
+                    keys.append((x & ~np.uint64(3)) | (xors == 0).astype(np.uint64) << np.uint64(1) | np.uint64(band % 2))
                     of.append((i, len(x)))
             if keys:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.repeat(np.array([i for i, _ in of], np.int64), [m for _, m in of]))], names=["key", "doc_id"])
@@ -271,7 +272,9 @@ def near_groups(docs: DataFrame, k: int = 5, numerator: int = 75, denominator: i
     spare = F.when(F.col("key").bitwiseAND(F.lit(1)) == 0, F.col("even")).otherwise(F.col("odd"))
     held = Window.partitionBy("doc_id", "spare", F.col("key").bitwiseAND(F.lit(1)))
     shared = groups.join(sizes, "key").join(member.where("doc_id = rep").select("doc_id", "even", "odd"), "doc_id").select("key", "doc_id", "size", spare.alias("spare"))
-    shared = shared.withColumn("have", F.count(F.lit(1)).over(held)).where("have > spare").withColumn("nth", F.row_number().over(held.orderBy("size", "key"))).where("nth <= have - spare")
+    # where a set names empty parts, its partner may name none: then all its non-empty parts stay
+    shared = shared.withColumn("have", F.count(F.lit(1)).over(held)).withColumn("thin", (F.col("spare") < 0) & (F.col("key").bitwiseAND(F.lit(2)) == 0)).withColumn("spare", F.greatest("spare", F.bitwise_not("spare")))
+    shared = shared.where("thin or have > spare").withColumn("nth", F.row_number().over(held.orderBy("size", "key"))).where("thin or nth <= have - spare")
     groups = cuts.cut(shared.select("key", "doc_id"))
     sizes = groups.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     groups = cuts.cut(groups.join(sizes, "key"))
