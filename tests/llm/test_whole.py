@@ -2,10 +2,11 @@
 
 import random
 
+import numpy as np
 import pytest
 
 from test_llm import alike, frame, sentence
-from viatrix.llm import ngram_join
+from viatrix.llm import embedding_dedup, ngram_join
 
 
 def linked_groups(seed):
@@ -49,3 +50,20 @@ def test_ngram_join_short_pairs(spark, seed, n, m):
     w = sentence(random.Random(seed), m + 4).split()
     got = ngram_join.near_groups(frame(spark, [" ".join(w[: n + 4]), " ".join(w)])).collect()
     assert [r.component_id for r in got] == [0, 0]
+
+
+def test_reach_beside_a_large_group(spark):
+    """Links of pairs are reached though a third of the vectors are copies of one."""
+    r = np.random.default_rng(6)
+    unit = lambda v: v / np.linalg.norm(v, axis=1, keepdims=True)
+    a = unit(r.normal(size=(1500, 16)))
+    turn = r.normal(size=a.shape)
+    turn = unit(turn - (turn * a).sum(1)[:, None] * a)
+    c = r.uniform(0.9, 0.97, (1500, 1))
+    x = np.concatenate([a, c * a + np.sqrt(1 - c * c) * turn, np.repeat(a[:1], 1500, 0)])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    model = embedding_dedup.fit(df, 0.9, 0.999, 2000, 24)
+    da, db = (embedding_dedup.distances(h, b) for h, b in zip((x[:, :8], x[:, 8:]), model["books"]))
+    i, j = np.arange(3000), np.concatenate([np.arange(1500, 3000), np.arange(1500)])
+    excess = da[i, da.argmin(1)[j]] + db[i, db.argmin(1)[j]] - (da.min(1) + db.min(1))[i]
+    assert (excess <= model["reach"]).mean() > 0.998

@@ -4,7 +4,7 @@ Unit vectors are halved and each half has its own codebook, so pairs of codeword
 cells. Every vector lies in one cell and visits others in the order of the sum of both halves' squared
 distances (multi-sequence traversal of the two sorted lists), until the sum has grown so far beyond the
 home cell's that the target recall is reached. How far is learned on a bounded sample: the recall-quantile of
-that excess over true links. Vectors that meet in a cell are compared exactly, in double precision.
+that excess over true links, each query weighing the same in each band of cosine, and over made ones at the least cosine. Vectors that meet in a cell are compared exactly, in double precision.
 
 Cells are dealt in blocks on both sides, so a task never holds more than two blocks, and a
 block sends on link counts and a spanning forest, never its pairs.
@@ -78,6 +78,47 @@ def traverse(a: np.ndarray, b: np.ndarray, reach: float) -> list[tuple[int, int]
     return out
 
 
+def needed_reach(x: np.ndarray, books: list[np.ndarray], half: int, cosine: float, recall: float, trials: int = 8, seed: int = 3) -> float:
+    """The recall-quantile of the excess over links: the largest of that over vectors turned at random to the least cosine and those over each band of cosine.
+
+    The first are there however few links the sample x has. In a band each query weighs the same, so a
+    large group does not drown the others; equal vectors share their cell and do not count.
+    """
+
+    def cost(v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return distances(v[:, :half], books[0]), distances(v[:, half:], books[1])
+
+    da, db = cost(x)
+    home = da.argmin(1), db.argmin(1)
+    queries = np.sort(np.unique(x, axis=0, return_index=True)[1])[:QUERIES]
+    excess, weight, band = [], [], []
+    for q in queries:
+        c = x @ x[q]
+        near = np.flatnonzero(c >= cosine)
+        near = near[(x[near] != x[q]).any(1)]
+        at = np.minimum((c[near] - cosine) / max(1 - cosine, 1e-9) * 4, 3).astype(int)
+        excess.append(da[q, home[0][near]] + db[q, home[1][near]] - da[q].min() - db[q].min())
+        weight.append(1 / np.bincount(at, minlength=4)[at])
+        band.append(at)
+    excess, weight, band = (np.concatenate(y) for y in (excess, weight, band))
+    out = [0.0]
+    for k in np.unique(band):
+        e, w = excess[band == k], weight[band == k]
+        order = e.argsort()
+        total = w[order].cumsum()
+        out.append(float(e[order][min(np.searchsorted(total, recall * total[-1]), len(e) - 1)]))
+    own = np.repeat(queries, trials)
+    u = x[own]
+    turn = np.random.default_rng(seed).normal(size=u.shape)
+    turn -= (turn * u).sum(1)[:, None] * u
+    size = np.sqrt((turn * turn).sum(1))[:, None]
+    v = cosine * u + np.sqrt(max(1 - cosine * cosine, 0)) * turn / np.maximum(size, 1e-9)
+    ta, tb = cost(v)
+    there, i = (ta.argmin(1), tb.argmin(1)), np.arange(len(own))
+    out.append(float(np.quantile(np.concatenate([da[own, there[0]] + db[own, there[1]] - da[own].min(1) - db[own].min(1), ta[i, home[0][own]] + tb[i, home[1][own]] - ta.min(1) - tb.min(1)]), recall)))
+    return max(out)
+
+
 def fit(vectors: DataFrame, cosine: float, recall: float, sample: int, words: int) -> dict | None:
     """Codebooks and reach, from a bounded sample in the order of a hash."""
 
@@ -95,17 +136,8 @@ def fit(vectors: DataFrame, cosine: float, recall: float, sample: int, words: in
     half = max(width // 2, 1)
     halves = [x[:, :half], x[:, half:]]
     books = [fit_codebook(h, words) if h.shape[1] else np.zeros((1, 0)) for h in halves]
-    da, db = distances(halves[0], books[0]), distances(halves[1], books[1])
-    least = da.min(1) + db.min(1)
-    home = da.argmin(1), db.argmin(1)
-    excess = []
-    for q in range(min(QUERIES, len(x))):
-        near = np.flatnonzero(x @ x[q] >= cosine)
-        near = near[near != q]
-        excess.append(da[q, home[0][near]] + db[q, home[1][near]] - least[q])
-    excess = np.concatenate(excess) if excess else np.zeros(0)
     # a quarter more than the sample needs
-    reach = 1.25 * float(np.quantile(excess, recall)) if len(excess) else 0.1
+    reach = 1.25 * needed_reach(x, books, half, cosine, recall)
     return {"books": books, "half": half, "width": width, "reach": max(reach, 0.02)}
 
 
