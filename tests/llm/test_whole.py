@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 from test_llm import alike, frame, sentence
-from viatrix.llm import embedding_dedup, ngram_join
+from viatrix.llm import embedding_dedup, html_extract, ngram_join
 
 
 def linked_groups(seed):
@@ -67,3 +67,20 @@ def test_reach_beside_a_large_group(spark):
     i, j = np.arange(3000), np.concatenate([np.arange(1500, 3000), np.arange(1500)])
     excess = da[i, da.argmin(1)[j]] + db[i, db.argmin(1)[j]] - (da.min(1) + db.min(1))[i]
     assert (excess <= model["reach"]).mean() > 0.998
+
+
+@pytest.mark.parametrize("wrapper", ["article", "main", "div"])
+@pytest.mark.parametrize("many", [2, 30])
+def test_html_keeps_title_and_lead(wrapper, many):
+    """However long the part with most points is, the title and lead beside it stay."""
+    text = "one, two, three, four " * 14
+    body = "".join(f"<p>{i} {text}</p>" for i in range(many))
+    page = f"<body><{wrapper}><h1>Title</h1><p>A lead</p><div class=body>{body}</div></{wrapper}><p><a href=x>elsewhere</a></p></body>"
+    assert html_extract.main_text(page).split("\n") == ["Title", "A lead", *[f"{i} {text}".strip() for i in range(many)]]
+
+
+def test_html_keeps_short_sections():
+    body = "".join(f"<p>{'one, two, three, ' * 20}</p>" for _ in range(30))
+    page = f"<article><h1>Title</h1><div class=body>{body}</div><section><h2>More</h2><p>short</p></section></article>"
+    got = html_extract.main_text(page).split("\n")
+    assert got[0] == "Title" and got[-2:] == ["More", "short"] and len(got) == 33

@@ -2,8 +2,9 @@
 
 Blocks of text (paragraphs, headings, list items, cells, loose text between block tags) give points for
 length and commas to the element around them, half as many to the next and a third to the one after. An
-element's points are discounted by the share of its text that stands in links. The best element and
-those of its siblings that have a good part of its points are kept, without what never belongs to an article.
+element's points are discounted by the share of its text that stands in links. The best element, or
+the article or main element that holds it, and those of its siblings that have a good part of its points or are
+paragraphs and headings with few links are kept, without what never belongs to an article.
 """
 
 import html
@@ -153,7 +154,17 @@ def main_text(page: str) -> str:
     best = max(range(len(tags)), key=lambda i: (score[i], -i))
     if score[best] <= 0:
         return ""
-    chosen = {best} | {i for i in range(len(tags)) if parents[i] == parents[best] and i != best and score[i] >= max(10.0, 0.2 * score[best])}
+    up = best
+    while up >= 0 and tags[up] not in ("article", "main"):
+        up = parents[up]
+    best = up if up >= 0 else best
+    chosen = {best}
+    for i in range(len(tags)):
+        if parents[i] == parents[best] and i != best:
+            # these give their points to the parent
+            plain = (tags[i] == "p" or tags[i] in HEADINGS) and linked[i] < 0.25 * chars[i]
+            if plain or score[i] >= max(10.0, 0.2 * score[best]):
+                chosen.add(i)
     keep = [False] * len(tags)
     for i in range(len(tags)):
         keep[i] = i in chosen or (parents[i] >= 0 and keep[parents[i]])
