@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 from test_llm import alike, frame, sentence
-from viatrix.llm import embedding_dedup, html_extract, ngram_join
+from viatrix.llm import chunk_dedup, embedding_dedup, html_extract, ngram_join
 
 
 def linked_groups(seed):
@@ -84,3 +84,14 @@ def test_html_keeps_short_sections():
     page = f"<article><h1>Title</h1><div class=body>{body}</div><section><h2>More</h2><p>short</p></section></article>"
     got = html_extract.main_text(page).split("\n")
     assert got[0] == "Title" and got[-2:] == ["More", "short"] and len(got) == 33
+
+
+def test_chunks_inside_one_document(spark):
+    """Every occurrence but the first is reported, also in the smallest or only document."""
+    r = random.Random(8)
+    passage = sentence(r, 100)
+    texts = [f"{sentence(r, 40)} {passage} {sentence(r, 40)} {passage} {sentence(r, 9)}", sentence(r, 90), f"{sentence(r, 20)} {passage}"]
+    spans = chunk_dedup.repeats(frame(spark, texts))
+    assert sorted((x.doc_id, x.first_doc_id) for x in spans.collect()) == [(0, 0), (2, 0)]
+    cut = {x.doc_id: x.text for x in chunk_dedup.without(frame(spark, texts), spans).collect()}
+    assert cut[0].count(passage) == 1 and len(cut[0]) < len(texts[0]) - 300 and cut[1] == texts[1] and passage not in cut[2]

@@ -3,8 +3,8 @@
 A gear hash rolls over the bytes of each text; where its value has given bits zero a chunk ends, but no
 sooner than LEAST bytes after the last end and no later than MOST. Ends depend on the bytes just
 before them only, so after an insertion they fall into step again. Chunks with one 128-bit digest are
-copies. A run of neighbouring chunks whose copies stand in documents of smaller doc_id is a repeated
-span if it has ``span`` bytes or more.
+copies. A run of neighbouring chunks that have copies in documents of smaller doc_id, or sooner in their own, is a
+repeated span if it has ``span`` bytes or more.
 """
 
 import bisect
@@ -64,12 +64,13 @@ def chunks(docs: DataFrame) -> DataFrame:
 def repeats(docs: DataFrame, span: int = 100) -> DataFrame:
     """(doc_id, start, end, first_doc_id, n_chunks): repeated spans in bytes, with the smallest document that has the first chunk.
 
-    Only docs' doc_id (a key) and text are read. Null and empty texts have no chunks. Repetition inside
-    one document alone is not reported. An empty table gives an empty result.
+    Only docs' doc_id (a key) and text are read. Null and empty texts have no chunks. first_doc_id is
+    doc_id itself where a passage stands sooner in the same document alone. An empty table gives an empty result.
     """
     cuts = Cuts(docs.sparkSession, "chunks")
-    first = chunks(docs).groupBy("d1", "d2").agg(F.min("doc_id").alias("first_doc_id"), F.max("doc_id").alias("last")).where("first_doc_id < last").drop("last")
-    again = cuts.cut(chunks(docs).join(first, ["d1", "d2"]).where("doc_id > first_doc_id").select("doc_id", "start", "length", "first_doc_id"))
+    first = chunks(docs).groupBy("d1", "d2").agg(F.min(F.struct("doc_id", "start")).alias("m"), F.count(F.lit(1)).alias("copies")).where("copies > 1")
+    first = first.select("d1", "d2", F.col("m.doc_id").alias("first_doc_id"), F.col("m.start").alias("first_start"))
+    again = cuts.cut(chunks(docs).join(first, ["d1", "d2"]).where("doc_id > first_doc_id or start > first_start").select("doc_id", "start", "length", "first_doc_id"))
     w = Window.partitionBy("doc_id").orderBy("start")  # a document's own chunks
     begun = F.when(F.lag(F.col("start") + F.col("length")).over(w) == F.col("start"), 0).otherwise(1)
     runs = again.withColumn("begun", begun).withColumn("run", F.sum("begun").over(w))
