@@ -1,6 +1,7 @@
 """Graph operators on edge tables."""
 
 import heapq
+import itertools
 from collections import defaultdict
 
 import pandas as pd
@@ -17,13 +18,14 @@ def _saved(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def min_plus(edges: DataFrame, sources: DataFrame, rounds: int = 64, every: int = 3) -> DataFrame:
+def min_plus(edges: DataFrame, sources: DataFrame, every: int = 3) -> DataFrame:
     """Shortest distances (graph_id, src, node, d) from sources (graph_id, src, node, d) over edges (graph_id, u, v, w).
 
-    One join and one grouping a round; only the frontier of nodes that came nearer goes on. Ends as soon as none does.
+    One join and one grouping a round; only the frontier of nodes that came nearer goes on. Ends as soon as none does,
+    however many edges the paths have; raises ValueError if a cycle of negative length goes on for ever.
     """
     state = frontier = _saved(sources.groupBy("graph_id", "src", "node").agg(F.min("d").alias("d")))
-    for i in range(rounds):
+    for i in itertools.count(1):
         step = frontier.join(edges.withColumnRenamed("u", "node"), ["graph_id", "node"]).select("graph_id", "src", F.col("v").alias("node"), (F.col("d") + F.col("w")).alias("d"))
         step = step.groupBy("graph_id", "src", "node").agg(F.min("d").alias("new"))
         state = state.join(step, ["graph_id", "src", "node"], "full").select("graph_id", "src", "node", F.least("d", "new").alias("d"), (F.col("new") < F.coalesce("d", F.lit(float("inf")))).alias("nearer"))
@@ -31,8 +33,10 @@ def min_plus(edges: DataFrame, sources: DataFrame, rounds: int = 64, every: int
         frontier = state.where("nearer").drop("nearer")
         state = state.drop("nearer")
         if frontier.isEmpty():
-            break
-    return state
+            return state
+        # no shortest path has more edges than there are nodes to reach; short ones are done before that count is worth it
+        if i % 64 == 0 and i > edges.select("v").distinct().count():
+            raise ValueError("edges have a cycle of negative length")
 
 
 def transit_graph(services: DataFrame) -> DataFrame:
