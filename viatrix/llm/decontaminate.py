@@ -5,23 +5,27 @@ words as the item has (the whole document, if it is shorter), whose multiset of
 weighted Jaccard similarity of ``numerator/denominator`` or more with the item's (each shingle
 weighs as often as it stands there).
 
-Windows: such a window shares at least one shingle with the item, so windows are laid where the
-document has a shingle of the item, in line with the shingle's place in the item.
-Candidates: each window and item has a 64-bit SimHash over its words. The fingerprints are cut
-into RADIUS + 1 blocks; a pair within RADIUS bits agrees in one block at least, so the join on
-(item, block number, block) finds every pair within it, and the Hamming distance is checked.
-Verification: exact shingle counts. Every window and every item is tried; nothing is capped.
+Windows: every window of an item's size is laid, at every word, but where no shingle of any item of that size is inside, for
+such a window has similarity 0 with all of them. Windows of one size in a row form a stretch.
+Fingerprints: 64-bit SimHashes over words. Running sums of the bits go over each document's stretches, and a window's
+counts are the difference of two of them, so long windows cost no more than short ones.
+Candidates: a multi-index. A fingerprint is cut into BLOCKS blocks; two within RADIUS bits differ in NEAR bits
+or fewer in one block at least. Each item's blocks are indexed with all their neighbours within NEAR bits, windows are looked
+up among all items of their size, and the Hamming distance of what is found is checked.
+Verification: exact shingle counts of every candidate. Nothing is capped.
 """
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from viatrix.llm.store import Cuts
 
-#: At similarity 0.75 a window lacks or adds few words, or is an item cut short to three quarters: 10 bits differ on
-#: average with a deviation of 3, so 24 leaves out fewer than one such pair in 100,000.
-RADIUS = 24
-LANES = 0x0001000100010001
-#: items' shingles are sent to all executors only up to so many; beyond, they are joined by shuffle
+#: Bits of a block in which its neighbours may differ, blocks, and the radius that they guarantee. At similarity 0.75
+#: a window lacks a seventh of the item's words at most: 11 bits differ on average with a deviation of 3, in the worst case.
+NEAR, BLOCKS = 3, 5
+RADIUS = BLOCKS * (NEAR + 1) - 1
+#: two bits are counted in one sum, in lanes of 32 bits: more than the words of any text
+LANES = 0x0000000100000001
+#: rows of a table that is sent to all executors; a longer one is joined by shuffle
 SMALL = 500_000
 
 
@@ -37,88 +41,137 @@ def shingles(words: Column, k: int) -> Column:
     return F.when(n >= 0, F.transform(F.sequence(F.lit(0), F.greatest(n, F.lit(0))), lambda i: F.xxhash64(*[F.get(words, i + j) for j in range(k)]))).otherwise(F.array().cast("array<long>"))
 
 
-def simhashes(windows: DataFrame, keys: list[str]) -> DataFrame:
-    """keys and fingerprint of windows (keys, words): bit b is set if most words' hashes have it.
-
-    Sixteen sums count four bits each, in lanes of 16 bits.
-    """
-    told = windows.select(*keys, F.explode("words").alias("w")).select(*keys, F.xxhash64("w").alias("h"))
-    sums = told.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), *[F.sum(F.shiftrightunsigned("h", b).bitwiseAND(F.lit(LANES))).alias(f"s{b}") for b in range(16)])
+def fingerprint(counts: list[Column], n: Column) -> Column:
+    """Bit b is set if more than half of n words have it; sum b holds the counts of bits b and b + 32."""
     bits = None
-    for b in range(16):
-        for lane in range(4):
-            count = F.shiftrightunsigned(f"s{b}", 16 * lane).bitwiseAND(F.lit(0xFFFF))
-            bit = F.shiftleft(F.when(count * 2 > F.col("n"), F.lit(1).cast("long")).otherwise(F.lit(0).cast("long")), b + 16 * lane)
+    for b, both in enumerate(counts):
+        for lane in (0, 32):
+            count = F.shiftrightunsigned(both, lane).bitwiseAND(F.lit(0xFFFFFFFF))
+            bit = F.when(count * 2 > n, F.lit(1 << (b + lane) if b + lane < 63 else -(1 << 63)).cast("long")).otherwise(F.lit(0).cast("long"))
             bits = bit if bits is None else bits.bitwiseOR(bit)
-    return sums.select(*keys, bits.alias("fingerprint"))
+    return bits
+
+
+def lanes(h: Column) -> list[Column]:
+    return [F.shiftrightunsigned(h, b).bitwiseAND(F.lit(LANES)) for b in range(32)]
+
+
+def simhashes(texts: DataFrame, keys: list[str]) -> DataFrame:
+    """keys and fingerprint of texts (keys, words)."""
+    told = texts.select(*keys, F.explode("words").alias("w")).select(*keys, F.xxhash64("w").alias("h"))
+    sums = told.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), *[F.sum(x).alias(f"s{b}") for b, x in enumerate(lanes(F.col("h")))])
+    return sums.select(*keys, fingerprint([F.col(f"s{b}") for b in range(32)], F.col("n")).alias("fingerprint"))
+
 
+def blocks(print_: Column, near: int = 0) -> Column:
+    """(number, bits) of all blocks of a fingerprint, with those of up to ``near`` other bits."""
+    edges = [64 * i // BLOCKS for i in range(BLOCKS + 1)]
 
-def blocks(fingerprint: Column, radius: int) -> Column:
-    """(number, bits) of radius + 1 blocks of a fingerprint."""
-    edges = [64 * i // (radius + 1) for i in range(radius + 2)]
-    return F.array(*[F.struct(F.lit(i).alias("number"), F.shiftrightunsigned(fingerprint, a).bitwiseAND(F.lit((1 << (b - a)) - 1)).alias("bits")) for i, (a, b) in enumerate(zip(edges, edges[1:]))])
+    def block(i: int) -> Column:
+        top = F.lit((1 << (edges[i + 1] - edges[i])) - 1).cast("long")
+        own = F.shiftrightunsigned(print_, edges[i]).bitwiseAND(top)
+        turns = F.filter(F.sequence(F.lit(0).cast("long"), top), lambda m: F.bit_count(m) <= near) if near else F.array(F.lit(0).cast("long"))
+        return F.transform(turns, lambda m: F.struct(F.lit(i).alias("number"), own.bitwiseXOR(m).alias("bits")))
 
+    return F.flatten(F.array(*[block(i) for i in range(BLOCKS)]))
 
-def leaks(docs: DataFrame, benchmark: DataFrame, k: int = 5, numerator: int = 75, denominator: int = 100, radius: int = RADIUS) -> DataFrame:
+
+def united(spans: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, lo, hi of spans (keys, lo, hi) with those that touch or overlap made one."""
+    order = Window.partitionBy(*keys).orderBy("lo", "hi")
+    before = F.max("hi").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    begun = spans.withColumn("begun", F.when(F.col("lo") <= before + 1, 0).otherwise(1))
+    numbered = begun.withColumn("number", F.sum("begun").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    return numbered.groupBy(*keys, "number").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).drop("number")
+
+
+def window_prints(docs: DataFrame, stretches: DataFrame, cuts: Cuts) -> DataFrame:
+    """(doc_id, v, size, many, start, fingerprint) of every window of stretches (doc_id, v, size, many, lo, hi); many is its number of words.
+
+    docs: (doc_id, v, text), one row each.
+    """
+    doc = ["doc_id", "v"]
+    areas = united(stretches.select(*doc, "lo", (F.col("hi") + F.col("many") - 1).alias("hi")), doc)
+    areas = areas.groupBy(*doc).agg(F.collect_list(F.struct("lo", "hi")).alias("areas"))  # of one document
+    told = docs.join(areas, doc).select(*doc, "areas", words_of(F.col("text")).alias("all"))
+    inside = F.flatten(F.transform("areas", lambda x: F.transform(F.slice("all", x["lo"] + 1, x["hi"] - x["lo"] + 1), lambda w, i: F.struct((x["lo"] + i).alias("at"), F.xxhash64(w).alias("h")))))
+    told = told.select(*doc, F.explode(inside).alias("w")).select(*doc, "w.*")
+    running = Window.partitionBy(*doc).orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
+    sums = told.select(*doc, "at", "h", *[F.sum(x).over(running).alias(f"s{b}") for b, x in enumerate(lanes(F.col("h")))])
+    windows = stretches.select(*doc, "size", "many", F.explode(F.sequence("lo", "hi")).alias("start"))
+    ends = F.array(F.struct(F.lit(-1).cast("long").alias("sign"), F.col("start").alias("at")), F.struct(F.lit(1).cast("long").alias("sign"), (F.col("start") + F.col("many") - 1).alias("at")))
+    ends = windows.select(*doc, "size", "many", "start", F.explode(ends).alias("e")).select(*doc, "size", "many", "start", "e.*")
+    # the sums before the first word go off those up to the last
+    part = [F.when(F.col("sign") > 0, F.col(f"s{b}")).otherwise(x - F.col(f"s{b}")).alias(f"s{b}") for b, x in enumerate(lanes(F.col("h")))]
+    both = ends.join(sums, [*doc, "at"]).select(*doc, "size", "many", "start", *part)
+    key = [*doc, "size", "many", "start"]
+    counted = both.groupBy(*key).agg(*[F.sum(f"s{b}").alias(f"s{b}") for b in range(32)])
+    return cuts.cut(counted.select(*key, fingerprint([F.col(f"s{b}") for b in range(32)], F.col("many")).alias("fingerprint")))
+
+
+def leaks(docs: DataFrame, benchmark: DataFrame, k: int = 5, numerator: int = 75, denominator: int = 100) -> DataFrame:
     """(doc_id, item_id, start, similarity): the best window of every leaked document and item; ties go to the first.
 
     docs (doc_id, text) and benchmark (item_id, text) may have any other columns. Null, empty and blank
     texts and items match nothing. Items of fewer than k words are found where their whole word
-    sequence stands. Of repeated doc_ids or item_ids the rows are taken together as versions of one.
+    sequence stands. Rows with one doc_id or item_id and unlike texts are taken as versions of one, and rows that
+    repeat altogether count once. Empty tables give an empty result.
     """
-    spark = docs.sparkSession
-    cuts = Cuts(spark, "leaks")
+    cuts = Cuts(docs.sparkSession, "leaks")
     items = benchmark.select("item_id", words_of(F.col("text")).alias("words")).where(F.array_size("words") > 0).distinct()
     items = cuts.cut(items.select("item_id", "words", F.xxhash64("words").alias("version"), F.array_size("words").alias("size"), F.least(F.array_size("words"), F.lit(k)).alias("k")))
-    sizes = sorted(r["k"] for r in items.select("k").distinct().collect())  # k values at most
-    docs = docs.select("doc_id", "text").where("text is not null")
-    split = docs.select("doc_id", words_of(F.col("text")).alias("all"))  # a column of its own: made once a row
-    key = ["item_id", "version"]
+    ks = sorted(r["k"] for r in items.select("k").distinct().collect())  # k values at most
+    docs = docs.select("doc_id", "text", F.xxhash64("text").alias("v")).where("text is not null")
+    split = docs.select("doc_id", "v", words_of(F.col("text")).alias("all"))  # a column of its own: made once a row
+    item, doc = ["item_id", "version"], ["doc_id", "v"]
+
+    def sent(frame: DataFrame) -> DataFrame:
+        return F.broadcast(frame) if frame.count() <= SMALL else frame
+
     found = None
-    for n in sizes:  # one pass, and another for each length of items shorter than k
-        own = items.where(F.col("k") == n).select(*key, "size", F.posexplode(shingles(F.col("words"), n)).alias("q", "h"))
-        distinct = own.select("h").distinct()
-        place = split.select("doc_id", F.posexplode(shingles(F.col("all"), n)).alias("p", "h"))
-        few = distinct.count() <= SMALL
-        place = place.join(F.broadcast(distinct) if few else distinct, "h")
-        seeds = place.join(F.broadcast(own) if few and own.count() <= SMALL else own, "h")
-        seeds = seeds.select("doc_id", *key, (F.col("p") - F.col("q")).alias("start"), "size", F.lit(n).alias("k"))
-        found = seeds if found is None else found.union(seeds)
+    for n in ks:  # one pass, and another for each length of items shorter than k
+        sized = cuts.cut(items.where(F.col("k") == n).select("size", F.explode(shingles(F.col("words"), n)).alias("h")).distinct())
+        place = split.select(*doc, F.array_size("all").alias("words"), F.posexplode(shingles(F.col("all"), n)).alias("p", "h"))
+        many = F.least("size", "words")
+        hits = place.join(sent(sized), "h").select(*doc, "size", many.alias("many"), F.lit(n).alias("k"), F.greatest(F.lit(0), F.col("p") + n - many).alias("lo"), F.least(F.col("p"), F.col("words") - many).alias("hi"))
+        found = hits if found is None else found.union(hits)
     schema = "doc_id long, item_id long, start int, similarity double"
     if found is None:
-        return spark.createDataFrame([], schema)
-    # the seed's line gives the window; the end of a text pulls it in
-    seeds = cuts.cut(found.distinct())
-    texts = docs.join(seeds.select("doc_id").distinct(), "doc_id").select("doc_id", words_of(F.col("text")).alias("all"))
-    inside = F.greatest(F.lit(0), F.least("start", F.array_size("all") - F.col("size")))
-    windows = seeds.join(texts, "doc_id").select("doc_id", *key, "k", inside.alias("start"), F.slice("all", inside + 1, F.col("size")).alias("words")).distinct()
-    windows = cuts.cut(windows)
-    at = ["doc_id", *key, "start"]
-    small_items = items.count() <= SMALL // 100
-    prints = simhashes(items.select(*key, "words"), key).withColumnRenamed("fingerprint", "theirs")
-    theirs = prints.select(*key, "theirs", F.explode(blocks(F.col("theirs"), radius)).alias("b")).select(*key, "theirs", "b.*")
-    ours = simhashes(windows.select(*at, "words"), at)
-    ours = ours.select(*at, "fingerprint", F.explode(blocks(F.col("fingerprint"), radius)).alias("b")).select(*at, "fingerprint", "b.*")
-    near = ours.join(F.broadcast(theirs) if small_items else theirs, [*key, "number", "bits"])
-    near = near.where(F.bit_count(F.col("fingerprint").bitwiseXOR(F.col("theirs"))) <= radius).select(*at).distinct()
-    near = windows.join(near, at)
+        return docs.sparkSession.createDataFrame([], schema)
+    found = cuts.cut(found)
+    stretches = cuts.cut(united(found, [*doc, "size", "many", "k"]))
+    some = stretches.select(*doc).distinct()
+    texts = cuts.cut(docs.join(some, doc).groupBy(*doc).agg(F.first("text").alias("text")))
+    ours = window_prints(texts, stretches.select(*doc, "size", "many", "lo", "hi"), cuts)
+    theirs = simhashes(items.select(*item, "size", "words"), [*item, "size"]).withColumnRenamed("fingerprint", "theirs")
+    index = cuts.cut(theirs.select(*item, "size", "theirs", F.explode(blocks(F.col("theirs"), NEAR)).alias("b")).select(*item, "size", "theirs", "b.*"))
+    looked = ours.select(*doc, "size", "many", "start", "fingerprint", F.explode(blocks(F.col("fingerprint"))).alias("b")).select(*doc, "size", "many", "start", "fingerprint", "b.*")
+    near = looked.join(sent(index), ["size", "number", "bits"])
+    at = [*doc, "size", "many", "start", *item]
+    near = cuts.cut(near.where(F.bit_count(F.col("fingerprint").bitwiseXOR(F.col("theirs"))) <= RADIUS).select(*at).distinct())
 
     def counted(frame: DataFrame, by: list[str]) -> DataFrame:
         hashes = None
-        for n in sizes:
+        for n in ks:
             hashes = F.when(F.col("k") == n, shingles(F.col("words"), n)) if hashes is None else hashes.when(F.col("k") == n, shingles(F.col("words"), n))
         return frame.select(*by, F.explode(hashes).alias("h")).groupBy(*by, "h").agg(F.count(F.lit(1)).alias("n"))
 
-    # windows as short as their text may have another number of shingles than the item
-    ours = counted(near, at).withColumn("total", F.col("n"))
-    theirs = counted(items, key).withColumnRenamed("n", "m")
-    whole = items.select(*key, (F.col("size") - F.col("k") + 1).alias("item_total"))
-    common = ours.join(F.broadcast(theirs) if small_items else theirs, [*key, "h"], "left").groupBy(*at).agg(F.sum(F.least("n", F.coalesce("m", F.lit(0)))).alias("common"), F.sum("total").alias("total"))
-    told = common.join(F.broadcast(whole) if small_items else whole, key)
+    place = [*doc, "start", "many", "size"]
+    laid = near.select(*place).distinct().groupBy(*doc).agg(F.collect_list(F.struct("start", "many", "size")).alias("w"))  # of one document
+    laid = texts.join(laid, doc).select(*doc, "w", words_of(F.col("text")).alias("all")).select(*doc, "all", F.explode("w").alias("w"))
+    laid = laid.select(*doc, "w.*", F.least("w.size", F.lit(k)).alias("k"), F.slice("all", F.col("w.start") + 1, F.col("w.many")).alias("words"))
+    shares = counted(laid, place).withColumn("total", F.sum("n").over(Window.partitionBy(*place)))
+    own = counted(items, item).withColumnRenamed("n", "m")
+    whole = items.select(*item, (F.col("size") - F.col("k") + 1).alias("item_total"))
+    # windows as short as their text have fewer shingles than the item
+    pairs = near.join(shares, place).join(sent(own), [*item, "h"]).groupBy(*at).agg(F.sum(F.least("n", "m")).alias("common"), F.first("total").alias("total"))
+    told = pairs.join(sent(whole), item)
     union = F.col("total") + F.col("item_total") - F.col("common")
     told = told.where(denominator * F.col("common") >= numerator * union).withColumn("similarity", F.col("common") / union)
     best = told.groupBy("doc_id", "item_id").agg(F.max(F.struct("similarity", F.negative("start").alias("s"))).alias("m"))
-    return best.select("doc_id", "item_id", F.negative("m.s").cast("int").alias("start"), "m.similarity")
+    out = cuts.cut(best.select("doc_id", "item_id", F.negative("m.s").cast("int").alias("start"), "m.similarity"))
+    cuts.drop_but(out)
+    return out
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:

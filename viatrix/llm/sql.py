@@ -47,24 +47,23 @@ SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, c AS component_id
 FROM documents d JOIN least_of ON a = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id
 """
 
+# every window that holds a shingle of the item; any other has nothing in common with it
 ORACLES["op7_decontamination"] = f"""
-WITH b AS (SELECT item_id, {_WORDS} AS w FROM benchmark),
-i AS (SELECT item_id, w, len(w) AS size FROM b WHERE len(w) >= 5),
-theirs AS (SELECT item_id, size, unnest(range(0, size - 4)) AS q, unnest(list_transform(range(1, size - 3), lambda x: w[x:x + 4])) AS s FROM i),
-d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+WITH b AS (SELECT DISTINCT item_id, {_WORDS} AS w FROM benchmark),
+i AS (SELECT row_number() OVER () AS v, item_id, w, len(w) AS size, least(len(w), 5) AS k FROM b WHERE len(w) > 0),
+theirs AS (SELECT v, size, k, unnest(list_transform(range(1, size - k + 2), lambda x: w[x:x + k - 1])) AS s FROM i),
+own AS (SELECT v, size, k, s, count(*) AS m FROM theirs GROUP BY ALL),
+d AS (SELECT row_number() OVER () AS u, doc_id, w FROM (SELECT DISTINCT doc_id, {_WORDS} AS w FROM documents)),
 ours AS (
-  SELECT doc_id, len(w) AS words, unnest(range(0, len(w) - 4)) AS p, unnest(list_transform(range(1, len(w) - 3), lambda x: w[x:x + 4])) AS s
-  FROM d WHERE len(w) >= 5),
-seeds AS (
-  SELECT DISTINCT doc_id, item_id, size, greatest(0, least(p - q, words - size)) AS start
-  FROM ours JOIN theirs ON ours.s = theirs.s),
+  SELECT u, len(w) AS words, k, unnest(range(0, len(w) - k + 1)) AS p, unnest(list_transform(range(1, len(w) - k + 2), lambda x: w[x:x + k - 1])) AS s
+  FROM d, (SELECT DISTINCT k FROM i) WHERE len(w) >= k),
+hits AS (SELECT u, words, v, p, size, k, least(size, words) AS many, m, ours.s FROM ours JOIN own USING (s, k)),
 win AS (
-  SELECT doc_id, item_id, start, ours.s, count(*) AS n
-  FROM seeds JOIN ours USING (doc_id) WHERE p >= start AND p <= start + size - 5 GROUP BY ALL),
-own AS (SELECT item_id, s, count(*) AS m FROM theirs GROUP BY ALL),
-sims AS (
-  SELECT doc_id, item_id, start, sum(least(n, coalesce(m, 0))) AS common, sum(n) AS total
-  FROM win LEFT JOIN own USING (item_id, s) GROUP BY ALL)
-SELECT doc_id, item_id, round(max(common / (total + size - 4 - common)), 9) AS similarity
-FROM sims JOIN i USING (item_id) WHERE 100 * common >= 75 * (total + size - 4 - common) GROUP BY ALL
+  SELECT DISTINCT u, v, size, k, many, unnest(range(greatest(0, p + k - many), least(p, words - many) + 1)) AS start FROM hits),
+common AS (
+  SELECT u, v, win.size, win.k, win.many, start, s, least(count(*), any_value(m)) AS c
+  FROM win JOIN hits USING (u, v) WHERE p >= start AND p <= start + win.many - win.k GROUP BY ALL),
+sims AS (SELECT u, v, sum(c) / (size - k + 1 + many - k + 1 - sum(c)) AS x FROM common GROUP BY u, v, size, k, many, start)
+SELECT doc_id, item_id, round(max(x), 9) AS similarity
+FROM sims JOIN i USING (v) JOIN d USING (u) WHERE x >= 0.75 GROUP BY ALL
 """

@@ -25,6 +25,11 @@ class Cuts:
         self.paths[id(out)] = (path, out)
         return out
 
+    def drop_but(self, *frames: DataFrame) -> None:
+        """Deletes all tables but these."""
+        keep = {id(df) for df in frames}
+        self.drop(*[df for _, df in list(self.paths.values()) if id(df) not in keep])
+
     def drop(self, *frames: DataFrame) -> None:
         jvm = self.spark._jvm
         for df in frames:
