@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from viatrix.llm import chunk_dedup, decontaminate, embedding_dedup, html_extract, langid, line_dedup, ngram_join, packing, quality, toxicity
+from viatrix.llm.store import Cuts
 from viatrix.session import table
 
 PATH = __import__("public_tokenizers").path("byte_bpe_50k.json")
@@ -92,26 +93,45 @@ def test_sketch_parts_keep_every_link():
         assert keys[0] & keys[1]
 
 
-def test_lines(spark):
-    passage, shorter = " ".join(["word"] * 50), " ".join(["word"] * 49)
-    texts = ["a\nb\nc", "x\na\nb\nc\ny", "a\nb", "b\nc\nd", "a\n\n b \nq", "a", None, "", "r\nr\nr\nr", "z\nz\nz"]
-    texts += [passage, f"m\n{passage} \nn", shorter, f"o\n{shorter}\np", f"{passage}\n{passage}"]
-    got = {r.doc_id: (r.text, r.n_lines, r.n_removed) for r in line_dedup.dedup_lines(frame(spark, texts), 2).collect()}
+def plain_lines(texts, run):
+    """Texts without the later ones of equal runs, by looking at every run of that length."""
     seen, want = set(), {}
     for i, t in enumerate(texts):
         lines = t.split("\n") if t is not None else []
         full = [(k, x.strip(" ")) for k, x in enumerate(lines) if x.strip(" ")]
         gone = set()
-        for k, x in full:
-            gone |= {k} if x == passage and passage in seen else set()
+        for k in range(len(full) - run + 1):
+            x = tuple(y for _, y in full[k : k + run])
+            if x in seen:
+                gone |= {j for j, _ in full[k : k + run]}
             seen.add(x)
-        for (k, x), (m, y) in zip(full, full[1:]):
-            if (x, y) in seen:
-                gone |= {k, m}
-            seen.add((x, y))
         want[i] = (None if t is None else "\n".join(x for k, x in enumerate(lines) if k not in gone), len(lines), len(gone))
-    assert got == want
-    assert line_dedup.dedup_lines(frame(spark, []), 2).count() == 0
+    return want
+
+
+@pytest.mark.parametrize("run", [1, 2, 3, 5])
+def test_lines(spark, run):
+    texts = ["a\nb\nc", "x\na\nb\nc\ny", "a\nb", "b\nc\nd", "a\n\n b \nq", "a", None, "", "r\nr\nr\nr", "z\nz\nz"]
+    r = random.Random(run)
+    shared = ["\n".join(r.choice("abcdef") for _ in range(r.randint(2, 12))) for _ in range(6)]
+    texts += ["\n".join(r.choice([*shared, r.choice("abc"), "own " + str(r.random())]) for _ in range(r.randint(1, 6))) for _ in range(60)]
+    got = {x.doc_id: (x.text, x.n_lines, x.n_removed) for x in line_dedup.dedup_lines(frame(spark, texts), run).collect()}
+    assert got == plain_lines(texts, run)
+
+
+def test_lines_rows(spark):
+    """Extra columns of any name, an empty table, repeated rows."""
+    names = ["doc_id", "text", "gone", "flags", "key", "_gone", "Gone_", "n_lines"]
+    docs = spark.createDataFrame([(1, "a\nb", 1, 2, 3, 4, 5, 6), (2, "a\nb\nc", 1, 2, 3, 4, 5, 6), (2, "a\nb\nc", 1, 2, 3, 4, 5, 6)], names)
+    got = line_dedup.dedup_lines(docs, 2)
+    assert sorted(map(tuple, got.select("doc_id", "text", "Gone_", "n_removed").collect())) == [(1, "a\nb", 5, 0), (2, "c", 5, 2), (2, "c", 5, 2)]
+    assert line_dedup.dedup_lines(docs.limit(0), 2).count() == 0
+
+
+def test_runs(spark):
+    """A match goes on both ways along its first occurrence."""
+    runs = line_dedup.repeated_runs(frame(spark, ["q\na\nb\nc\nd", "a\nb\n\nc\ne", "x\nb\nc\nd"]).select("doc_id", "text"), 2, Cuts(spark, "t"))
+    assert sorted(map(tuple, runs.collect())) == [(1, 0, 3, [0, 1, 3], 0, 1), (2, 1, 3, [1, 2, 3], 0, 2)]
 
 
 def test_decontamination(spark):

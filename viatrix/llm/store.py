@@ -7,6 +7,14 @@ from pyspark.sql import DataFrame, SparkSession
 from viatrix.session import shared_dir
 
 
+def fresh(name: str, taken: list[str]) -> str:
+    """A column name like name that none of taken is."""
+    known = {c.lower() for c in taken}
+    while name in known:
+        name += "_"
+    return name
+
+
 class Cuts:
     """Writes frames as Parquet under spark.checkpoint.dir; drop() deletes those that no returned plan still reads.
 
