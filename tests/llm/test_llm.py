@@ -215,21 +215,32 @@ def test_language(spark, sf_dir):
 
 
 def test_gradient():
-    """Backpropagation through time against finite differences."""
+    """Backpropagation through time against finite differences, with windows of unlike lengths."""
     net = langid.Network(3, hidden=4)
     net.w = {k: v.astype(np.float64) for k, v in net.w.items()}
-    words = [b"abcde", b"xyz", b"q"]
-    data, lengths = np.frombuffer(b"".join(words), np.uint8), np.array([5, 3, 1])
-    starts, target, weight = np.array([0, 5, 8]), np.eye(3), np.ones(3)
-    _, g = net.gradient(data, starts, lengths, target, weight)
-    for k in ("uf", "ub", "of", "ob"):
+    data, lengths = np.frombuffer(b"abcdexyzq", np.uint8), np.array([5, 3, 1])
+    seq, target = langid.codes(data, np.array([0, 5, 8]), lengths, 5), np.eye(3)
+    _, g = net.gradient(seq, target)
+    for k, at in (("uf", (1, 1)), ("ub", (9, 2)), ("of", (1, 1)), ("ob", (2, 3)), ("xf", (5, 98)), ("xb", (10, 99)), ("b", (1, 0))):
         w = net.w[k]
-        w[1, 1] += 1e-2
-        up, _ = net.gradient(data, starts, lengths, target, weight)
-        w[1, 1] -= 2e-2
-        down, _ = net.gradient(data, starts, lengths, target, weight)
-        w[1, 1] += 1e-2
-        assert abs((up - down) / 2e-2 - g[k][1, 1]) < 1e-3
+        w[at] += 1e-4
+        up, _ = net.gradient(seq, target)
+        w[at] -= 2e-4
+        down, _ = net.gradient(seq, target)
+        w[at] += 1e-4
+        assert abs((up - down) / 2e-4 - g[k][at]) < 1e-6
+
+
+def test_windows():
+    """All bytes of all texts are in one window each, and what stands behind a window's end changes nothing."""
+    offsets = np.array([0, 0, 300, 301, 557])
+    starts, lengths, of = langid.windows(offsets, 128)
+    assert sorted(i for a, n in zip(starts, lengths) for i in range(a, a + n)) == list(range(557)) and list(of) == [1, 1, 1, 2, 3, 3]
+    data = np.random.default_rng(1).integers(0, 256, 557).astype(np.uint8)
+    net = langid.Network(3)
+    p = net.positions(langid.codes(data, starts[:1], np.array([20]), 64))
+    assert np.allclose(p[:20], net.positions(langid.codes(data, starts[:1], np.array([20]), 20)), atol=1e-6)
+    assert np.allclose(net.sums(data, starts, lengths).sum(1), lengths, atol=1e-3)
 
 
 def test_toxicity(spark):

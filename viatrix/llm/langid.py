@@ -1,10 +1,9 @@
 """Language identification by a bidirectional gated recurrent network over bytes (operator 3).
 
-The network reads a word (a run of bytes other than ASCII white space, in pieces of PIECE bytes if
-longer) in both directions, gives every byte a distribution over languages, and a document's
-probabilities are the mean over all its labelled positions. State starts anew at each word, so equal words
-have equal outputs and each is computed once a batch: whole texts cost little more than their
-distinct words. Training is backpropagation through time in numpy, on a bounded sample.
+The network reads a text in windows of WINDOW bytes, in both directions, its state running on over spaces and
+words; it gives every byte a distribution over languages, and a document's probabilities are the mean over all
+its positions. Training is backpropagation through time in numpy, on a bounded sample. Arrays hold one
+row a feature and one column a window, so that every step is a few operations on whole rows.
 """
 
 from collections.abc import Iterator
@@ -13,35 +12,27 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from viatrix.llm.words import Hasher, slices, split, strings
+from viatrix.llm.words import mix, slices, strings
 
-#: documents learned from, and distinct words in them
-SAMPLE, WORDS, PIECE, HIDDEN = 6_000, 40_000, 32, 16
-LETTER = np.zeros(256, bool)
-LETTER[128:] = True
-LETTER[65:91] = LETTER[97:123] = True
+#: documents learned from, and windows of each
+SAMPLE, EACH = 6_000, 4
+WINDOW, HIDDEN = 128, 12
+#: the code behind a window's end, which leaves the state as it is
+PAD = 256
 
 
-def pieces(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Words with a letter byte, cut to pieces; and the word each is from."""
-    letters = np.concatenate([[0], np.cumsum(LETTER[data])])
-    keep = np.flatnonzero(letters[ends] > letters[starts])
-    starts, ends = starts[keep], ends[keep]
-    n = (ends - starts + PIECE - 1) // PIECE
-    of = np.repeat(np.arange(len(keep)), n)
-    s = starts[of] + PIECE * (np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n))
-    return s, np.minimum(s + PIECE, ends[of]), keep[of]
+def windows(offsets: np.ndarray, size: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and lengths of all windows of all texts, and the text of each."""
+    many = -(-np.diff(offsets) // size)
+    of = np.repeat(np.arange(len(many)), many)
+    starts = offsets[of] + size * (np.arange(len(of)) - np.repeat(np.cumsum(many) - many, many))
+    return starts, np.minimum(size, offsets[of + 1] - starts), of
 
 
-def padded(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray, back: bool = False) -> np.ndarray:
-    """Bytes [time, word] of words in descending order of length; beyond a word's end anything."""
-    t = np.arange(int(lengths.max(initial=0)))[:, None]
-    at = starts + lengths - 1 - t if back else starts + t
-    return data[np.clip(at, 0, len(data) - 1)]
-
-
-def sigmoid(x: np.ndarray) -> np.ndarray:
-    return 0.5 * np.tanh(0.5 * x) + 0.5
+def codes(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray, steps: int) -> np.ndarray:
+    """Bytes [time, window], with PAD behind a window's end."""
+    t = np.arange(steps)[:, None]
+    return np.where(t < lengths, data[np.minimum(starts + t, len(data) - 1)].astype(np.intp), PAD)
 
 
 class Network:
@@ -52,113 +43,121 @@ class Network:
         self.h, self.c = hidden, classes
         self.w = {}
         for d in "fb":
-            self.w[f"x{d}"] = r.normal(0, 0.3, (256, 3 * hidden))  # input bias included: one row a byte
-            self.w[f"u{d}"] = r.normal(0, hidden**-0.5, (hidden, 3 * hidden))
-            self.w[f"o{d}"] = r.normal(0, hidden**-0.5, (hidden, classes))
-        self.w["b"] = np.zeros(classes)
+            x = r.normal(0, 0.3, (3 * hidden, PAD + 1))  # input bias included: one column a byte
+            x[:hidden, PAD] = -1e4  # the gate stays shut
+            self.w[f"x{d}"] = x
+            self.w[f"u{d}"] = r.normal(0, hidden**-0.5, (3 * hidden, hidden))
+            self.w[f"o{d}"] = r.normal(0, hidden**-0.5, (classes, hidden))
+        self.w["b"] = np.zeros((classes, 1))
         self.w = {k: v.astype(np.float32) for k, v in self.w.items()}
 
-    def states(self, seq: np.ndarray, active: np.ndarray, d: str, keep: list | None = None) -> np.ndarray:
-        """States [time, word] of one direction; the first active[t] words go on at t."""
-        h, x, u = self.h, self.w[f"x{d}"], self.w[f"u{d}"]
-        out = np.zeros((len(seq), seq.shape[1], h), np.float32)
-        state = np.zeros((seq.shape[1], h), np.float32)
-        for t, n in enumerate(active):
-            old = state[:n]
-            a, b = x[seq[t, :n]], old @ u
-            zr = sigmoid(a[:, : 2 * h] + b[:, : 2 * h])
-            z, r = zr[:, :h], zr[:, h:]
-            c = np.tanh(a[:, 2 * h :] + r * b[:, 2 * h :])
-            state = old + z * (c - old)
-            out[t, :n] = state
-            if keep is not None:
-                keep.append((old, z, r, c, b[:, 2 * h :]))
-        return out
-
-    def at_own(self, back: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-        """The backward states put at the forward positions (and the other way round)."""
-        t = np.clip(lengths - 1 - np.arange(len(back))[:, None], 0, None)
-        return back[t, np.arange(back.shape[1])]
-
-    def positions(self, data: np.ndarray, starts: np.ndarray, lengths: np.ndarray, kept: tuple | None = None) -> np.ndarray:
-        """Probabilities [time, word, class] at every byte."""
-        t = np.arange(int(lengths.max(initial=0)))
-        active = np.searchsorted(-lengths, -t, side="left")
-        fs, bs = padded(data, starts, lengths), padded(data, starts, lengths, True)
-        hf = self.states(fs, active, "f", kept and kept[0])
-        hb = self.at_own(self.states(bs, active, "b", kept and kept[1]), lengths)
-        z = hf @ self.w["of"] + hb @ self.w["ob"] + self.w["b"]
-        z = np.exp(z - z.max(-1, keepdims=True))
-        p = z / z.sum(-1, keepdims=True)
-        if kept is not None:
-            kept[2].update(fs=fs, bs=bs, hf=hf, hb=hb, active=active)
-        return p
-
-    def gradient(self, data: np.ndarray, starts: np.ndarray, lengths: np.ndarray, target: np.ndarray, weight: np.ndarray) -> tuple[float, dict]:
-        """Mean cross-entropy over positions, and its gradient by backpropagation through time."""
-        kept: tuple = ([], [], {})
-        p = self.positions(data, starts, lengths, kept)
-        k = kept[2]
-        own = (np.arange(len(p))[:, None] < lengths)[..., None] * weight[:, None]
-        total = max(float(own.sum()), 1e-9)
+    def positions(self, seq: np.ndarray, kept: dict | None = None) -> np.ndarray:
+        """Probabilities [time, class, window] at every byte of seq [time, window]; kept gets what a gradient needs."""
+        h, kind = self.h, self.w["uf"].dtype
+        steps, n = seq.shape
+        z = np.zeros((steps, self.c, n), kind)
+        z += self.w["b"]
+        for d, order in (("f", range(steps)), ("b", range(steps - 1, -1, -1))):
+            x, u, o = self.w[f"x{d}"], self.w[f"u{d}"], self.w[f"o{d}"]
+            state = np.zeros((h, n), kind)
+            a, b = np.empty((3 * h, n), kind), np.empty((3 * h, n), kind)
+            for t in order:
+                np.take(x, seq[t], axis=1, out=a, mode="clip")
+                np.matmul(u, state, out=b)
+                gates, c = a[: 2 * h], b[2 * h :]
+                gates += b[: 2 * h]
+                gates *= 0.5
+                np.tanh(gates, out=gates)
+                gates += 1
+                gates *= 0.5
+                if kept is not None:
+                    kept.setdefault(d, {})[t] = [state.copy(), gates.copy(), c.copy()]
+                c *= gates[h:]
+                c += a[2 * h :]
+                np.tanh(c, out=c)
+                if kept is not None:
+                    kept[d][t].append(c.copy())
+                c -= state
+                c *= gates[:h]
+                state += c
+                if kept is not None:
+                    kept[d][t].append(state.copy())
+                z[t] += o @ state
+        z -= z.max(1, keepdims=True)
+        np.exp(z, out=z)
+        z /= z.sum(1, keepdims=True)
+        return z
+
+    def gradient(self, seq: np.ndarray, target: np.ndarray) -> tuple[float, dict]:
+        """Mean cross-entropy over positions against target [class, window], and its gradient by backpropagation through time."""
+        kept: dict = {}
+        p = self.positions(seq, kept)
+        own = (seq != PAD)[:, None, :]
+        total = max(int(own.sum()), 1)
         loss = -float((own * target * np.log(p + 1e-9)).sum()) / total
-        e = ((p - target) * own / total).astype(np.float32)
-        g = {"b": e.sum((0, 1))}
-        for d, states, seq, steps, err in (("f", k["hf"], k["fs"], kept[0], e), ("b", k["hb"], k["bs"], kept[1], self.at_own(e, lengths))):
-            g[f"o{d}"] = np.einsum("tnh,tnc->hc", states, e)
-            into = err @ self.w[f"o{d}"].T
-            g[f"x{d}"], g[f"u{d}"] = np.zeros_like(self.w[f"x{d}"]), np.zeros_like(self.w[f"u{d}"])
-            u, h = self.w[f"u{d}"], self.h
-            flow = np.zeros((seq.shape[1], h), np.float32)
-            for t in range(len(seq) - 1, -1, -1):
-                n = k["active"][t]
-                old, z, r, c, uc = steps[t]
-                dh = flow[:n] + into[t, :n]
+        e = ((p - target) * own / total).astype(p.dtype)
+        g = {"b": e.sum((0, 2))[:, None]}
+        h = self.h
+        for d, order in (("f", range(len(seq) - 1, -1, -1)), ("b", range(len(seq)))):
+            u, o = self.w[f"u{d}"], self.w[f"o{d}"]
+            gx, gu, go = (np.zeros_like(self.w[f"{k}{d}"]) for k in "xuo")
+            flow = np.zeros((h, seq.shape[1]), p.dtype)
+            into = np.empty((len(seq), 3 * h, seq.shape[1]), p.dtype)
+            for t in order:
+                old, gates, uc, c, state = kept[d][t]
+                z, r = gates[:h], gates[h:]
+                go += e[t] @ state.T
+                dh = flow + o.T @ e[t]
                 dc = dh * z * (1 - c * c)
                 dz = dh * (c - old) * z * (1 - z)
                 dr = dc * uc * r * (1 - r)
-                da = np.concatenate([dz, dr, dc], axis=1)
-                db = np.concatenate([dz, dr, dc * r], axis=1)
-                np.add.at(g[f"x{d}"], seq[t, :n], da)
-                g[f"u{d}"] += old.T @ db
-                flow[:n] = dh * (1 - z) + db @ u.T
+                into[t] = np.concatenate([dz, dr, dc])
+                db = np.concatenate([dz, dr, dc * r])
+                gu += db @ old.T
+                flow = dh * (1 - z) + u.T @ db
+            at = seq.ravel()
+            for k in range(3 * h):
+                gx[k] = np.bincount(at, weights=into[:, k].ravel(), minlength=PAD + 1)
+            g |= {f"x{d}": gx, f"u{d}": gu, f"o{d}": go}
         return loss, g
 
-    def fit(self, words: list[bytes], target: np.ndarray, weight: np.ndarray, epochs: int = 6, batch: int = 1024, rate: float = 0.02) -> list[float]:
+    def fit(self, data: np.ndarray, starts: np.ndarray, lengths: np.ndarray, target: np.ndarray, batch: int = 192, steps: int = 260, rate: float = 0.02) -> list[float]:
+        """Adam over batches of windows in random order, with two passes over few windows' worth of steps at least; target is a class each."""
         r = np.random.default_rng(5)
-        data = np.frombuffer(b"".join(words), np.uint8)
-        lengths = np.array([len(w) for w in words], np.int64)
-        starts = np.cumsum(lengths) - lengths
         m = {k: np.zeros_like(v) for k, v in self.w.items()}
         v = {k: np.zeros_like(x) for k, x in self.w.items()}
+        each = -(-len(starts) // batch)
+        epochs = max(2, min(20, steps // each))
         t, losses = 0, []
-        for epoch in range(epochs):
-            order = r.permutation(len(words))
+        for _ in range(epochs):
+            order = r.permutation(len(starts))
             for lo in range(0, len(order), batch):
                 at = order[lo : lo + batch]
-                at = at[np.argsort(-lengths[at], kind="stable")]
-                loss, g = self.gradient(data, starts[at], lengths[at], target[at], weight[at])
+                loss, g = self.gradient(codes(data, starts[at], lengths[at], int(lengths[at].max())), np.eye(self.c, dtype=np.float32)[target[at]].T)
                 t += 1
                 for k in self.w:
                     m[k] += 0.1 * (g[k] - m[k])
                     v[k] += 0.01 * (g[k] ** 2 - v[k])
-                    self.w[k] -= rate * (1 - epoch / epochs) * (m[k] / (1 - 0.9**t)) / (np.sqrt(v[k] / (1 - 0.99**t)) + 1e-8)
+                    self.w[k] -= (rate * (1 - t / (epochs * each + 1)) * (m[k] / (1 - 0.9**t)) / (np.sqrt(v[k] / (1 - 0.99**t)) + 1e-8)).astype(self.w[k].dtype)
                 losses.append(loss)
         return losses
 
-    def sums(self, data: np.ndarray, starts: np.ndarray, lengths: np.ndarray, most: int = 4096) -> np.ndarray:
-        """Probabilities [word, class] summed over each word's positions."""
+    def sums(self, data: np.ndarray, starts: np.ndarray, lengths: np.ndarray, most: int = 2048) -> np.ndarray:
+        """Probabilities [window, class] summed over each window's positions."""
         out = np.zeros((len(starts), self.c))
-        order = np.argsort(-lengths, kind="stable")
-        for lo in range(0, len(order), most):
-            at = order[lo : lo + most]
-            p = self.positions(data, starts[at], lengths[at])
-            p *= (np.arange(len(p))[:, None] < lengths[at])[..., None]
-            out[at] = p.sum(0)
+        steps = np.maximum(1 << np.ceil(np.log2(np.maximum(lengths, 1))).astype(np.int64), 16)
+        for size in np.unique(steps).tolist():
+            own = np.flatnonzero(steps == size)
+            for lo in range(0, len(own), most):
+                at = own[lo : lo + most]
+                seq = codes(data, starts[at], lengths[at], size)
+                p = self.positions(seq)
+                p *= (seq != PAD)[:, None, :]
+                out[at] = p.sum(0).T
         return out
 
 
-def learn(docs: DataFrame, sample: int = SAMPLE) -> tuple[list[str], Network | None]:
+def learn(docs: DataFrame, sample: int = SAMPLE, each: int = EACH) -> tuple[list[str], Network | None]:
     """Languages in order, and the network, from rows with text and lang whose crc32(doc_id) mod 4 is not 2."""
     may = docs.where("text is not null and lang is not null").where(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4)) != 2).select("doc_id", "lang")
     counts = {r["lang"]: r["n"] for r in may.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row a language
@@ -174,22 +173,22 @@ def learn(docs: DataFrame, sample: int = SAMPLE) -> tuple[list[str], Network | N
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 1):
             data, offsets = strings(batch.column(1))
-            starts, ends, first = split(data, offsets)
-            s, e, of = pieces(data, starts, ends)
-            h = Hasher(seed=3, lower=False).spans(data, s, e)
-            names = np.array([langs.index(x) for x in batch.column(2).to_pylist()])
-            lang = names[np.searchsorted(first, of, side="right") - 1]
-            h, at, n = np.unique(h ^ lang.astype(np.uint64), return_index=True, return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array([data[a:b].tobytes() for a, b in zip(s[at], e[at])], pa.binary()), pa.array(lang[at], pa.int32()), pa.array(n, pa.int64())], names=["word", "lang", "n"])
+            starts, lengths, of = windows(offsets)
+            # each text's windows in the order of a hash, the first few of which are learned from
+            number = np.arange(len(of)) - np.searchsorted(of, of)
+            order = np.lexsort((mix(number.astype(np.uint64) + np.uint64(3)), of))
+            at = order[np.arange(len(of)) - np.searchsorted(of, of) < each]
+            yield pa.RecordBatch.from_arrays([pa.array([data[a : a + n].tobytes() for a, n in zip(starts[at], lengths[at])], pa.binary()), pa.array([langs.index(x) for x in batch.column(2).take(pa.array(of[at])).to_pylist()], pa.int32()), batch.column(0).take(pa.array(of[at])), pa.array(number[at])], names=["bytes", "lang", "doc_id", "number"])
 
     texts = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(chosen), "doc_id")  # bounded by sample
-    words = texts.select("doc_id", "text", "lang").mapInArrow(read, "word binary, lang int, n long").groupBy("word").agg(*[F.sum(F.when(F.col("lang") == i, F.col("n")).otherwise(0)).alias(f"n{i}") for i in range(len(langs))])
-    best = words.orderBy(F.desc(sum(F.col(f"n{i}") for i in range(len(langs)))), "word").limit(WORDS).collect()  # bounded by WORDS
-    if not best:
+    rows = texts.select("doc_id", "text", "lang").mapInArrow(read, "bytes binary, lang int, doc_id long, number long").collect()  # bounded by sample and each
+    if not rows:
         return langs, None
-    n = np.array([r[1:] for r in best], float)
+    rows.sort(key=lambda r: (r["doc_id"], r["number"], r["bytes"]))
+    data = np.frombuffer(b"".join(bytes(r["bytes"]) for r in rows), np.uint8)
+    lengths = np.array([len(r["bytes"]) for r in rows], np.int64)
     net = Network(len(langs))
-    net.fit([bytes(r[0]) for r in best], (n / n.sum(1, keepdims=True)).astype(np.float32), np.sqrt(np.minimum(n.sum(1), 400)).astype(np.float32))
+    net.fit(data, np.cumsum(lengths) - lengths, lengths, np.array([r["lang"] for r in rows]))
     return langs, net
 
 
@@ -197,32 +196,17 @@ def languages(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """(doc_id, held_out, lang_pred, score) of every row of docs (doc_id, text, lang; other columns are not read).
 
     A text that is null or has no letter is und with score 0. Without any labelled text all are und.
-    Repeated rows are predicted each; a tie goes to the first language in order.
+    Repeated rows are predicted each; a tie goes to the first language in order. An empty table gives an empty result.
     """
     langs, net = learn(docs, sample)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[int, int] = {}
-        sums, size = np.zeros((0, len(langs))), np.zeros(0)
-        hasher = Hasher(seed=3, lower=False)
         for batch in slices(batches, 1):
-            if len(known) > 400_000:
-                known, sums, size = {}, np.zeros((0, len(langs))), np.zeros(0)
             data, offsets = strings(batch.column(1))
-            starts, ends, first = split(data, offsets)
-            s, e, of = pieces(data, starts, ends)
-            h, at, back = np.unique(hasher.spans(data, s, e), return_index=True, return_inverse=True)
-            h = h.tolist()
-            fresh = [i for i, x in enumerate(h) if x not in known]
-            if fresh:
-                known.update({h[i]: len(size) + k for k, i in enumerate(fresh)})
-                new = at[fresh]
-                sums = np.concatenate([sums, net.sums(data, s[new], e[new] - s[new])])
-                size = np.concatenate([size, (e - s)[new]])
-            row = np.fromiter(map(known.__getitem__, h), np.int64, len(h))[back]
-            doc = np.searchsorted(first, of, side="right") - 1
-            p = np.stack([np.bincount(doc, weights=sums[row, c], minlength=len(batch)) for c in range(len(langs))], axis=1)
-            p = p / np.maximum(np.bincount(doc, weights=size[row], minlength=len(batch)), 1)[:, None]
+            starts, lengths, of = windows(offsets)
+            sums = net.sums(data, starts, lengths)
+            p = np.stack([np.bincount(of, weights=sums[:, c], minlength=len(batch)) for c in range(len(langs))], axis=1)
+            p = p / np.maximum(np.diff(offsets), 1)[:, None]
             best = p.argmax(1)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([langs[i] for i in best], pa.string()), pa.array(p.max(1))], names=["doc_id", "letters", "lang_pred", "score"])
 
