@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from viatrix.llm import chunk_dedup, decontaminate, embedding_dedup, html_extract, langid, line_dedup, ngram_join, packing, quality, toxicity
+from viatrix.llm import chunk_dedup, decontaminate, embedding_dedup, html_extract, label_model, langid, line_dedup, ngram_join, packing, quality, toxicity
 from viatrix.llm.store import Cuts
 from viatrix.session import table
 
@@ -263,6 +263,20 @@ def test_toxicity(spark):
     assert toxicity.toxicity(frame(spark, []), labels).count() == 0
 
 
+def test_toxicity_levels():
+    """Features with their levels against plain counts."""
+    import collections
+
+    import pyarrow as pa
+
+    texts = ["aa aa aa bb aa", "", "bb cc dddddddd dddddddd", "aa " * 9]
+    found, of, words, first = toxicity.features(pa.array(texts), toxicity.Hasher(seed=4))
+    got = collections.Counter((int(d), int(h & ~toxicity.LEVEL), int(h & toxicity.LEVEL)) for h, d in zip(*toxicity.levelled(found, of)))
+    plain = collections.Counter((int(d), int(h)) for h, d in zip(found, of))
+    assert got == collections.Counter((d, h, k) for (d, h), n in plain.items() for k in range(4) if n >= 1 << k)
+    assert sorted(plain.values()) == [1, 1, 1, 2, 2, 2, 2, 4, 9]
+
+
 def test_chunks(spark):
     r = random.Random(4)
     passage = sentence(r, 60)
@@ -280,10 +294,36 @@ def test_chunks(spark):
     assert chunk_dedup.repeats(frame(spark, [])).count() == 0
 
 
+def voted(r, right, balance, cast, n=6000):
+    """A class a row, and votes of voters that are right in given shares of the votes they cast."""
+    y = r.random(n) < balance
+    votes = np.where(r.random((n, len(right))) < right, 1, -1) * np.where(y, 1, -1)[:, None]
+    return y, (votes * (r.random(votes.shape) < cast)).astype(np.int8)
+
+
+@pytest.mark.parametrize("balance", [0.3, 0.5, 0.8])
+def test_votes(balance):
+    """The accuracies of the voters come back, and the posterior is better than a show of hands."""
+    r = np.random.default_rng(int(100 * balance))
+    right = np.array([0.95, 0.9, 0.85, 0.8, 0.75, 0.7, 0.65, 0.6])
+    y, votes = voted(r, right, balance, 0.7)
+    hands = votes.sum(1)
+    p, found, weight = label_model.fit_votes(votes, 1 / (1 + np.exp(-hands)), strength=0.01)
+    assert np.abs(found - right).max() < 0.04 and (weight == 1).all()
+    assert ((p > 0.5) == y).mean() > ((hands > 0) == y).mean() and np.argsort(label_model.fit_votes(votes, np.where(hands > 0, 0.9, 0.1))[1])[-1] == 0
+
+
+def test_votes_of_copies_share_their_weight():
+    y, votes = voted(np.random.default_rng(7), np.array([0.9, 0.8, 0.75, 0.7]), 0.5, 0.9)
+    same = np.concatenate([votes, np.repeat(votes[:, 3:], 6, axis=1)], axis=1)
+    p, _, weight = label_model.fit_votes(same, 1 / (1 + np.exp(-votes.sum(1))), strength=0.01)
+    assert (weight[:3] > 0.9).all() and (weight[3:] < 0.3).all() and ((p > 0.5) == y).mean() > 0.88
+
+
 def test_quality(spark, sf_dir):
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     got = quality.quality(docs).join(labels, "doc_id").toPandas()
-    assert got[got.quality == 1].keep.mean() > 0.95 and got[got.quality == 0].keep.mean() < 0.6
+    assert got[got.quality == 1].keep.mean() > 0.95 and got[got.quality == 0].keep.mean() < 0.1
     assert quality.quality(frame(spark, [None, "", "x"])).count() == 3 and quality.quality(frame(spark, [])).count() == 0
 
 

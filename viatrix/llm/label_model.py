@@ -3,49 +3,65 @@
 import numpy as np
 
 
-def fit_votes(votes: np.ndarray, start: np.ndarray, anchor: np.ndarray | None = None, rounds: int = 40) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def fit_votes(votes: np.ndarray, start: np.ndarray, belief: float = 0.8, strength: float = 0.2, silence: bool = True, rounds: int = 60) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Posterior of class 1 for rows of votes (1 for, -1 against, 0 abstains); the voters' accuracies; their weights.
 
-    Each class gives each voter its own chances of the three votes. After a first fit, voters whose votes go
-    together within a class share their weight: a voter counts 1 / (1 + the sum of its positive
-    residual correlations above 0.3 with the others). anchor holds log-odds of a source with known accuracy, which
-    keeps the classes from trading places or drifting to a subset. Rows alike in all votes may be repeated. An empty matrix
-    gives the start back.
+    Each class gives each voter its own chances of the three votes. start is a first guess of the posterior and only that: it
+    breaks the symmetry of the classes, and each later posterior comes from the votes alone. Every voter's chances
+    begin as those of a voter that is right in ``belief`` of its votes, with the weight of a share ``strength`` of the rows, so
+    that chance doesn't make it an opponent. After a first fit, voters whose votes go together within a class share their weight: a voter counts
+    1 / (1 + the sum of its positive residual correlations above 0.6 with the others). Without silence a voter that abstains says
+    nothing, as when most voters know few texts, and the classes keep the shares of the start. An empty matrix gives the start back.
     """
     p = np.clip(start.astype(float), 0.01, 0.99)
     n, m = votes.shape
     weight, accuracy = np.ones(m), np.full(m, 0.5)
     if not n or not m:
         return p, accuracy, weight
-    kinds = [(votes == v).astype(np.float32) for v in (1, -1, 0)]
+    # rows alike in all votes are one row with a count
+    told, back, many = np.unique(votes.astype(np.int8), axis=0, return_inverse=True, return_counts=True)
+    back = back.ravel()
+    many = many.astype(float)
+    q = np.bincount(back, weights=p) / many
+    kinds = [(told == v).astype(np.float32) for v in (1, -1, 0)]
+    heavy = strength * n
+    # a voter that casts its votes as often as this one, and gets so many of them right, by class
+    cast = [many @ k for k in kinds]
+    share = float(p.mean())
+    prior = [[heavy * c / n * w for w in both] for c, both in zip(cast, ((belief / share, (1 - belief) / (1 - share)), ((1 - belief) / share, belief / (1 - share)), (1, 1)))]
+    total = [sum(t[i] for t in prior) for i in (0, 1)]
+    prior = [[t[i] * heavy / np.maximum(total[i], 1e-9) for i in (0, 1)] for t in prior]
     for fit in range(2):
         for _ in range(rounds):
-            prior = np.clip(p.mean(), 1e-4, 1 - 1e-4)
-            odds = np.full(n, np.log(prior / (1 - prior))) + (0 if anchor is None else anchor)
-            tables = []
-            for kind in kinds:
-                up = (p @ kind + 0.1) / (p.sum() + 0.3)
-                down = ((1 - p) @ kind + 0.1) / ((1 - p).sum() + 0.3)
+            up_rows, down_rows = q * many, (1 - q) * many
+            rate = np.clip(up_rows.sum() / n, 1e-4, 1 - 1e-4)
+            if not silence:
+                rate = np.clip(share, 1e-4, 1 - 1e-4)
+            odds, tables = np.full(len(told), np.log(rate / (1 - rate))), []
+            for kind, (a, b) in zip(kinds, prior):
+                up = (up_rows @ kind + a + 1e-3) / (up_rows.sum() + heavy + 3e-3)
+                down = (down_rows @ kind + b + 1e-3) / (down_rows.sum() + heavy + 3e-3)
                 tables.append((up, down))
-                odds += kind @ (weight * np.log(up / down))
+                if silence or kind is not kinds[2]:
+                    odds += kind @ (weight * np.log(up / down))
             new = 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
-            moved = np.abs(new - p).max()
-            p = new
+            moved = np.abs(new - q).max()
+            q = new
             if moved < 1e-4:
                 break
-        right = tables[0][0] * prior + tables[1][1] * (1 - prior)
-        accuracy = right / np.maximum(right + tables[0][1] * (1 - prior) + tables[1][0] * prior, 1e-9)
+        right = tables[0][0] * rate + tables[1][1] * (1 - rate)
+        accuracy = right / np.maximum(right + tables[0][1] * (1 - rate) + tables[1][0] * rate, 1e-9)
         if fit == 0:
             excess = np.zeros((m, m))
-            for share, by in ((p, 0), (1 - p, 1)):
-                mean = (share @ votes) / max(share.sum(), 1e-9)
-                rest = (votes - mean) * np.sqrt(share)[:, None]
+            for part in (q * many, (1 - q) * many):
+                mean = (part @ told) / max(part.sum(), 1e-9)
+                rest = (told - mean) * np.sqrt(part)[:, None]
                 cov = rest.T @ rest
                 sd = np.sqrt(np.maximum(np.diag(cov), 1e-9))
                 excess = np.maximum(excess, cov / np.outer(sd, sd))
             np.fill_diagonal(excess, 0)
-            weight = 1 / (1 + np.where(excess > 0.3, excess, 0).sum(axis=1))
-    return p, accuracy, weight
+            weight = 1 / (1 + np.where(excess > 0.6, excess, 0).sum(axis=1))
+    return q[back], accuracy, weight
 
 
 def fit_linear(rows: np.ndarray, columns: np.ndarray, width: int, target: np.ndarray, steps: int = 300, decay: float = 1e-4) -> tuple[np.ndarray, float]:

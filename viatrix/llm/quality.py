@@ -1,6 +1,6 @@
 """Quality classifier from weak labels (operator 1).
 
-Overlapping heuristic labellers vote good, bad or nothing on shares and counts that describe a text.
+Overlapping heuristic labellers look at shares and counts that describe a text: each votes bad, or each good, or nothing.
 Expectation-maximisation estimates the labellers' accuracies on a bounded sample, without any given
 label; the posterior labels train a linear scorer on hashed features (word shapes with how often they
 occur, and graded shares), which scores every whole text.
@@ -23,19 +23,18 @@ LOWER_[128:] = True
 SYMBOL[[*b"#$%&*+/<=>@[\\]^_`{|}~"]] = True
 SHOUT[ord("!")] = BAR[ord("|")] = True
 STOP[[*b".!?"]] = True
-#: name, share or count it looks at, bad if beyond, good if not beyond; a sign turns the order
-LABELLERS = [
-    ("capitals", "upper", 0.4, 0.2, 1),
-    ("symbols", "symbol", 0.06, 0.01, 1),
-    ("shouting", "shout", 0.02, 0.005, 1),
-    ("tables", "bar", 0.01, 0.001, 1),
-    ("stutter", "stutter", 0.04, 0.02, 1),
-    ("variety", "distinct", 0.12, 0.3, -1),
-    ("long words", "length", 14.0, 9.0, 1),
-    ("digits", "digit", 0.4, 0.05, 1),
-    ("sentences", "stop", 0.005, 0.03, -1),
-    ("letters", "letter", 0.5, 0.75, -1),
-    ("brevity", "words", 1.0, 8.0, -1),
+#: against a text: name, share or count it looks at, sign of the order, and the bound beyond which it votes
+AGAINST = [
+    ("capitals", "upper", 1, 0.4), ("symbols", "symbol", 1, 0.06), ("shouting", "shout", 1, 0.02), ("tables", "bar", 1, 0.01),
+    ("stutter", "stutter", 1, 0.04), ("variety", "distinct", -1, 0.12), ("long words", "length", 1, 14.0), ("digits", "digit", 1, 0.4),
+    ("sentences", "stop", -1, 0.005), ("letters", "letter", -1, 0.5), ("brevity", "words", -1, 1.0),
+]
+#: for a text: name, and what must all lie within bounds
+FOR = [
+    ("prose", [("stop", -1, 0.03), ("letter", -1, 0.75), ("length", 1, 9.0)]),
+    ("plain", [("upper", 1, 0.2), ("symbol", 1, 0.01), ("shout", 1, 0.005), ("bar", 1, 0.001)]),
+    ("varied", [("distinct", -1, 0.3), ("stutter", 1, 0.02), ("words", -1, 8.0)]),
+    ("wordy", [("digit", 1, 0.05), ("symbol", 1, 0.01), ("words", -1, 8.0)]),
 ]
 NAMES = ["upper", "symbol", "shout", "bar", "stutter", "distinct", "length", "digit", "stop", "letter", "words"]
 
@@ -85,12 +84,13 @@ def described(column: pa.Array, hasher: Hasher) -> tuple[np.ndarray, np.ndarray,
 
 
 def votes_of(shares: np.ndarray) -> np.ndarray:
-    """1 good, -1 bad, 0 nothing, by text and labeller."""
-    out = np.zeros((len(shares), len(LABELLERS)), np.float32)
-    for i, (_, name, bad, good, sign) in enumerate(LABELLERS):
-        x = sign * shares[:, NAMES.index(name)]
-        out[:, i] = np.where(x > sign * bad, -1, np.where(x <= sign * good, 1, 0))
-    return out
+    """1 good, -1 bad, 0 nothing, by text and labeller: those against before those for."""
+
+    def beyond(name: str, sign: int, bound: float) -> np.ndarray:
+        return sign * shares[:, NAMES.index(name)] > sign * bound
+
+    against = [-beyond(*rule).astype(np.float32) for _, *rule in AGAINST]
+    return np.stack([*against, *[~np.logical_or.reduce([beyond(*rule) for rule in rules]) for _, rules in FOR]], axis=1).astype(np.float32)
 
 
 def learn(docs: DataFrame, sample: int = SAMPLE) -> tuple[np.ndarray, float, dict[str, float]]:
@@ -109,13 +109,11 @@ def learn(docs: DataFrame, sample: int = SAMPLE) -> tuple[np.ndarray, float, dic
         return np.zeros(WIDTH), 0.0, {}
     rows.sort(key=lambda r: r["doc_id"])
     votes = np.stack([np.frombuffer(bytes(r["votes"]), np.int8) for r in rows]).astype(np.float32)
-    # a bad vote tells more than a good one; this first guess keeps a part of its weight, so that a small
-    # sample's classes don't drift to some other trait
-    guess = np.clip((votes == 1).sum(1) * 0.3 - (votes == -1).sum(1) * 3.0, -6, 4)
-    p, accuracy, _ = fit_votes(votes, 1 / (1 + np.exp(-guess)), guess)
+    # a first guess by a show of hands; from then on the votes' own accuracies decide
+    p, accuracy, _ = fit_votes(votes, np.where((votes == -1).any(1), 0.1, 0.9))
     own = [np.frombuffer(bytes(r["own"]), np.int32) for r in rows]
     w, b = fit_linear(np.repeat(np.arange(len(own)), [len(x) for x in own]), np.concatenate(own).astype(np.int64), WIDTH, p)
-    return w, b, {name: float(a) for (name, *_), a in zip(LABELLERS, accuracy)}
+    return w, b, {name: float(a) for (name, *_), a in zip([*AGAINST, *FOR], accuracy)}
 
 
 def quality(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
