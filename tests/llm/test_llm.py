@@ -3,6 +3,7 @@
 import itertools
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -334,11 +335,53 @@ def test_quality(spark, sf_dir):
     ("<script>var a='</p><p>no';</script><style>p{}</style><main><p>yes, it is</p></main><form><p>x, y, z</p></form>", "yes, it is"),
     ("<div class='page has-sidebar'><div class=post><div class=post-header><h1>H</h1></div><p>one, two</div><div class=post-comments><p>c, d, e</div></div>", "H\none, two"),
     ("<body><div class='cookie-notice'><p>we, use, cookies</p></div><section><p>text, of, page</p></section>", "text, of, page"),
+    # wrappers of the page
+    ("<body><form id=f action=x><h1>T</h1><p>one, two</p><input></form></body>", "T\none, two"),
+    ("<body class=x><div class='nav-open'><nav><a href=/>x</a></nav><p>one, two, three</p></div>", "one, two, three"),
+    ("<div class='social-page'><main><p>one, two</p></main><form class=search><label>find</label></form></div>", "one, two"),
+    ("<div id=tags-page><h1>T</h1><p>one, two</p></div>", "T\none, two"),
+    ("<div class='comments'><p>first, I, say, that, it, is, long, and, longer, than, all</p></div><div><p>short, text</p></div>", "short, text"),
+    ("<div class='cookie-consent'><p>we, use, them</p></div>", ""),
+    ("<main><p>yes, it is</p><article class=comment><p>I, think, so, too, and, more</p></article></main>", "yes, it is"),
+    # inside a line, hidden, of the page's own making
+    ("<article><p>a, b <ins class='adsbygoogle'>buy, it</ins> c<span class=advert>no <span>never</span> no</span> d</p></article>", "a, b c d"),
+    ("<article><p>a, b<span hidden> x</span><b style='display: none'> y</b>, c<amp-ad width=1>z</amp-ad></p><p>d</p></article>", "a, b, c\nd"),
+    ("<article><p>a, b<span class=advert>no</p><p>c</p></article>", "a, b\nc"),
+    ("<article><p>a<svg/>, b <svg viewBox='0 0'><text>no</text></svg>c</p><svg><p>d</p></article>", "a, b c\nd"),
+    # lists of links
+    ("<article><h1>T</h1><ul><li><a href=x>one</a><li>two, <a href=y>three</a></ul></article>", "T\none\ntwo, three"),
+    ("<article><p><a href=x>only, a, link</a></p></article>", "only, a, link"),
+    # tags that nothing ends, values with signs in them
+    ("<article><p title='a > b' class=\"x<y\">one, two</p></article>", "one, two"),
+    ("<article><p>one, two</p><p class=\"x>three</p></article>", "one, two\nthree"),
+    ("<p>one, two < three</p><!-- <p>no", "one, two < three"),
+    ("<article><p>İİ one<script>if (a</b) '</p>';</SCRIPT >, two</article>", "İİ one, two"),
 ])
 def test_html(page, text):
     assert html_extract.main_text(page) == text
 
 
+@pytest.mark.parametrize("page", ['<a title="x ' * 60_000, '<a title="x ' * 60_000 + ">", "<div>" * 60_000 + "text, here", "<div>x" * 30_000, "</b></div>" * 60_000, "<span class=ad>" * 40_000, "<li><p>" * 40_000, "<svg>" * 60_000, "<!--" * 60_000, "<p '" * 60_000 + ">" * 60_000])
+def test_html_in_proportion(page):
+    """Time grows with the page, not with its square."""
+    began = time.process_time()
+    html_extract.main_text(page)
+    assert time.process_time() - began < 4
+
+
+@pytest.mark.parametrize("seed", range(40))
+def test_html_made_pages(seed):
+    """Articles put together from known blocks, with all kinds of things around and between them."""
+    r = random.Random(seed)
+    want = [sentence(r, 3).title()] + [", ".join(sentence(r, r.randint(3, 30)) for _ in range(r.randint(1, 5))) for _ in range(r.randint(3, 12))]
+    inside = ["<script>x('<p>no, no</p>')</script>", "<aside><p>by, the, way</p></aside>", "<div class=ad><p>buy, this</p></div>", "<form><p>your, name</p><input></form>", "<!-- <p>no</p> -->", "<div hidden><p>no, no</p></div>", ""]
+    around = ["<nav><ul><li><a href=/>home</a><li><a href=/b>b, c</a></ul></nav>", "<header><p>site, name</p></header>", "<footer><p>all, rights</p></footer>", "<div id=comments>" + "<p>I, say, so, too, very, long</p>" * r.randint(1, 30) + "</div>", "<div class='cookie-notice'><p>we, use</p></div>", "<style>p{}</style>", "<div class=sidebar><p>more, here</p><p>and, there</p></div>"]
+    body = f"<h1>{want[0]}</h1>" + "".join(f"<p>{x.replace(' ', r.choice([' ', chr(10), '<b> </b>']), 1)}{r.choice(['</p>', ''])}{r.choice(inside)}" for x in want[1:])
+    wrap = r.choice(["<article>{}</article>", "<main><div>{}</div></main>", "<div class=content>{}</div>", "<form><div>{}</div></form>", "<div class='page nav-open'><section>{}</section></div>"])
+    page = "<html><body>" + "".join(r.sample(around, 3)) + wrap.format(body) + "".join(r.sample(around, 3)) + "</body></html>"
+    assert html_extract.main_text(page).split("\n") == want
+
+
 def test_html_rows(spark):
     df = spark.createDataFrame([(1, "u", None, 5), (1, "u", "<p>é</p>", 5)], "page_id long, url string, html string, text int")
     assert sorted((r.text, r.n_chars) for r in html_extract.extract(df).collect()) == [("", 0), ("é", 1)]

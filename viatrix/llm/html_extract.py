@@ -5,10 +5,15 @@ length and commas to the element around them, half as many to the next and a thi
 element's points are discounted by the share of its text that stands in links. The best element, or
 the article or main element that holds it, and those of its siblings that have a good part of its points or are
 paragraphs and headings with few links are kept, without what never belongs to an article.
+
+Menus, footers and what is hidden go whatever they hold. A form, or an element whose class, id or role names a part that
+is no article, goes unless it is a wrapper of the page: one with the title or main element and a good part of the text in
+it, or, for names that wrappers bear too, with nearly all of it. Every step takes time in proportion to the page.
 """
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -16,57 +21,111 @@ from pyspark.sql import DataFrame
 
 from viatrix.llm.words import slices
 
-TAG = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|iframe|textarea|select|title)\b.*?(?:</\1\s*>|\Z)"
-    r"""|<(/?)([a-zA-Z][\w:-]*)((?:"[^"]*"|'[^']*'|[^'">])*)>|<[!?][^>]*>""",
-    re.S | re.I,
-)
+OPEN = re.compile(r"<(?:(!--)|(/?)([a-zA-Z][\w:-]*)|[!?])")
+#: the rest of a tag, with quoted values whole
+REST = re.compile(r"""(?:[^"'>]++|"[^"]*"|'[^']*')*+>""")
+#: what no text is in, up to its closing tag
+OPAQUE = set("script style noscript template svg iframe textarea select title".split())
+#: those that go on to the page's end if nothing closes them
+RAW = {"script", "style", "textarea", "title"}
 ATTRIBUTE = re.compile(r"""\b(class|id|role|style|hidden|aria-hidden)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.I)
 BLOCKS = set("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul button".split())
 VOID = set("area base br col embed hr img input link meta source track wbr".split())
-DROPPED = set("nav header footer aside form button head menu dialog fieldset option optgroup".split())
+DROPPED = set("nav footer aside button head menu option optgroup".split())
+FORMS = set("form dialog fieldset".split())
 SAFE = {"html", "body", "article", "main"}
 #: parts of class, id and role that mark what is no article
 MARKS = set(
-    "ad ads adv advert advertisement advertising adsense banner breadcrumb breadcrumbs comment comments commentlist complementary consent contentinfo cookie cookies discussion disqus footer form gdpr"
+    "ad ads adsbygoogle adv advert advertisement advertising adsense banner breadcrumb breadcrumbs comment comments commentlist complementary consent contentinfo cookie cookies discussion disqus footer form gdpr"
     " header login masthead menu menubar modal nav navbar navigation newsletter notice notices notification pager pagination popup promo promotion promoted related replies reply search"
     " share sharing sidebar signup skip social sponsor sponsored subscribe subscription tags toolbar widget alert disclaimer".split()
 )
+#: of these, those that wrappers of whole pages bear too, as in nav-open or search-page; and those of readers' comments
+ROOMY = set("nav menu menubar navbar sidebar header footer social tags search login share sharing banner toolbar navigation widget".split())
+READERS = set("comment comments commentlist discussion disqus replies reply".split())
 ARTICLE, BESIDE = {"article", "post", "entry"}, {"has", "with", "no", "without"}
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPES = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table", "tr"}, "th": {"table", "tr"}, "option": {"select"}}
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6", "hgroup"}
 
 
-def unlikely(tag: str, attributes: str, in_article: bool) -> bool:
-    if tag in SAFE:
-        return False
-    if tag in DROPPED and not (tag == "header" and in_article):
-        return True
+#: how an element goes: stays, always goes, goes unless it wraps the page, goes unless it wraps its title or main element
+STAYS, GOES, ROOM, TITLED = range(4)
+
+
+def fate(tag: str, attributes: str, in_article: bool) -> int:
+    """Whether an element stays, by its tag and attributes."""
+    if tag in DROPPED or tag == "header" and not in_article:
+        return GOES
+    if "-" in tag and MARKS & set(tag.lower().split("-")):  # an element of the page's own making
+        return GOES
+    out = ROOM if tag in FORMS else STAYS
     if not attributes.strip():
-        return False
+        return out
     for name, value in ATTRIBUTE.findall(attributes):
         name, value = name.lower(), value.strip("\"'").lower()
         if name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value)):
-            return True
+            if tag not in SAFE:
+                return GOES
         if name in ("class", "id", "role"):
             parts = set(re.split(r"[^a-z0-9]+", value))
             found = parts & MARKS
+            if tag in SAFE:
+                found &= READERS if tag == "article" else set()
             if parts & ARTICLE:
                 found -= {"header", "tags"}
             if parts & BESIDE:  # a wrapper that tells what it has beside it
                 found -= {"sidebar", "banner", "header", "footer", "nav", "ad", "ads", "comments"}
             if found:
-                return True
-    return False
+                out = max(out, ROOM if found <= ROOMY else TITLED)
+    return out
+
+
+def tokens(page: str) -> Iterator[tuple[str | None, bool, str]]:
+    """(None, False, text) and (tag, closes, attributes), in order; comments and what is opaque are left out."""
+    at, lower, endless = 0, None, set()
+    while True:
+        m = OPEN.search(page, at)
+        more = page.find(">", m.end()) if m else -1
+        if not m or more < 0 and not m[1]:
+            break
+        if m.start() > at:
+            yield None, False, page[at : m.start()]
+        if m[1]:
+            end = page.find("-->", m.end())
+            at = end + 3 if end >= 0 else len(page)
+            continue
+        rest = REST.match(page, m.end())
+        at = rest.end() if rest else more + 1  # a quote that nothing closes is no quote
+        tag = m[3]
+        if tag is None:
+            continue
+        tag = tag.lower()
+        inside = page[m.end() : at - 1]
+        if tag in OPAQUE and not m[2]:
+            if tag == "svg" and inside.endswith("/"):
+                continue
+            lower = page.lower() if lower is None else lower
+            if len(lower) != len(page):  # some letters change their length
+                lower = "".join(c.lower() if "A" <= c <= "Z" else c for c in page)
+            end = lower.find(f"</{tag}", at) if tag not in endless else -1
+            end = page.find(">", end) if end >= 0 else -1
+            if end < 0:
+                endless.add(tag)
+            at = end + 1 if end >= 0 else len(page) if tag in RAW else at
+            continue
+        yield tag, bool(m[2]), inside
+    if at < len(page):
+        yield None, False, page[at:]
 
 
 def main_text(page: str) -> str:
     """The article's blocks, one a line; empty if there is none."""
     if not page:
         return ""
-    tags, parents, dropped, articles = ["#root"], [-1], [False], [False]
-    stack = [0]
+    # of every element: its tag, parent, fate, whether text in it is left out at once, whether in an article, and whether it is part of a line
+    tags, parents, fates, gone, articles, inline = ["#root"], [-1], [STAYS], [False], [False], [False]
+    stack, still_open = [0], Counter()
     blocks: list[tuple[int, str, int]] = []  # element, text, characters in links
     parts: list[tuple[str, bool]] = []
     link = False
@@ -75,40 +134,45 @@ def main_text(page: str) -> str:
         if parts:
             text = " ".join("".join(p for p, _ in parts).split())
             if text:
+                node = stack[-1]
+                while inline[node]:
+                    node = parents[node]
                 linked = sum(len(p.strip()) for p, inside in parts if inside)
-                blocks.append((stack[-1], text, min(linked, len(text))))
+                blocks.append((node, text, min(linked, len(text))))
             parts.clear()
 
+    def push(tag: str, how: int, part: bool) -> None:
+        top = stack[-1]
+        tags.append(tag)
+        parents.append(top)
+        fates.append(how)
+        gone.append(gone[top] or how == GOES)
+        articles.append(articles[top] or tag in ("article", "main"))
+        inline.append(part)
+        stack.append(len(tags) - 1)
+        still_open[tag] += 1
+
     def close(to: int) -> None:
-        flush()
+        for i in stack[to:]:
+            still_open[tags[i]] -= 1
         del stack[to:]
 
-    at = 0
-    for m in TAG.finditer(page):
-        a = m.start()
-        if a > at and not dropped[stack[-1]]:
-            raw = page[at:a]
-            parts.append((html.unescape(raw) if "&" in raw else raw, link))
-        at = m.end()
-        tag = m[3]
+    for tag, closes, rest in tokens(page):
         if tag is None:
+            if not gone[stack[-1]]:
+                parts.append((html.unescape(rest) if "&" in rest else rest, link))
             continue
-        tag = tag.lower()
         if tag == "a":
-            link = not m[2]
-        elif tag == "br":
+            link = not closes
+        if tag == "br":
             parts.append((" ", False))
         elif tag in BLOCKS:
-            if m[2]:
-                for k in range(len(stack) - 1, 0, -1):
-                    if tags[stack[k]] == tag:
-                        close(k)
-                        break
-                else:
-                    flush()
+            flush()
+            if closes:
+                if still_open[tag]:
+                    close(next(k for k in range(len(stack) - 1, 0, -1) if tags[stack[k]] == tag))
                 link = False
                 continue
-            flush()
             if tag in ENDS:
                 for k in range(len(stack) - 1, 0, -1):
                     if tags[stack[k]] in ENDS[tag]:
@@ -118,38 +182,52 @@ def main_text(page: str) -> str:
                         break
             if tags[stack[-1]] == "p" or tags[stack[-1]] in HEADINGS and tag in HEADINGS:
                 close(len(stack) - 1)
-            if tag in VOID:
-                continue
-            top = stack[-1]
-            tags.append(tag)
-            parents.append(top)
-            articles.append(articles[top] or tag in ("article", "main"))
-            dropped.append(dropped[top] or unlikely(tag, m[4] or "", articles[top]))
-            stack.append(len(tags) - 1)
-    if at < len(page) and not dropped[stack[-1]]:
-        parts.append((html.unescape(page[at:]), link))
+            if tag not in VOID:
+                push(tag, fate(tag, rest, articles[stack[-1]]), False)
+        elif closes:
+            if still_open[tag]:
+                close(next(k for k in range(len(stack) - 1, 0, -1) if tags[stack[k]] == tag))
+        elif tag not in VOID and not rest.endswith("/") and (still_open[tag] or fate(tag, rest, True) != STAYS):
+            # inside of a line only what goes, and what is within of the same name, is told apart
+            push(tag, STAYS if fate(tag, rest, True) == STAYS else GOES, True)
     flush()
+    # children come after their parents: sums go up in one sweep
+    below = range(len(tags) - 1, 0, -1)
+    chars, titled = [0] * len(tags), [t in ("h1", "main") for t in tags]
+    for node, text, _ in blocks:
+        chars[node] += len(text)
+    for i in below:
+        chars[parents[i]] += chars[i]
+        titled[parents[i]] |= titled[i]
+    for i in range(1, len(tags)):
+        share = chars[i] / max(chars[0], 1)
+        gone[i] = gone[parents[i]] or fates[i] == GOES or fates[i] >= ROOM and not (titled[i] and share >= 0.3 or fates[i] == ROOM and share >= 0.9)
+    blocks = [b for b in blocks if not gone[b[0]]]
     if not blocks:
         return ""
     points, chars, linked = [0.0] * len(tags), [0] * len(tags), [0] * len(tags)
     leaf = {"p", "pre", "blockquote", "td", "li", "dd", "dt", "figcaption"} | HEADINGS
+
+    def menu_entry(node: int, text: str, in_links: int) -> bool:
+        """A list's item that is one link, but for lists of an article."""
+        return tags[node] == "li" and in_links > 0.8 * len(text) and not articles[node]
+
     for node, text, in_links in blocks:
-        # a menu's entries are links alone
-        x = (1 + text.count(",") + min(len(text) / 100, 3)) * (0 if in_links > 0.8 * len(text) and tags[node] == "li" else 1)
+        x = 0 if menu_entry(node, text, in_links) else 1 + text.count(",") + min(len(text) / 100, 3)
         up = parents[node] if tags[node] in leaf and node else node
         for share in (1, 2, 3):
             if up < 0:
                 break
             points[up] += x / share
             up = parents[up]
-        up = node
-        while up >= 0:
-            chars[up] += len(text)
-            linked[up] += in_links
-            up = parents[up]
+        chars[node] += len(text)
+        linked[node] += in_links
+    for i in below:
+        chars[parents[i]] += chars[i]
+        linked[parents[i]] += linked[i]
     score = [p * (1 - b / c) if c else 0.0 for p, c, b in zip(points, chars, linked)]
     for i, t in enumerate(tags):
-        if t in ("article", "main") and score[i] > 0:
+        if t in ("article", "main") and chars[i]:
             score[i] += 25
     best = max(range(len(tags)), key=lambda i: (score[i], -i))
     if score[best] <= 0:
@@ -168,7 +246,7 @@ def main_text(page: str) -> str:
     keep = [False] * len(tags)
     for i in range(len(tags)):
         keep[i] = i in chosen or (parents[i] >= 0 and keep[parents[i]])
-    return "\n".join(text for node, text, in_links in blocks if keep[node] and not (tags[node] == "li" and in_links > 0.8 * len(text)))
+    return "\n".join(text for node, text, in_links in blocks if keep[node] and not menu_entry(node, text, in_links))
 
 
 def extract(pages: DataFrame) -> DataFrame:
