@@ -1,12 +1,14 @@
 """Cases in which operators once left part of the job out."""
 
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from test_llm import alike, frame, sentence
-from viatrix.llm import chunk_dedup, embedding_dedup, html_extract, ngram_join
+from viatrix.llm import chunk_dedup, decontaminate, embedding_dedup, html_extract, ngram_join
 
 
 def linked_groups(seed):
@@ -44,6 +46,27 @@ def test_ngram_join_links_hubs(spark):
     assert [got[i] for i in range(len(texts))] == want
 
 
+@pytest.mark.parametrize("block", [5, 1024])
+def test_ngram_join_families(spark, block):
+    """Variants of one text that are mostly too far apart, in blocks of few: every link counts, and no other."""
+    texts = []
+    for seed, n in ((1, 60), (2, 200)):
+        r = random.Random(seed)
+        base = sentence(r, n).split()
+        for _ in range(70):
+            w = list(base)
+            for i in r.sample(range(n), r.randint(n // 40, n // 14)):
+                w[i] = f"new{r.randrange(40)}"
+            texts.append(" ".join(w))
+        chain = list(base)
+        for i in range(0, n, 2):  # each near the one before
+            chain[i] = f"step{i}"
+            texts.append(" ".join(chain))
+    got = {r.doc_id: r.component_id for r in ngram_join.near_groups(frame(spark, texts), block=block).collect()}
+    want = alike(texts)[1]
+    assert [got[i] for i in range(len(texts))] == want and 20 < len(set(want)) < len(texts)
+
+
 @pytest.mark.parametrize("seed, n, m", [(17003, 3, 4), (48006, 6, 8), (156009, 9, 12)])
 def test_ngram_join_short_pairs(spark, seed, n, m):
     """Sets of n and m shingles, alone in their table: the smaller names empty parts, the larger none."""
@@ -95,3 +118,71 @@ def test_chunks_inside_one_document(spark):
     assert sorted((x.doc_id, x.first_doc_id) for x in spans.collect()) == [(0, 0), (2, 0)]
     cut = {x.doc_id: x.text for x in chunk_dedup.without(frame(spark, texts), spans).collect()}
     assert cut[0].count(passage) == 1 and len(cut[0]) < len(texts[0]) - 300 and cut[1] == texts[1] and passage not in cut[2]
+
+
+def best_windows(texts, items):
+    """(document, item): similarity of the best of all windows, by counting each one's shingles."""
+    out = {}
+    for d, text in enumerate(texts):
+        words = (text or "").lower().split()
+        for i, item in enumerate(items):
+            own = (item or "").lower().split()
+            if not own or not words:
+                continue
+            k, many = min(5, len(own)), min(len(own), len(words))
+            runs = lambda w: Counter(tuple(w[j : j + k]) for j in range(len(w) - k + 1))  # noqa: E731, B023
+            theirs = runs(own)
+            for start in range(len(words) - many + 1):
+                ours = runs(words[start : start + many])
+                x = (ours & theirs).total() / max((ours | theirs).total(), 1)
+                if x >= 0.75:
+                    out[d, i] = max(out.get((d, i), (0, 0)), (x, -start))
+    return {k: (round(x, 9), -s) for k, (x, s) in out.items()}
+
+
+def test_decontamination_all_windows(spark):
+    """Halves that change places, cut ends, edits, repeated words and items that are alike, against every window."""
+    r = random.Random(11)
+    items = [sentence(r, n) for n in (40, 40, 14, 60, 33, 3, 1)]
+    items += [items[1][:-9] + " other", "la la la la la la la la " + sentence(r, 30)]
+    w = [x.split() for x in items]
+    pad = lambda n: sentence(r, n).split()
+    docs = [pad(20) + w[0][20:] + w[0][:20] + pad(20), pad(20) + w[0][30:] + w[0][:30] + pad(20), w[3][:46], w[3][:45], pad(3) + w[3][6:] + pad(30), w[8] + pad(50) + w[8][4:] + w[8][:4], w[5] + pad(9) + w[6]]
+    for _ in range(60):
+        x = list(r.choice(w[:5]))
+        for _ in range(r.randint(0, 2)):
+            x[r.choice((0, 1, -1, -2, r.randrange(len(x))))] = "edit"
+        if r.random() < 0.5:
+            cut = r.randint(0, len(x) // 5)
+            x = x[cut:] if r.random() < 0.5 else x[: len(x) - cut]
+        docs.append(pad(r.randint(0, 30)) + x + pad(r.choice((0, 0, 5, 40))))
+    texts = [" ".join(x) for x in docs] + ["la " * 70_000, None, ""]
+    bench = spark.createDataFrame([(i, x, 0, "") for i, x in enumerate(items)], "item_id long, text string, v long, size string")
+    got = {(x.doc_id, x.item_id): (round(x.similarity, 9), x.start) for x in decontaminate.leaks(frame(spark, texts), bench).collect()}
+    want = best_windows(texts[:-3], items)
+    assert got == want and (0, 0) in got and (2, 3) in got
+
+
+def test_decontamination_repeated_rows(spark):
+    """Rows that repeat count once; unlike texts of one id are versions of one document."""
+    r = random.Random(12)
+    a, b = sentence(r, 30), sentence(r, 30)
+    docs = spark.createDataFrame([(1, a), (1, a), (1, b), (2, sentence(r, 50))], "doc_id long, text string")
+    bench = spark.createDataFrame([(7, a), (7, a), (7, b), (8, b)], "item_id long, text string")
+    assert sorted((x.doc_id, x.item_id, x.start, x.similarity) for x in decontaminate.leaks(docs, bench).collect()) == [(1, 7, 0, 1.0), (1, 8, 0, 1.0)]
+
+
+def test_fingerprints_within_the_radius_share_a_block(spark):
+    """The multi-index finds all within RADIUS bits."""
+    r = random.Random(13)
+    rows = []
+    for i in range(300):
+        x = r.getrandbits(64)
+        y = x
+        for b in r.sample(range(64), r.randint(0, decontaminate.RADIUS)):
+            y ^= 1 << b
+        rows.append((i, *[v - (v >> 63 << 64) for v in (x, y)]))
+    df = spark.createDataFrame(rows, "i long, x long, y long")
+    one = df.select("i", F.explode(decontaminate.blocks(F.col("x"), decontaminate.NEAR)).alias("b")).select("i", "b.*")
+    two = df.select("i", F.explode(decontaminate.blocks(F.col("y"))).alias("b")).select("i", "b.*")
+    assert one.join(two, ["i", "number", "bits"]).select("i").distinct().count() == 300

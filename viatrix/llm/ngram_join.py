@@ -10,10 +10,10 @@ parts adds keys for its empty ones, and since any pair that no non-empty part jo
 none is lost. k leaves parts to spare, so a set too many of whose parts nobody shares is done
 with at once, and the parts of passages that many documents hold are passed over for rarer ones.
 
-Within a key's documents no pairs are made at first: each is compared with one hub, the document
-with most neighbours. Components of those links are labels; only documents of one key with different labels
-are compared after that. The components are exact, and a group of n near copies costs about n
-comparisons.
+Within a key's documents no pairs are made. First each document is compared with one hub, the document
+with most neighbours, and components of those links are labels. Only documents of one key with different
+labels are compared after that, in blocks of bounded size; a block sends on the links that join labels, a forest, and no
+pair else. The components are exact, and of n near copies of one original about n rows move.
 """
 
 from collections.abc import Iterator
@@ -183,6 +183,14 @@ def differing(x: bytes, y: bytes) -> int:
     return int(np.bitwise_count(x ^ y).sum())
 
 
+def similar(x: np.ndarray, y: np.ndarray, numerator: int, denominator: int) -> bool:
+    """Whether two sorted sets are similar enough, by exact counts."""
+    both = np.concatenate([x, y])
+    both.sort(kind="stable")
+    common = int(np.count_nonzero(both[1:] == both[:-1]))
+    return denominator * common >= numerator * (len(both) - common)
+
+
 def verified(pairs: DataFrame, sets: DataFrame, numerator: int, denominator: int, cuts: Cuts) -> DataFrame:
     """Those of pairs (a, b) whose sets are similar enough: by the sketches' bound first, then by exact counts."""
 
@@ -195,12 +203,7 @@ def verified(pairs: DataFrame, sets: DataFrame, numerator: int, denominator: int
 
     def run(batches):
         for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                both = np.concatenate([np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)])
-                both.sort()
-                common = int(np.count_nonzero(both[1:] == both[:-1]))
-                keep.append(denominator * common >= numerator * (len(both) - common))
+            keep = [similar(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), numerator, denominator) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     def beside(frame: DataFrame, end: str, *columns: str) -> DataFrame:
@@ -212,43 +215,61 @@ def verified(pairs: DataFrame, sets: DataFrame, numerator: int, denominator: int
     return found
 
 
-def blocked_pairs(held: DataFrame, sets: DataFrame, numerator: int, denominator: int, cuts: Cuts, block: int = 512) -> DataFrame:
-    """Pairs of documents of one hub with different labels that the sketches' bound lets pass, compared block by block.
+def bridges(held: DataFrame, sets: DataFrame, numerator: int, denominator: int, cuts: Cuts, most: int = 1024, mb: int = 8) -> DataFrame:
+    """(a, b): links that join the labels of each group, a forest a block.
 
-    held: (doc_id, hub, label). A hub's documents are dealt into blocks of about ``block``; every two
-    blocks meet in one task, which holds two blocks' sketches at most.
+    held: (home, doc_id, label). Documents of a group's commonest label need no comparison among themselves, so
+    the others are dealt into blocks of about ``most`` documents and ``mb`` MB, and all into blocks of the same size; one
+    block of either kind meets in a task, which holds no more than these two. Documents of unlike labels
+    are compared by the sketches' bound and then exactly, unless links of the same block have joined their labels.
     """
-    sizes = held.groupBy("hub").agg(F.count(F.lit(1)).alias("size"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi")
-    blocks = F.ceil(F.col("size") / F.lit(block)).cast("int")
-    told = held.join(sizes, "hub").select("hub", "doc_id", "label", blocks.alias("m"), F.pmod(F.xxhash64("doc_id"), blocks).cast("int").alias("own"))
-    told = cuts.cut(told.withColumnRenamed("doc_id", "id").join(sets.select("id", "n", "bits"), "id"))
-    dealt = told.select("hub", "id", "label", "own", "n", "bits", F.explode(F.sequence(F.lit(0), F.col("m") - 1)).alias("o"))
-    dealt = dealt.select("hub", F.least("own", "o").alias("i"), F.greatest("own", "o").alias("j"), "own", "id", "label", "n", "bits")
+    told = held.join(sets.select(F.col("id").alias("doc_id"), (F.length("members") + F.length("bits")).alias("size")), "doc_id")
+    many = told.groupBy("home", "label").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("size"))
+    sizes = many.groupBy("home").agg(F.sum("n").alias("n"), F.sum("size").alias("size"), F.max(F.struct("n", "label", "size")).alias("top"), F.count(F.lit(1)).alias("labels")).where("labels > 1")
+
+    def dealt(n, size):
+        return F.ceil(F.greatest(n / F.lit(most), size / F.lit(mb * 10**6))).cast("int")
+
+    sizes = sizes.select("home", F.col("top.label").alias("common"), dealt(F.col("n"), F.col("size")).alias("cols"), dealt(F.col("n") - F.col("top.n"), F.col("size") - F.col("top.size")).alias("rows"))
+    told = cuts.cut(held.join(sizes, "home").withColumnRenamed("doc_id", "id"))
+    own = told.where("label <> common").select("home", "id", "label", F.pmod(F.xxhash64("id"), "rows").cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("cols") - 1)).alias("j"), F.lit(True).alias("own"))
+    all_ = told.select("home", "id", "label", F.explode(F.sequence(F.lit(0), F.col("rows") - 1)).alias("i"), F.pmod(F.xxhash64("id", F.lit(7)), "cols").cast("int").alias("j"), F.lit(False).alias("own"))
+    blocks = own.unionByName(all_.select(own.columns)).join(sets, "id")
 
     def run(table: pa.Table) -> pa.Table:
-        i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
-        own, ids, label, n = (table.column(c).to_numpy() for c in ("own", "id", "label", "n"))
+        ids, n = table.column("id").to_numpy(), table.column("n").to_numpy()
+        own = table.column("own").to_numpy(zero_copy_only=False)
+        _, label = np.unique(table.column("label").to_numpy(), return_inverse=True)
         bits = [np.frombuffer(x, np.uint64) for x in table.column("bits").to_pylist()]
         width = min(len(x) for x in bits)
         bits = np.stack([np.bitwise_xor.reduce(x.reshape(-1, width), axis=0) for x in bits])
-        names, at, many = np.unique(label, return_inverse=True, return_counts=True)
-        common = names[many.argmax()]
+        members = [np.frombuffer(x, np.uint64) for x in table.column("members").to_pylist()]
+        root = np.arange(label.max(initial=0) + 1)
+        others = np.flatnonzero(~own)
+        mine = set(ids[own].tolist())
+        first = np.array([x not in mine for x in ids[others].tolist()], bool)  # pairs of two own documents count once
         a, b = [], []
-        for r in np.flatnonzero(label != common):
-            far = (label != label[r]) & ((own != own[r]) if i != j else True) & ((label == common) | (ids > ids[r]))
-            far &= numerator * np.maximum(n, n[r]) <= denominator * np.minimum(n, n[r])
-            other = np.flatnonzero(far)
+        for r in np.flatnonzero(own):
+            far = (root[label[others]] != root[label[r]]) & (first | (ids[others] > ids[r]))
+            other = others[far & (numerator * np.maximum(n[others], n[r]) <= denominator * np.minimum(n[others], n[r]))]
             odd = np.bitwise_count(bits[other] ^ bits[r]).sum(axis=1)
-            other = other[odd * (denominator + numerator) <= (n[other] + n[r]) * (denominator - numerator)]
-            a.append(np.minimum(ids[other], ids[r]))
-            b.append(np.maximum(ids[other], ids[r]))
-        a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (a, b))
-        return pa.table({"a": a, "b": b})
-
-    return cuts.cut(dealt.groupBy("hub", "i", "j").applyInArrow(run, "a long, b long"))
+            near = odd * (denominator + numerator) <= (n[other] + n[r]) * (denominator - numerator)
+            other = other[near][np.argsort(odd[near], kind="stable")]
+            while len(other):
+                o, other = other[0], other[1:]
+                if similar(members[r], members[o], numerator, denominator):
+                    a.append(int(ids[r]))
+                    b.append(int(ids[o]))
+                    root[root == root[label[o]]] = root[label[r]]
+                    other = other[root[label[other]] != root[label[r]]]
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    found = cuts.cut(blocks.groupBy("home", "i", "j").applyInArrow(run, "a long, b long"))
+    cuts.drop(told)
+    return found
 
 
-def near_groups(docs: DataFrame, k: int = 5, numerator: int = 75, denominator: int = 100) -> DataFrame:
+def near_groups(docs: DataFrame, k: int = 5, numerator: int = 75, denominator: int = 100, block: int = 1024) -> DataFrame:
     """(doc_id, n_shingles, component_id, n_alike) for every row of docs (doc_id, text, any others).
 
     Words are runs of bytes other than ASCII white space, A-Z in lower case. A null, empty or blank
@@ -280,33 +301,24 @@ def near_groups(docs: DataFrame, k: int = 5, numerator: int = 75, denominator: i
     groups = cuts.cut(groups.join(sizes, "key"))
     sets = cuts.cut(candidate_sets(docs.join(groups.select("doc_id").distinct(), "doc_id"), k))
     # the hub of a key is its document with most neighbours: the original rather than one of its variants
-    rank = groups.groupBy("doc_id").agg(F.sum("size").alias("rank"))
+    rank = cuts.cut(groups.groupBy("doc_id").agg(F.sum("size").alias("rank")))
     hubs = groups.join(rank, "doc_id").groupBy("key").agg(F.max(F.struct("rank", F.negative("doc_id").alias("h"))).alias("m")).select("key", F.negative("m.h").alias("hub"))
     stars = groups.join(hubs, "key").where("doc_id <> hub").groupBy("doc_id", "hub").agg(F.count(F.lit(1)).alias("n"))
-    stars = cuts.cut(stars)
-    first = stars.groupBy("doc_id").agg(F.max(F.struct("n", F.negative("hub").alias("h"))).alias("m")).select(F.negative("m.h").alias("hub"), "doc_id")
-    first = cuts.cut(first.select(F.least("hub", "doc_id").alias("a"), F.greatest("hub", "doc_id").alias("b")).distinct())
+    best = cuts.cut(stars.groupBy("doc_id").agg(F.max(F.struct("n", F.negative("hub").alias("h"))).alias("m")).select("doc_id", F.negative("m.h").alias("hub")))
+    first = best.select(F.least("hub", "doc_id").alias("a"), F.greatest("hub", "doc_id").alias("b")).distinct()
     links = verified(first, sets, numerator, denominator, cuts)
     labels = components(links, cuts)
-    own = stars.groupBy("doc_id").agg(F.max(F.struct("n", F.negative("hub").alias("h"))).alias("m")).select("doc_id", F.negative("m.h").alias("hub"))
-    # variants of one original may have each other for hub: they go to the hub of most neighbours two steps away
-    ranked = own.join(rank.withColumnsRenamed({"doc_id": "hub", "rank": "r"}), "hub").select("doc_id", F.struct("r", F.negative("hub").alias("h")).alias("hub"))
-    onward = ranked.select(F.col("doc_id").alias("near"), F.col("hub").alias("onward"))
-    own = ranked.withColumn("near", F.negative("hub.h")).join(onward, "near", "left").select("doc_id", F.negative(F.greatest("hub", "onward")["h"]).alias("hub"))
-    own = cuts.cut(own.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", "hub", F.coalesce("component", "doc_id").alias("label")))
-    blocked = blocked_pairs(own, sets, numerator, denominator, cuts)
-    # hubs of all their keys are in no block: they meet the rest of their keys' documents, where labels differ
-    pure = stars.select("doc_id", "hub").join(own.select(F.col("doc_id").alias("hub")), "hub", "left_anti").join(own.select("doc_id", "label"), "doc_id")
-    pure = pure.join(labels.toDF("hub", "other"), "hub", "left").where(F.col("label") != F.coalesce("other", "hub"))
-    pure = pure.select(F.least("hub", "doc_id").alias("a"), F.greatest("hub", "doc_id").alias("b"))
-    # pairs that a key joins beyond the blocks: of other labels and other hubs
-    named = groups.select("key", "doc_id").join(own, "doc_id")
-    mixed = named.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.min("hub").alias("low"), F.max("hub").alias("high")).where("lo < hi and low < high").select("key")
-    named = cuts.cut(named.join(mixed, "key").select("key", "doc_id", "label", "hub"))
-    left, right = named.toDF("key", "a", "label_a", "hub_a"), named.toDF("key", "b", "label_b", "hub_b")
-    across = left.join(right, "key").where("label_a < label_b and hub_a <> hub_b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    second = cuts.cut(across.union(blocked).union(pure).distinct().join(first, ["a", "b"], "left_anti"))
-    links = links.union(verified(second, sets, numerator, denominator, cuts))
+    # a hub's hub ranks no lower, so a few steps gather most variants of one original under one home
+    own = rank.select("doc_id").join(best, "doc_id", "left").select("doc_id", F.coalesce("hub", "doc_id").alias("hub"))
+    for _ in range(2):
+        own = cuts.cut(own.join(own.toDF("hub", "onward"), "hub").select("doc_id", F.col("onward").alias("hub")))
+    own = own.join(rank.withColumnsRenamed({"doc_id": "hub", "rank": "r"}), "hub").select("doc_id", F.struct("r", F.negative("hub").alias("h")).alias("hub"))
+    own = own.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", "hub", F.coalesce("component", "doc_id").alias("label"))
+    # documents of one key and of different labels all go to the home of the key: the first of their hubs
+    named = cuts.cut(groups.select("key", "doc_id").join(own, "doc_id"))
+    mixed = named.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.negative(F.max("hub")["h"]).alias("home")).where("lo < hi").select("key", "home")
+    held = cuts.cut(named.join(mixed, "key").groupBy("home", "doc_id").agg(F.first("label").alias("label")))
+    links = links.union(bridges(held, sets, numerator, denominator, cuts, block))
     final = components(links, cuts)
     out = member.join(final.withColumnRenamed("node", "rep"), "rep", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id"), "n_alike")
