@@ -48,22 +48,25 @@ def sets_of(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[tuple[list[in
         yield batch.column(0).to_pylist(), [np.unique(found[a:b]) for a, b in zip(at[:-1].tolist(), at[1:].tolist())]
 
 
-def sketch_parts(members: np.ndarray, numerator: int, denominator: int, edges: np.ndarray) -> list[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(band, spare, part names, XORs) for each band where partners may lie; numerator/denominator is the similarity.
-
-    A partner shares more than ``spare`` of these parts; if empty ones are among them, only a partner that names its
-    empty parts too does, and any other shares a non-empty one. There are two bands at most, one after the other.
-    """
-    n = len(members)
+def bands(n: int, numerator: int, denominator: int, edges: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    """(band, parts, parts that may differ) where partners of a set of size n may lie: two bands at most, one after the other."""
     largest = n * denominator // numerator
     own = int(np.searchsorted(edges, n, side="right")) - 1
-    out = []
     for band in range(own, int(np.searchsorted(edges, largest, side="right"))):
         top = int(edges[band + 1]) - 1
-        k = top * 2 * (denominator - numerator) // (denominator + numerator) * 8 // 5 + 4
         apart = (n + min(top, largest)) * (denominator - numerator) // (denominator + numerator)
-        if apart == 0:
-            continue
+        if apart:
+            yield band, top * 2 * (denominator - numerator) // (denominator + numerator) * 8 // 5 + 4, apart
+
+
+def sketch_parts(members: np.ndarray, numerator: int, denominator: int, edges: np.ndarray) -> list[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(band, spare, part names, XORs) for each of its bands; numerator/denominator is the similarity.
+
+    A partner shares more than ``spare`` of these parts; if empty ones are among them, only a partner that names its
+    empty parts too does, and any other shares a non-empty one.
+    """
+    out = []
+    for band, k, apart in bands(len(members), numerator, denominator, edges):
         part = ((members >> np.uint64(32)) * np.uint64(k)) >> np.uint64(32)  # ascending, as members are
         begin = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
         xors = np.bitwise_xor.reduceat(mix(members), begin)
@@ -75,11 +78,19 @@ def sketch_parts(members: np.ndarray, numerator: int, denominator: int, edges: n
     return out
 
 
+def spare_parts(members: np.ndarray, numerator: int, denominator: int, edges: np.ndarray) -> Iterator[tuple[int, int]]:
+    """(band, spare) as sketch_parts has them, without the sketches; all bits of spare are turned if empty parts are named."""
+    for band, k, apart in bands(len(members), numerator, denominator, edges):
+        part = ((members >> np.uint64(32)) * np.uint64(k)) >> np.uint64(32)
+        some = 1 + int(np.count_nonzero(part[1:] != part[:-1]))
+        yield band, some - apart - 1 if some > apart else ~(k - apart - 1)
+
+
 def digest(members: np.ndarray) -> tuple[int, int]:
     """128 bits of a set as two signed numbers."""
     if not len(members):
         return 0, 0
-    two = np.array([np.bitwise_xor.reduce(mix(members + np.uint64(1))), np.add.reduce(mix(members ^ np.uint64(0x5851F42D4C957F2D)))], np.uint64)
+    two = np.array([np.bitwise_xor.reduce(members), np.add.reduce(mix(members))], np.uint64)
     return tuple(two.view(np.int64).tolist())
 
 
@@ -92,8 +103,8 @@ def shingle_sets(docs: DataFrame, k: int, numerator: int, denominator: int) -> D
             rows = []
             for i, s in zip(ids, sets):
                 spare = [None, None]
-                for band, left, _, xors in sketch_parts(s, numerator, denominator, edges) if len(s) else ():
-                    spare[band % 2] = left if xors.all() else ~left
+                for band, left in spare_parts(s, numerator, denominator, edges) if len(s) else ():
+                    spare[band % 2] = left
                 rows.append((i, len(s), *digest(s), *spare))
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], names=["doc_id", "n", "d1", "d2", "even", "odd"])
 
@@ -101,13 +112,16 @@ def shingle_sets(docs: DataFrame, k: int, numerator: int, denominator: int) -> D
 
 
 def sketch_keys(docs: DataFrame, k: int, numerator: int, denominator: int) -> DataFrame:
-    """(key, doc_id): sketch parts, the band's parity in the lowest bit and 1 in the next for an empty part; of equal sets in one task only the first gives keys."""
+    """(key, d2): sketch parts, the band's parity in the lowest bit and 1 in the next for an empty part, and half the set's digest; of equal sets in one task only the first gives keys.
+
+    Should two sets have the same half, the rows of either stand for both, and none is lost.
+    """
 
     def run(batches):
         edges, seen = band_edges(), set()
-        for ids, sets in sets_of(batches, k):
+        for _, sets in sets_of(batches, k):
             keys, of = [], []
-            for i, s in zip(ids, sets):
+            for s in sets:
                 told = digest(s)
                 if not len(s) or told in seen:
                     continue
@@ -115,43 +129,37 @@ def sketch_keys(docs: DataFrame, k: int, numerator: int, denominator: int) -> Da
                 for band, _, name, xors in sketch_parts(s, numerator, denominator, edges):
                     x = mix(xors ^ mix(name + np.uint64((band + 1) << 40)))
                     keys.append((x & ~np.uint64(3)) | (xors == 0).astype(np.uint64) << np.uint64(1) | np.uint64(band % 2))
-                    of.append((i, len(x)))
+                    of.append((told[1], len(x)))
             if keys:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.repeat(np.array([i for i, _ in of], np.int64), [m for _, m in of]))], names=["key", "doc_id"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.repeat(np.array([i for i, _ in of], np.int64), [m for _, m in of]))], names=["key", "d2"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "key long, doc_id long")
+    return docs.select("doc_id", "text").mapInArrow(run, "key long, d2 long")
 
 
 def key_groups(keys: DataFrame) -> DataFrame:
-    """(key, hub, doc_id) for documents that share a key; hub is the key's smallest document, its own row included."""
+    """Those of keys (key, d2) that stand in two rows or more."""
 
     def run(batches):
-        last = hub = None  # the group that may go on in the next batch
-        alone = True
+        last = None  # the last row, held back until the next one's key is known
+        before = None  # the key before it
         for batch in batches:
             key, doc = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             if not len(key):
                 continue
-            new = np.concatenate([[key[0] != last], key[1:] != key[:-1]])
-            group = np.cumsum(new)  # 0: goes on from before
-            begin = np.flatnonzero(new)
-            hubs = np.concatenate([[hub if hub is not None else 0], doc[begin]])
-            of = hubs[group]
-            more = np.bincount(group, minlength=len(begin) + 1)
-            rest = ~new & (doc != of)
-            many = np.zeros(len(begin) + 1, bool)
-            np.logical_or.at(many, group[rest], True)
-            k, h, d = key[rest], of[rest], doc[rest]
-            begun = np.flatnonzero(many[1:])  # groups with others: their hubs' own rows
-            k, h, d = np.concatenate([k, key[begin[begun]]]), np.concatenate([h, doc[begin[begun]]]), np.concatenate([d, doc[begin[begun]]])
-            if many[0] and alone:
-                k, h, d = np.concatenate([k, [last]]), np.concatenate([h, [hub]]), np.concatenate([d, [hub]])
-            alone = (not many[-1]) if len(begin) else (alone and not many[0])
-            last, hub = key[-1], of[-1]
-            del more
-            yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in (k, h, d)], names=["key", "hub", "doc_id"])
-
-    return keys.repartition("key").sortWithinPartitions("key", "doc_id").mapInArrow(run, "key long, hub long, doc_id long")
+            if last is not None:
+                key, doc = np.concatenate([last[0], key]), np.concatenate([last[1], doc])
+            same = key[1:] == key[:-1]
+            many = np.concatenate([[before is not None and key[0] == before], same])
+            many[:-1] |= same
+            if len(key) > 1:
+                before = key[-2]
+            last = key[-1:], doc[-1:], many[-1]
+            yield pa.RecordBatch.from_arrays([pa.array(key[:-1][many[:-1]]), pa.array(doc[:-1][many[:-1]])], names=["key", "d2"])
+        if last is not None and last[2]:
+            yield pa.RecordBatch.from_arrays([pa.array(last[0]), pa.array(last[1])], names=["key", "d2"])
+
+    # one sort column: Spark sorts it by radix
+    return keys.repartition("key").sortWithinPartitions("key").mapInArrow(run, "key long, d2 long")
 
 
 def candidate_sets(docs: DataFrame, k: int) -> DataFrame:
@@ -281,24 +289,27 @@ def near_groups(docs: DataFrame, k: int = 5, numerator: int = 75, denominator: i
     cuts = Cuts(spark, "ngram")
     docs = docs.select("doc_id", "text")
     stats = cuts.cut(shingle_sets(docs, k, numerator, denominator))
-    alike = stats.where("n > 0").groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n_alike"))
-    member = cuts.cut(stats.join(alike, ["n", "d1", "d2"], "left").select("doc_id", "n", "even", "odd", F.coalesce("rep", "doc_id").alias("rep"), F.coalesce("n_alike", F.lit(1)).alias("n_alike")))
-    reps = member.select("doc_id", "rep")
-    # sets that several tasks met count under one document
-    groups = cuts.cut(key_groups(sketch_keys(docs, k, numerator, denominator)))
-    groups = groups.join(reps, "doc_id").select("key", F.col("rep").alias("doc_id")).distinct()
+    alike = cuts.cut(stats.where("n > 0").groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n_alike")))
+    member = cuts.cut(stats.join(alike, ["n", "d1", "d2"], "left").select("doc_id", "n", "d2", "even", "odd", F.coalesce("rep", "doc_id").alias("rep"), F.coalesce("n_alike", F.lit(1)).alias("n_alike")))
+    cuts.drop(stats, alike)
+    # sets that several tasks met count once
+    told = cuts.cut(key_groups(sketch_keys(docs, k, numerator, denominator)))
+    groups = told.distinct()
     sizes = groups.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     # a set with more unshared parts than a partner may lack has no partner, and of the shared ones the
     # rarest suffice: of all parts in order of size, a pair meets among the first of either set, without as many as are spare
     spare = F.when(F.col("key").bitwiseAND(F.lit(1)) == 0, F.col("even")).otherwise(F.col("odd"))
     held = Window.partitionBy("doc_id", "spare", F.col("key").bitwiseAND(F.lit(1)))
-    shared = groups.join(sizes, "key").join(member.where("doc_id = rep").select("doc_id", "even", "odd"), "doc_id").select("key", "doc_id", "size", spare.alias("spare"))
+    reps = member.where("doc_id = rep and n > 0").select("d2", "doc_id", "even", "odd")
+    shared = groups.join(sizes, "key").join(reps, "d2").select("key", "doc_id", "size", spare.alias("spare"))
     # where a set names empty parts, its partner may name none: then all its non-empty parts stay
     shared = shared.withColumn("have", F.count(F.lit(1)).over(held)).withColumn("thin", (F.col("spare") < 0) & (F.col("key").bitwiseAND(F.lit(2)) == 0)).withColumn("spare", F.greatest("spare", F.bitwise_not("spare")))
     shared = shared.where("thin or have > spare").withColumn("nth", F.row_number().over(held.orderBy("size", "key"))).where("thin or nth <= have - spare")
-    groups = cuts.cut(shared.select("key", "doc_id"))
-    sizes = groups.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    groups = cuts.cut(groups.join(sizes, "key"))
+    few = cuts.cut(shared.select("key", "doc_id"))
+    cuts.drop(told)
+    sizes = few.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    groups = cuts.cut(few.join(sizes, "key"))
+    cuts.drop(few)
     sets = cuts.cut(candidate_sets(docs.join(groups.select("doc_id").distinct(), "doc_id"), k))
     # the hub of a key is its document with most neighbours: the original rather than one of its variants
     rank = cuts.cut(groups.groupBy("doc_id").agg(F.sum("size").alias("rank")))
@@ -320,5 +331,6 @@ def near_groups(docs: DataFrame, k: int = 5, numerator: int = 75, denominator: i
     held = cuts.cut(named.join(mixed, "key").groupBy("home", "doc_id").agg(F.first("label").alias("label")))
     links = links.union(bridges(held, sets, numerator, denominator, cuts, block))
     final = components(links, cuts)
+    cuts.drop_but(member, final)
     out = member.join(final.withColumnRenamed("node", "rep"), "rep", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id"), "n_alike")

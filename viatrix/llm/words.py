@@ -71,7 +71,7 @@ def split(data: np.ndarray, offsets: np.ndarray, apart: np.ndarray = WHITE) -> t
     return starts, ends, np.searchsorted(starts, offsets)
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: int, most: int = 1_000_000) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], column: int, most: int = 500_000) -> Iterator[pa.RecordBatch]:
     """Runs of rows with about so many bytes of text each (a longer text comes alone), so that memory stays bounded."""
     for batch in batches:
         _, offsets = strings(batch.column(column))
