@@ -85,11 +85,51 @@ def test_reach_beside_a_large_group(spark):
     c = r.uniform(0.9, 0.97, (1500, 1))
     x = np.concatenate([a, c * a + np.sqrt(1 - c * c) * turn, np.repeat(a[:1], 1500, 0)])
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
-    model = embedding_dedup.fit(df, 0.9, 0.999, 2000, 24)
-    da, db = (embedding_dedup.distances(h, b) for h, b in zip((x[:, :8], x[:, 8:]), model["books"]))
+    model = embedding_dedup.fit(df, 0.9, 0.999, 2000, 24)[16]
+    da, db = embedding_dedup.cost(x, model)
     i, j = np.arange(3000), np.concatenate([np.arange(1500, 3000), np.arange(1500)])
     excess = da[i, da.argmin(1)[j]] + db[i, db.argmin(1)[j]] - (da.min(1) + db.min(1))[i]
-    assert (excess <= model["reach"]).mean() > 0.998
+    assert (excess <= model["reach"]).mean() > 0.998 and model["recall"] > 0.99
+
+
+def test_links_few_in_the_sample(spark):
+    """A sample of a thirtieth of the vectors holds next to no link; the reach comes from all of them."""
+    r = np.random.default_rng(8)
+    a = r.normal(size=(3000, 24))
+    x = np.concatenate([a, a + 0.42 * np.abs(a).mean() * r.normal(size=a.shape)])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {g.vec_id: g.n_links for g in embedding_dedup.links(df, 0.9, sample=200).collect()}
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    want = (u @ u.T >= 0.9).sum(1) - 1
+    assert want.sum() > 1000 and sum(got.values()) >= 0.98 * want.sum() and all(got[i] <= w for i, w in enumerate(want))
+
+
+def test_links_of_widths_and_copies(spark):
+    """Every width is compared within itself; copies count each but are compared once; rows of one id count each."""
+    r = np.random.default_rng(9)
+    rows = []
+    for width, n in ((8, 200), (5, 30), (1, 4)):
+        a = r.normal(size=(n, width))
+        rows += [v.tolist() for v in a] + [(v + 0.02 * r.normal(size=width)).tolist() for v in a[: n // 2]] + [a[0].tolist()] * 5 + [(2 * a[0]).tolist()]
+    df = spark.createDataFrame(list(enumerate(rows)), "vec_id long, embedding array<double>")
+    got = {g.vec_id: (g.n_links, g.component_id) for g in embedding_dedup.links(df, 0.9, block=16).collect()}
+    u = [np.array(v) / np.linalg.norm(v) for v in rows]
+    hit = [[j for j in range(len(u)) if j != i and len(u[i]) == len(u[j]) and u[i] @ u[j] >= 0.9] for i in range(len(u))]
+    assert [got[i][0] for i in range(len(u))] == [len(h) for h in hit]
+    assert got[200][1] == want_least(hit, 200) and all(got[i][1] == want_least(hit, i) for i in range(0, len(u), 7))
+    again = embedding_dedup.links(df.limit(3).union(df.limit(3)), 0.9).collect()
+    assert len(again) == 6 and all(g.n_links >= 1 for g in again)
+
+
+def want_least(hit, i):
+    """The smallest number reachable."""
+    seen, todo = {i}, [i]
+    while todo:
+        for j in hit[todo.pop()]:
+            if j not in seen:
+                seen.add(j)
+                todo.append(j)
+    return min(seen)
 
 
 @pytest.mark.parametrize("wrapper", ["article", "main", "div"])
