@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from viatrix.functions import exprs as X
-from viatrix.operators import network as N, relational as R, scenarios as S, value as V
+from viatrix.operators import graph_search as Q, network as N, relational as R, scenarios as S, sections as L, spatial as G, value as V
 
 C = F.col
 
@@ -55,11 +55,12 @@ def test_transit_graph_times(spark):
     rows = [("S1", "A", "A", "B", 5.0), ("S1", "A", "B", "C", 7.0), ("S2", "A", "A", "C", 10.0), ("S3", "A", "B", "D", 4.0)]
     df = spark.createDataFrame([("g", *r) for r in rows], "graph_id string, service string, direction string, from_node string, to_node string, time double")
     graph = N.transit_graph(df)
-    times = {(r.src, r.node): r.d for r in N.shortest_paths(graph).collect()}
+    times = {(r.src, r.node): r.d for r in N.all_times(graph).collect()}
     assert times["entry_A", "exit_B"] == 11 and times["entry_A", "exit_C"] == 16 and times["entry_A", "exit_D"] == 27
     assert ("entry_C", "exit_A") not in times
     trips = spark.createDataFrame([("A", "C", 10.0), ("A", "D", 5.0), ("A", "B", 2.0), ("C", "A", 9.0), ("A", "A", 7.0)], "o string, d string, trips double")
-    flows = {tuple(r)[:4]: r.flow for r in N.assign_transit_flows(N.shortest_paths(graph), trips).collect()}
+    pairs = trips.select(F.lit("g").alias("graph_id"), F.concat(F.lit("entry_"), "o").alias("o"), F.concat(F.lit("exit_"), "d").alias("d"))
+    flows = {tuple(r)[:4]: r.flow for r in N.assign_transit_flows(Q.paths_between(graph, pairs), trips).collect()}
     assert flows == {("A", "C", "S2", "A"): 10.0, ("A", "B", "S1", "A"): 7.0, ("B", "D", "S3", "A"): 5.0}
 
 
@@ -68,10 +69,73 @@ def test_min_plus_equals_dijkstra(spark):
     e = spark.createDataFrame(r).withColumn("graph_id", F.lit(1)).where("u <> v")
     sources = e.select("graph_id", C("u").alias("src"), C("u").alias("node"), F.lit(0.0).alias("d")).distinct()
     a = {(x.src, x.node): x.d for x in N.min_plus(e, sources).collect()}
-    b = {(x.src, x.node): x.d for x in N.shortest_paths(e).collect() if x.src in r.u.values}
+    b = {(x.src, x.node): x.d for x in N.all_times(e).collect() if x.src in r.u.values}
     assert a == b
 
 
+def test_paths_between(spark):
+    """Of equally short paths the first in order of nodes; nothing for what can't be reached or isn't there."""
+    e = spark.createDataFrame([(0, 1, 3, 1.0), (0, 1, 2, 1.0), (0, 3, 4, 1.0), (0, 2, 4, 1.0), (0, 4, 5, 0.5), (0, 1, 5, 2.5), (0, 1, 3, 9.0)], "graph_id int, u int, v int, w double")
+    pairs = spark.createDataFrame([(0, 1, 4), (0, 1, 5), (0, 5, 1), (0, 1, 8), (0, 8, 1), (0, 2, 2)], "graph_id int, o int, d int")
+    got = {(r.o, r.d): (r.cost, r.path) for r in Q.paths_between(e, pairs).collect()}
+    assert got == {(1, 4): (2.0, [1, 2, 4]), (1, 5): (2.5, [1, 2, 4, 5]), (2, 2): (0.0, [2])}
+
+
+def test_later_rows_of_a_run_win(spark):
+    rows = [("g", "A", "B", "S", "A", 5.0, 1), ("g", "A", "B", "S", "A", 7.5, 2), ("g", "B", "C", "S", "A", 3.0, 1), ("g", "B", "C", "S", "A", None, 2)]
+    graph = N.transit_graph(spark.createDataFrame(rows, "graph_id string, from_node string, to_node string, service string, direction string, time double, nth int"))
+    assert sorted(r.w for r in graph.where("kind = 'ride'").collect()) == [3.0, 8.0]
+
+
+def test_via_of_new_links(spark):
+    e = spark.createDataFrame([(1, 2, 1.0), (2, 3, 1.0), (3, 4, 1.0), (7, 8, 1.0)], "u int, v int, w double")
+    wanted = spark.createDataFrame([(1, 4), (1, 2), (1, 7), (1, 9)], "u int, v int")
+    assert {(r.u, r.v): r.via for r in N.via_nodes(e, wanted).collect()} == {(1, 4): "[2,3]", (1, 2): "-99", (1, 7): "-99"}
+
+
+def test_missing_connections(spark):
+    both = [(0, 1), (0, 2), (0, 3)]
+    links = spark.createDataFrame(both + [(v, u) for u, v in both], "u int, v int")
+    calls = spark.createDataFrame([(1, "a"), (2, "a"), (3, "b"), (0, "a"), (0, "b")], "node int, service string")
+    find = lambda *n: sorted(tuple(r) for r in N.missing_connections(links, calls, spark.createDataFrame([(i,) for i in n], "node int")).collect())
+    assert find(1, 2, 3) == [(0, 1, 3), (0, 2, 3)] and find(1) == [(0, 1, 3)] and find(0) == []
+
+
+def test_broken_graphs_are_left_out(spark, tmp_path):
+    files = {"a": "FromNode;ToNode;TravelTime\n1;2;3.5\n2;3;\n", "b": "TravelTime;FromNode;ToNode\r\n2.5;8;9\r\n", "c": "FromNode;ToNode\n1;2\n", "d": "FromNode;ToNode;TravelTime\n1;2;x\n"}
+    for name, text in files.items():
+        (tmp_path / f"{name}.csv").write_text(text)
+    graphs, bad = N.read_graphs(spark, str(tmp_path), "([a-z]).csv")
+    assert sorted(map(tuple, graphs.collect())) == [("a", "1", "2", 4.0), ("b", "8", "9", 2.0)] and sorted(r.graph_id for r in bad.collect()) == ["c", "d"]
+
+
+def test_snap(spark):
+    fast = {(0, 0): 50, (4, 4): 100, (2, 0): 30}
+    cells = spark.createDataFrame([(r, c, fast.get((r, c), 0)) for r in range(9) for c in range(9)], "row int, col int, speed int")
+    got = {(r.row, r.col): (r.to_row, r.to_col) for r in G.snap_to_fast(cells, cells).collect()}
+    assert got[1, 1] == (0, 0) and got[2, 2] == (0, 0) and got[3, 1] == (2, 0) and got[4, 4] == (4, 4) and got[6, 6] == (4, 4) and got[8, 8] == (8, 8) and got[2, 0] == (2, 0)
+
+
+def test_nearest(spark):
+    points = spark.createDataFrame([(1, 0.0, 0.0), (2, 90.0, 0.0), (3, 5.0, 0.0)], "k int, ax double, ay double")
+    sites = spark.createDataFrame([(7, 0.0, 1.0), (8, 0.0, -1.0), (9, 10.0, 0.0)], "id int, bx double, by double")
+    assert {r.k: r.id for r in R.nearest(points, ["k"], sites, 2.0).collect()} == {1: 7, 2: 9, 3: 9}
+    assert [r.id for r in R.nearest(points, ["k"], sites.limit(0), 2.0).collect()] == [None] * 3
+
+
+def test_surrogate_ids_over_many_ranges(spark):
+    df = spark.range(1000).select((C("id") * 7919 % 1000).alias("x"), (C("id") % 3).alias("y")).repartition(5)
+    got = R.surrogate(df, "n", 100, C("y").desc(), C("x")).toPandas().sort_values(["y", "x"], ascending=[False, True])
+    assert list(got.n) == list(range(100, 1100))
+
+
+def test_enough_tracks(spark):
+    """Worked by hand: 60 // 10 / 2 = 3 trains on one track, then 60 // 5 / 2 = 6 on one and a half, then 20 on two."""
+    df = spark.createDataFrame([(i, 1.0, 10.0, 5.0, 2, 0, load, 1, 2000.0) for i, load in enumerate((1.0, 1.5, 5.0, 30.0))], "id int, tracks double, stop double, pass double, n_stop int, n_pass int, load double, segments int, length double")
+    got = {r.id: (r.tracks, r.rounds, r.capacity, r.enough) for r in L.enough_tracks(df, 2.0, 10).collect()}
+    assert got[0] == (1.0, 0, 3.0, True) and got[1] == (1.5, 1, 6.0, True) and got[2] == (2.0, 2, 20.0, True) and got[3][1] > 2
+
+
 def test_discount(spark):
     got = one(spark, *[V.discount(F.lit(y), 0.03, 2050) for y in (2050, 2051, 2052, 2100)])
     assert [round(x, 6) for x in got] == [1.03, 1.0, 0.970874, 0.23495]

@@ -1,9 +1,9 @@
-"""Searches that need imperative code, one task for each graph."""
+"""Searches that need imperative code, one task for each graph, and fills in a drawn order."""
 
 import heapq
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window, functions as F
 
 
 def k_shortest_simple(edges: DataFrame, pairs: DataFrame, k: int = 2) -> DataFrame:
@@ -45,11 +45,48 @@ def k_shortest_simple(edges: DataFrame, pairs: DataFrame, k: int = 2) -> DataFra
     return edges.groupBy("graph_id").cogroup(pairs.groupBy("graph_id")).applyInPandas(run, "graph_id int, o int, d int, nth int, length double, path array<int>")
 
 
+def paths_between(edges: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(graph_id, o, d, cost, path) of the shortest path of each pair (graph_id, o, d) over edges (graph_id, u, v, w > 0).
+
+    A search begins at each o and ends when its wanted nodes are reached. Of equally short paths the first in order of their nodes
+    is taken. Pairs without a path, or with a node that the graph lacks, give no row.
+    """
+    kind, name = (dict(edges.dtypes)[c] for c in ("u", "graph_id"))
+
+    def run(key: tuple, links: pd.DataFrame, wanted: pd.DataFrame) -> pd.DataFrame:
+        out: dict = {}
+        for u, v, w in zip(links.u.tolist(), links.v.tolist(), links.w.tolist()):
+            out.setdefault(u, {})[v] = min(w, out.get(u, {}).get(v, float("inf")))
+        ends: dict = {}
+        for o, d in zip(wanted.o.tolist(), wanted.d.tolist()):
+            ends.setdefault(o, set()).add(d)
+        rows = []
+        for o, left in ends.items():
+            done, heap = set(), [(0.0, (o,))]
+            while heap and left:
+                x, path = heapq.heappop(heap)
+                u = path[-1]
+                if u in done:
+                    continue
+                done.add(u)
+                if u in left and (u in out or len(path) > 1):
+                    left.discard(u)
+                    rows.append((key[0], o, u, x, list(path)))
+                for v, w in out.get(u, {}).items():
+                    if v not in done:
+                        heapq.heappush(heap, (round(x + w, 9), (*path, v)))
+        return pd.DataFrame(rows, columns=["graph_id", "o", "d", "cost", "path"])
+
+    pairs = pairs.select("graph_id", "o", "d").toDF("of", "o", "d")  # pairs may come from the edges themselves
+    return edges.groupBy("graph_id").cogroup(pairs.groupBy("of")).applyInPandas(run, f"graph_id {name}, o {kind}, d {kind}, cost double, path array<{kind}>")
+
+
 def sections(segments: DataFrame) -> DataFrame:
-    """(network, section, u, v): maximal chains of segments with equal tracks through nodes of degree two.
+    """(network, section, u, v): maximal chains of segments with equal tracks, and equal tokens if there are any, through nodes of degree two.
 
-    segments: network, u, v, tracks. A section is named by its tracks and smallest node.
+    segments: network, u < v, tracks, and tokens where services matter. A section is named by its tracks and smallest segment.
     """
+    told = segments if "tokens" in segments.columns else segments.withColumn("tokens", F.lit(""))
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         beside: dict = {}
@@ -64,16 +101,16 @@ def sections(segments: DataFrame) -> DataFrame:
                 e = up[e]
             return e
 
-        kind = {tuple(sorted((u, v))): t for u, v, t in zip(pdf.u.tolist(), pdf.v.tolist(), pdf.tracks.tolist())}
+        kind = {tuple(sorted((u, v))): t for u, v, *t in zip(pdf.u.tolist(), pdf.v.tolist(), pdf.tracks.tolist(), pdf.tokens.tolist())}
         for n, ends in beside.items():
             if len(ends) == 2:
                 a, b = (tuple(sorted((n, m))) for m in ends)
                 if kind[a] == kind[b]:
                     x, y = sorted((root(a), root(b)))
                     up[y] = x
-        return pd.DataFrame([(key[0], f"{kind[e]:g}-{root(e)[0]}-{root(e)[1]}", *e) for e in kind], columns=["network", "section", "u", "v"])
+        return pd.DataFrame([(key[0], f"{kind[e][0]:g}-{root(e)[0]}-{root(e)[1]}", *e) for e in kind], columns=["network", "section", "u", "v"])
 
-    return segments.groupBy("network").applyInPandas(run, "network int, section string, u int, v int")
+    return told.groupBy("network").applyInPandas(run, "network int, section string, u int, v int")
 
 
 def inward_development(zones: DataFrame) -> DataFrame:
@@ -81,11 +118,6 @@ def inward_development(zones: DataFrame) -> DataFrame:
 
     zones: scenario, zone, potential, target, draw.
     """
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["draw", "zone"])
-        before = pdf.potential.cumsum() - pdf.potential
-        pdf["filled"] = (pdf.target - before).clip(lower=0).clip(upper=pdf.potential)
-        return pdf[["scenario", "zone", "filled"]]
-
-    return zones.groupBy("scenario").applyInPandas(run, "scenario long, zone long, filled double")
+    order = Window.partitionBy("scenario").orderBy("draw", "zone").rowsBetween(Window.unboundedPreceding, 0)
+    left = F.col("target") - F.sum("potential").over(order) + F.col("potential")
+    return zones.select("scenario", "zone", F.least(F.greatest(left, F.lit(0.0)), "potential").alias("filled"))

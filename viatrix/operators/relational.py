@@ -4,6 +4,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from viatrix.session import saved
+
 
 def group_known(df: DataFrame, keys: Sequence[str], *aggregates: Column) -> DataFrame:
     """Grouping that leaves null keys out."""
@@ -66,8 +68,31 @@ def complete(df: DataFrame, keys: DataFrame, on: Sequence[str], fill: dict[str,
 
 
 def surrogate(df: DataFrame, name: str, base: int, *order: Column) -> DataFrame:
-    """Numbers from base on in a total order. One sort of the keys; for tables of candidates, not of facts."""
-    return df.withColumn(name, F.row_number().over(Window.orderBy(*order)) - 1 + base)
+    """Numbers from base on in a total order: rows are dealt by ranges of the order and numbered within, behind the sizes of the ranges before."""
+    part, before = "_part", "_before"
+    dealt = saved(df.repartitionByRange(*order).withColumn(part, F.spark_partition_id()))
+    sizes = dealt.groupBy(part).agg(F.count(F.lit(1)).alias("_n"))  # a row a range
+    sizes = sizes.select(part, (F.sum("_n").over(Window.orderBy(part)) - F.col("_n")).alias(before))
+    nth = F.row_number().over(Window.partitionBy(part).orderBy(*order))
+    return dealt.withColumn(name, nth).join(F.broadcast(sizes), part).withColumn(name, F.col(name) - 1 + F.col(before) + base).drop(part, before)
+
+
+def nearest(points: DataFrame, key: Sequence[str], sites: DataFrame, radius: float) -> DataFrame:
+    """points (key, ax, ay) with the id and distance of their nearest site (id, bx, by); of equally near ones the smallest id.
+
+    Sites within the radius are sought first, and the radius doubles for points that have none.
+    """
+    kind = dict(sites.dtypes)["id"]
+    out, left = None, points
+    if sites.isEmpty():
+        return points.withColumns({"distance": F.lit(None).cast("double"), "id": F.lit(None).cast(kind)})
+    while out is None or not left.isEmpty():
+        near = distance_join(left, sites, radius).groupBy(*key).agg(F.min(F.struct("distance", "id")).alias("m"))
+        near = saved(left.join(near, list(key), "left"))
+        found = near.where("m is not null").select(*points.columns, "m.distance", "m.id")
+        out = found if out is None else out.unionByName(found)
+        left, radius = near.where("m is null").drop("m"), 2 * radius
+    return out
 
 
 def distance_join(a: DataFrame, b: DataFrame, radius: float) -> DataFrame:
@@ -78,3 +103,10 @@ def distance_join(a: DataFrame, b: DataFrame, radius: float) -> DataFrame:
     right = b.withColumn("_o", F.explode(around)).withColumns({"_i": cell("bx") + F.col("_o.i"), "_j": cell("by") + F.col("_o.j")}).drop("_o")
     d = F.sqrt((F.col("ax") - F.col("bx")) ** 2 + (F.col("ay") - F.col("by")) ** 2)
     return left.join(right, ["_i", "_j"]).drop("_i", "_j").withColumn("distance", d).where(F.col("distance") <= radius)
+
+
+def positional_join(rows: DataFrame, group: str, key: str, lists: DataFrame, values: str, name: str) -> DataFrame:
+    """rows with the values of their group's list, the first to the row of the smallest key; lists: (group, values), one row a group."""
+    ranked = rows.withColumn("_nth", F.row_number().over(Window.partitionBy(group).orderBy(key)) - 1)
+    told = lists.select(group, F.posexplode(values).alias("_nth", name))
+    return ranked.join(told, [group, "_nth"], "left").drop("_nth")

@@ -1,7 +1,10 @@
-"""Line sections in order, and their split where a service changes how it stops."""
+"""Line sections in order and split where a service changes how it stops; corridors, enrichment and tracks enough for the load."""
 
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
+
+from viatrix.functions.exprs import capacity
+from viatrix.operators.value import intervention
 
 
 def section_paths(sections: DataFrame) -> DataFrame:
@@ -66,3 +69,58 @@ def split_by_pattern(paths: DataFrame, stops: DataFrame, from_path_start: bool =
         return pd.DataFrame([(*key, k, p) for k, p in enumerate(parts)], columns=["network", "section", "part", "path"])
 
     return known.groupBy("network", "section").applyInPandas(run, "network int, section string, part int, path array<int>")
+
+
+def corridor_nodes(links: DataFrame, inside: DataFrame, new: DataFrame) -> DataFrame:
+    """(node_set, node, new): stations of a corridor today ("baseline"), with those one link beyond it ("extended"), and with the ends of new links ("development").
+
+    links (u, v) of today, inside (node), new (u, v). new marks stations that no link of today reaches.
+    """
+    ends = lambda x: x.select(F.explode(F.array("u", "v")).alias("node")).distinct()
+    served = ends(links)
+    within = served.join(inside, "node", "left_semi")
+    u, v = within.withColumnRenamed("node", "u"), within.withColumnRenamed("node", "v")
+    beyond = ends(links.join(u, "u", "left_semi").union(links.join(v, "v", "left_semi").select("u", "v")))
+    named = lambda x, name: x.select(F.lit(name).alias("node_set"), "node")
+    sets = named(within, "baseline").union(named(within, "extended")).union(named(beyond, "extended")).union(named(within, "development")).union(named(ends(new), "development")).distinct()
+    return sets.join(served.withColumn("served", F.lit(True)), "node", "left").select("node_set", "node", F.col("served").isNull().alias("new"))
+
+
+def enriched(now: DataFrame, known: DataFrame, better: DataFrame, key: list[str], default: dict[str, Column]) -> DataFrame:
+    """now with its infrastructure: known values, where demand (tph) has grown the better ones, and defaults where there are none.
+
+    known has key, tph and the columns of default, better has key and these columns; both have one row a key at most.
+    """
+    old = known.select(*key, F.col("tph").alias("_before"), *[F.col(c).alias(f"_known_{c}") for c in default])
+    new = better.select(*key, F.lit(True).alias("_better"), *[F.col(c).alias(f"_better_{c}") for c in default])
+    x = now.join(old, key, "left").join(new, key, "left")
+    grown, stays = F.col("tph") > F.col("_before"), F.col("_before").isNotNull()
+    chosen = [F.when(stays & ~grown, F.col(f"_known_{c}")).when(stays & grown & F.col("_better"), F.col(f"_better_{c}")).otherwise(value).alias(c) for c, value in default.items()]
+    return x.select(*now.columns, *chosen)
+
+
+def strategies(n: Column) -> Column:
+    """Ways of grouping that n trains are offered."""
+    some = lambda *names: F.array(*map(F.lit, names))
+    return F.when(n >= 6, some("bad", "base", "good")).when(n >= 4, some("bad", "good")).when(n >= 2, some("bad")).otherwise(F.array().cast("array<string>"))
+
+
+def enough_tracks(sections: DataFrame, spare: float, rounds: int) -> DataFrame:
+    """sections with tracks, rounds, capacity and enough: interventions are applied to a section until its capacity exceeds its load by ``spare``.
+
+    sections: id, tracks, stop, pass, n_stop, n_pass, load, segments, length. No section depends on another, so each goes through
+    its rounds in its own row, and capacity is computed anew from the tracks of the round before.
+    """
+
+    def of(tracks: Column) -> Column:
+        return capacity(tracks, F.col("stop"), F.col("pass"), F.col("n_stop"), F.col("n_pass")).cast("double")
+
+    def one(state: Column, _: Column) -> Column:
+        short = state["capacity"] - F.col("load") < spare
+        added = intervention(F.col("segments"), state["tracks"], F.col("length"), F.lit(0))[1]
+        tracks = F.when(short, state["tracks"] + added).otherwise(state["tracks"])
+        return F.struct(tracks.alias("tracks"), (state["rounds"] + short.cast("int")).alias("rounds"), of(tracks).alias("capacity"))
+
+    start = F.struct(F.col("tracks").cast("double").alias("tracks"), F.lit(0).alias("rounds"), of(F.col("tracks")).alias("capacity"))
+    x = sections.withColumn("_end", F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), start, one))
+    return x.drop("tracks").select("*", "_end.*").drop("_end").withColumn("enough", F.col("capacity") - F.col("load") >= spare)

@@ -50,7 +50,7 @@ def perimeter(s, d):
 
 def total_times(s, d):
     """(graph_id, hours) of the perimeter's trips."""
-    times = N.shortest_paths(flagship_networks(s, d)).where("src <> node").select("graph_id", "src", "node", C("d").alias("t"))
+    times = N.all_times(flagship_networks(s, d)).where("src <> node").select("graph_id", "src", "node", C("d").alias("t"))
     trips = perimeter(s, d).where("o <> d and trips > 0")
     return times.join(trips, (C("src") == C("o")) & (C("node") == C("d"))).groupBy("graph_id").agg((F.sum(C("trips") * C("t")) / 60).alias("hours"))
 
@@ -206,7 +206,7 @@ def v2(s, d):
 
 @register("v3_improvements", f"WITH RECURSIVE {RECURSE} SELECT * FROM (SELECT a.g AS dev, a.src, a.node, q.d - a.d AS gain, row_number() OVER (PARTITION BY a.g ORDER BY q.d - a.d DESC, a.src, a.node) AS rank FROM best a JOIN best q ON q.g = 'sq' AND a.src = q.src AND a.node = q.node WHERE a.g <> 'sq') WHERE rank <= 20")
 def v3(s, d):
-    t = N.shortest_paths(flagship_networks(s, d)).where("src <> node").select("graph_id", "src", "node", "d")
+    t = N.all_times(flagship_networks(s, d)).where("src <> node").select("graph_id", "src", "node", "d")
     q = t.where("graph_id = 'sq'").select("src", "node", C("d").alias("today"))
     x = t.where("graph_id <> 'sq'").join(q, ["src", "node"]).select(C("graph_id").alias("dev"), "src", "node", (C("today") - C("d")).alias("gain"))
     return R.top_n(x, ["dev"], 20, C("gain").desc(), C("src"), C("node")).withColumn("rank", C("rank").cast("long"))
@@ -253,13 +253,6 @@ def k3(s, d):
     return x.groupBy("u", "v").agg(F.sum(F.when(stop, C("frequency")).otherwise(0)).alias("stopping"), F.sum(F.when(~stop, C("frequency")).otherwise(0)).alias("passing"), F.max("tt").alias("time"))
 
 
-@register("k4_enrichment", f"WITH {D.SERVICES}, b AS (SELECT from_node AS node, sum(frequency)::BIGINT AS tph FROM services GROUP BY ALL) SELECT node, CASE WHEN tph > 60 THEN coalesce(CASE WHEN node % 2 = 0 THEN 4 END, 2) ELSE 2 END AS tracks FROM b")
-def k4(s, d):
-    b = D.services(s, d).groupBy(C("from_node").alias("node")).agg(F.sum("frequency").alias("tph"))
-    better = table(s, d, "nation").where("n_nationkey % 2 = 0").select(C("n_nationkey").alias("node"), F.lit(4).alias("enhanced"))
-    return b.join(better, "node", "left").select("node", F.when(C("tph") > 60, F.coalesce("enhanced", F.lit(2))).otherwise(2).alias("tracks"))
-
-
 SECTIONS = "sections AS (SELECT s_suppkey AS id, [1.0, 1.5, 2.0, 3.0, 4.0][1 + s_suppkey % 5] AS tracks, (5 + s_suppkey % 20)::DOUBLE AS stop, (3 + s_suppkey % 9)::DOUBLE AS pass, s_suppkey % 6 AS n_stop, s_suppkey % 4 AS n_pass FROM supplier)"
 K6 = f"""WITH {SECTIONS}, t AS (SELECT *, CASE WHEN tracks - floor(tracks) >= 0.5 THEN stop / 2 ELSE stop END AS s, CASE WHEN tracks - floor(tracks) >= 0.5 THEN pass / 2 ELSE pass END AS p FROM sections)
 SELECT id, (CASE WHEN floor(tracks) <= 1 THEN floor(60 / s) / 2
@@ -306,9 +299,9 @@ def k9(s, d):
     return x.select("id", "type", "added", "platforms_added", F.round(cost, 2).alias("cost"), F.round(cost * V.MAINTENANCE, 2).alias("maintenance"))
 
 
-@register("k12_costs_by_overlap", "WITH seg AS (SELECT DISTINCT p_brand AS dev, p_size AS segment FROM part WHERE p_size <= 10), i AS (SELECT DISTINCT s_suppkey AS id, s_suppkey % 12 AS segment, 1000.0 * s_suppkey AS cost FROM supplier) SELECT dev, sum(cost) AS cost FROM (SELECT DISTINCT dev, id, cost FROM seg JOIN i USING (segment)) GROUP BY dev")
+@register("k12_costs_by_overlap", "WITH seg AS (SELECT DISTINCT p_brand AS dev, p_size AS segment FROM part), i AS (SELECT DISTINCT s_suppkey AS id, s_suppkey % 12 AS segment, 1000.0 * s_suppkey AS cost FROM supplier) SELECT dev, sum(cost) AS cost FROM (SELECT DISTINCT dev, id, cost FROM seg JOIN i USING (segment)) GROUP BY dev")
 def k12(s, d):
-    seg = table(s, d, "part").where("p_size <= 10").select(C("p_brand").alias("dev"), C("p_size").cast("long").alias("segment")).distinct()
+    seg = table(s, d, "part").select(C("p_brand").alias("dev"), C("p_size").cast("long").alias("segment")).distinct()
     i = table(s, d, "supplier").select(C("s_suppkey").alias("id"), (C("s_suppkey") % 12).alias("segment"), (1000.0 * C("s_suppkey")).alias("cost"))
     return seg.join(i, "segment").select("dev", "id", "cost").distinct().groupBy("dev").agg(F.sum("cost").alias("cost"))
 

@@ -103,7 +103,7 @@ best AS (SELECT src, node, min(d)::DOUBLE AS d FROM walk WHERE src <> node GROUP
 
 def sq_times(spark: SparkSession) -> DataFrame:
     """(src, node, d) between all stations today."""
-    from viatrix.operators.network import shortest_paths
+    from viatrix.operators.network import all_times
 
     e = edges(spark).select(F.lit("sq").alias("graph_id"), "u", "v", F.col("tt").cast("double").alias("w"))
-    return shortest_paths(e).where("src <> node").select("src", "node", "d", "path")
+    return all_times(e).where("src <> node").select("src", "node", "d")

@@ -20,8 +20,9 @@ graph AS (SELECT * FROM ride UNION ALL SELECT 'entry_' || station, sub, 3.0, 'bo
 
 
 def transit(s, d):
+    """The transit graph of today; its rows are few and used by every kind of edge, so they are saved."""
     x = D.services(s, d).select(F.lit("sq").alias("graph_id"), "from_node", "to_node", "service", "direction", C("tt").cast("double").alias("time")).distinct()
-    return N.transit_graph(x)
+    return N.transit_graph(N.saved(x))
 
 
 @register("g1_transit_graph", f"WITH {SUBS} SELECT 'sq' AS graph_id, u, v, w, kind FROM graph")
@@ -45,30 +46,6 @@ def g3b(s, d):
     return N.min_plus(e, sources).where("src <> node").select("src", "node", "d")
 
 
-@register("g3_transit_times")
-def g3c(s, d):
-    p = N.shortest_paths(transit(s, d))
-    p = p.where("src like 'entry%' and node like 'exit%'").select(F.regexp_extract("src", "[0-9]+", 0).cast("int").alias("from_id"), F.regexp_extract("node", "[0-9]+", 0).cast("int").alias("to_id"), C("d").alias("time"))
-    return p.where("from_id <> to_id")
-
-
-@register("g4_single_pair", f"WITH RECURSIVE {D.SHORTEST} SELECT src, node, d FROM best WHERE src = 0 AND node = 13")
-def g4(s, d):
-    return D.sq_times(s).where("src = 0 and node = 13").select("src", "node", "d")
-
-
-@register("g5_all_or_nothing_flows")
-def g5(s, d):
-    return N.assign_flows(D.sq_times(s), D.trips(s, d))
-
-
-@register("g5_transit_flows")
-def g5b(s, d):
-    """By service and direction, on the paths that count boarding and changes."""
-    paths = N.shortest_paths(transit(s, d)).where("src like 'entry%' and node like 'exit%'")
-    return N.assign_transit_flows(paths, D.trips(s, d))
-
-
 @register("g6_closest_of_many", f"WITH RECURSIVE {D.SHORTEST}, t AS (SELECT n_nationkey AS node, CASE WHEN n_nationkey % 7 = 0 THEN 0.0 END AS zero FROM nation) SELECT t.node, coalesce(zero, (SELECT min(d) FROM best WHERE best.node = t.node AND src % 7 = 0)) AS time FROM t")
 def g6(s, d):
     e = D.edges(s).select(F.lit("sq").alias("graph_id"), "u", "v", C("tt").cast("double").alias("w"))
@@ -76,25 +53,19 @@ def g6(s, d):
     return N.min_plus(e, trains).select("node", C("d").alias("time"))
 
 
-@register("g10_via_of_new_link", f"WITH RECURSIVE {D.SHORTEST}, w AS (SELECT i::INT AS u, ((i + 9) % 25)::INT AS v FROM range(0, 25, 5) r(i)) SELECT u, v, d AS time FROM w JOIN best ON u = src AND v = node")
-def g10(s, d):
-    wanted = s.range(0, 25, 5).select(C("id").cast("int").alias("u"), ((C("id") + 9) % 25).cast("int").alias("v"))
-    p = D.sq_times(s)
-    return wanted.join(p, (C("u") == C("src")) & (C("v") == C("node"))).select("u", "v", C("d").alias("time"))
+#: nine lines that share the topology's links among them
+LINES = "m AS (SELECT DISTINCT (least(u, v) * 3 + greatest(u, v)) % 9 AS service, least(u, v) AS u, greatest(u, v) AS v FROM topo)"
 
 
-@register("g12_end_stations", f"WITH {D.SERVICES}, m AS (SELECT DISTINCT service, least(from_node, to_node) AS u, greatest(from_node, to_node) AS v FROM services WHERE from_node * to_node % 3 = 2), e AS (SELECT service, u AS node FROM m UNION ALL SELECT service, v FROM m) SELECT service, node FROM e GROUP BY ALL HAVING count(*) = 1")
-def g12(s, d):
-    m = R.undirected(D.services(s, d).where("from_node * to_node % 3 = 2").withColumnsRenamed({"from_node": "u", "to_node": "v"})).select("service", "u", "v").distinct()
-    return m.select("service", F.explode(F.array("u", "v")).alias("node")).groupBy("service", "node").agg(F.count(F.lit(1)).alias("n")).where("n = 1").drop("n")
+def lines(s):
+    """(service, u, v) of nine lines, one direction."""
+    return R.undirected(D.topology(s)).select(((C("u") * 3 + C("v")) % 9).alias("service"), "u", "v").distinct()
 
 
-@register("g13_missing_connections", f"WITH {D.TOPO}, deg AS (SELECT u AS centre FROM topo GROUP BY u HAVING count(*) > 2) SELECT centre, a.v AS n1, b.v AS n2 FROM deg JOIN topo a ON a.u = centre JOIN topo b ON b.u = centre AND a.v < b.v WHERE NOT EXISTS (SELECT 1 FROM topo t WHERE t.u = a.v AND t.v = b.v)")
-def g13(s, d):
-    t = D.topology(s)
-    centre = t.groupBy(C("u").alias("centre")).agg(F.count(F.lit(1)).alias("n")).where("n > 2").select("centre")
-    a = centre.join(t.select(C("u").alias("centre"), C("v").alias("n1")), "centre").join(t.select(C("u").alias("centre"), C("v").alias("n2")), "centre").where("n1 < n2")
-    return a.join(t.select(C("u").alias("n1"), C("v").alias("n2")), ["n1", "n2"], "left_anti").select("centre", "n1", "n2")
+@register("g12_end_stations", f"WITH {D.TOPO}, {LINES}, e AS (SELECT service, u AS node FROM m UNION ALL SELECT service, v FROM m) SELECT service, node FROM e GROUP BY ALL HAVING count(*) = 1")
+def g12(s, d):
+    m = lines(s)
+    return m.select("service", F.explode(F.array("u", "v")).alias("node")).groupBy("service", "node").agg(F.count(F.lit(1)).alias("n")).where("n = 1").drop("n")
 
 
 G14 = f"""WITH RECURSIVE {D.TOPO}, p AS (SELECT [i::INT] AS path, i::INT AS tip, 1 AS n FROM (VALUES (0), (8)) r(i)
@@ -117,13 +88,6 @@ def g17(s, d):
     return base.select("dev_id", "u", "v", "tt", "new_dev").union(new).union(new.select("dev_id", "v", "u", "tt", "new_dev"))
 
 
-@register("s1_swiss_csv", "SELECT s_suppkey, s_name, s_acctbal FROM supplier")
-def s1(s, d):
-    raw = table(s, d, "supplier").select(F.concat_ws(";", "s_suppkey", "s_name", F.translate(F.format_string("%.2f", C("s_acctbal")), ".", ",")).alias("line"))
-    parts = F.split("line", ";")
-    return raw.select(parts[0].cast("bigint").alias("s_suppkey"), parts[1].alias("s_name"), X.comma_float(parts[2]).alias("s_acctbal"))
-
-
 S3 = f"WITH {PATH} SELECT l_orderkey, CASE WHEN l_orderkey % 5 = 0 THEN '' ELSE array_to_string(path, ',') END AS via FROM path"
 
 
@@ -136,17 +100,6 @@ def s3(s, d):
     return paths(s, d).select("l_orderkey", F.array_join(X.parse_via(raw).cast("array<string>"), ",").alias("via"))
 
 
-@register("s7_grid_down_sample", f'WITH {D.CELLS} SELECT "row", col FROM cells WHERE "row" % 5 = 0 AND col % 5 = 0')
-def s7(s, d):
-    return D.cells(s, d).where((F.pmod("row", F.lit(5)) == 0) & (F.pmod("col", F.lit(5)) == 0)).select("row", "col")
-
-
-@register("s9_id_from_file_name", "SELECT p_partkey, p_partkey AS dev FROM part WHERE p_size > 40")
-def s9(s, d):
-    name = F.concat(F.lit("/data/od_matrix_dev"), "p_partkey", F.lit("_medium.csv"))
-    return table(s, d, "part").where("p_size > 40").select("p_partkey", F.regexp_extract(name, "dev(\\d+)_", 1).cast("bigint").alias("dev"))
-
-
 @register("s14_add_service_line", "WITH l AS (SELECT [1, 4, 9, 16] AS st, [5, 7, 6] AS tt), h AS (SELECT unnest(range(1, 4)) AS i, st, tt FROM l) SELECT st[i] AS a, st[i + 1] AS b, tt[i] AS time, 'A' AS direction FROM h UNION ALL SELECT st[i + 1], st[i], tt[i], 'B' FROM h")
 def s14(s, d):
     line = s.range(1).select(F.array(*map(F.lit, (1, 4, 9, 16))).alias("path"), F.array(*map(F.lit, (5, 7, 6))).alias("tt"))
@@ -154,12 +107,6 @@ def s14(s, d):
     return R.mirror(h, "a", "b")
 
 
-@register("s15_network_edits", f"WITH {D.SERVICES} SELECT from_node, to_node, service, CASE WHEN service = 'AF' THEN frequency * 2 ELSE frequency END AS frequency FROM services WHERE service <> 'NF' UNION ALL SELECT 3, 12, 'G', 2")
-def s15(s, d):
-    x = D.services(s, d).where("service <> 'NF'").select("from_node", "to_node", "service", F.when(C("service") == "AF", C("frequency") * 2).otherwise(C("frequency")).alias("frequency"))
-    return x.unionByName(s.createDataFrame([(3, 12, "G", 2)], "from_node int, to_node int, service string, frequency long"))
-
-
 @register("x1_lenient_numbers", "SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN p_size ELSE 0 END AS size, CASE WHEN p_size % 3 = 0 THEN p_retailprice ELSE 0.0 END AS price FROM part")
 def x1(s, d):
     return table(s, d, "part").select("p_partkey", X.int_or_zero(F.when(C("p_size") % 2 == 0, C("p_size").cast("string")).otherwise("n/a")).alias("size"), X.comma_float(F.when(C("p_size") % 3 == 0, F.translate(C("p_retailprice").cast("string"), ".", ",")).otherwise("x")).alias("price"))

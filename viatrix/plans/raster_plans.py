@@ -6,6 +6,7 @@ from viatrix.functions import exprs as X
 from viatrix.operators import graph_search as Q, network as N, relational as R, scenarios as S, value as V
 from viatrix.plans import domain as D
 from viatrix.plans.appraisal_plans import B5, discounted
+from viatrix.plans.network_plans import LINES, lines
 from viatrix.plans.registry import register
 from viatrix.plans.relational_plans import SITES, sites
 from viatrix.session import table
@@ -31,26 +32,6 @@ def steps(s):
     return a.join(g.withColumnRenamed("speed", "sb"), ["row", "col"]).select(F.lit(0).alias("graph_id"), "u", (C("row") * 100 + C("col")).alias("v"), ((50 / C("sa") + 50 / C("sb")) * C("far")).alias("w"))
 
 
-G7 = f"""WITH RECURSIVE {GRID}, t AS (SELECT u AS src, u AS node, 0.0::DOUBLE AS d, 0 AS hops FROM (SELECT DISTINCT u FROM step WHERE u IN (1, 305, 1010))
-  UNION SELECT t.src, step.v, min(t.d + w), t.hops + 1 FROM t JOIN step ON t.node = step.u WHERE hops < 30 GROUP BY t.src, step.v, t.hops)
-SELECT node, round(min(d), 6) AS time FROM t GROUP BY node"""
-
-
-@register("g7_grid_travel_times", G7)
-def g7(s, d):
-    e = steps(s)
-    sources = e.where(C("u").isin(1, 305, 1010)).select("graph_id", C("u").alias("src"), C("u").alias("node"), F.lit(0.0).alias("d")).distinct()
-    return N.min_plus(e, sources).groupBy("node").agg(F.round(F.min("d"), 6).alias("time"))
-
-
-@register("g7b_snap_to_fast_cell", f"WITH cell AS (SELECT r::INT AS row, c::INT AS col, ((r * 7 + c * 3) % 4 * 10)::DOUBLE AS speed FROM range({SIDE}) a(r) CROSS JOIN range({SIDE}) b(c)) SELECT a.row, a.col, arg_min(b.row * 100 + b.col, (b.row - a.row) * 10 + b.col - a.col) AS snapped FROM cell a JOIN cell b ON abs(a.row - b.row) <= 1 AND abs(a.col - b.col) <= 1 AND b.speed >= 30 WHERE a.speed = 0 GROUP BY ALL")
-def g7b(s, d):
-    around = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
-    a = grid(s).where("speed = 0").select(C("row").alias("r"), C("col").alias("c"), F.explode(around).alias("o")).withColumns({"row": C("r") + C("o.i"), "col": C("c") + C("o.j")})
-    x = a.join(grid(s).where("speed >= 30"), ["row", "col"])
-    return x.groupBy(C("r").alias("row"), C("c").alias("col")).agg(R.first_by(C("row") * 100 + C("col"), C("o.i") * 10 + C("o.j")).alias("snapped"))
-
-
 @register("g8_k_shortest_paths")
 def g8(s, d):
     e = D.edges(s).select(F.lit(0).alias("graph_id"), "u", "v", C("tt").cast("double").alias("w"))
@@ -58,48 +39,6 @@ def g8(s, d):
     return Q.k_shortest_simple(e, pairs, 2)
 
 
-@register("g9_obstacle_route", f"WITH RECURSIVE {GRID}, t AS (SELECT 1 AS node, 0.0::DOUBLE AS d, 0 AS hops UNION SELECT step.v, min(t.d + w), t.hops + 1 FROM t JOIN step ON t.node = step.u WHERE hops < 30 GROUP BY step.v, t.hops) SELECT 1 AS o, 1110 AS d, round(min(d), 6) AS cost FROM t WHERE node = 1110")
-def g9(s, d):
-    return N.shortest_paths(steps(s)).where("src = 1 and node = 1110").select(C("src").alias("o"), C("node").alias("d"), F.round("d", 6).alias("cost"))
-
-
-@register("k5_sections")
-def k5(s, d):
-    e = D.edges(s).where("u < v").select(F.lit(0).alias("network"), "u", "v", (1 + C("tt") % 2).alias("tracks"))
-    return Q.sections(e)
-
-
-K11 = """WITH s AS (SELECT s_suppkey AS id, (1 + s_suppkey % 3)::DOUBLE AS c, (s_suppkey % 11)::DOUBLE AS load FROM supplier)
-SELECT id, c + 0.5 * least(10, greatest(0, ceil((load + 2 - c * 3) / 1.5))) AS tracks, least(10, greatest(0, ceil((load + 2 - c * 3) / 1.5)))::INT AS rounds FROM s"""
-
-
-@register("k11_fix_point", K11)
-def k11(s, d):
-    x = table(s, d, "supplier").select(C("s_suppkey").alias("id"), (1 + C("s_suppkey") % 3).cast("double").alias("tracks"), (C("s_suppkey") % 11).cast("double").alias("load"), F.lit(0).alias("rounds"))
-    short = C("tracks") * 3 - C("load") < 2.0
-    for _ in range(10):  # half a track a round where capacity falls short; independent sections, so no table is cut
-        x = x.select("id", F.when(short, C("tracks") + 0.5).otherwise(C("tracks")).alias("tracks"), "load", F.when(short, C("rounds") + 1).otherwise(C("rounds")).alias("rounds"))
-    return x.select("id", "tracks", "rounds")
-
-
-@register("n6_inward_development")
-def n6(s, d):
-    z = table(s, d, "supplier").select(C("s_suppkey").alias("zone"), F.abs("s_acctbal").alias("potential"))
-    x = z.select("zone", "potential", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(4).cast("long"))).alias("scenario"))
-    return Q.inward_development(x.withColumns({"target": F.lit(20000.0) + C("scenario") * 1000, "draw": S.draw(C("scenario"), C("zone"), 11)}))
-
-
-@register("v8_logit_assignment")
-def v8(s, d):
-    """Method of successive averages: flows split by logit on two routes' loaded times, ten rounds."""
-    x = D.trips(s, d).where("o <> d").select("o", "d", "trips", (5.0 + (C("o") * 3 + C("d")) % 7).alias("t1"), (6.0 + (C("o") + C("d") * 5) % 5).alias("t2"), F.lit(0.5).alias("share"))
-    for k in range(1, 11):
-        one = V.bpr(C("t1"), C("trips") * C("share"), F.lit(2000.0))
-        two = V.bpr(C("t2"), C("trips") * (1 - C("share")), F.lit(2000.0))
-        x = x.withColumn("share", C("share") + (1 / (1 + F.exp(F.least(F.lit(50.0), one - two))) - C("share")) / k)
-    return x.select("o", "d", "trips", "share")
-
-
 E1 = "WITH p AS (SELECT user_id, event_id, value, lag(value) OVER w AS before FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)) SELECT user_id, count(before) AS n, round(avg(abs(value - before) / 50), 8) AS mean_slope, (coalesce(avg(abs(value - before) / 50) > 0.05, FALSE) OR count(*) FILTER (WHERE abs(value - before) / 50 < 0.05) > 40) AS check_needed FROM p GROUP BY user_id"
 
 
@@ -167,15 +106,15 @@ def f14(s, d):
     return sites(s, d).where("id < 10").agg((F.min("x") - 5).alias("west"), (F.max("x") + 5).alias("east"), (F.min("y") - 5).alias("south"), (F.max("y") + 5).alias("north"))
 
 
-@register("a9_collect_communes", "SELECT c_nationkey AS station, string_agg(c_custkey::VARCHAR, ',' ORDER BY c_custkey) AS communes FROM customer WHERE c_custkey % 10 = 0 GROUP BY ALL")
+@register("a9_collect_communes", "SELECT c_nationkey AS station, string_agg(c_custkey::VARCHAR, ',' ORDER BY c_custkey) AS communes FROM customer GROUP BY ALL")
 def a9(s, d):
-    x = table(s, d, "customer").where("c_custkey % 10 = 0").groupBy(C("c_nationkey").alias("station")).agg(F.array_sort(F.collect_list("c_custkey")).alias("c"))
+    x = table(s, d, "customer").groupBy(C("c_nationkey").alias("station")).agg(F.array_sort(F.collect_list("c_custkey")).alias("c"))
     return x.select("station", F.array_join(C("c").cast("array<string>"), ",").alias("communes"))
 
 
-@register("a10_set_containment", f"WITH {D.SERVICES}, n AS (SELECT DISTINCT service, from_node AS node FROM services WHERE from_node * to_node % 7 = 3) SELECT DISTINCT service FROM n WHERE NOT EXISTS (SELECT 1 FROM n m WHERE m.service = n.service AND m.node > 22)")
+@register("a10_set_containment", f"WITH {D.TOPO}, {LINES}, n AS (SELECT service, u AS node FROM m UNION SELECT service, v FROM m) SELECT DISTINCT service FROM n WHERE NOT EXISTS (SELECT 1 FROM n m WHERE m.service = n.service AND m.node > 22)")
 def a10(s, d):
-    n = D.services(s, d).where("from_node * to_node % 7 = 3").select("service", C("from_node").alias("node")).distinct()
+    n = lines(s).select("service", F.explode(F.array("u", "v")).alias("node")).distinct()
     return n.join(n.where("node > 22").select("service"), "service", "left_anti").select("service").distinct()
 
 

@@ -43,7 +43,7 @@ def j17(s, d):
     return x.groupBy("u", "v", "class").agg(F.count(F.lit(1)).alias("crossings"))
 
 
-J25 = f"""WITH {D.CELLS}, plots AS (SELECT p_partkey AS plot, (p_partkey % 90)::DOUBLE + 0.25 AS x0, (p_partkey * 7 % 90)::DOUBLE + 0.5 AS y0, (p_partkey % 90)::DOUBLE + 0.25 + 1 + p_size % 4 AS x1, (p_partkey * 7 % 90)::DOUBLE + 1.25 + p_size % 3 AS y1 FROM part WHERE p_partkey % 4 = 0)
+J25 = f"""WITH {D.CELLS}, plots AS (SELECT p_partkey AS plot, (p_partkey % 90)::DOUBLE + 0.25 AS x0, (p_partkey * 7 % 90)::DOUBLE + 0.5 AS y0, (p_partkey % 90)::DOUBLE + 0.25 + 1 + p_size % 4 AS x1, (p_partkey * 7 % 90)::DOUBLE + 1.25 + p_size % 3 AS y1 FROM part)
 SELECT plot, round(sum(value * (least("row" + 1, x1) - greatest("row", x0)) * (least(col + 1, y1) - greatest(col, y0))), 6) AS potential
 FROM plots JOIN cells ON "row" + 1 > x0 AND "row" < x1 AND col + 1 > y0 AND col < y1 GROUP BY plot"""
 
@@ -52,7 +52,7 @@ FROM plots JOIN cells ON "row" + 1 > x0 AND "row" < x1 AND col + 1 > y0 AND col
 def j25(s, d):
     k = C("p_partkey")
     x, y = (k % 90).cast("double") + 0.25, (k * 7 % 90).cast("double") + 0.5
-    plots = table(s, d, "part").where("p_partkey % 4 = 0").select(k.alias("plot"), x.alias("x0"), y.alias("y0"), (x + 1 + C("p_size") % 4).alias("x1"), (y + 0.75 + C("p_size") % 3).alias("y1"))
+    plots = table(s, d, "part").select(k.alias("plot"), x.alias("x0"), y.alias("y0"), (x + 1 + C("p_size") % 4).alias("x1"), (y + 0.75 + C("p_size") % 3).alias("y1"))
     x = G.covered_cells(plots, "plot").join(D.cells(s, d), ["row", "col"])
     return x.groupBy("plot").agg(F.round(F.sum(C("value") * C("share")), 6).alias("potential"))
 
@@ -147,31 +147,6 @@ def t1(s, d):
     return x.orderBy("o_orderpriority", "place")
 
 
-G2 = f"""WITH RECURSIVE {D.EDGES}, g AS (SELECT n_nationkey % 3 AS graph_id, u, v, tt + (n_nationkey % 3) * ((u + v) % 3) AS w FROM edges JOIN (SELECT DISTINCT n_nationkey % 3 AS n_nationkey FROM nation) ON true),
-walk AS (SELECT graph_id, u AS src, v AS node, w AS d, 1 AS hops FROM g WHERE u IN (0, 9)
-  UNION SELECT k.graph_id, k.src, g.v, min(k.d + g.w)::INT, k.hops + 1 FROM walk k JOIN g ON k.graph_id = g.graph_id AND k.node = g.u WHERE k.hops < 24 GROUP BY k.graph_id, k.src, g.v, k.hops)
-SELECT graph_id::INT AS graph_id, src, node, min(d)::DOUBLE AS d FROM walk WHERE src <> node GROUP BY ALL"""
-
-
-@register("g2_many_graphs", G2)
-def g2(s, d):
-    g = D.edges(s).withColumn("graph_id", F.explode(F.sequence(F.lit(0), F.lit(2)))).select("graph_id", "u", "v", (C("tt") + C("graph_id") * ((C("u") + C("v")) % 3)).cast("double").alias("w"))
-    return N.shortest_paths(g).where("src in (0, 9) and src <> node").select("graph_id", "src", "node", "d")
-
-
-G11 = f"""WITH {D.CELLS}, n AS (SELECT "row" * 100 + col AS id, "row" * 3.7 AS x, col * 3.1 AS y FROM cells WHERE ("row" * 7 + col) % 3 = 0),
-l AS (SELECT a.id AS u, b.id AS v, sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2)) AS gap FROM n a JOIN n b ON a.id < b.id AND sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2)) <= 15)
-SELECT u, v, round(gap, 6) AS length, round(gap / 1000, 6) AS minutes FROM l"""
-
-
-@register("g11_bridged_gaps", G11)
-def g11(s, d):
-    """Ends of lines no farther apart than a gap are joined; minutes at 60 km/h."""
-    n = D.cells(s, d).where("(row * 7 + col) % 3 = 0").select((C("row") * 100 + C("col")).alias("id"), (C("row") * 3.7).alias("x"), (C("col") * 3.1).alias("y"))
-    x = R.distance_join(n.select(C("id").alias("u"), C("x").alias("ax"), C("y").alias("ay")), n.select(C("id").alias("v"), C("x").alias("bx"), C("y").alias("by")), 15.0).where("u < v")
-    return x.select("u", "v", F.round("distance", 6).alias("length"), F.round(C("distance") / 1000, 6).alias("minutes"))
-
-
 G15 = f"""WITH {D.EDGES}, {SITES}, l AS (SELECT 101000 + i AS dev_id, [i, (i + 1) % 25, (i + 9) % 25, (i + 10) % 25] AS path FROM range(0, 25, 4) r(i)), h AS (SELECT dev_id, path, unnest(range(1, 4)) AS k FROM l),
 p AS (SELECT dev_id, k - 1 AS hop, path[k]::INT AS from_node, path[k + 1]::INT AS to_node FROM h)
 SELECT dev_id, hop::INT AS hop, from_node, to_node, round(coalesce((SELECT min(tt) FROM edges WHERE u = least(from_node, to_node) AND v = greatest(from_node, to_node)), sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2)) / 10), 6) AS time
@@ -226,19 +201,6 @@ def g18(s, d):
     return parts.groupBy("u", "v").agg(F.count(F.lit(1)).alias("n_parts"), F.round(F.min("to_at"), 6).alias("first_cut"))
 
 
-K1 = f"""WITH {D.EDGES}, {SITES}, inside AS (SELECT id FROM sites WHERE x BETWEEN 10 AND 70 AND y BETWEEN 10 AND 80), served AS (SELECT DISTINCT unnest([u, v]) AS id FROM edges WHERE u % 3 <> 1 AND v % 3 <> 1)
-SELECT id, CASE WHEN served.id IS NULL THEN '[NEW] ' ELSE '' END || n_name AS name FROM inside LEFT JOIN served USING (id) JOIN nation ON id = n_nationkey"""
-
-
-@register("k1_corridor_nodes", K1)
-def k1(s, d):
-    """Stations of the corridor; those that no service of the base network reaches are marked."""
-    inside = sites(s, d).where(C("x").between(10, 70) & C("y").between(10, 80)).select("id")
-    served = D.edges(s).where("u % 3 <> 1 and v % 3 <> 1").select(F.explode(F.array("u", "v")).alias("id")).distinct().withColumn("served", F.lit(True))
-    x = inside.join(served, "id", "left").join(table(s, d, "nation").select(C("n_nationkey").alias("id"), "n_name"), "id")
-    return x.select("id", F.concat(F.when(C("served").isNull(), "[NEW] ").otherwise(""), "n_name").alias("name"))
-
-
 K7 = """WITH t AS (SELECT s_suppkey AS id, 4 + s_suppkey % 9 AS tracks, (5 + s_suppkey % 20)::DOUBLE AS s, (3 + s_suppkey % 9)::DOUBLE AS p, s_suppkey % 6 AS a, s_suppkey % 4 AS b, (s_suppkey % 40)::DOUBLE AS st, (s_suppkey * 3 % 40)::DOUBLE AS pt FROM supplier),
 x AS (SELECT *, CASE WHEN a > 0 AND b > 0 AND (st > 20) <> (pt > 20) THEN 20 + floor(60 / (3 + least(1, a + b - 1) / (a + b) * greatest(0, s - p - 3))) ELSE 40 END AS block FROM t)
 SELECT id, tracks::INT AS tracks, tracks // 4 * block + [0.0, 30 / p, 20.0, 20 + 30 / p][1 + tracks % 4] AS capacity FROM x"""
@@ -275,14 +237,6 @@ def p6(s, d):
     return b.where("network <> '1'").join(q, "year").select("network", "year", *[F.round(c, 4).alias(c) for c in ("mean", "low", "high")], F.round(C("mean") - C("today"), 4).alias("change"))
 
 
-@register("k5_pattern_sections")
-def k5b(s, d):
-    """Sections of equal tracks, cut where a service changes how it stops; tested by worked cases."""
-    e = D.edges(s).where("u < v").select(F.lit(0).alias("network"), "u", "v", (1 + C("tt") % 2).alias("tracks"))
-    calls = D.services(s, d).where("(from_node + length(service) + ascii(service)) % 3 <> 0").select(F.lit(0).alias("network"), C("from_node").alias("node"), "service")
-    return L.split_by_pattern(L.section_paths(Q.sections(e)), calls).select("section", "part", F.array_join(C("path").cast("array<string>"), "-").alias("nodes"))
-
-
 @register("s5_geometry_texts", "SELECT s_suppkey, 3::BIGINT AS n_points, round(sqrt(pow(s_suppkey + 0.5 - 1, 2) + pow(s_acctbal - 2, 2)) + sqrt(pow(s_suppkey + 0.5, 2) + pow(s_acctbal + 7.25, 2)), 6) AS length FROM supplier")
 def s5(s, d):
     text = F.concat(F.lit("LINESTRING Z (1 2 9.5, "), C("s_suppkey") + 0.5, F.lit(" "), C("s_acctbal"), F.lit(" 8, 0 -7.25 7)"))

@@ -1,11 +1,14 @@
 """Sources and sinks of appraisal tables."""
 
 import re
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import DoubleType, FloatType, IntegerType, LongType, StringType, StructField, StructType
 
+from viatrix.session import shared_dir
+
 #: fixed values: networks by name
 NETWORKS = {"AK_2035": "services_ak_2035", "AK_2035_extended": "services_ak_2035_extended", "current": "services_current", "2024_extended": "services_2024_extended"}
 #: fixed values: what stands for "no value" in files
@@ -19,14 +22,28 @@ def network_name(network: str) -> str:
     return NETWORKS[network]
 
 
+#: folders of results by what a label names
+PLACES = {"development": "developments/dev_id={}", "enhanced": "enhanced/network={}", "network": "baseline/network={}"}
+
+
+def parsed_label(label: str) -> tuple[str, str]:
+    """(kind, id) that a label names: a development with its number, or a network, enhanced or as it is."""
+    words = [w for w in re.split(r"[^A-Za-z0-9-]", label) if w]
+    for word, number in zip(words, words[1:]):
+        if word == "dev" and number.isdecimal():
+            return "development", number
+    return "enhanced" if "enhanced" in words else "network", "_".join(words) or "current"
+
+
 def result_path(root: str, label: str) -> str:
-    """Where a network's capacity tables stand: by development, enhanced or as it is, told from the label."""
-    safe = re.sub(r"[^\w-]+", "_", label).strip("_") or "current"
-    if found := re.search(r"_dev_(\d+)", safe):
-        kind = f"developments/dev_id={found[1]}"
-    else:
-        kind = ("enhanced" if "_enhanced" in safe else "baseline") + f"/network={safe}"
-    return f"{root.rstrip('/')}/{kind}"
+    """Where the capacity tables of what a label names stand."""
+    kind, name = parsed_label(label)
+    return "/".join([root.rstrip("/"), PLACES[kind].format(name)])
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder's path under the shared one."""
+    return f"{shared_dir(spark)}/files/{name}-{uuid.uuid4().hex}"
 
 
 def read_csv(spark: SparkSession, path: str, schema: StructType, **options) -> DataFrame:
@@ -48,7 +65,7 @@ def read_swiss_csv(spark: SparkSession, path: str, schema: StructType, encoding:
 
 
 def read_numbered(spark: SparkSession, glob: str, pattern: str, name: str, **options) -> DataFrame:
-    """CSV files of one folder, with the number that the file name holds as a column."""
+    """CSV files of one folder, with the number that the file name holds as a column; null where it holds none."""
     return spark.read.csv(glob, **options).withColumn(name, F.regexp_extract(F.input_file_name(), pattern, 1).try_cast("int"))
 
 
