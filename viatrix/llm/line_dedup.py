@@ -83,7 +83,8 @@ def dedup_lines(docs: DataFrame, run_lines: int = 2) -> DataFrame:
     lines = F.split("text", "\n")
     # numbers of deleted lines as flags: a lookup a line, not a scan
     kept = F.filter(lines, lambda _, i: ~F.coalesce(F.get(F.col(flags), i), F.lit(False)))
-    marked = docs.join(cut, docs["doc_id"] == cut[key], "left")
+    # texts move once at every size; runs are as many as the corpus makes them, so they are never sent to all
+    marked = docs.join(cut.hint("merge"), docs["doc_id"] == cut[key], "left")
     gaps = F.zip_with(
         F.col(gone),
         F.concat(F.array(F.lit(-1)), F.slice(gone, 1, F.array_size(gone) - 1)),
