@@ -83,3 +83,22 @@ def test_plain_csv(spark, tmp_path):
     (tmp_path / "a.csv").write_text("id,x\n1,2.5\n")
     schema = StructType([StructField("id", IntegerType()), StructField("x", DoubleType())])
     assert [tuple(r) for r in readers.read_csv(spark, str(tmp_path / "a.csv"), schema).collect()] == [(1, 2.5)]
+
+
+def test_workbook(spark, tmp_path):
+    """Shared and own texts, gaps between cells, several books, and sheets found by name."""
+    import zipfile
+
+    from viatrix.sources import workbooks
+
+    (tmp_path / "a.xlsx").write_bytes(workbooks.workbook({"One": [["x"]], "Two & more": [[], ["b", "a"], ["2.5", 1], [None, 3], [], ["-99", "x"]]}))
+    main, link = workbooks.MAIN, workbooks.LINK
+    with zipfile.ZipFile(tmp_path / "b.xlsx", "w") as z:
+        z.writestr("xl/workbook.xml", f'<workbook xmlns="{main}" xmlns:r="{link}"><sheets><sheet name="Two &amp; more" sheetId="1" r:id="q"/></sheets></workbook>')
+        z.writestr("xl/_rels/workbook.xml.rels", '<Relationships><Relationship Id="q" Target="/xl/worksheets/s.xml"/></Relationships>')
+        z.writestr("xl/sharedStrings.xml", f'<sst xmlns="{main}"><si><t>a</t></si><si><r><t>b</t></r><r><t/></r></si></sst>')
+        z.writestr("xl/worksheets/s.xml", f'<worksheet xmlns="{main}"><sheetData><row r="2"><c r="A2" t="s"><v>0</v></c><c r="AB2" t="s"><v>1</v></c></row><row r="3"><c r="AB3"><v>7</v></c><c r="A3"><v>9</v></c></row></sheetData></worksheet>')
+    schema = StructType([StructField("a", IntegerType()), StructField("b", DoubleType()), StructField("c", StringType())])
+    got = readers.read_workbook(spark, str(tmp_path / "*.xlsx"), "Two & more", schema, 1)
+    assert sorted(map(tuple, got.collect()), key=str) == sorted([(1, 2.5, None), (3, None, None), (None, None, None), (9, 7.0, None)], key=str)
+    assert [workbooks.column_number(x) for x in ("A1", "Z9", "AA10", "BC2")] == [0, 25, 26, 54]

@@ -6,7 +6,7 @@ from viatrix.functions import exprs as X
 from viatrix.operators import network as N, relational as R, scenarios as S, value as V
 from viatrix.plans import domain as D
 from viatrix.plans.registry import register
-from viatrix.session import table
+from viatrix.session import saved, table
 
 C = F.col
 #: brands that stand for developments in the flagship
@@ -57,7 +57,7 @@ def total_times(s, d):
 
 @register("flagship_developments", FLAGSHIP)
 def flagship(s, d):
-    hours = total_times(s, d).cache()
+    hours = saved(total_times(s, d))  # a row a network
     today = hours.where("graph_id = 'sq'").select(C("hours").alias("today"))
     benefit = hours.where("graph_id <> 'sq'").join(F.broadcast(today))  # one row
     benefit = benefit.select(C("graph_id").alias("dev"), F.lit("base").alias("scenario"), F.explode(F.sequence(F.lit(1995), F.lit(2001))).alias("year"), V.savings(C("today"), C("hours"))[1].alias("b"))
@@ -198,7 +198,7 @@ def v1(s, d):
 
 @register("v2_savings", FLAGSHIP[: FLAGSHIP.index("cost AS (SELECT p_brand")].rstrip().rstrip(",") + " SELECT t.g AS dev, round(q.hours - t.hours, 4) AS daily, round((q.hours - t.hours) * 365 * 14.8, 2) AS yearly FROM ttt t JOIN ttt q ON q.g = 'sq' WHERE t.g <> 'sq'")
 def v2(s, d):
-    h = total_times(s, d)
+    h = saved(total_times(s, d))
     today = h.where("graph_id = 'sq'").select(C("hours").alias("today"))
     daily, yearly = V.savings(C("today"), C("hours"))
     return h.where("graph_id <> 'sq'").join(F.broadcast(today)).select(C("graph_id").alias("dev"), F.round(daily, 4).alias("daily"), F.round(yearly, 2).alias("yearly"))

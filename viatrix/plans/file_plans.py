@@ -1,4 +1,4 @@
-"""Queries that write files of the domain's dialects and read them again (S1, S2, S7, S9-S13), and network variants (S15)."""
+"""Queries that write files of the domain's dialects and read them again (S1, S2, S4, S7, S9-S13), and network variants (S15)."""
 
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType
@@ -31,6 +31,15 @@ def s2(s, d):
     return readers.read_csv(s, path, schema(c_custkey=LongType, c_mktsegment=StringType, c_acctbal=DoubleType))
 
 
+@register("s4_workbook_sheet", "SELECT n_nationkey, n_name, n_regionkey * 1.5 AS share FROM nation")
+def s4(s, d):
+    """A sheet whose table begins below five lines of remarks; the workbook has another sheet too."""
+    rows = [[r.n_nationkey, r.n_name, r.n_regionkey * 1.5, "remark"] for r in table(s, d, "nation").collect()]  # 25 stations
+    sheets = {"Notes": [["nothing here"]], "Population": [["remarks"], [], ["more"], [], [], ["n_nationkey", "n_name", "share", "other"], *rows]}
+    readers.write_workbook(s, path := f"{readers.scratch(s, 'workbook')}/communes.xlsx", sheets)
+    return readers.read_workbook(s, path, "Population", schema(n_nationkey=LongType, n_name=StringType, share=DoubleType), 5)
+
+
 @register("s7_elevation_grid", f'WITH {D.CELLS}, o AS (SELECT min("row") AS r, min(col) AS c FROM cells) SELECT 2600000.0 + "row" * 10 AS x, 1200000.0 + col * 10 AS y, round(value, 3) AS z FROM cells, o WHERE ("row" - r) % 5 = 0 AND (col - c) % 5 = 0')
 def s7(s, d):
     """Points of a ten-metre model, of which every fifth row and column is read."""
@@ -48,7 +57,7 @@ def s9(s, d):
     return readers.read_numbered(s, f"{path}/*", r"dev(\d+)_", "dev", header=True, schema="p_partkey long, p_retailprice double")
 
 
-@register("s10_cached_table", f"WITH {D.PANEL} SELECT district, year, value, 1 AS built FROM panel")
+@register("s10_cached_table", f"WITH {D.PANEL} SELECT district, year, round(value, 2) AS value, 1 AS built FROM panel")
 def s10(s, d):
     """Built when asked for first, read after that, and built again when the cache is not to be used."""
     path, calls = readers.scratch(s, "cache"), []
@@ -59,7 +68,7 @@ def s10(s, d):
 
     for use in (True, True):
         out = readers.cached(s, path, build, use)
-    return out.withColumn("built", F.lit(len(calls)))
+    return out.select("district", "year", F.round("value", 2).alias("value"), F.lit(len(calls)).alias("built"))
 
 
 @register("s11_file_for_each", f"WITH {D.EDGES} SELECT k AS dev_id, u, v, tt + k AS tt FROM edges CROSS JOIN range(4) r(k) WHERE k <> 2")

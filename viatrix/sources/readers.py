@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import DoubleType, FloatType, IntegerType, LongType, StringType, StructField, StructType
 
 from viatrix.session import shared_dir
+from viatrix.sources import workbooks
 
 #: fixed values: networks by name
 NETWORKS = {"AK_2035": "services_ak_2035", "AK_2035_extended": "services_ak_2035_extended", "current": "services_current", "2024_extended": "services_2024_extended"}
@@ -64,6 +65,21 @@ def read_swiss_csv(spark: SparkSession, path: str, schema: StructType, encoding:
     return df.select(*columns)
 
 
+def read_workbook(spark: SparkSession, path: str, sheet: str, schema: StructType, header: int = 0) -> DataFrame:
+    """A sheet's table below its header in line ``header`` (from 0), one task a workbook; what can't be read as its type is null."""
+    names = schema.names
+    texts = spark.read.format("binaryFile").load(path).select("content").mapInPandas(workbooks.rows_of(sheet, names, header), StructType([StructField(n, StringType()) for n in names]))
+    return texts.select(*[F.when(~F.trim(f.name).isin(*SENTINELS), F.trim(f.name)).try_cast(f.dataType).alias(f.name) for f in schema])
+
+
+def write_workbook(spark: SparkSession, path: str, sheets: dict[str, list[list]]) -> None:
+    """Small tables as the sheets of a workbook, at any path that Spark's file systems reach."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = at.getFileSystem(spark._jsc.hadoopConfiguration()).create(at, True)
+    out.write(workbooks.workbook(sheets))
+    out.close()
+
+
 def read_numbered(spark: SparkSession, glob: str, pattern: str, name: str, **options) -> DataFrame:
     """CSV files of one folder, with the number that the file name holds as a column; null where it holds none."""
     return spark.read.csv(glob, **options).withColumn(name, F.regexp_extract(F.input_file_name(), pattern, 1).try_cast("int"))
