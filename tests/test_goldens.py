@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from viatrix.functions import exprs as X
-from viatrix.operators import graph_search as Q, network as N, relational as R, scenarios as S, sections as L, spatial as G, value as V
+from viatrix.operators import assignment as A, graph_search as Q, network as N, relational as R, scenarios as S, sections as L, spatial as G, value as V
 
 C = F.col
 
@@ -201,3 +201,19 @@ def test_service_cells(spark):
     assert [tuple(x) for x in row[0]] == [("S5", 6.0), ("S14", 2.5), ("X", 0.0)]
     assert [tuple(x) for x in row[1]] == [("S5", "A", 7.0), ("S5", "B", 2.5)]
     assert row[2] == ["IC", "S9"] and row[3] == [] and row[4] == []
+
+
+def test_logit_assignment(spark):
+    """Two routes with nothing in common against the same steps in plain numbers; a lone route takes all."""
+    import math
+
+    routes = spark.createDataFrame([(1, 4, 1, [1, 2, 4]), (1, 4, 2, [1, 3, 4]), (2, 4, 1, [2, 4])], "o int, d int, nth int, path array<int>")
+    links = spark.createDataFrame([(1, 2, 5.0, 50.0), (2, 4, 5.0, 80.0), (1, 3, 6.0, 60.0), (3, 4, 6.0, 60.0)], "u int, v int, free double, capacity double")
+    trips = spark.createDataFrame([(1, 4, 100.0), (2, 4, 30.0)], "o int, d int, trips double")
+    got = {(r.o, r.nth): r.share for r in A.logit_assignment(routes, links, trips, 0.3, 6).collect()}
+    x, time = 0.5, lambda free, load, cap: free * (1 + 0.25 * (load / cap) ** 2.4)
+    for k in range(1, 7):
+        one = time(5, 100 * x, 50) + time(5, 100 * x + 30, 80)
+        two = time(6, 100 * (1 - x), 60) * 2
+        x += (1 / (1 + math.exp(0.3 * (one - two))) - x) / k
+    assert got[2, 1] == 1.0 and abs(got[1, 1] - x) < 1e-9 and abs(got[1, 1] + got[1, 2] - 1) < 1e-9
