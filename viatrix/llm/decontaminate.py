@@ -26,7 +26,7 @@ RADIUS = BLOCKS * (NEAR + 1) - 1
 #: two bits are counted in one sum, in lanes of 32 bits: more than the words of any text
 LANES = 0x0000000100000001
 #: rows of a table that is sent to all executors; a longer one is joined by shuffle
-SMALL = 500_000
+SMALL = 100_000
 
 
 def words_of(text: Column) -> Column:
@@ -103,7 +103,8 @@ def window_prints(docs: DataFrame, stretches: DataFrame, cuts: Cuts) -> DataFram
     ends = windows.select(*doc, "size", "many", "start", F.explode(ends).alias("e")).select(*doc, "size", "many", "start", "e.*")
     # the sums before the first word go off those up to the last
     part = [F.when(F.col("sign") > 0, F.col(f"s{b}")).otherwise(x - F.col(f"s{b}")).alias(f"s{b}") for b, x in enumerate(lanes(F.col("h")))]
-    both = ends.join(sums, [*doc, "at"]).select(*doc, "size", "many", "start", *part)
+    # few stretches make many ends, which no estimate foresees: never sent to all executors
+    both = ends.hint("merge").join(sums, [*doc, "at"]).select(*doc, "size", "many", "start", *part)
     key = [*doc, "size", "many", "start"]
     counted = both.groupBy(*key).agg(*[F.sum(f"s{b}").alias(f"s{b}") for b in range(32)])
     return cuts.cut(counted.select(*key, fingerprint([F.col(f"s{b}") for b in range(32)], F.col("many")).alias("fingerprint")))
@@ -115,14 +116,15 @@ def leaks(docs: DataFrame, benchmark: DataFrame, k: int = 5, numerator: int = 75
     docs (doc_id, text) and benchmark (item_id, text) may have any other columns. Null, empty and blank
     texts and items match nothing. Items of fewer than k words are found where their whole word
     sequence stands. Rows with one doc_id or item_id and unlike texts are taken as versions of one, and rows that
-    repeat altogether count once. Empty tables give an empty result.
+    repeat altogether count once; rows without an id are left out. Empty tables give an empty result.
     """
     cuts = Cuts(docs.sparkSession, "leaks")
-    items = benchmark.select("item_id", words_of(F.col("text")).alias("words")).where(F.array_size("words") > 0).distinct()
+    items = benchmark.select("item_id", words_of(F.col("text")).alias("words")).where(F.array_size("words") > 0).where("item_id is not null").distinct()
     items = cuts.cut(items.select("item_id", "words", F.xxhash64("words").alias("version"), F.array_size("words").alias("size"), F.least(F.array_size("words"), F.lit(k)).alias("k")))
     ks = sorted(r["k"] for r in items.select("k").distinct().collect())  # k values at most
-    docs = docs.select("doc_id", "text", F.xxhash64("text").alias("v")).where("text is not null")
+    docs = docs.select("doc_id", "text", F.xxhash64("text").alias("v")).where("text is not null and doc_id is not null")
     split = docs.select("doc_id", "v", words_of(F.col("text")).alias("all"))  # a column of its own: made once a row
+    split = split.select("doc_id", "v", "all", F.array_size("all").alias("words"))  # no list goes along with what is exploded
     item, doc = ["item_id", "version"], ["doc_id", "v"]
 
     def sent(frame: DataFrame) -> DataFrame:
@@ -131,7 +133,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, k: int = 5, numerator: int = 75
     found = None
     for n in ks:  # one pass, and another for each length of items shorter than k
         sized = cuts.cut(items.where(F.col("k") == n).select("size", F.explode(shingles(F.col("words"), n)).alias("h")).distinct())
-        place = split.select(*doc, F.array_size("all").alias("words"), F.posexplode(shingles(F.col("all"), n)).alias("p", "h"))
+        place = split.select(*doc, "words", F.posexplode(shingles(F.col("all"), n)).alias("p", "h"))
         many = F.least("size", "words")
         hits = place.join(sent(sized), "h").select(*doc, "size", many.alias("many"), F.lit(n).alias("k"), F.greatest(F.lit(0), F.col("p") + n - many).alias("lo"), F.least(F.col("p"), F.col("words") - many).alias("hi"))
         found = hits if found is None else found.union(hits)
