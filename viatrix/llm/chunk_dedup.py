@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from viatrix.llm.store import Cuts
+from viatrix.llm.store import Cuts, fresh
 from viatrix.llm.words import Hasher, slices, strings
 
 LEAST, MOST, BITS = 16, 96, 5
@@ -64,24 +64,26 @@ def chunks(docs: DataFrame) -> DataFrame:
 def repeats(docs: DataFrame, span: int = 100) -> DataFrame:
     """(doc_id, start, end, first_doc_id, n_chunks): repeated spans in bytes, with the smallest document that has the first chunk.
 
-    Only docs' doc_id (a key) and text are read. Null and empty texts have no chunks. first_doc_id is
+    Only docs' doc_id (a key) and text are read; rows repeated altogether stand for one. Null and empty texts have no chunks. first_doc_id is
     doc_id itself where a passage stands sooner in the same document alone. An empty table gives an empty result.
     """
     cuts = Cuts(docs.sparkSession, "chunks")
     first = chunks(docs).groupBy("d1", "d2").agg(F.min(F.struct("doc_id", "start")).alias("m"), F.count(F.lit(1)).alias("copies")).where("copies > 1")
     first = first.select("d1", "d2", F.col("m.doc_id").alias("first_doc_id"), F.col("m.start").alias("first_start"))
+    # chunks are made twice: they take less time than a table of all of them takes room
     again = cuts.cut(chunks(docs).join(first, ["d1", "d2"]).where("doc_id > first_doc_id or start > first_start").select("doc_id", "start", "length", "first_doc_id"))
     w = Window.partitionBy("doc_id").orderBy("start")  # a document's own chunks
-    begun = F.when(F.lag(F.col("start") + F.col("length")).over(w) == F.col("start"), 0).otherwise(1)
-    runs = again.withColumn("begun", begun).withColumn("run", F.sum("begun").over(w))
-    runs = runs.groupBy("doc_id", "run").agg(F.min("start").alias("start"), F.max(F.col("start") + F.col("length")).alias("end"), F.min(F.struct("start", "first_doc_id")).alias("m"), F.count(F.lit(1)).alias("n_chunks"))
+    begun = F.when(F.lag(F.col("start") + F.col("length")).over(w) >= F.col("start"), 0).otherwise(1)
+    same = F.coalesce(F.lag("start").over(w) == F.col("start"), F.lit(False))  # of repeated rows
+    runs = again.withColumns({"begun": begun, "same": same}).withColumn("run", F.sum("begun").over(w))
+    runs = runs.groupBy("doc_id", "run").agg(F.min("start").alias("start"), F.max(F.col("start") + F.col("length")).alias("end"), F.min(F.struct("start", "first_doc_id")).alias("m"), F.count(F.when(~F.col("same"), 1)).alias("n_chunks"))
     return runs.where(F.col("end") - F.col("start") >= span).select("doc_id", "start", "end", F.col("m.first_doc_id").alias("first_doc_id"), "n_chunks")
 
 
 def without(docs: DataFrame, spans: DataFrame) -> DataFrame:
     """docs with the spans (doc_id, start, end; in bytes, apart) cut out of text."""
-    cut = spans.groupBy(F.col("doc_id").alias("_id")).agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("_spans"))
-    names = docs.columns
+    key, of, names = fresh("key", docs.columns), fresh("spans", docs.columns), docs.columns
+    cut = spans.groupBy(F.col("doc_id").alias(key)).agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias(of))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = names.index("text")
@@ -98,4 +100,4 @@ def without(docs: DataFrame, spans: DataFrame) -> DataFrame:
                 out.append(text)
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.string()) if i == at else batch.column(i) for i in range(len(names))], names=names)
 
-    return docs.join(cut, docs["doc_id"] == cut["_id"], "left").select(*names, "_spans").mapInArrow(run, docs.schema)
+    return docs.join(cut, docs["doc_id"] == cut[key], "left").select(*names, of).mapInArrow(run, docs.schema)

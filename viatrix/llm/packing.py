@@ -219,12 +219,13 @@ def token_pieces(docs: DataFrame, path: str, capacity: int, end_id: int) -> Data
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import sys
+        import types
         import zlib
 
         from pyspark import TaskContext
 
-        # kept between the tasks of a Python worker, on a module that outlives them
-        cache = sys.modules["zlib"].__dict__.setdefault("viatrix_encoders", {})
+        # kept between the tasks of a Python worker, in a module made for it
+        cache = vars(sys.modules.setdefault("_viatrix_encoders", types.ModuleType("_viatrix_encoders")))
         encoder, part = cache.setdefault(path, None) or Encoder(path), TaskContext.get().partitionId()
         cache[path] = encoder
         seen = np.zeros(capacity + 1, np.int64)

@@ -49,7 +49,9 @@ def described(column: pa.Array, hasher: Hasher) -> tuple[np.ndarray, np.ndarray,
     size = np.maximum(np.diff(offsets), 1)
 
     def total(flags: np.ndarray) -> np.ndarray:
-        return np.concatenate([[0], np.cumsum(flags[data])])
+        out = np.zeros(len(data) + 1, np.int32 if len(data) < 2**31 else np.int64)
+        np.cumsum(flags[data], out=out[1:])
+        return out
 
     sums = {k: total(f) for k, f in (("upper", UPPER), ("lower", LOWER_), ("digit", DIGIT), ("symbol", SYMBOL), ("shout", SHOUT), ("bar", BAR), ("stop", STOP))}
     per = {k: np.diff(s[offsets]) for k, s in sums.items()}
