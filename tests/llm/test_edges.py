@@ -2,17 +2,39 @@
 
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
 from test_llm import PATH, sentence
-from viatrix.llm import chunk_dedup, decontaminate, embedding_dedup, html_extract, langid, line_dedup, ngram_join, packing, quality, toxicity
+from viatrix.llm import chunk_dedup, decontaminate, embedding_dedup, html_extract, langid, line_dedup, ngram_join, packing, quality, toxicity, words
 
 #: names that operators use inside, and the columns of documents
 NAMES = "doc_id long, text string, lang string, source string, n_chars long, key long, gone string, flags string, rep long, d2 long, v long, size string, words string, fold int, hub long"
 
 
+def test_words_in_blocks():
+    """Hashes of long texts, made block by block, are those made at once."""
+    r = random.Random(3)
+    texts = [sentence(r, n) for n in (400, 0, 3, 1, 900)] + ["x" * 500 + " y"]
+    data, offsets = words.strings(pa.array(texts))
+    starts, ends, first = words.split(data, offsets)
+    whole = words.Hasher().spans(data, starts, ends)
+    for block in (1, 7, 64, 5000):
+        assert (words.Hasher().spans(data, starts, ends, block) == whole).all()
+        for a, b in zip(words.shingle_hashes(whole, first, 5, block), words.shingle_hashes(whole, first, 5)):
+            assert (a == b).all()
+    assert len(words.shingle_hashes(np.zeros(0, np.uint64), np.array([0, 0]), 5)[0]) == 0
+
+
+def test_ends_in_blocks():
+    data = np.random.default_rng(4).integers(97, 123, 5_000).astype(np.uint8)
+    for block in (20, 100, 999):
+        assert (chunk_dedup.ends_of(data, block) == chunk_dedup.ends_of(data)).all()
+
+
 def rows(texts, langs=("en", None)):
     return [(i, t, langs[i % len(langs)], None, None, *[None] * 10) for i, t in texts]
 

@@ -20,8 +20,12 @@ from viatrix.llm.words import Hasher, slices, strings
 LEAST, MOST, BITS = 16, 96, 5
 
 
-def ends_of(data: np.ndarray) -> np.ndarray:
-    """Positions behind which a chunk may end: the gear hash of the last 16 bytes, in four doubling steps."""
+def ends_of(data: np.ndarray, block: int = 1 << 21) -> np.ndarray:
+    """Positions behind which a chunk may end: the gear hash of the last 16 bytes, in four doubling steps; long texts go block by block."""
+    if len(data) > block:
+        parts = [(lo, max(lo - 16, 0)) for lo in range(0, len(data), block)]
+        found = [(lo, a + ends_of(data[a : lo + block], 2 * block + 16)) for lo, a in parts]
+        return np.concatenate([x[x > lo] for lo, x in found])
     gear = np.random.default_rng(50).integers(0, 2**32, 256, dtype=np.uint32)
     h = gear[data]
     for step in (1, 2, 4, 8):

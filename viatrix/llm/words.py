@@ -39,8 +39,13 @@ class Hasher:
         self.codes = codes[LOWER] if lower else codes
         self.up = self.down = np.zeros(0, np.uint64)
 
-    def spans(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """64-bit hashes of data[start:end]."""
+    def spans(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, block: int = 1 << 21) -> np.ndarray:
+        """64-bit hashes of data[start:end], starts ascending; many bytes go block by block, so that sums stay small."""
+        if len(data) > block and len(starts):
+            cuts = np.searchsorted(starts, np.arange(0, len(data) + block, block)).tolist()
+            parts = [(i, j, int(starts[i]), int(ends[i:j].max())) for i, j in zip(cuts, cuts[1:]) if j > i]
+            if len(parts) > 1 or parts[0][3] - parts[0][2] < len(data):
+                return np.concatenate([self.spans(data[a:b], starts[i:j] - a, ends[i:j] - a, max(block, b - a)) for i, j, a, b in parts])
         n = len(data) + 1
         if len(self.up) < n:
             self.up, self.down = powers(P, n), powers(pow(P, -1, 2**64), n)
@@ -82,16 +87,20 @@ def slices(batches: Iterator[pa.RecordBatch], column: int, most: int = 500_000)
             lo = hi
 
 
-def shingle_hashes(words: np.ndarray, first: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+def shingle_hashes(words: np.ndarray, first: np.ndarray, k: int, block: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of runs of k words in each text (with fewer words, of the whole sequence), and where each text's begin."""
     counts = np.diff(first)
     many = np.where(counts >= k, counts - k + 1, (counts > 0).astype(counts.dtype))
     at = np.concatenate([[0], np.cumsum(many)])
-    where = np.arange(at[-1]) + np.repeat(first[:-1] - at[:-1], many)
-    left = np.repeat(first[1:], many) - where
-    out = np.full(at[-1], np.uint64(0x2545F4914F6CDD1D))
+    found = np.empty(at[-1], np.uint64)
     n = len(words)
-    for i in range(k):
-        short = left <= i
-        out = out * np.uint64(P) + np.where(short, np.uint64(0), words[np.minimum(where + i, n - 1)] if n else np.uint64(0))
-    return mix(out + np.minimum(left, k).astype(np.uint64)), at
+    for lo in range(0, len(found), block):
+        place = np.arange(lo, min(lo + block, len(found)))
+        text = np.searchsorted(at, place, side="right") - 1
+        where = place + (first[:-1] - at[:-1])[text]
+        left = first[1:][text] - where
+        out = np.full(len(place), np.uint64(0x2545F4914F6CDD1D))
+        for i in range(k):
+            out = out * np.uint64(P) + np.where(left <= i, np.uint64(0), words[np.minimum(where + i, n - 1)])
+        found[lo : lo + len(place)] = mix(out + np.minimum(left, k).astype(np.uint64))
+    return found, at
