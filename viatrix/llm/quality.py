@@ -39,6 +39,14 @@ FOR = [
 NAMES = ["upper", "symbol", "shout", "bar", "stutter", "distinct", "length", "digit", "stop", "letter", "words"]
 
 
+def within(flags: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """How many of flags[start:end] are set; spans ascend and do not overlap."""
+    if not len(starts):
+        return np.zeros(0, np.int64)
+    found = np.add.reduceat(flags, np.stack([starts, ends], axis=1).ravel(), dtype=np.int64)[::2]
+    return np.where(ends > starts, found, 0)
+
+
 def described(column: pa.Array, hasher: Hasher) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Shares [text, name], and hashed features as pairs (text, feature), each once."""
     data, offsets = strings(column)
@@ -48,13 +56,11 @@ def described(column: pa.Array, hasher: Hasher) -> tuple[np.ndarray, np.ndarray,
     doc = np.repeat(np.arange(n), counts)
     size = np.maximum(np.diff(offsets), 1)
 
-    def total(flags: np.ndarray) -> np.ndarray:
-        out = np.zeros(len(data) + 1, np.int32 if len(data) < 2**31 else np.int64)
-        np.cumsum(flags[data], out=out[1:])
-        return out
-
-    sums = {k: total(f) for k, f in (("upper", UPPER), ("lower", LOWER_), ("digit", DIGIT), ("symbol", SYMBOL), ("shout", SHOUT), ("bar", BAR), ("stop", STOP))}
-    per = {k: np.diff(s[offsets]) for k, s in sums.items()}
+    kinds = {"upper": UPPER, "lower": LOWER_, "digit": DIGIT, "symbol": SYMBOL, "shout": SHOUT, "bar": BAR, "stop": STOP}
+    per, inside = {}, {}
+    for k, flags in kinds.items():
+        own = np.append(flags[data], False)
+        per[k], inside[k] = within(own, offsets[:-1], offsets[1:]), within(own, starts, ends)
     letters = per["upper"] + per["lower"]
     words = hasher.spans(data, starts, ends)
     many = np.maximum(counts, 1)
@@ -70,7 +76,6 @@ def described(column: pa.Array, hasher: Hasher) -> tuple[np.ndarray, np.ndarray,
         np.bincount(doc, weights=ends - starts, minlength=n) / many,
         per["digit"] / size, per["stop"] / size * 6, (letters + per["digit"]) / np.maximum(np.bincount(doc, weights=ends - starts, minlength=n), 1), counts,
     ], axis=1)
-    inside = {k: s[ends] - s[starts] for k, s in sums.items()}
     shape = (inside["upper"] > 0) + 2 * (inside["lower"] > 0) + 4 * (inside["upper"] > 1) + 8 * (inside["digit"] > 0) + 16 * (inside["symbol"] > 0) + 32 * (inside["shout"] > 0) + 64 * (inside["bar"] > 0) + 128 * same + 256 * np.minimum((ends - starts) // 6, 3)
     cell, often = np.unique(doc * 1024 + shape, return_counts=True)
     of = cell // 1024
