@@ -69,5 +69,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     cuts = Cuts(spark, "pipeline")
     docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES:
-        docs = cuts.cut(stage(spark, docs, sf_dir))
+        done = cuts.cut(stage(spark, docs, sf_dir))
+        cuts.drop(docs)  # what a stage has read; the table of documents is none of these
+        docs = done
     return docs
