@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from viatrix.session import saved
 
 
-def min_plus(edges: DataFrame, sources: DataFrame, every: int = 3) -> DataFrame:
+def min_plus(edges: DataFrame, sources: DataFrame) -> DataFrame:
     """Shortest distances (graph_id, src, node, d) from sources (graph_id, src, node, d) over edges (graph_id, u, v, w).
 
     One join and one grouping a round; only the frontier of nodes that came nearer goes on. Ends as soon as none does,
