@@ -5,7 +5,7 @@ import pytest
 
 import corpus_pipeline
 from test_llm import alike
-from viatrix.llm import sql
+from viatrix.llm import sql, toxicity
 
 
 @pytest.fixture(scope="module")
@@ -21,10 +21,12 @@ def staged(spark, sf_dir, tmp_path_factory):
 
 def test_stages(spark, sf_dir, staged):
     first, lines, near, clean, packed = staged
-    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").toPandas()
-    assert not set(first.doc_id) & set() and first.doc_id.is_unique
-    quiet = set(labels[labels.toxic == 0].doc_id)
-    assert len(quiet & set(first.doc_id)) >= 0.98 * len(quiet)
+    docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
+    scored = toxicity.toxicity(docs, labels).toPandas()
+    assert sorted(first.doc_id) == sorted(scored[scored.predicted == 0].doc_id)
+    labels = labels.toPandas()
+    quiet, loud = (set(labels[labels.toxic == k].doc_id) for k in (0, 1))
+    assert len(quiet & set(first.doc_id)) >= 0.98 * len(quiet) and len(loud & set(first.doc_id)) < 0.5 * len(loud)
     con = duckdb.connect()
     con.register("documents", first)
     want = con.execute(sql.ORACLES["op10_line_dedup"]).df().set_index("doc_id")
