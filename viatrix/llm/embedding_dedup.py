@@ -5,13 +5,14 @@ cells. Every vector lies in one cell and visits others in the order of the sum o
 distances (multi-sequence traversal of the two sorted lists), until the sum has grown so far beyond the
 home cell's that the target recall is reached. How far is learned from a bounded set of queries whose links are sought
 among all vectors: the recall-quantile of that excess over their true links, each query weighing the same in each band
-of cosine, and over made ones at the least cosine. Other queries measure the recall, again among all vectors, and
-the reach is widened if it falls short. Vectors that meet in a cell are compared exactly, in double precision.
+of cosine, and at least the FLOOR-quantile over made ones at the very least cosine. Other queries measure the recall, again among all
+vectors, and the reach is widened if it falls short. Vectors that meet in a cell are compared exactly, in double precision.
 
 Equal vectors are one class and are compared once. Vectors of unlike widths have no cosine; each width that the sample
 shows has its own codebooks, and the few of any other width are all compared, in blocks like those of one cell.
-Cells are dealt in blocks on both sides, so a task never holds more than two blocks, and a
-block sends on link counts and a spanning forest, never its pairs.
+Cells with one first codeword go together, in as many groups as keep a group about as large as a block, so a vector is sent
+once to a group with the list of the cells that it visits there. Groups are dealt in blocks on both sides, so a task never
+holds more than two blocks, and a block sends on link counts and a spanning forest, never its pairs.
 """
 
 import heapq
@@ -29,7 +30,10 @@ from viatrix.llm.words import Hasher
 SAMPLE, QUERIES = 20_000, 400
 #: a width of which the sample has fewer vectors has no codebooks; recall that must be measured
 FEW, FLOOR = 64, 0.95
-WORDS, BLOCK = 24, 1024
+WORDS, BLOCK = 24, 2048
+
+
+VISITS = pa.list_(pa.struct([("home", pa.int32()), ("cells", pa.list_(pa.int32()))]))
 
 
 def codewords(n: int, least: int = WORDS, sample: int = SAMPLE) -> int:
@@ -168,13 +172,13 @@ def fit(vectors: DataFrame, cosine: float, recall: float, sample: int, words: in
         q, band, step, n = links[width].T
         # the first half of the queries sets the reach, the second measures it
         half = -(-len(model["queries"]) // 2)
-        reach = [0.0, made_reach(model["queries"][:half], model, cosine, recall)]
+        reach = [0.0]
         for k in np.unique(band[q < half]):
             some = (band == k) & (q < half)
             each = np.bincount(q[some], weights=n[some], minlength=half)
             reach.append(quantile(step[some] / 256, n[some] / each[q[some]], recall))
         # a quarter more than these need
-        model["reach"] = max(1.25 * max(reach), 0.02)
+        model["reach"] = max(1.25 * max(reach), made_reach(model["queries"][:half], model, cosine, FLOOR), 0.02)
         rest = q >= half
         if rest.any():
             model["reach"] = max(model["reach"], quantile(step[rest] / 256, n[rest].astype(float), FLOOR))
@@ -193,7 +197,10 @@ def links(vectors: DataFrame, cosine: float = 0.9, recall: float = 0.999, sample
     spark = vectors.sparkSession
     cuts = Cuts(spark, "imi")
     vectors = vectors.select("vec_id", "embedding")
-    models = fit(vectors, cosine, recall, sample, words or codewords(vectors.count(), sample=sample))
+    n = vectors.count()
+    words = words or codewords(n, sample=sample)
+    models = fit(vectors, cosine, recall, sample, words)
+    parts = max(1, min(words, -(-n // (words * block))))  # groups of the cells of one first codeword
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher, again = Hasher(seed=20, lower=False), Hasher(seed=21, lower=False)
@@ -203,27 +210,33 @@ def links(vectors: DataFrame, cosine: float = 0.9, recall: float = 0.999, sample
             for width in np.unique(widths).tolist():
                 some = np.flatnonzero(widths == width)
                 x, ids = np.stack([out[i] for i in some]) + 0.0, batch.column(0).to_numpy()[rows[some]]  # no negative zeros
-                home, visits = np.zeros(len(x), np.int32), [[0]] * len(x)
+                home, cell, visits = np.zeros(len(x), np.int32), np.zeros(len(x), np.int32), [[(0, [0])]] * len(x)
                 if width in models:
                     da, db = cost(x, models[width])
-                    home = (da.argmin(1) * db.shape[1] + db.argmin(1)).astype(np.int32)
-                    visits = [[i * db.shape[1] + j for i, j in traverse(a, b, models[width]["reach"])] for a, b in zip(da, db)]
+                    cell = db.argmin(1).astype(np.int32)
+                    home = (da.argmin(1) * parts + cell % parts).astype(np.int32)
+                    visits = []
+                    for a, b in zip(da, db):
+                        own: dict[int, list[int]] = {}
+                        for i, j in traverse(a, b, models[width]["reach"]):
+                            own.setdefault(i * parts + j % parts, []).append(j)
+                        visits.append(list(own.items()))
                 data, at = x.view(np.uint8).ravel(), np.arange(len(x) + 1) * width * 8
-                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.full(len(x), width, np.int32)), pa.array(home), pa.array(visits, pa.list_(pa.int32())), pa.array([v.tobytes() for v in x], pa.binary()), pa.array(hasher.spans(data, at[:-1], at[1:]).view(np.int64)), pa.array(again.spans(data, at[:-1], at[1:]).view(np.int64))], names=["id", "width", "home", "visits", "v", "d1", "d2"])
+                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.full(len(x), width, np.int32)), pa.array(home), pa.array(cell), pa.array([[{"home": g, "cells": js} for g, js in v] for v in visits], VISITS), pa.array([v.tobytes() for v in x], pa.binary()), pa.array(hasher.spans(data, at[:-1], at[1:]).view(np.int64)), pa.array(again.spans(data, at[:-1], at[1:]).view(np.int64))], names=["id", "width", "home", "cell", "visits", "v", "d1", "d2"])
 
-    known = cuts.cut(vectors.mapInArrow(assign, "id long, width int, home int, visits array<int>, v binary, d1 long, d2 long"))
+    known = cuts.cut(vectors.mapInArrow(assign, "id long, width int, home int, cell int, visits array<struct<home:int,cells:array<int>>>, v binary, d1 long, d2 long"))
     same = ["width", "d1", "d2"]
     classes = cuts.cut(known.groupBy(*same).agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies")))
     member = cuts.cut(known.select("id", *same).join(classes, same).select("id", "rep", "copies"))
-    one = known.join(classes, same).where("id = rep").dropDuplicates(["id", *same]).select("id", "width", "home", "visits", "v", "copies")
+    one = known.join(classes, same).where("id = rep").dropDuplicates(["id", *same]).select("id", "width", "home", "cell", "visits", "v", "copies")
     one = cuts.cut(one)
     cuts.drop(known, classes)
-    cell = ["width", "home"]
-    cells = one.groupBy(*cell).agg(F.count(F.lit(1)).alias("n"))
-    seekers = one.select("width", F.explode("visits").alias("home")).groupBy(*cell).agg(F.count(F.lit(1)).alias("m"))
-    sizes = cells.join(seekers, cell).select(*cell, F.ceil(F.col("n") / block).cast("int").alias("rows"), F.ceil(F.col("m") / block).cast("int").alias("cols"))
-    own = one.select("id", *cell, "v", "copies").join(sizes, cell).select(*cell, F.pmod(F.xxhash64("id"), "rows").cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("cols") - 1)).alias("j"), "id", "v", "copies", F.lit(True).alias("own"))
-    seek = one.select("id", "width", F.explode("visits").alias("home"), "v", "copies").join(sizes, cell).select(*cell, F.explode(F.sequence(F.lit(0), F.col("rows") - 1)).alias("i"), F.pmod(F.xxhash64("id", F.lit(7)), "cols").cast("int").alias("j"), "id", "v", "copies", F.lit(False).alias("own"))
+    group = ["width", "home"]
+    seekers = one.select("id", "width", F.explode("visits").alias("e"), "v", "copies").select("id", "width", "e.home", "e.cells", "v", "copies")
+    sizes = one.groupBy(*group).agg(F.count(F.lit(1)).alias("n")).join(seekers.groupBy(*group).agg(F.count(F.lit(1)).alias("m")), group)
+    sizes = cuts.cut(sizes.select(*group, F.ceil(F.col("n") / block).cast("int").alias("rows"), F.ceil(F.col("m") / block).cast("int").alias("cols")))
+    own = one.join(sizes, group).select(*group, F.pmod(F.xxhash64("id"), "rows").cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("cols") - 1)).alias("j"), "id", "v", "copies", F.array("cell").alias("cells"), F.lit(True).alias("own"))
+    seek = seekers.join(sizes, group).select(*group, F.explode(F.sequence(F.lit(0), F.col("rows") - 1)).alias("i"), F.pmod(F.xxhash64("id", F.lit(7)), "cols").cast("int").alias("j"), "id", "v", "copies", "cells", F.lit(False).alias("own"))
 
     def compare(table: pa.Table) -> pa.Table:
         ids, copies = table.column("id").to_numpy(), table.column("copies").to_numpy()
@@ -232,7 +245,17 @@ def links(vectors: DataFrame, cosine: float = 0.9, recall: float = 0.999, sample
         a, b = np.flatnonzero(~here), np.flatnonzero(here)
         if not len(a) or not len(b):
             return pa.table({"id": pa.array([], pa.int64()), "n": pa.array([], pa.int64()), "to": pa.array([], pa.int64())})
-        hit = (x[a] @ x[b].T >= cosine) & (ids[a][:, None] != ids[b])
+        cells = table.column("cells").combine_chunks()
+        at, many = cells.flatten().to_numpy(), cells.value_lengths().to_numpy()
+        seeks = np.repeat(np.arange(len(ids)), many)
+        place = np.full(len(ids), -1)
+        place[a] = np.arange(len(a))
+        hit = np.zeros((len(a), len(b)), bool)
+        for cell in np.unique(at[np.repeat(here, many)]).tolist():  # cells of this block's own vectors
+            told = seeks[at == cell]
+            i, j = place[told[~here[told]]], np.flatnonzero(np.isin(b, told[here[told]]))
+            hit[np.ix_(i, j)] = x[a[i]] @ x[b[j]].T >= cosine
+        hit &= ids[a][:, None] != ids[b]
         n = hit @ copies[b]
         # smallest ids spread over the links until none changes: a forest of this block
         big = np.iinfo(np.int64).max
@@ -247,7 +270,7 @@ def links(vectors: DataFrame, cosine: float = 0.9, recall: float = 0.999, sample
         two = np.flatnonzero(lb != ids[b])
         return pa.table({"id": np.concatenate([ids[a][one], ids[b][two]]), "n": np.concatenate([n[one], np.zeros(len(two), np.int64)]).astype(np.int64), "to": np.concatenate([la[one], lb[two]])})
 
-    found = cuts.cut(own.unionByName(seek).groupBy(*cell, "i", "j").applyInArrow(compare, "id long, n long, to long"))
+    found = cuts.cut(own.unionByName(seek).groupBy(*group, "i", "j").applyInArrow(compare, "id long, n long, to long"))
     cuts.drop(one)
     counts = found.groupBy(F.col("id").alias("rep")).agg(F.sum("n").alias("n"))
     labels = components(found.select(F.col("id").alias("a"), F.col("to").alias("b")), cuts)
