@@ -73,9 +73,11 @@ def repeats(docs: DataFrame, span: int = 100) -> DataFrame:
     """
     cuts = Cuts(docs.sparkSession, "chunks")
     first = chunks(docs).groupBy("d1", "d2").agg(F.min(F.struct("doc_id", "start")).alias("m"), F.count(F.lit(1)).alias("copies")).where("copies > 1")
-    first = first.select("d1", "d2", F.col("m.doc_id").alias("first_doc_id"), F.col("m.start").alias("first_start"))
+    # a table of its own: a join of two plain shuffles can split the rows of a chunk that very many documents hold
+    first = cuts.cut(first.select("d1", "d2", F.col("m.doc_id").alias("first_doc_id"), F.col("m.start").alias("first_start")))
     # chunks are made twice: they take less time than a table of all of them takes room
     again = cuts.cut(chunks(docs).join(first, ["d1", "d2"]).where("doc_id > first_doc_id or start > first_start").select("doc_id", "start", "length", "first_doc_id"))
+    cuts.drop(first)
     w = Window.partitionBy("doc_id").orderBy("start")  # a document's own chunks
     begun = F.when(F.lag(F.col("start") + F.col("length")).over(w) >= F.col("start"), 0).otherwise(1)
     same = F.coalesce(F.lag("start").over(w) == F.col("start"), F.lit(False))  # of repeated rows

@@ -282,8 +282,8 @@ def near_groups(docs: DataFrame, k: int = 5, numerator: int = 75, denominator: i
 
     Words are runs of bytes other than ASCII white space, A-Z in lower case. A null, empty or blank
     text has an empty set and stands alone; one with fewer than k words has its whole sequence as one
-    shingle. n_alike counts the rows with the very same set. doc_id must be a key. An empty table gives an
-    empty result.
+    shingle. n_alike counts the rows with the very same set. doc_id must be a key; rows repeated
+    altogether count each and lie in one component. An empty table gives an empty result.
     """
     spark = docs.sparkSession
     cuts = Cuts(spark, "ngram")
