@@ -71,6 +71,31 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_removed", F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("n_chars"), F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("text_md5"))
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from viatrix.llm.fill_in_middle import fill_in_middle, restored
+
+    made = fill_in_middle(table(spark, sf_dir, "documents"), seed=7, rate=100, spm=50, unit="line")
+    sha = [F.sha2(x.cast("binary"), 256).alias(n) for n, x in (("output_sha256", F.col("output")), ("restored_sha256", restored(F.col("output"), F.col("form"))))]
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", *sha)
+
+
+#: rules (verdict, host, path) of the query
+URL_RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
+
+
+def op12_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from viatrix.llm.url_rules import judged, table_of
+
+    pages = table(spark, sf_dir, "pages")
+    return judged(pages, table_of(URL_RULES, pages))
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from viatrix.llm.filter_audit import filter_audit
+
+    return filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and k[2].isdigit()}
 
