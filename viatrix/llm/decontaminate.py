@@ -7,8 +7,9 @@ weighs as often as it stands there).
 
 Windows: every window of an item's size is laid, at every word, but where no shingle of any item of that size is inside, for
 such a window has similarity 0 with all of them. Windows of one size in a row form a stretch.
-Fingerprints: 64-bit SimHashes over words. Running sums of the bits go over each document's stretches, and a window's
-counts are the difference of two of them, so long windows cost no more than short ones.
+Fingerprints: 64-bit SimHashes over words, each told from its like by its number of occurrence in the window, so that a
+word that repeats weighs no more in a bit than words that do not. A word is a window's n-th of its kind for starts in one interval, so
+it is added where that begins and taken off where it ends; running sums over starts give all windows of a stretch.
 Candidates: a multi-index. A fingerprint is cut into BLOCKS blocks; two within RADIUS bits differ in NEAR bits
 or fewer in one block at least. Each item's blocks are indexed with all their neighbours within NEAR bits, windows are looked
 up among all items of their size, and the Hamming distance of what is found is checked.
@@ -19,8 +20,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from viatrix.llm.store import Cuts
 
-#: Bits of a block in which its neighbours may differ, blocks, and the radius that they guarantee. At similarity 0.75
-#: a window lacks a seventh of the item's words at most: 11 bits differ on average with a deviation of 3, in the worst case.
+#: Bits of a block in which its neighbours may differ, blocks, and the radius that they guarantee. At similarity 0.75 six
+#: sevenths of the shingles are common, and so at least of the words with their numbers: fingerprints differ in 11 bits with a deviation of 3.
 NEAR, BLOCKS = 3, 5
 RADIUS = BLOCKS * (NEAR + 1) - 1
 #: two bits are counted in one sum, in lanes of 32 bits: more than the words of any text
@@ -58,7 +59,8 @@ def lanes(h: Column) -> list[Column]:
 
 def simhashes(texts: DataFrame, keys: list[str]) -> DataFrame:
     """keys and fingerprint of texts (keys, words)."""
-    told = texts.select(*keys, F.explode("words").alias("w")).select(*keys, F.xxhash64("w").alias("h"))
+    told = texts.select(*keys, F.posexplode("words").alias("at", "w")).select(*keys, "at", F.xxhash64("w").alias("h"))
+    told = told.withColumn("h", F.xxhash64("h", F.row_number().over(Window.partitionBy(*keys, "h").orderBy("at"))))
     sums = told.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), *[F.sum(x).alias(f"s{b}") for b, x in enumerate(lanes(F.col("h")))])
     return sums.select(*keys, fingerprint([F.col(f"s{b}") for b in range(32)], F.col("n")).alias("fingerprint"))
 
@@ -85,29 +87,34 @@ def united(spans: DataFrame, keys: list[str]) -> DataFrame:
     return numbered.groupBy(*keys, "number").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).drop("number")
 
 
-def window_prints(docs: DataFrame, stretches: DataFrame, cuts: Cuts) -> DataFrame:
-    """(doc_id, v, size, many, start, fingerprint) of every window of stretches (doc_id, v, size, many, lo, hi); many is its number of words.
+def window_prints(docs: DataFrame, stretches: DataFrame, longest: int, cuts: Cuts) -> DataFrame:
+    """(doc_id, v, size, many, start, fingerprint) of every window of stretches (doc_id, v, size, many, lo, hi).
 
-    docs: (doc_id, v, text), one row each.
+    many is a window's number of words, ``longest`` at most; docs: (doc_id, v, text), one row each. All steps after the join go
+    by document, as the join does, so that nothing is shuffled again.
     """
     doc = ["doc_id", "v"]
-    areas = united(stretches.select(*doc, "lo", (F.col("hi") + F.col("many") - 1).alias("hi")), doc)
-    areas = areas.groupBy(*doc).agg(F.collect_list(F.struct("lo", "hi")).alias("areas"))  # of one document
-    told = docs.join(areas, doc).select(*doc, "areas", words_of(F.col("text")).alias("all"))
-    inside = F.flatten(F.transform("areas", lambda x: F.transform(F.slice("all", x["lo"] + 1, x["hi"] - x["lo"] + 1), lambda w, i: F.struct((x["lo"] + i).alias("at"), F.xxhash64(w).alias("h")))))
-    told = told.select(*doc, F.explode(inside).alias("w")).select(*doc, "w.*")
-    running = Window.partitionBy(*doc).orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
-    sums = told.select(*doc, "at", "h", *[F.sum(x).over(running).alias(f"s{b}") for b, x in enumerate(lanes(F.col("h")))])
-    windows = stretches.select(*doc, "size", "many", F.explode(F.sequence("lo", "hi")).alias("start"))
-    ends = F.array(F.struct(F.lit(-1).cast("long").alias("sign"), F.col("start").alias("at")), F.struct(F.lit(1).cast("long").alias("sign"), (F.col("start") + F.col("many") - 1).alias("at")))
-    ends = windows.select(*doc, "size", "many", "start", F.explode(ends).alias("e")).select(*doc, "size", "many", "start", "e.*")
-    # the sums before the first word go off those up to the last
-    part = [F.when(F.col("sign") > 0, F.col(f"s{b}")).otherwise(x - F.col(f"s{b}")).alias(f"s{b}") for b, x in enumerate(lanes(F.col("h")))]
-    # few stretches make many ends, which no estimate foresees: never sent to all executors
-    both = ends.hint("merge").join(sums, [*doc, "at"]).select(*doc, "size", "many", "start", *part)
-    key = [*doc, "size", "many", "start"]
-    counted = both.groupBy(*key).agg(*[F.sum(f"s{b}").alias(f"s{b}") for b in range(32)])
-    return cuts.cut(counted.select(*key, fingerprint([F.col(f"s{b}") for b in range(32)], F.col("many")).alias("fingerprint")))
+    key = [*doc, "size", "many", "lo", "hi"]
+    areas = stretches.groupBy(*doc).agg(F.collect_list(F.struct("size", "many", "lo", "hi")).alias("areas"))  # of one document
+    # hashes are made once a document, its stretches are slices of them
+    told = docs.hint("merge").join(areas, doc).select(*doc, "areas", F.transform(words_of(F.col("text")), lambda w: F.xxhash64(w)).alias("all"))
+    told = told.select(*doc, "all", F.explode("areas").alias("x")).select(*doc, "x.*", F.slice("all", F.col("x.lo") + 1, F.col("x.hi") - F.col("x.lo") + F.col("x.many")).alias("own"))
+    told = told.select(*key, F.posexplode("own").alias("at", "h")).withColumn("at", F.col("at") + F.col("lo"))
+    like = Window.partitionBy(*key, "h").orderBy("at").rangeBetween(1 - longest, 0)
+    # the word's own place and those of its like that a window can hold with it, from the last to the first
+    before = F.reverse(F.sort_array(F.filter(F.collect_list("at").over(like), lambda x: x > F.col("at") - F.col("many"))))
+    told = told.withColumn("like", before)
+    # the n-th of its kind for starts behind the next place and up to the n-th
+    begins = F.greatest(F.coalesce(F.get("like", F.col("n") + 1), F.col("at") - F.col("many")) + 1, F.col("lo"))
+    told = told.select(*key, "h", "at", "like", F.explode(F.sequence(F.lit(0), F.array_size("like") - 1)).alias("n"))
+    told = told.select(*key, F.xxhash64("h", F.col("n") + 1).alias("h"), begins.alias("begin"), F.least(F.get("like", F.col("n")), F.col("hi")).alias("end")).where("begin <= end")
+    turn = F.array(F.struct(F.lit(1).cast("long").alias("sign"), F.col("begin").alias("start")), F.struct(F.lit(-1).cast("long").alias("sign"), (F.col("end") + 1).alias("start")))
+    told = told.select(*key, "h", F.explode(turn).alias("t")).select(*key, "h", "t.*").where("start <= hi")
+    order = Window.partitionBy(*key).orderBy("start")
+    running = order.rangeBetween(Window.unboundedPreceding, 0)
+    sums = told.select(*key, "start", F.lead("start").over(order).alias("next"), *[F.sum(x * F.col("sign")).over(running).alias(f"s{b}") for b, x in enumerate(lanes(F.col("h")))])
+    sums = sums.where("next is null or next > start")  # one row a start
+    return cuts.cut(sums.select(*doc, "size", "many", "start", fingerprint([F.col(f"s{b}") for b in range(32)], F.col("many")).alias("fingerprint")))
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, k: int = 5, numerator: int = 75, denominator: int = 100) -> DataFrame:
@@ -144,7 +151,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, k: int = 5, numerator: int = 75
     stretches = cuts.cut(united(found, [*doc, "size", "many", "k"]))
     some = stretches.select(*doc).distinct()
     texts = cuts.cut(docs.join(some, doc).groupBy(*doc).agg(F.first("text").alias("text")))
-    ours = window_prints(texts, stretches.select(*doc, "size", "many", "lo", "hi"), cuts)
+    longest = items.agg(F.max("size").alias("n")).first()["n"]
+    ours = window_prints(texts, stretches.select(*doc, "size", "many", "lo", "hi"), longest, cuts)
     theirs = simhashes(items.select(*item, "size", "words"), [*item, "size"]).withColumnRenamed("fingerprint", "theirs")
     index = cuts.cut(theirs.select(*item, "size", "theirs", F.explode(blocks(F.col("theirs"), NEAR)).alias("b")).select(*item, "size", "theirs", "b.*"))
     looked = ours.select(*doc, "size", "many", "start", "fingerprint", F.explode(blocks(F.col("fingerprint"))).alias("b")).select(*doc, "size", "many", "start", "fingerprint", "b.*")
