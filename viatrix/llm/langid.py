@@ -12,6 +12,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from viatrix.llm.store import one_each
 from viatrix.llm.words import mix, slices, strings
 
 #: documents learned from, and windows of each
@@ -160,7 +161,7 @@ class Network:
 def learn(docs: DataFrame, sample: int = SAMPLE, each: int = EACH) -> tuple[list[str], Network | None]:
     """Languages in order, and the network, from rows with text and lang whose crc32(doc_id) mod 4 is not 2."""
     may = docs.where("text is not null and lang is not null").where(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4)) != 2).select("doc_id", "lang")
-    counts = {r["lang"]: r["n"] for r in may.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row a language
+    counts = {r["lang"]: r["n"] for r in may.groupBy("lang").agg(F.count_distinct("doc_id").alias("n")).collect()}  # one row a language
     langs = sorted(counts)
     if not langs:
         return [], None
@@ -168,7 +169,7 @@ def learn(docs: DataFrame, sample: int = SAMPLE, each: int = EACH) -> tuple[list
     share = F.lit(0.0)
     for lang, n in counts.items():  # as many of each language
         share = F.when(F.col("lang") == lang, F.lit(1.2 * sample / len(langs) / n)).otherwise(share)
-    chosen = may.where(part < share * 2**30).orderBy(part, "doc_id").limit(sample)
+    chosen = may.where(part < share * 2**30).groupBy("doc_id").agg(F.min("lang").alias("lang")).orderBy(part, "doc_id").limit(sample)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 1):
@@ -180,8 +181,7 @@ def learn(docs: DataFrame, sample: int = SAMPLE, each: int = EACH) -> tuple[list
             at = order[np.arange(len(of)) - np.searchsorted(of, of) < each]
             yield pa.RecordBatch.from_arrays([pa.array([data[a : a + n].tobytes() for a, n in zip(starts[at], lengths[at])], pa.binary()), pa.array([langs.index(x) for x in batch.column(2).take(pa.array(of[at])).to_pylist()], pa.int32()), batch.column(0).take(pa.array(of[at])), pa.array(number[at])], names=["bytes", "lang", "doc_id", "number"])
 
-    texts = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(chosen), "doc_id")  # bounded by sample
-    rows = texts.select("doc_id", "text", "lang").mapInArrow(read, "bytes binary, lang int, doc_id long, number long").collect()  # bounded by sample and each
+    rows = one_each(docs, chosen, "lang").mapInArrow(read, "bytes binary, lang int, doc_id long, number long").collect()  # bounded by sample and each
     if not rows:
         return langs, None
     rows.sort(key=lambda r: (r["doc_id"], r["number"], r["bytes"]))

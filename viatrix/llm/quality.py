@@ -13,6 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from viatrix.llm.label_model import fit_linear, fit_votes
+from viatrix.llm.store import one_each
 from viatrix.llm.words import Hasher, mix, slices, split, strings
 
 #: rows that the label model and the scorer are fitted on; width of the hashed features
@@ -102,7 +103,7 @@ def votes_of(shares: np.ndarray) -> np.ndarray:
 
 def learn(docs: DataFrame, sample: int = SAMPLE) -> tuple[np.ndarray, float, dict[str, float]]:
     """Weights, bias, and the labellers' accuracies."""
-    chosen = docs.where("text is not null").select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    chosen = docs.where("text is not null").select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher(seed=10)
@@ -111,7 +112,7 @@ def learn(docs: DataFrame, sample: int = SAMPLE) -> tuple[np.ndarray, float, dic
             at = np.searchsorted(row, np.arange(len(batch) + 1))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([v.astype(np.int8).tobytes() for v in votes_of(shares)], pa.binary()), pa.array([feature[a:b].astype(np.int32).tobytes() for a, b in zip(at, at[1:])], pa.binary())], names=["doc_id", "votes", "own"])
 
-    rows = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(chosen), "doc_id").mapInArrow(read, "doc_id long, votes binary, own binary").collect()  # bounded by sample
+    rows = one_each(docs, chosen).mapInArrow(read, "doc_id long, votes binary, own binary").collect()  # bounded by sample
     if not rows:
         return np.zeros(WIDTH), 0.0, {}
     rows.sort(key=lambda r: r["doc_id"])

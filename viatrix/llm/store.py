@@ -2,7 +2,7 @@
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from viatrix.session import shared_dir
 
@@ -15,6 +15,17 @@ def fresh(name: str, taken: list[str]) -> str:
     return name
 
 
+def one_each(docs: DataFrame, chosen: DataFrame, *also: str) -> DataFrame:
+    """(doc_id, text, columns of chosen): one row for each doc_id of chosen, which has each once and a bounded size.
+
+    Rows are joined on doc_id and on the columns ``also``. Of several texts of one id that with the least hash is taken; copies are folded in
+    the tasks that read them, so what is collected of the result is bounded by chosen, however often rows repeat.
+    """
+    rows = docs.select("doc_id", "text", *also).where("text is not null").join(F.broadcast(chosen), ["doc_id", *also])
+    rest = [c for c in chosen.columns if c != "doc_id"]
+    return rows.groupBy("doc_id", *rest).agg(F.min_by("text", F.xxhash64("text")).alias("text")).select("doc_id", "text", *rest)
+
+
 class Cuts:
     """Writes frames as Parquet under spark.checkpoint.dir; drop() deletes those that no returned plan still reads.
 

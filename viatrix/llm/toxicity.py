@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from viatrix.llm.label_model import fit_linear, fit_votes
-from viatrix.llm.store import Cuts
+from viatrix.llm.store import Cuts, one_each
 from viatrix.llm.words import Hasher, mix, shingle_hashes, slices, split, strings
 
 #: at most so many labelled rows are learned from
@@ -64,7 +64,7 @@ def learned_rows(docs: DataFrame, labels: DataFrame, sample: int) -> DataFrame:
     may = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(5)) != 0
     known = labels.where("doc_id is not null and toxic is not null").where(may).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    return docs.select("doc_id", "text").where("text is not null").join(F.broadcast(chosen), "doc_id")  # bounded by sample
+    return one_each(docs, chosen)  # bounded by sample
 
 
 def chosen(toxic: np.ndarray, n: np.ndarray, rows: int, of_toxic: int) -> np.ndarray:
