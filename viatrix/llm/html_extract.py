@@ -29,7 +29,7 @@ OPAQUE = set("script style noscript template svg iframe textarea select title".s
 #: those that go on to the page's end if nothing closes them
 RAW = {"script", "style", "textarea", "title"}
 ATTRIBUTE = re.compile(r"""\b(class|id|role|style|hidden|aria-hidden)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.I)
-BLOCKS = set("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul button".split())
+BLOCKS = set("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul".split())
 VOID = set("area base br col embed hr img input link meta source track wbr".split())
 DROPPED = set("nav footer aside button head menu option optgroup".split())
 FORMS = set("form dialog fieldset".split())
@@ -43,14 +43,40 @@ MARKS = set(
 #: of these, those that wrappers of whole pages bear too, as in nav-open or search-page; and those of readers' comments
 ROOMY = set("nav menu menubar navbar sidebar header footer social tags search login share sharing banner toolbar navigation widget".split())
 READERS = set("comment comments commentlist discussion disqus replies reply".split())
+#: words that go with marks in names of parts, as in site-footer or related-posts; a name of marks and these alone is no title
+FURNITURE = set(
+    "a also all and app archive area article articles author back bar bars body bottom box buttons button by card cards center col column container content count date desktop entry fixed for from global group head heading hide"
+    " holder icon icons id image in inner inline item items label layout left link links list lists main meta mobile more my new news of on outer overlay page pages panel post posts primary read right row secondary section sections short show site"
+    " slider small slot sticky story stories text the this thread time title to top unit user view wrap wrapper you your zone".split()
+)
+#: what holds text of its own, and rarely a part of a page
+LEAVES = {"p", "li", "dt", "dd", "td", "th", "tr", "blockquote", "pre", "figure", "figcaption", "caption", "table", "tbody"}
 ARTICLE, BESIDE = {"article", "post", "entry"}, {"has", "with", "no", "without"}
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPES = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table", "tr"}, "th": {"table", "tr"}, "option": {"select"}}
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6", "hgroup"}
 
 
-#: how an element goes: stays, always goes, goes unless it wraps the page, goes unless it wraps its title or main element
-STAYS, GOES, ROOM, TITLED = range(4)
+#: how an element goes: stays, always goes, goes unless it has a heading, goes unless it wraps the page, goes unless it wraps its title or main element
+STAYS, GOES, HEADED, ROOM, TITLED = range(5)
+
+
+def pure(name: str) -> bool:
+    """Whether a name consists of marks, numbers and words that go with marks: what a title of an article's part rarely does."""
+    return all(p in MARKS or p in FURNITURE or p.isdigit() for p in re.split(r"[^a-z0-9]+", name) if p)
+
+
+def marked(tag: str, kind: str, value: str, in_article: bool) -> set[str]:
+    """Parts of an attribute (class, id, role) that mark an element as no article.
+
+    Ids of headings and of what is in an article are often made from titles, as are some names of paragraphs and the like: of these only names
+    that are marks altogether count.
+    """
+    strict = tag in HEADINGS or tag in LEAVES or in_article and kind == "id"
+    if tag in HEADINGS and kind == "id":
+        return set()
+    names = [x for x in value.split() if not strict or pure(x)]
+    return MARKS & {p for x in names for p in re.split(r"[^a-z0-9]+", x)}
 
 
 def fate(tag: str, attributes: str, in_article: bool) -> int:
@@ -69,14 +95,16 @@ def fate(tag: str, attributes: str, in_article: bool) -> int:
                 return GOES
         if name in ("class", "id", "role"):
             parts = set(re.split(r"[^a-z0-9]+", value))
-            found = parts & MARKS
+            found = marked(tag, name, value, in_article)
             if tag in SAFE:
                 found &= READERS if tag == "article" else set()
             if parts & ARTICLE:
                 found -= {"header", "tags"}
             if parts & BESIDE:  # a wrapper that tells what it has beside it
                 found -= {"sidebar", "banner", "header", "footer", "nav", "ad", "ads", "comments"}
-            if found:
+            if found and tag == "section" and in_article and not any(pure(x) and MARKS & set(re.split(r"[^a-z0-9]+", x)) for x in value.split()):
+                out = max(out, HEADED)  # a part of an article, if it has a heading
+            elif found:
                 out = max(out, ROOM if found <= ROOMY else TITLED)
     return out
 
@@ -119,12 +147,17 @@ def tokens(page: str) -> Iterator[tuple[str | None, bool, str]]:
         yield None, False, page[at:]
 
 
+def name_of(attributes: str) -> str:
+    """The class of an element, empty if it has none."""
+    return next((" ".join(v.strip("\"'").lower().split()) for n, v in ATTRIBUTE.findall(attributes) if n.lower() == "class"), "") if attributes.strip() else ""
+
+
 def main_text(page: str) -> str:
     """The article's blocks, one a line; empty if there is none."""
     if not page:
         return ""
     # of every element: its tag, parent, fate, whether text in it is left out at once, whether in an article, and whether it is part of a line
-    tags, parents, fates, gone, articles, inline = ["#root"], [-1], [STAYS], [False], [False], [False]
+    tags, parents, fates, gone, articles, inline, names = ["#root"], [-1], [STAYS], [False], [False], [False], [""]
     stack, still_open = [0], Counter()
     blocks: list[tuple[int, str, int]] = []  # element, text, characters in links
     parts: list[tuple[str, bool]] = []
@@ -141,9 +174,10 @@ def main_text(page: str) -> str:
                 blocks.append((node, text, min(linked, len(text))))
             parts.clear()
 
-    def push(tag: str, how: int, part: bool) -> None:
+    def push(tag: str, how: int, part: bool, attributes: str) -> None:
         top = stack[-1]
         tags.append(tag)
+        names.append("" if part else name_of(attributes))
         parents.append(top)
         fates.append(how)
         gone.append(gone[top] or how == GOES)
@@ -183,25 +217,26 @@ def main_text(page: str) -> str:
             if tags[stack[-1]] == "p" or tags[stack[-1]] in HEADINGS and tag in HEADINGS:
                 close(len(stack) - 1)
             if tag not in VOID:
-                push(tag, fate(tag, rest, articles[stack[-1]]), False)
+                push(tag, fate(tag, rest, articles[stack[-1]]), False, rest)
         elif closes:
             if still_open[tag]:
                 close(next(k for k in range(len(stack) - 1, 0, -1) if tags[stack[k]] == tag))
         elif tag not in VOID and not rest.endswith("/") and (still_open[tag] or fate(tag, rest, True) != STAYS):
             # inside of a line only what goes, and what is within of the same name, is told apart
-            push(tag, STAYS if fate(tag, rest, True) == STAYS else GOES, True)
+            push(tag, STAYS if fate(tag, rest, True) == STAYS else GOES, True, rest)
     flush()
     # children come after their parents: sums go up in one sweep
     below = range(len(tags) - 1, 0, -1)
-    chars, titled = [0] * len(tags), [t in ("h1", "main") for t in tags]
+    chars, titled, headed = [0] * len(tags), [t in ("h1", "main") for t in tags], [t in HEADINGS for t in tags]
     for node, text, _ in blocks:
         chars[node] += len(text)
     for i in below:
         chars[parents[i]] += chars[i]
         titled[parents[i]] |= titled[i]
+        headed[parents[i]] |= headed[i]
     for i in range(1, len(tags)):
         share = chars[i] / max(chars[0], 1)
-        gone[i] = gone[parents[i]] or fates[i] == GOES or fates[i] >= ROOM and not (titled[i] and share >= 0.3 or fates[i] == ROOM and share >= 0.9)
+        gone[i] = gone[parents[i]] or fates[i] == GOES or fates[i] == HEADED and not headed[i] or fates[i] >= ROOM and not (titled[i] and share >= 0.3 or fates[i] == ROOM and share >= 0.9)
     blocks = [b for b in blocks if not gone[b[0]]]
     if not blocks:
         return ""
@@ -241,6 +276,8 @@ def main_text(page: str) -> str:
         if parents[i] == parents[best] and i != best:
             # these give their points to the parent
             plain = (tags[i] == "p" or tags[i] in HEADINGS) and linked[i] < 0.25 * chars[i]
+            # parts of one kind, as rows are
+            plain |= tags[i] == tags[best] and names[best] != "" and names[i] == names[best] and linked[i] < 0.5 * chars[i]
             if plain or score[i] >= max(10.0, 0.2 * score[best]):
                 chosen.add(i)
     keep = [False] * len(tags)
