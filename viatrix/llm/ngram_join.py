@@ -27,6 +27,8 @@ from viatrix.llm.store import Cuts
 from viatrix.llm.words import Hasher, mix, shingle_hashes, slices, split, strings
 
 RATIO = 1.75
+#: sets that a task remembers, to give keys once for copies; beyond it begins anew, and some keys come twice
+SEEN = 50_000
 
 
 def band_edges(most: int = 2**40) -> np.ndarray:
@@ -112,7 +114,7 @@ def shingle_sets(docs: DataFrame, k: int, numerator: int, denominator: int) -> D
 
 
 def sketch_keys(docs: DataFrame, k: int, numerator: int, denominator: int) -> DataFrame:
-    """(key, d2): sketch parts, the band's parity in the lowest bit and 1 in the next for an empty part, and half the set's digest; of equal sets in one task only the first gives keys.
+    """(key, d2): sketch parts, the band's parity in the lowest bit and 1 in the next for an empty part, and half the set's digest; of equal sets in one task mostly only the first gives keys.
 
     Should two sets have the same half, the rows of either stand for both, and none is lost.
     """
@@ -125,6 +127,8 @@ def sketch_keys(docs: DataFrame, k: int, numerator: int, denominator: int) -> Da
                 told = digest(s)
                 if not len(s) or told in seen:
                     continue
+                if len(seen) == SEEN:
+                    seen.clear()
                 seen.add(told)
                 for band, _, name, xors in sketch_parts(s, numerator, denominator, edges):
                     x = mix(xors ^ mix(name + np.uint64((band + 1) << 40)))
