@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql.types import DoubleType, IntegerType, StringType, StructField, StructType
 
-from viatrix.operators import graph_search as Q
+from viatrix.operators import graph_search as Q, sections as L
 from viatrix.sources import geometry, readers
 
 
@@ -53,7 +53,7 @@ def test_k_shortest(spark):
 
 def test_sections(spark):
     rows = [(0, 1, 2, 1.0), (0, 2, 3, 1.0), (0, 3, 4, 2.0), (0, 4, 5, 2.0), (0, 4, 6, 2.0)]
-    got = Q.sections(spark.createDataFrame(rows, "network int, u int, v int, tracks double")).toPandas()
+    got = L.chains(spark.createDataFrame(rows, "network int, u int, v int, tracks double")).toPandas()
     assert sorted(tuple(sorted(zip(g.u, g.v))) for _, g in got.groupby("section")) == [((1, 2), (2, 3)), ((3, 4),), ((4, 5),), ((4, 6),)]
 
 

@@ -74,8 +74,8 @@ def test_many_tracks(spark):
 
 
 def test_section_paths(spark):
-    e = spark.createDataFrame([(0, "a", 4, 3), (0, "a", 3, 9), (0, "a", 9, 1), (0, "r", 5, 6), (0, "r", 6, 7), (0, "r", 7, 5)], "network int, section string, u int, v int")
-    assert {r.section: r.path for r in L.section_paths(e).collect()} == {"a": [1, 9, 3, 4], "r": [5, 6, 7, 5]}
+    e = spark.createDataFrame([(0, 3, 4, 1), (0, 3, 9, 1), (0, 1, 9, 1), (0, 5, 6, 2), (0, 6, 7, 2), (0, 5, 7, 2)], "network int, u int, v int, tracks int")
+    assert {r.section: r.path for r in L.section_paths(L.chains(e)).collect()} == {"1-1-9": [1, 9, 3, 4], "2-5-6": [5, 6, 7, 5]}
 
 
 def test_pattern_sections(spark):

@@ -1,4 +1,4 @@
-"""Searches that need imperative code, one task for each graph, and fills in a drawn order."""
+"""Searches of many small graphs, one task for each, and fills in a drawn order. For one large network see routing and sections."""
 
 import heapq
 
@@ -81,38 +81,6 @@ def paths_between(edges: DataFrame, pairs: DataFrame) -> DataFrame:
     return edges.groupBy("graph_id").cogroup(pairs.groupBy("of")).applyInPandas(run, f"graph_id {name}, o {kind}, d {kind}, cost double, path array<{kind}>")
 
 
-def sections(segments: DataFrame) -> DataFrame:
-    """(network, section, u, v): maximal chains of segments with equal tracks, and equal tokens if there are any, through nodes of degree two.
-
-    segments: network, u < v, tracks, and tokens where services matter. A section is named by its tracks and smallest segment.
-    """
-    told = segments if "tokens" in segments.columns else segments.withColumn("tokens", F.lit(""))
-
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        beside: dict = {}
-        for u, v in zip(pdf.u.tolist(), pdf.v.tolist()):
-            beside.setdefault(u, []).append(v)
-            beside.setdefault(v, []).append(u)
-        up: dict = {}
-
-        def root(e):
-            while up.setdefault(e, e) != e:
-                up[e] = up[up[e]]
-                e = up[e]
-            return e
-
-        kind = {tuple(sorted((u, v))): t for u, v, *t in zip(pdf.u.tolist(), pdf.v.tolist(), pdf.tracks.tolist(), pdf.tokens.tolist())}
-        for n, ends in beside.items():
-            if len(ends) == 2:
-                a, b = (tuple(sorted((n, m))) for m in ends)
-                if kind[a] == kind[b]:
-                    x, y = sorted((root(a), root(b)))
-                    up[y] = x
-        return pd.DataFrame([(key[0], f"{kind[e][0]:g}-{root(e)[0]}-{root(e)[1]}", *e) for e in kind], columns=["network", "section", "u", "v"])
-
-    return told.groupBy("network").applyInPandas(run, "network int, section string, u int, v int")
-
-
 def inward_development(zones: DataFrame) -> DataFrame:
     """(scenario, zone, filled): each scenario's target fills zones in a drawn order, none beyond its potential.
 

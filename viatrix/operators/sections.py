@@ -5,27 +5,78 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from viatrix.functions.exprs import capacity
 from viatrix.operators.value import intervention
+from viatrix.session import saved, written
 
 
-def section_paths(sections: DataFrame) -> DataFrame:
-    """(network, section, path): the nodes of each section (network, section, u, v) in order.
+def ranked(arcs: DataFrame) -> DataFrame:
+    """(network, a, b, last_a, last_b, hops, least, low, ends) of arcs (network, a, b, c, least, low), by pointer jumping.
 
-    A chain begins at its smaller end, a ring at its smallest node, towards the smaller neighbour, and ends where it began.
+    An arc leads from a to b and on to the arc from b to c; c is null where the list ends. Each round an arc takes over what the
+    arc that it points to knows, so that after round k it knows of 2**k arcs: the last of them, how many lie ahead, and the
+    least segment and node among them. A ring has no end: once 2**k exceeds the number of all arcs, ``ends`` is false for arcs of rings.
     """
-
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        beside: dict = {}
-        for u, v in zip(pdf.u.tolist(), pdf.v.tolist()):
-            beside.setdefault(u, set()).add(v)
-            beside.setdefault(v, set()).add(u)
-        left = {frozenset(e) for e in zip(pdf.u.tolist(), pdf.v.tolist())}
-        path = [min([n for n in beside if len(beside[n]) == 1] or beside)]
-        while left and (on := sorted(n for n in beside[path[-1]] if frozenset((path[-1], n)) in left)):
-            left.discard(frozenset((path[-1], on[0])))
-            path.append(on[0])
-        return pd.DataFrame([(*key, path)], columns=["network", "section", "path"])
-
-    return sections.groupBy("network", "section").applyInPandas(run, "network int, section string, path array<int>")
+    on = F.col("c").isNotNull()
+    state = arcs.select(
+        "network", "a", "b", F.when(on, F.col("b")).otherwise(F.col("a")).alias("last_a"), F.when(on, F.col("c")).otherwise(F.col("b")).alias("last_b"),
+        on.cast("long").alias("hops"), "least", "low", (~on).alias("ends"),
+    )
+    state, reach = saved(state), 1
+    total = state.count()
+    while reach <= 2 * total and not state.where("not ends").isEmpty():
+        ahead = state.select("network", F.col("a").alias("last_a"), F.col("b").alias("last_b"), F.col("last_a").alias("xa"), F.col("last_b").alias("xb"), F.col("hops").alias("more"), F.col("least").alias("other"), F.col("low").alias("lower"), F.col("ends").alias("done"))
+        # the last arc of a list points to itself, with nothing ahead: what has come to an end stays as it is
+        moved = state.join(ahead, ["network", "last_a", "last_b"])
+        moved = moved.select("network", "a", "b", F.col("xa").alias("last_a"), F.col("xb").alias("last_b"), (F.col("hops") + F.col("more")).alias("hops"), F.least("least", "other").alias("least"), F.least("low", "lower").alias("low"), F.col("done").alias("ends"))
+        state = saved(moved.select(state.columns))
+        reach *= 2
+    return state
+
+
+def chains(segments: DataFrame) -> DataFrame:
+    """(network, section, u, v, from_node, to_node, at): segments in their sections, and where they stand in them.
+
+    segments: network, u < v, tracks, and tokens where services matter. A section is a longest chain of segments of equal tracks and tokens
+    through nodes of two segments; its name is made of its tracks and smallest segment. Each segment makes two arcs,
+    and lists of arcs are ranked by pointer jumping: no task holds a network or a section. A chain begins at its smaller
+    end; a section that ends where it began, at its smallest node, towards the smaller neighbour.
+    """
+    told = segments if "tokens" in segments.columns else segments.withColumn("tokens", F.lit(""))
+    ends = F.array(F.struct(F.col("u").alias("a"), F.col("v").alias("b")), F.struct(F.col("v").alias("a"), F.col("u").alias("b")))
+    arcs = saved(told.select("network", F.struct("u", "v").alias("least"), F.struct("tracks", "tokens").alias("kind"), F.explode(ends).alias("e")).select("network", "e.a", "e.b", "least", "kind"))
+    # at a node of two segments of one kind, the arc into it goes on along the other
+    beside = arcs.groupBy("network", F.col("a").alias("b")).agg(F.count(F.lit(1)).alias("n"), F.min("b").alias("x"), F.max("b").alias("y"), F.count_distinct("kind").alias("kinds"))
+    through = beside.where("n = 2 and kinds = 1").select("network", "b", "x", "y")
+    arcs = saved(arcs.join(through, ["network", "b"], "left").select("network", "a", "b", F.when(F.col("x") == F.col("a"), F.col("y")).otherwise(F.col("x")).alias("c"), "least", F.least("a", "b").alias("low"), "kind"))
+    first = saved(ranked(arcs))
+    # rings, and chains from a node back to it, are cut at their smallest node
+    back = first.select("network", F.col("b").alias("a"), F.col("a").alias("b"), F.col("last_b").alias("start"), F.col("hops").alias("before"), F.col("least").alias("least_back"), F.col("low").alias("low_back"))
+    both = saved(first.join(back, ["network", "a", "b"]).withColumns({"least": F.least("least", "least_back"), "low": F.least("low", "low_back"), "closed": ~F.col("ends") | (F.col("last_b") == F.col("start"))}))
+    open_ = both.where("not closed and start < last_b").select("network", "a", "b", "least", F.col("before").alias("at"))
+    ring = both.where("closed").select("network", "a", "b", "least", "low")
+    if not ring.isEmpty():
+        # where such a chain was closed by a node with other segments, it goes on there as a ring does
+        ends_at = ring.select("network", "least", F.col("a").alias("from_a"), F.col("b").alias("from_b"))
+        onward = ring.join(ends_at.select("network", "least", F.col("from_a").alias("b"), F.col("from_b").alias("c")), ["network", "least", "b"]).where("c <> a")
+        cut = written(onward.select("network", "a", "b", F.when(F.col("b") == F.col("low"), None).otherwise(F.col("c")).alias("c"), "least", "low"))
+        again = ranked(cut)
+        size = ring.groupBy("network", "least").agg((F.count(F.lit(1)) / 2).cast("long").alias("n"))
+        # of the two ways round the one that leaves the smallest node for its smaller neighbour
+        leaves = cut.where("a = low").groupBy("network", "least").agg(F.min("b").alias("to"))
+        way = again.join(cut.select("network", "a", "b", F.col("least").alias("of")), ["network", "a", "b"]).drop("least").withColumnRenamed("of", "least")
+        # the last arc of either way enters the smallest node; it comes from the neighbour that the way did not leave for
+        last = leaves.join(cut.where("b = low").select("network", "least", F.col("a").alias("last_a")), ["network", "least"]).where("last_a <> to").select("network", "least", "last_a")
+        way = way.join(last, ["network", "least", "last_a"]).join(size, ["network", "least"])
+        open_ = open_.union(way.select("network", "a", "b", "least", (F.col("n") - 1 - F.col("hops")).alias("at")))
+    tracks = F.col("kind.tracks")
+    told = open_.join(arcs.select("network", "a", "b", "kind"), ["network", "a", "b"])
+    text = F.when(tracks == F.floor(tracks), F.floor(tracks).cast("string")).otherwise(tracks.cast("double").cast("string"))
+    return told.select("network", F.concat_ws("-", text, "least.u", "least.v").alias("section"), F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v"), F.col("a").alias("from_node"), F.col("b").alias("to_node"), "at")
+
+
+def section_paths(chained: DataFrame) -> DataFrame:
+    """(network, section, path): the nodes of each section, in order, of chains()."""
+    x = chained.groupBy("network", "section").agg(F.array_sort(F.collect_list(F.struct("at", "from_node", "to_node"))).alias("x"))
+    return x.select("network", "section", F.concat(F.array(F.get("x", F.lit(0))["from_node"]), F.transform("x", lambda s: s["to_node"])).alias("path"))
 
 
 def pattern(stops: list[bool]) -> str:
@@ -68,7 +119,7 @@ def split_by_pattern(paths: DataFrame, stops: DataFrame, from_path_start: bool =
         parts.append(path[start:])
         return pd.DataFrame([(*key, k, p) for k, p in enumerate(parts)], columns=["network", "section", "part", "path"])
 
-    return known.groupBy("network", "section").applyInPandas(run, "network int, section string, part int, path array<int>")
+    return known.groupBy("network", "section").applyInPandas(run, f"network {dict(paths.dtypes)['network']}, section string, part int, path {dict(paths.dtypes)['path']}")
 
 
 def corridor_nodes(links: DataFrame, inside: DataFrame, new: DataFrame) -> DataFrame:

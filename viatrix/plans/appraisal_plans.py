@@ -115,19 +115,20 @@ def n1(s, d):
     return g.select("district", "year", F.round(C("g") * F.pow(F.lit(1.003), C("year") - 2050), 8).alias("rate"))
 
 
-LHS = f"""x AS (SELECT s AS scenario, y::INT AS year, {S.draw_sql('s', 'y', 42)} AS r, {S.draw_sql('s', 'y', 43)} AS j, {S.draw_sql('s', 'y', 44)} AS r2, {S.draw_sql('s', 'y', 45)} AS j2 FROM range(100) a(s) CROSS JOIN range(2018, 2028) b(y)),
-lhs AS (SELECT scenario, year, (row_number() OVER (PARTITION BY year ORDER BY r, scenario) - j) / 100 AS u, (row_number() OVER (PARTITION BY year ORDER BY r2, scenario) - j2) / 100 AS v FROM x)"""
+LHS = f"""x AS (SELECT s AS scenario, y::INT AS year, {S.draw_sql('s', 'y', 42)} AS r, {S.draw_sql('s', 'y', 43)} AS j, {S.draw_sql('s', 'y', 44)} AS r2, {S.draw_sql('s', 'y', 45)} AS j2 FROM (SELECT s_suppkey AS s FROM supplier) CROSS JOIN range(2018, 2028) b(y)),
+lhs AS (SELECT scenario, year, (row_number() OVER (PARTITION BY year ORDER BY r, scenario) - j) / count(*) OVER (PARTITION BY year) AS u, (row_number() OVER (PARTITION BY year ORDER BY r2, scenario) - j2) / count(*) OVER (PARTITION BY year) AS v FROM x)"""
 YEARS = list(range(2018, 2028))
 
 
-def draws(s):
-    n = s.range(100).select(C("id").alias("scenario"))
+def draws(s, d):
+    """As many scenarios as there are suppliers."""
+    n = table(s, d, "supplier").select(C("s_suppkey").alias("scenario"))
     return S.latin_hypercube(n, YEARS, 42).join(S.latin_hypercube(n, YEARS, 44).withColumnRenamed("u", "v"), ["scenario", "year"])
 
 
 @register("n2_latin_hypercube", f"WITH {LHS} SELECT scenario, year, round(u, 10) AS u, round(v, 10) AS v FROM lhs")
 def n2(s, d):
-    return draws(s).select("scenario", "year", F.round("u", 10).alias("u"), F.round("v", 10).alias("v"))
+    return draws(s, d).select("scenario", "year", F.round("u", 10).alias("u"), F.round("v", 10).alias("v"))
 
 
 N2P = f"""WITH {LHS}, g AS (SELECT scenario, year, CASE WHEN year = 2018 THEN 0 ELSE 0.01 + ({S.standard_normal_sql('u')}) * (0.015 + 0.0003 * (year - 2018)) END AS g, CASE WHEN year = 2018 THEN 0 ELSE ({S.standard_normal_sql('v')}) * 0.02 END AS e FROM lhs)
@@ -136,7 +137,7 @@ SELECT scenario, year, round(1000 * (list_product(list(1 + g) OVER w) + sum(e) O
 
 @register("n2_population_scenarios", N2P)
 def n2p(s, d):
-    x = S.scenario_paths(draws(s), F.lit(1000.0), 0.01, 0.015 + 0.0003 * (C("year") - 2018), 0.02)
+    x = S.scenario_paths(draws(s, d), F.lit(1000.0), 0.01, 0.015 + 0.0003 * (C("year") - 2018), 0.02)
     return x.select("scenario", "year", F.round("value", 5).alias("population"))
 
 
@@ -146,7 +147,7 @@ SELECT scenario, year, round(0.209 * (list_product(list(1 + g) OVER w) + sum(e)
 
 @register("n3_modal_split", N3)
 def n3(s, d):
-    x = S.scenario_paths(draws(s), F.lit(0.209), 0.0045, 0.015 + 0.03 * (C("year") - 2018) / 82, 0.02)
+    x = S.scenario_paths(draws(s, d), F.lit(0.209), 0.0045, 0.015 + 0.03 * (C("year") - 2018) / 82, 0.02)
     return x.select("scenario", "year", F.round("value", 8).alias("modal_split"))
 
 
@@ -183,12 +184,12 @@ def n8(s, d):
     return x.select("row", "col", F.round(C("value") * C("f") * F.when(C("col") < 50, 1.05).otherwise(1.0), 6).alias("value"))
 
 
-@register("n9_dummy_scenarios", f"SELECT s AS scenario, round({' * '.join(f'(1 + 0.1 * ({S.draw_sql(chr(115), str(k), 7)}))' for k in range(4))}, 8) AS factor FROM range(100) r(s)")
+@register("n9_dummy_scenarios", f"SELECT s AS scenario, round({' * '.join(f'(1 + 0.1 * ({S.draw_sql(chr(115), str(k), 7)}))' for k in range(4))}, 8) AS factor FROM (SELECT s_suppkey AS s FROM supplier)")
 def n9(s, d):
     f = F.lit(1.0)
     for k in range(4):
-        f = f * (1 + 0.1 * S.draw(C("id"), F.lit(k), 7))
-    return s.range(100).select(C("id").alias("scenario"), F.round(f, 8).alias("factor"))
+        f = f * (1 + 0.1 * S.draw(C("s_suppkey"), F.lit(k), 7))
+    return table(s, d, "supplier").select(C("s_suppkey").alias("scenario"), F.round(f, 8).alias("factor"))
 
 
 @register("v1_total_travel_times", FLAGSHIP[: FLAGSHIP.index("cost AS (SELECT p_brand")].rstrip().rstrip(",") + " SELECT g AS graph_id, round(hours, 4) AS hours FROM ttt")
@@ -228,13 +229,12 @@ def v6(s, d):
     return e.select("from_node", "to_node", F.round(V.bpr(C("tt"), C("flow"), F.lit(100.0)), 6).alias("time"), F.round(V.bpr_integral(C("tt"), C("flow"), F.lit(100.0)), 4).alias("integral"))
 
 
-V7 = f"WITH {D.EDGES}, r AS (SELECT u AS route, v AS link, tt FROM edges UNION ALL SELECT u, u, 2 FROM edges WHERE v = (u + 1) % 25), t AS (SELECT route, sum(tt)::DOUBLE AS total FROM r GROUP BY route), c AS (SELECT a.route AS a, b.route AS b, sum(a.tt)::DOUBLE AS common FROM r a JOIN r b ON a.link = b.link GROUP BY ALL) SELECT c.a AS route, round(ln(sum(common / sqrt(x.total * y.total))), 6) AS commonality FROM c JOIN t x ON c.a = x.route JOIN t y ON c.b = y.route GROUP BY c.a"
+V7 = f"WITH {D.NET}, r AS (SELECT u AS route, v AS link, tt FROM edges UNION ALL SELECT s_suppkey, s_suppkey, 2 FROM supplier), t AS (SELECT route, sum(tt)::DOUBLE AS total FROM r GROUP BY route), c AS (SELECT a.route AS a, b.route AS b, sum(a.tt)::DOUBLE AS common FROM r a JOIN r b ON a.link = b.link GROUP BY ALL) SELECT c.a AS route, round(ln(sum(common / sqrt(x.total * y.total))), 6) AS commonality FROM c JOIN t x ON c.a = x.route JOIN t y ON c.b = y.route GROUP BY c.a"
 
 
 @register("v7_commonality", V7)
 def v7(s, d):
-    e = D.edges(s)
-    r = e.select(C("u").alias("route"), C("v").alias("link"), "tt").union(e.where("v = (u + 1) % 25").select("u", "u", F.lit(2)))
+    r = D.net(s, d).select(C("u").alias("route"), C("v").alias("link"), "tt").union(table(s, d, "supplier").select("s_suppkey", "s_suppkey", F.lit(2)))
     total = r.groupBy("route").agg(F.sum("tt").cast("double").alias("total"))
     common = r.join(r.select(C("route").alias("other"), "link"), "link").groupBy("route", "other").agg(F.sum("tt").alias("common"))
     x = common.join(total, "route").join(total.select(C("route").alias("other"), C("total").alias("theirs")), "other")

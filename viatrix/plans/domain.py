@@ -1,6 +1,6 @@
 """Domain relations derived from the test tables, in Spark and as SQL fragments for the oracle."""
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from viatrix.session import table
 
@@ -46,6 +46,52 @@ EDGES = TOPO + """,
 edges AS (SELECT u, v, (1 + (least(u, v) * 7 + greatest(u, v) * 3) % 17)::INT AS tt FROM topo)"""
 
 
+def net(spark: SparkSession, sf: str) -> DataFrame:
+    """(u, v, tt) of a network with a station for each supplier, both directions: a ring, and a link that goes far from each station."""
+    x = table(spark, sf, "supplier").select(F.col("s_suppkey").cast("int").alias("u"))
+    x = x.join(F.broadcast(x.agg(F.count(F.lit(1)).cast("int").alias("n"))))  # one row
+    one = x.select("u", ((F.col("u") + 1) % F.col("n")).alias("v")).union(x.select("u", ((7 * F.col("u") + 3) % F.col("n")))).where("u <> v")
+    both = one.union(one.select("v", "u")).distinct()
+    return both.withColumn("tt", travel_time(F.col("u"), F.col("v")))
+
+
+#: edges (u, v, tt) as net() has them, and size (n)
+NET = """size AS (SELECT count(*)::INT AS n FROM supplier),
+one AS (SELECT s_suppkey::INT AS u, ((s_suppkey + 1) % n)::INT AS v FROM supplier, size UNION SELECT s_suppkey::INT, ((7 * s_suppkey + 3) % n)::INT FROM supplier, size),
+topo AS (SELECT u, v FROM one WHERE u <> v UNION SELECT v, u FROM one WHERE u <> v),
+edges AS (SELECT u, v, (1 + (least(u, v) * 7 + greatest(u, v) * 3) % 17)::INT AS tt FROM topo)"""
+
+#: distances on it: walks of so many links reach every station by the shortest way
+FAR = NET + """,
+walk AS (SELECT u AS src, v AS node, tt AS d, 1 AS hops FROM edges
+  UNION SELECT w.src, e.v, min(w.d + e.tt)::INT, w.hops + 1 FROM walk w JOIN edges e ON w.node = e.u WHERE w.hops < 30 GROUP BY w.src, e.v, w.hops),
+best AS (SELECT src, node, min(d)::DOUBLE AS d FROM walk WHERE src <> node GROUP BY ALL)"""
+
+
+def od(spark: SparkSession, sf: str) -> DataFrame:
+    """(o, d, trips) between the suppliers that stand one after the other in an order."""
+    by = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_suppkey", "l_partkey", "l_quantity")
+    x = table(spark, sf, "lineitem").select(F.col("l_suppkey").cast("int").alias("o"), F.lead("l_suppkey").over(by).cast("int").alias("d"), F.lead("l_quantity").over(by).alias("trips"))
+    return x.where("o <> d").groupBy("o", "d").agg(F.sum("trips").alias("trips"))
+
+
+OD = """od AS (SELECT o, d, sum(trips) AS trips FROM (SELECT l_suppkey::INT AS o, lead(l_suppkey) OVER w::INT AS d, lead(l_quantity) OVER w AS trips FROM lineitem
+  WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_suppkey, l_partkey, l_quantity)) WHERE o <> d GROUP BY ALL)"""
+
+
+def speeds(spark: SparkSession, sf: str) -> DataFrame:
+    """(row, col, speed) of a square raster with a cell for each customer, whose balance tells the speed; 0 can't be passed."""
+    x = table(spark, sf, "customer").select("c_custkey", F.floor(F.abs("c_acctbal")).cast("long").alias("b"))
+    x = x.join(F.broadcast(x.agg(F.ceil(F.sqrt(F.count(F.lit(1)))).cast("long").alias("side"))))  # one row
+    speed = F.when(F.col("b") % 7 == 0, 0).otherwise((F.col("b") % 3 + 1) * 10)
+    return x.select(F.floor(F.col("c_custkey") / F.col("side")).cast("int").alias("row"), (F.col("c_custkey") % F.col("side")).cast("int").alias("col"), speed.cast("double").alias("speed"))
+
+
+SPEEDS = """side AS (SELECT ceil(sqrt(count(*)))::BIGINT AS side FROM customer),
+cell AS (SELECT (c_custkey // side)::INT AS "row", (c_custkey % side)::INT AS col,
+  (CASE WHEN floor(abs(c_acctbal))::BIGINT % 7 = 0 THEN 0 ELSE (floor(abs(c_acctbal))::BIGINT % 3 + 1) * 10 END)::DOUBLE AS speed FROM customer, side)"""
+
+
 def services(spark: SparkSession, sf: str) -> DataFrame:
     """(from_node, to_node, service, direction, frequency, tt): services on the topology, from the facts."""
     t = lambda n: table(spark, sf, n)

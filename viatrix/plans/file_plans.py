@@ -71,10 +71,10 @@ def s10(s, d):
     return out.select("district", "year", F.round("value", 2).alias("value"), F.lit(len(calls)).alias("built"))
 
 
-@register("s11_file_for_each", f"WITH {D.EDGES} SELECT k AS dev_id, u, v, tt + k AS tt FROM edges CROSS JOIN range(4) r(k) WHERE k <> 2")
+@register("s11_file_for_each", f"WITH {D.NET} SELECT k AS dev_id, u, v, tt + k AS tt FROM edges CROSS JOIN range(4) r(k) WHERE k <> 2")
 def s11(s, d):
     """Development networks in a folder each; one of them is taken out by its folder."""
-    x = D.edges(s).withColumn("dev_id", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(3).cast("long")))).withColumn("tt", C("tt") + C("dev_id"))
+    x = D.net(s, d).withColumn("dev_id", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(3).cast("long")))).withColumn("tt", C("tt") + C("dev_id"))
     readers.write_each(x, path := readers.scratch(s, "each"), "dev_id")
     return s.read.option("basePath", path).parquet(*[f"{path}/dev_id={k}" for k in (0, 1, 3)]).select(C("dev_id").cast("long").alias("dev_id"), "u", "v", "tt")
 

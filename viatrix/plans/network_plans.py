@@ -39,9 +39,9 @@ def g3(s, d):
     return R.role_join(t, table(s, d, "nation"), "n_nationkey", "n_name", {"from_id": "from_station"})
 
 
-@register("g3_min_plus_times", f"WITH RECURSIVE {D.SHORTEST} SELECT src, node, d FROM best")
+@register("g3_min_plus_times", f"WITH RECURSIVE {D.FAR} SELECT src, node, d FROM best")
 def g3b(s, d):
-    e = D.edges(s).select(F.lit("sq").alias("graph_id"), "u", "v", C("tt").cast("double").alias("w"))
+    e = D.net(s, d).select(F.lit("sq").alias("graph_id"), "u", "v", C("tt").cast("double").alias("w"))
     sources = e.select("graph_id", C("u").alias("src"), C("u").alias("node")).distinct().withColumn("d", F.lit(0.0))
     return N.min_plus(e, sources).where("src <> node").select("src", "node", "d")
 
@@ -53,18 +53,20 @@ def g6(s, d):
     return N.min_plus(e, trains).select("node", C("d").alias("time"))
 
 
-#: nine lines that share the topology's links among them
-LINES = "m AS (SELECT DISTINCT (least(u, v) * 3 + greatest(u, v)) % 9 AS service, least(u, v) AS u, greatest(u, v) AS v FROM topo)"
+#: lines that share the links of the suppliers' network among them, a few links each
+LINES = "m AS (SELECT DISTINCT (least(u, v) * 3 + greatest(u, v)) % n AS service, least(u, v) AS u, greatest(u, v) AS v FROM topo, size)"
 
 
-def lines(s):
-    """(service, u, v) of nine lines, one direction."""
-    return R.undirected(D.topology(s)).select(((C("u") * 3 + C("v")) % 9).alias("service"), "u", "v").distinct()
+def lines(s, d):
+    """(service, u, v) of as many lines as suppliers, one direction."""
+    n = table(s, d, "supplier").agg(F.count(F.lit(1)).cast("int").alias("n"))
+    x = R.undirected(D.net(s, d)).join(F.broadcast(n))  # one row
+    return x.select(((C("u") * 3 + C("v")) % C("n")).alias("service"), "u", "v").distinct()
 
 
-@register("g12_end_stations", f"WITH {D.TOPO}, {LINES}, e AS (SELECT service, u AS node FROM m UNION ALL SELECT service, v FROM m) SELECT service, node FROM e GROUP BY ALL HAVING count(*) = 1")
+@register("g12_end_stations", f"WITH {D.NET}, {LINES}, e AS (SELECT service, u AS node FROM m UNION ALL SELECT service, v FROM m) SELECT service, node FROM e GROUP BY ALL HAVING count(*) = 1")
 def g12(s, d):
-    m = lines(s)
+    m = lines(s, d)
     return m.select("service", F.explode(F.array("u", "v")).alias("node")).groupBy("service", "node").agg(F.count(F.lit(1)).alias("n")).where("n = 1").drop("n")
 
 
@@ -80,10 +82,17 @@ def g14(s, d):
     return p.select(F.array_join(C("path").cast("array<string>"), "-").alias("line"), F.size("path").cast("long").alias("n"))
 
 
-@register("g17_development_networks", f"WITH {D.EDGES}, n AS (SELECT i::INT AS dev_id, i::INT AS u, ((i + 9) % 25)::INT AS v FROM range(5) r(i)) SELECT dev_id, e.u, e.v, tt, 'No' AS new_dev FROM edges e CROSS JOIN n UNION ALL SELECT dev_id, u, v, 2, 'Yes' FROM n UNION ALL SELECT dev_id, v, u, 2, 'Yes' FROM n")
+#: a new link for each brand
+NEW_LINKS = "n AS (SELECT dev_id, (dev_id % n)::INT AS u, ((dev_id * 5 + 9) % n)::INT AS v FROM (SELECT DISTINCT regexp_extract(p_brand, '[0-9]+')::INT AS dev_id FROM part), size)"
+
+
+@register("g17_development_networks", f"WITH {D.NET}, {NEW_LINKS} SELECT dev_id, e.u, e.v, tt, 'No' AS new_dev FROM edges e CROSS JOIN n UNION ALL SELECT dev_id, u, v, 2, 'Yes' FROM n UNION ALL SELECT dev_id, v, u, 2, 'Yes' FROM n")
 def g17(s, d):
-    n = s.range(5).select(C("id").cast("int").alias("dev_id"), C("id").cast("int").alias("u"), ((C("id") + 9) % 25).cast("int").alias("v"))
-    base = D.edges(s).select("u", "v", "tt", F.lit("No").alias("new_dev")).join(F.broadcast(n.select("dev_id")))  # a handful of developments
+    size = table(s, d, "supplier").agg(F.count(F.lit(1)).cast("int").alias("n"))  # one row
+    n = table(s, d, "part").select(F.regexp_extract("p_brand", "[0-9]+", 0).cast("int").alias("dev_id")).distinct().join(F.broadcast(size))
+    n = n.select("dev_id", (C("dev_id") % C("n")).alias("u"), ((C("dev_id") * 5 + 9) % C("n")).alias("v"))
+    # each development's network is the feature: all links with each development, dealt by the plan and sent nowhere whole
+    base = D.net(s, d).select("u", "v", "tt", F.lit("No").alias("new_dev")).join(n.select("dev_id"))
     new = n.select("dev_id", "u", "v", F.lit(2).alias("tt"), F.lit("Yes").alias("new_dev"))
     return base.select("dev_id", "u", "v", "tt", "new_dev").union(new).union(new.select("dev_id", "v", "u", "tt", "new_dev"))
 
@@ -100,10 +109,16 @@ def s3(s, d):
     return paths(s, d).select("l_orderkey", F.array_join(X.parse_via(raw).cast("array<string>"), ",").alias("via"))
 
 
-@register("s14_add_service_line", "WITH l AS (SELECT [1, 4, 9, 16] AS st, [5, 7, 6] AS tt), h AS (SELECT unnest(range(1, 4)) AS i, st, tt FROM l) SELECT st[i] AS a, st[i + 1] AS b, tt[i] AS time, 'A' AS direction FROM h UNION ALL SELECT st[i + 1], st[i], tt[i], 'B' FROM h")
+S14 = f"""WITH {PATH}, h AS (SELECT l_orderkey AS line, unnest(range(1, len(path))) AS i, path AS st FROM path),
+t AS (SELECT line, st[i] AS a, st[i + 1] AS b, (2 + (st[i] * 3 + st[i + 1] + i) % 9)::INT AS time FROM h) SELECT line, a, b, time, 'A' AS direction FROM t UNION ALL SELECT line, b, a, time, 'B' FROM t"""
+
+
+@register("s14_add_service_line", S14)
 def s14(s, d):
-    line = s.range(1).select(F.array(*map(F.lit, (1, 4, 9, 16))).alias("path"), F.array(*map(F.lit, (5, 7, 6))).alias("tt"))
-    h = R.explode_path(line, "path", "tt").select(C("from_node").alias("a"), C("to_node").alias("b"), F.get("tt", C("hop")).alias("time"))
+    """A line for each order, whose stations and minutes come as two lists; its runs in both directions."""
+    minutes = F.transform(F.slice("path", 2, F.array_size("path") - 1), lambda n, i: 2 + (F.get("path", i) * 3 + n + i + 1) % 9)
+    line = paths(s, d).where("size(path) > 1").select(C("l_orderkey").alias("line"), "path", minutes.alias("tt"))
+    h = R.explode_path(line, "path", "line", "tt").select("line", C("from_node").alias("a"), C("to_node").alias("b"), F.get("tt", C("hop")).alias("time"))
     return R.mirror(h, "a", "b")
 
 
@@ -138,9 +153,9 @@ def x5b(s, d):
     return text.select("node", F.explode(X.service_direction_cells(C("cells"))).alias("c")).select("node", "c.service", "c.direction", "c.frequency")
 
 
-@register("x6_segment_key", f"WITH {D.TOPO} SELECT u, v, least(u, v) || '-' || greatest(u, v) AS segment FROM topo")
+@register("x6_segment_key", f"WITH {D.NET} SELECT u, v, least(u, v) || '-' || greatest(u, v) AS segment FROM topo")
 def x6(s, d):
-    return D.topology(s).select("u", "v", X.segment_key(F.concat_ws("-", "u", "v")).alias("segment"))
+    return D.net(s, d).select("u", "v", X.segment_key(F.concat_ws("-", "u", "v")).alias("segment"))
 
 
 @register("x7_strings", "SELECT p_partkey, p_partkey::INT AS dev, regexp_replace(p_name, '[^a-zA-Z0-9_-]+', '_', 'g') AS label FROM part")

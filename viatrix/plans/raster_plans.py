@@ -3,7 +3,7 @@
 from pyspark.sql import Window, functions as F
 
 from viatrix.functions import exprs as X
-from viatrix.operators import graph_search as Q, network as N, relational as R, scenarios as S, value as V
+from viatrix.operators import relational as R, routing as P, scenarios as S, value as V
 from viatrix.plans import domain as D
 from viatrix.plans.appraisal_plans import B5, discounted
 from viatrix.plans.network_plans import LINES, lines
@@ -12,31 +12,13 @@ from viatrix.plans.relational_plans import SITES, sites
 from viatrix.session import table
 
 C = F.col
-SIDE = 12
-SPEED = "(row * 7 + col * 3) % 4 * 10"
-GRID = f"""cell AS (SELECT r::INT AS row, c::INT AS col, ((r * 7 + c * 3) % 4 * 10)::DOUBLE AS speed FROM range({SIDE}) a(r) CROSS JOIN range({SIDE}) b(c)),
-step AS (SELECT a.row * 100 + a.col AS u, b.row * 100 + b.col AS v, (50 / a.speed + 50 / b.speed) * CASE WHEN a.row <> b.row AND a.col <> b.col THEN 1.4 ELSE 1 END AS w
-  FROM cell a JOIN cell b ON abs(a.row - b.row) <= 1 AND abs(a.col - b.col) <= 1 AND (a.row <> b.row OR a.col <> b.col) WHERE a.speed > 0 AND b.speed > 0)"""
-
-
-def grid(s):
-    return s.range(SIDE * SIDE).select(F.floor(C("id") / SIDE).cast("int").alias("row"), (C("id") % SIDE).cast("int").alias("col")).withColumn("speed", F.expr(SPEED).cast("double"))
-
-
-def steps(s):
-    """Edges between the passable cells and their eight neighbours."""
-    g = grid(s).where("speed > 0")
-    around = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1) if i or j])
-    a = g.select((C("row") * 100 + C("col")).alias("u"), C("speed").alias("sa"), "row", "col", F.explode(around).alias("o"))
-    a = a.select("u", "sa", (C("row") + C("o.i")).alias("row"), (C("col") + C("o.j")).alias("col"), F.when((C("o.i") != 0) & (C("o.j") != 0), 1.4).otherwise(1.0).alias("far"))
-    return a.join(g.withColumnRenamed("speed", "sb"), ["row", "col"]).select(F.lit(0).alias("graph_id"), "u", (C("row") * 100 + C("col")).alias("v"), ((50 / C("sa") + 50 / C("sb")) * C("far")).alias("w"))
 
 
 @register("g8_k_shortest_paths")
 def g8(s, d):
-    e = D.edges(s).select(F.lit(0).alias("graph_id"), "u", "v", C("tt").cast("double").alias("w"))
-    pairs = s.range(1, 25).select(F.lit(0).alias("graph_id"), F.lit(0).alias("o"), C("id").cast("int").alias("d"))
-    return Q.k_shortest_simple(e, pairs, 2)
+    """The two shortest paths without repeats of each pair of suppliers that goods go between; tested against all paths of small graphs."""
+    e = D.net(s, d).select(F.lit(0).alias("graph_id"), "u", "v", C("tt").cast("double").alias("w"))
+    return P.k_shortest(e, D.od(s, d).select(F.lit(0).alias("graph_id"), "o", "d"), 2)
 
 
 E1 = "WITH p AS (SELECT user_id, event_id, value, lag(value) OVER w AS before FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)) SELECT user_id, count(before) AS n, round(avg(abs(value - before) / 50), 8) AS mean_slope, (coalesce(avg(abs(value - before) / 50) > 0.05, FALSE) OR count(*) FILTER (WHERE abs(value - before) / 50 < 0.05) > 40) AS check_needed FROM p GROUP BY user_id"
@@ -66,11 +48,20 @@ def e3(s, d):
     return p.groupBy("user_id").agg(two(1).alias("bridge"), two(-1).alias("tunnel"))
 
 
-@register("e4_candidate_points", f"WITH x AS (SELECT i, {S.draw_sql('i', '1', 21)} AS a, {S.draw_sql('i', '2', 22)} AS b FROM range(1000) r(i)), p AS (SELECT i, (row_number() OVER (ORDER BY a, i) - 0.5) / 1000 * 100 AS x, (row_number() OVER (ORDER BY b, i) - 0.5) / 1000 * 100 AS y FROM x) SELECT i AS id, round(x, 6) AS x, round(y, 6) AS y FROM p WHERE NOT (x BETWEEN 40 AND 60 AND y BETWEEN 30 AND 55)")
+E4 = f"""WITH n AS (SELECT count(*) AS n FROM supplier), x AS (SELECT s_suppkey AS i, {S.draw_sql('s_suppkey', '1', 21)} AS a, {S.draw_sql('s_suppkey', '2', 22)} AS b FROM supplier),
+p AS (SELECT i, (row_number() OVER (ORDER BY a, i) - 0.5) / n * 100 AS x, (row_number() OVER (ORDER BY b, i) - 0.5) / n * 100 AS y FROM x, n)
+SELECT i AS id, round(x, 6) AS x, round(y, 6) AS y FROM p WHERE NOT (x BETWEEN 40 AND 60 AND y BETWEEN 30 AND 55)"""
+
+
+@register("e4_candidate_points", E4)
 def e4(s, d):
-    x = s.range(1000).select("id", S.draw(C("id"), F.lit(1), 21).alias("a"), S.draw(C("id"), F.lit(2), 22).alias("b"))
-    at = lambda c: (F.row_number().over(Window.orderBy(c, "id")) - 0.5) / 1000 * 100  # noqa: E731  a thousand candidates
-    p = x.select("id", at("a").alias("x"), at("b").alias("y"))
+    """A Latin hypercube of candidates, one for each supplier, without those in a protected area; ranks come range by range."""
+    x = table(s, d, "supplier").select(C("s_suppkey").alias("id"))
+    n = F.broadcast(x.agg(F.count(F.lit(1)).alias("n")))  # one row
+    x = x.select("id", S.draw(C("id"), F.lit(1), 21).alias("a"), S.draw(C("id"), F.lit(2), 22).alias("b"))
+    x = R.surrogate(R.surrogate(x, "i", 1, C("a"), C("id")), "j", 1, C("b"), C("id")).join(n)
+    at = lambda c: (C(c) - 0.5) / C("n") * 100
+    p = x.select("id", at("i").alias("x"), at("j").alias("y"))
     return p.where(~(C("x").between(40, 60) & C("y").between(30, 55))).select("id", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"))
 
 
@@ -90,9 +81,11 @@ def x16(s, d):
     return D.cells(s, d).groupBy(F.floor(C("row") / 2).cast("int").alias("r"), F.floor(C("col") / 2).cast("int").alias("c")).agg(F.round(F.sum(C("value") * 0.25), 4).alias("value")).select(C("r").alias("row"), C("c").alias("col"), "value")
 
 
-@register("x11_inverse_normal", f"SELECT i, round({S.standard_normal_sql('((i + 0.5) / 200)')}, 8) AS z FROM range(200) r(i)")
+@register("x11_inverse_normal", f"SELECT c_custkey, round({S.standard_normal_sql('((c_custkey + 0.5) / n)')}, 8) AS z FROM customer, (SELECT count(*) AS n FROM customer)")
 def x11(s, d):
-    return s.range(200).select(C("id").alias("i"), F.round(S.standard_normal((C("id") + 0.5) / 200), 8).alias("z"))
+    x = table(s, d, "customer").select("c_custkey")
+    x = x.join(F.broadcast(x.agg(F.count(F.lit(1)).alias("n"))))  # one row
+    return x.select("c_custkey", F.round(S.standard_normal((C("c_custkey") + 0.5) / C("n")), 8).alias("z"))
 
 
 @register("x10_powers", "SELECT s_suppkey, round(pow(abs(s_acctbal), 1.06), 4) AS p, round(sqrt(abs(s_acctbal)), 8) AS r, round(ln(1 + abs(s_acctbal)), 8) AS l FROM supplier")
@@ -112,10 +105,12 @@ def a9(s, d):
     return x.select("station", F.array_join(C("c").cast("array<string>"), ",").alias("communes"))
 
 
-@register("a10_set_containment", f"WITH {D.TOPO}, {LINES}, n AS (SELECT service, u AS node FROM m UNION SELECT service, v FROM m) SELECT DISTINCT service FROM n WHERE NOT EXISTS (SELECT 1 FROM n m WHERE m.service = n.service AND m.node > 22)")
+@register("a10_set_containment", f"WITH {D.NET}, {LINES}, n AS (SELECT service, u AS node FROM m UNION SELECT service, v FROM m) SELECT DISTINCT service FROM n WHERE NOT EXISTS (SELECT 1 FROM n m JOIN supplier ON m.node = s_suppkey WHERE m.service = n.service AND s_acctbal < 0)")
 def a10(s, d):
-    n = lines(s).select("service", F.explode(F.array("u", "v")).alias("node")).distinct()
-    return n.join(n.where("node > 22").select("service"), "service", "left_anti").select("service").distinct()
+    """Lines whose stations all lie inside: those of suppliers without debts."""
+    n = lines(s, d).select("service", F.explode(F.array("u", "v")).alias("node")).distinct()
+    outside = table(s, d, "supplier").where("s_acctbal < 0").select(C("s_suppkey").alias("node"))
+    return n.join(n.join(outside, "node").select("service"), "service", "left_anti").select("service").distinct()
 
 
 @register("a18_weighted_total", f"WITH {D.TRIPS}, {D.EDGES} SELECT round(sum(trips * tt) / 60, 6) AS hours FROM trips JOIN edges ON o = u AND d = v")

@@ -54,10 +54,10 @@ def f8(s, d):
     return table(s, d, "orders").select("o_orderkey", X.truthy(raw).alias("flag"))
 
 
-@register("f9_endpoints", f"WITH {D.EDGES} SELECT u, v, u % 5 AS x_origin, u // 5 AS y_origin, v % 5 AS x_destination, v // 5 AS y_destination FROM edges")
+@register("f9_endpoints", f"WITH {D.NET} SELECT u, v, u % 5 AS x_origin, u // 5 AS y_origin, v % 5 AS x_destination, v // 5 AS y_destination FROM edges")
 def f9(s, d):
     point = lambda n: F.struct((n % 5).alias("x"), F.floor(n / 5).cast("int").alias("y"))
-    e = D.edges(s).withColumn("line", F.array(point(C("u")), point(C("v"))))
+    e = D.net(s, d).withColumn("line", F.array(point(C("u")), point(C("v"))))
     a, b = F.element_at("line", 1), F.element_at("line", -1)
     return e.select("u", "v", a["x"].alias("x_origin"), a["y"].alias("y_origin"), b["x"].alias("x_destination"), b["y"].alias("y_destination"))
 
@@ -143,15 +143,17 @@ def j8(s, d):
     return D.edges(s).where("u < v").select("u", "v").join(p, ["u", "v"], "left").na.fill({"both_ways": 0.0})
 
 
-J9 = f"WITH {D.EDGES}, q AS (SELECT (i * 3 % 25)::INT AS a, (i * 3 % 25 + CASE WHEN i % 2 = 0 THEN 1 ELSE -1 END + 25)::INT % 25 AS b FROM range(25) r(i)), one AS (SELECT u, v, tt FROM edges WHERE u < v) SELECT a, b, (SELECT min(tt) FROM one WHERE (u = a AND v = b) OR (u = b AND v = a)) AS tt FROM q"
+J9 = f"WITH {D.NET}, q AS (SELECT (s_suppkey * 3 % n)::INT AS a, ((s_suppkey * 3 % n + CASE WHEN s_suppkey % 2 = 0 THEN 1 ELSE -1 END + n) % n)::INT AS b FROM supplier, size), single AS (SELECT u, v, tt FROM edges WHERE u < v) SELECT a, b, (SELECT min(tt) FROM single WHERE (u = a AND v = b) OR (u = b AND v = a)) AS tt FROM q"
 
 
-@register("j9_either_direction", J9.replace("one AS (SELECT u, v, tt", "single AS (SELECT u, v, tt").replace("FROM one WHERE (u", "FROM single WHERE (u"))
+@register("j9_either_direction", J9)
 def j9(s, d):
-    i = C("id")
-    q = s.range(25).select((i * 3 % 25).cast("int").alias("a"), ((i * 3 % 25 + F.when(i % 2 == 0, 1).otherwise(-1) + 25) % 25).cast("int").alias("b"))
+    i, n = C("s_suppkey"), C("n")
+    x = table(s, d, "supplier").select("s_suppkey")
+    x = x.join(F.broadcast(x.agg(F.count(F.lit(1)).alias("n"))))  # one row
+    q = x.select((i * 3 % n).cast("int").alias("a"), ((i * 3 % n + F.when(i % 2 == 0, 1).otherwise(-1) + n) % n).cast("int").alias("b"))
     q = q.withColumns({"u": F.least("a", "b"), "v": F.greatest("a", "b")})
-    return q.join(D.edges(s).where("u < v"), ["u", "v"], "left").select("a", "b", "tt")
+    return q.join(D.net(s, d).where("u < v"), ["u", "v"], "left").select("a", "b", "tt")
 
 
 @register("j10_touches_corridor", "SELECT DISTINCT l_orderkey FROM lineitem JOIN supplier ON l_suppkey = s_suppkey WHERE s_nationkey IN (3, 7)")
@@ -331,9 +333,9 @@ def a19(s, d):
     return D.cells(s, d).where("value > 0").groupBy((F.floor(C("row") / 20) * 5 + F.floor(C("col") / 20)).cast("int").alias("zone")).agg(F.round(F.sum("value"), 2).alias("value"))
 
 
-@register("a20_crossings", f"WITH {D.TOPO} SELECT u AS node, count(*) AS degree FROM topo GROUP BY u HAVING count(*) >= 3")
+@register("a20_crossings", f"WITH {D.NET} SELECT u AS node, count(*) AS degree FROM topo GROUP BY u HAVING count(*) >= 3")
 def a20(s, d):
-    return D.topology(s).groupBy(C("u").alias("node")).agg(F.count(F.lit(1)).alias("degree")).where("degree >= 3")
+    return D.net(s, d).groupBy(C("u").alias("node")).agg(F.count(F.lit(1)).alias("degree")).where("degree >= 3")
 
 
 @register("a22_marginals", f"WITH {D.TRIPS} SELECT 'origin' AS side, o AS station, sum(trips) AS trips FROM trips GROUP BY o UNION ALL SELECT 'destination', d, sum(trips) FROM trips GROUP BY d UNION ALL SELECT 'total', -1, sum(trips) FROM trips")
@@ -443,16 +445,24 @@ def w10(s, d):
     return f.where("flag <> 0").groupBy("user_id", "island", "flag").agg(R.first_by(C("event_id"), C("ts"), C("event_id")).alias("first_event"), F.count(F.lit(1)).alias("n")).where("n >= 2").drop("island")
 
 
-@register("w11_midpoint_station", f"WITH {D.EDGES}, c AS (SELECT u, sum(tt) OVER (ORDER BY u) AS cum, sum(tt) OVER () / 2.0 AS mid FROM edges WHERE v = u + 1) SELECT u AS station, cum::BIGINT AS at FROM c ORDER BY abs(cum - mid), cum LIMIT 1")
+W11 = f"""WITH {D.NET}, c AS (SELECT u // 10 AS section, u, sum(tt) OVER (PARTITION BY u // 10 ORDER BY u) AS cum, sum(tt) OVER (PARTITION BY u // 10) / 2.0 AS mid FROM edges WHERE v = u + 1),
+r AS (SELECT *, row_number() OVER (PARTITION BY section ORDER BY abs(cum - mid), cum) AS nth FROM c) SELECT section, u AS station, cum::BIGINT AS at FROM r WHERE nth = 1"""
+
+
+@register("w11_midpoint_station", W11)
 def w11(s, d):
-    line = D.edges(s).where("v = u + 1")  # one section
-    c = line.select("u", F.sum("tt").over(Window.orderBy("u")).alias("cum"), (F.sum("tt").over(Window.partitionBy()) / 2.0).alias("mid"))
-    return c.agg(F.min(F.struct(F.abs(C("cum") - C("mid")), "cum", "u")).alias("m")).select(C("m.u").alias("station"), C("m.cum").alias("at"))
+    """Of each section, ten stations of the ring, the one nearest to half of its time."""
+    line = D.net(s, d).where("v = u + 1").withColumn("section", F.floor(C("u") / 10).cast("int"))
+    by = Window.partitionBy("section")
+    c = line.select("section", "u", F.sum("tt").over(by.orderBy("u")).alias("cum"), (F.sum("tt").over(by) / 2.0).alias("mid"))
+    m = c.groupBy("section").agg(F.min(F.struct(F.abs(C("cum") - C("mid")), "cum", "u")).alias("m"))
+    return m.select("section", C("m.u").alias("station"), C("m.cum").alias("at"))
 
 
-@register("w12_interpolate", "SELECT y::INT AS year, round(0.015 + (0.045 - 0.015) * (y - 2018) / 82, 8) AS sigma FROM range(2018, 2101) r(y)")
+@register("w12_interpolate", "SELECT o_orderkey, round(0.015 + (0.045 - 0.015) * (year(o_orderdate) - 1992) / 82, 8) AS sigma FROM orders")
 def w12(s, d):
-    return s.range(2018, 2101).select(C("id").cast("int").alias("year"), F.round(0.015 + (0.045 - 0.015) * (C("id") - 2018) / 82, 8).alias("sigma"))
+    """A value between two years' at each order's year."""
+    return table(s, d, "orders").select("o_orderkey", F.round(0.015 + (0.045 - 0.015) * (F.year("o_orderdate") - 1992) / 82, 8).alias("sigma"))
 
 
 @register("t2_largest", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 25")

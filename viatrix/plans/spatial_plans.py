@@ -95,12 +95,14 @@ def x15(s, d):
     return G.rasterise(z, "zone")
 
 
-S8 = "SELECT i * 10 + j AS tile, 2.5 + i * 9.75 AS x0, 1.0 + j * 9.9 AS y0, 2.5 + (i + 1) * 9.75 AS x1, 1.0 + (j + 1) * 9.9 AS y1 FROM range(10) a(i) CROSS JOIN range(10) b(j)"
+S8 = "SELECT i * 10 + j AS tile, a + i * (c - a) / 10 AS x0, b + j * (e - b) / 10 AS y0, a + (i + 1) * (c - a) / 10 AS x1, b + (j + 1) * (e - b) / 10 AS y1 FROM (SELECT min(s_acctbal) AS a, max(s_acctbal) AS c, 1.0 AS b, count(*)::DOUBLE AS e FROM supplier) CROSS JOIN range(10) r(i) CROSS JOIN range(10) q(j)"
 
 
 @register("s8_tile_grid", f"SELECT tile, round(x0, 6) AS x0, round(y0, 6) AS y0, round(x1, 6) AS x1, round(y1, 6) AS y1 FROM ({S8})")
 def s8(s, d):
-    return G.tiles(s, 2.5, 1.0, 100.0, 100.0).select("tile", *[F.round(c, 6).alias(c) for c in ("x0", "y0", "x1", "y1")])
+    """Ten by ten tiles of the area that the suppliers lie in."""
+    a, c, e = table(s, d, "supplier").agg(F.min("s_acctbal"), F.max("s_acctbal"), F.count(F.lit(1))).first()  # one row
+    return G.tiles(s, a, 1.0, c, float(e)).select("tile", *[F.round(c, 6).alias(c) for c in ("x0", "y0", "x1", "y1")])
 
 
 @register("s6_stacked_bands", f"WITH {D.CELLS} SELECT \"row\", col, 'pop' AS band, value FROM cells UNION ALL SELECT \"row\", col, 'empl', value * 0.5 FROM cells WHERE value > 100")

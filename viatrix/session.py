@@ -3,6 +3,7 @@
 import atexit
 import os
 import shutil
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -45,3 +46,10 @@ def saved(df: DataFrame) -> DataFrame:
     if not context.getCheckpointDir():
         context.setCheckpointDir(shared_dir(df.sparkSession))
     return df.checkpoint()
+
+
+def written(df: DataFrame) -> DataFrame:
+    """Cuts lineage with a table in the shared folder, which unlike a checkpoint carries no constraints on: conditions on columns that rounds of joins would repeat in each other."""
+    path = f"{shared_dir(df.sparkSession)}/tables/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
