@@ -103,20 +103,50 @@ def assign_transit_flows(paths: DataFrame, trips: DataFrame) -> DataFrame:
     return told.where("from_node <> to_node").groupBy("from_node", "to_node", "service", "direction").agg(F.sum("trips").alias("flow"))
 
 
-def simple_paths(edges: DataFrame, starts: DataFrame, ends: DataFrame, avoid: DataFrame, longest: int) -> DataFrame:
-    """Paths without repeats from starts to ends (node), that touch no other node of avoid; up to longest nodes."""
-    blocked = avoid.select(F.col("node").alias("v")).withColumn("blocked", F.lit(True))
-    step = edges.select("u", "v").join(blocked, "v", "left")
-    paths = starts.select(F.array("node").alias("path"), F.col("node").alias("at"))
-    out = None
-    for _ in range(longest - 1):
-        paths = paths.join(step, paths["at"] == step["u"]).where("not array_contains(path, v)").select(F.concat("path", F.array("v")).alias("path"), F.col("v").alias("at"), "blocked")
-        found = paths.join(ends.select(F.col("node").alias("at")), "at").select("path")
-        out = found if out is None else out.unionByName(found)
-        paths = paths.where("blocked is null").select("path", "at")
+def half_lines(edges: DataFrame, starts: DataFrame, ends: DataFrame) -> DataFrame:
+    """(centre, node, path): every path without repeats from a start to the first end station on it, however long.
+
+    edges (u, v); starts (centre, node, avoid), with the nodes that its paths don't touch; ends (node). A start that is an end station is a
+    path by itself. Nodes from which no end station can be reached are left out first; the frontier goes on until it is empty.
+    """
+    ends = saved(ends.select("node").distinct())
+    useful = reached = ends
+    back = saved(edges.select(F.col("v").alias("node"), F.col("u").alias("before")).distinct())
+    while not reached.isEmpty():  # a round for each link of distance to an end station
+        reached = saved(reached.join(back, "node").select(F.col("before").alias("node")).distinct().join(useful, "node", "left_anti"))
+        useful = saved(useful.union(reached).coalesce(8))
+    step = edges.select(F.col("u").alias("tip"), F.col("v").alias("to")).distinct()
+    step = saved(step.join(useful.select(F.col("node").alias("to")), "to").join(ends.select(F.col("node").alias("to"), F.lit(True).alias("last")), "to", "left").select("tip", "to", F.coalesce("last", F.lit(False)).alias("last")))
+    start = starts.join(ends.withColumn("last", F.lit(True)), "node", "left").select("centre", "node", "avoid", F.array("node").alias("path"), F.coalesce("last", F.lit(False)).alias("last"))
+    paths = saved(start)
+    out = paths.where("last").select("centre", "node", "path")
+    while not (front := paths.where("not last")).isEmpty():
+        on = front.withColumn("tip", F.element_at("path", -1)).join(step.withColumnRenamed("last", "ended"), "tip").where("not array_contains(path, to) and not array_contains(avoid, to)")
+        paths = saved(on.select("centre", "node", "avoid", F.concat("path", F.array("to")).alias("path"), F.col("ended").alias("last")))
+        out = out.union(paths.where("last").select("centre", "node", "path"))
     return out
 
 
+def new_lines(edges: DataFrame, ends: DataFrame, missing: DataFrame) -> DataFrame:
+    """(name, path, centre, n1, n2): lines over missing connections (centre, n1, n2), each of two half lines that end at end stations (node).
+
+    Half lines from n1 and from n2 touch no other neighbour of the centre. Two of them make a line if they have no node in common but
+    for their ends; it runs from the end of n2's to that of n1's. A path is named once, for its first connection in order, as X and a number.
+    """
+    from viatrix.operators.relational import keep_first, surrogate
+
+    missing = saved(missing.select("centre", "n1", "n2").distinct())
+    beside = edges.select(F.col("u").alias("centre"), "v").groupBy("centre").agg(F.collect_set("v").alias("borders"))  # neighbours of one node
+    nodes = missing.select("centre", F.explode(F.array("n1", "n2")).alias("node")).distinct().join(beside, "centre")
+    halves = saved(half_lines(edges, nodes.select("centre", "node", F.array_remove("borders", F.col("node")).alias("avoid")), ends))
+    both = missing.join(halves.select("centre", F.col("node").alias("n1"), F.col("path").alias("a")), ["centre", "n1"]).join(halves.select("centre", F.col("node").alias("n2"), F.col("path").alias("b")), ["centre", "n2"])
+    inner = lambda c: F.slice(c, 1, F.size(c) - 1)
+    whole = both.where(~F.arrays_overlap(inner("a"), inner("b"))).select("centre", "n1", "n2", F.concat(F.reverse("b"), "a").alias("path"))
+    once = keep_first(whole, ["path"], F.col("centre"), F.col("n1"), F.col("n2"))
+    numbered = surrogate(once, "i", 0, F.col("centre"), F.col("n1"), F.col("n2"), F.col("path"))
+    return numbered.select(F.concat(F.lit("X"), "i").alias("name"), "path", "centre", "n1", "n2")
+
+
 def via_nodes(edges: DataFrame, wanted: DataFrame) -> DataFrame:
     """(u, v, via) of new links (u, v): the nodes between its ends on the shortest path over edges (u, v, w), as "[a,b]".
 

@@ -79,23 +79,23 @@ def s11(s, d):
     return s.read.option("basePath", path).parquet(*[f"{path}/dev_id={k}" for k in (0, 1, 3)]).select(C("dev_id").cast("long").alias("dev_id"), "u", "v", "tt")
 
 
-@register("s12_network_selector", "SELECT * FROM (VALUES ('AK_2035', 'services_ak_2035'), ('AK_2035_extended', 'services_ak_2035_extended'), ('current', 'services_current'), ('2024_extended', 'services_2024_extended'), ('AK_2050', 'no network')) r(network, source)")
+S12 = """WITH n AS (SELECT o_orderkey, CASE o_orderkey % 5 WHEN 0 THEN 'AK_2035' WHEN 1 THEN 'AK_2035_extended' WHEN 2 THEN 'current' WHEN 3 THEN '2024_extended' ELSE 'AK_2050' END AS network FROM orders)
+SELECT o_orderkey, network, CASE WHEN network = 'AK_2050' THEN 'no network' ELSE 'services_' || lower(network) END AS source FROM n"""
+
+
+@register("s12_network_selector", S12)
 def s12(s, d):
-    rows = []
-    for name in ("AK_2035", "AK_2035_extended", "current", "2024_extended", "AK_2050"):
-        try:
-            rows.append((name, readers.network_name(name)))
-        except ValueError:
-            rows.append((name, "no network"))
-    return s.createDataFrame(rows, "network string, source string")
+    """The services table that each order's network stands for; an unknown name has none."""
+    names = F.array(*map(F.lit, ("AK_2035", "AK_2035_extended", "current", "2024_extended", "AK_2050")))
+    x = table(s, d, "orders").select("o_orderkey", F.get(names, (C("o_orderkey") % 5).cast("int")).alias("network"))
+    return x.select("o_orderkey", "network", F.coalesce(readers.network_source(C("network")), F.lit("no network")).alias("source"))
 
 
 @register("s13_result_paths", "SELECT label, CASE WHEN regexp_matches(label, 'dev [0-9]+') THEN 'out/developments/dev_id=' || regexp_extract(label, 'dev ([0-9]+)', 1) WHEN label LIKE '%enhanced%' THEN 'out/enhanced/network=' || replace(replace(label, ' ', '_'), '#', '_') ELSE 'out/baseline/network=' || replace(replace(label, ' ', '_'), '#', '_') END AS path FROM (SELECT DISTINCT p_brand || CASE p_size % 3 WHEN 0 THEN ' dev ' || p_size WHEN 1 THEN '_enhanced' ELSE '' END AS label FROM part)")
 def s13(s, d):
-    """Labels are a bounded list, each of which names a folder."""
     size = C("p_size")
     labels = table(s, d, "part").select(F.concat("p_brand", F.when(size % 3 == 0, F.concat(F.lit(" dev "), size)).when(size % 3 == 1, "_enhanced").otherwise("")).alias("label")).distinct()
-    return s.createDataFrame([(r.label, readers.result_path("out/", r.label)) for r in labels.collect()], "label string, path string")
+    return labels.select("label", readers.place_of("out/", C("label")).alias("path"))
 
 
 #: edits of the named variants: action, service, from, to, value

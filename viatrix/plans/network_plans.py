@@ -70,16 +70,28 @@ def g12(s, d):
     return m.select("service", F.explode(F.array("u", "v")).alias("node")).groupBy("service", "node").agg(F.count(F.lit(1)).alias("n")).where("n = 1").drop("n")
 
 
-G14 = f"""WITH RECURSIVE {D.TOPO}, p AS (SELECT [i::INT] AS path, i::INT AS tip, 1 AS n FROM (VALUES (0), (8)) r(i)
-  UNION ALL SELECT list_append(path, v), v, n + 1 FROM p JOIN topo ON tip = u WHERE NOT list_contains(path, v) AND n < 7 AND (n = 1 OR tip NOT IN (0, 8, 16)))
-SELECT array_to_string(path, '-') AS line, len(path)::BIGINT AS n FROM p WHERE tip IN (5, 13, 20) AND n > 1"""
+G14 = f"""WITH RECURSIVE {D.NET}, {LINES}, calls AS (SELECT DISTINCT service, unnest([u, v]) AS node FROM m),
+ends AS (SELECT s_suppkey::INT AS node FROM supplier WHERE s_acctbal >= 1000), inside AS (SELECT s_suppkey::INT AS node FROM supplier WHERE s_nationkey < 12),
+missing AS (SELECT a.u AS centre, a.v AS n1, b.v AS n2 FROM topo a JOIN topo b ON a.u = b.u AND a.v < b.v WHERE a.u IN (SELECT u FROM topo GROUP BY u HAVING count(*) > 2)
+  AND NOT EXISTS (SELECT 1 FROM calls c JOIN calls e ON c.service = e.service WHERE c.node = a.v AND e.node = b.v) AND (a.v IN (SELECT node FROM inside) OR b.v IN (SELECT node FROM inside))),
+starts AS (SELECT DISTINCT centre, node, list_filter(borders, lambda x: x <> node) AS avoid FROM (SELECT centre, unnest([n1, n2]) AS node FROM missing) JOIN (SELECT u AS centre, list(v) AS borders FROM topo GROUP BY u) USING (centre)),
+walk AS (SELECT centre, node, avoid, [node] AS path, node AS tip FROM starts
+  UNION ALL SELECT centre, node, avoid, list_append(path, v), v FROM walk JOIN topo ON tip = u WHERE tip NOT IN (SELECT node FROM ends) AND NOT list_contains(path, v) AND NOT list_contains(avoid, v)),
+halves AS (SELECT centre, node, path FROM walk WHERE tip IN (SELECT node FROM ends)),
+whole AS (SELECT m.centre, n1, n2, list_concat(list_reverse(b.path), a.path) AS path FROM missing m JOIN halves a ON a.centre = m.centre AND a.node = n1 JOIN halves b ON b.centre = m.centre AND b.node = n2
+  WHERE NOT list_has_any(a.path[:len(a.path) - 1], b.path[:len(b.path) - 1])),
+once AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY path ORDER BY centre, n1, n2) AS k FROM whole) WHERE k = 1)
+SELECT 'X' || (row_number() OVER (ORDER BY centre, n1, n2, path) - 1) AS name, array_to_string(path, '-') AS line, centre, n1, n2 FROM once"""
 
 
 @register("g14_new_lines", G14)
 def g14(s, d):
-    node = lambda *n: s.createDataFrame([(i,) for i in n], "node int")
-    p = N.simple_paths(D.topology(s), node(0, 8), node(5, 13, 20), node(0, 8, 16), 7)
-    return p.select(F.array_join(C("path").cast("array<string>"), "-").alias("line"), F.size("path").cast("long").alias("n"))
+    """Lines that join neighbours without a direct service, of two half lines to end stations, of any length."""
+    net = N.saved(D.net(s, d).select("u", "v"))
+    calls = lines(s, d).select("service", F.explode(F.array("u", "v")).alias("node"))
+    of = lambda rule: table(s, d, "supplier").where(rule).select(C("s_suppkey").cast("int").alias("node"))
+    x = N.new_lines(net, of("s_acctbal >= 1000"), N.missing_connections(net, calls, of("s_nationkey < 12")))
+    return x.select("name", F.array_join(C("path").cast("array<string>"), "-").alias("line"), "centre", "n1", "n2")
 
 
 #: a new link for each brand

@@ -4,7 +4,7 @@ import re
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import DoubleType, FloatType, IntegerType, LongType, StringType, StructField, StructType
 
 from viatrix.session import shared_dir
@@ -42,6 +42,22 @@ def result_path(root: str, label: str) -> str:
     return "/".join([root.rstrip("/"), PLACES[kind].format(name)])
 
 
+def network_source(name: Column) -> Column:
+    """network_name() of a column; null where the name is unknown."""
+    known = F.create_map(*[F.lit(x) for pair in NETWORKS.items() for x in pair])
+    return F.try_element_at(known, name)
+
+
+def place_of(root: str, label: Column) -> Column:
+    """result_path() of a column."""
+    words = F.filter(F.split(label, "[^A-Za-z0-9-]"), lambda w: w != "")
+    spaced = F.concat(F.lit(" "), F.array_join(words, " "), F.lit(" "))
+    number = F.regexp_extract(spaced, " dev ([0-9]+) ", 1)
+    name = F.coalesce(F.nullif(F.array_join(words, "_"), F.lit("")), F.lit("current"))
+    at = lambda kind, x: F.concat(F.lit(root.rstrip("/") + "/" + PLACES[kind].format("")), x)
+    return F.when(number != "", at("development", number)).when(F.array_contains(words, "enhanced"), at("enhanced", name)).otherwise(at("network", name))
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A new folder's path under the shared one."""
     return f"{shared_dir(spark)}/files/{name}-{uuid.uuid4().hex}"
