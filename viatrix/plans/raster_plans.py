@@ -3,7 +3,7 @@
 from pyspark.sql import Window, functions as F
 
 from viatrix.functions import exprs as X
-from viatrix.operators import relational as R, routing as P, scenarios as S, value as V
+from viatrix.operators import relational as R, routing as P, scenarios as S, spatial as G, value as V
 from viatrix.plans import domain as D
 from viatrix.plans.appraisal_plans import B5, discounted
 from viatrix.plans.network_plans import LINES, lines
@@ -76,9 +76,16 @@ def e6(s, d):
     return D.cells(s, d).join(r, "row", "left").select("row", "col", F.when(C("value") == 0, 0).otherwise(F.coalesce("speed", F.lit(4))).alias("speed"))
 
 
-@register("x16_bilinear_resample", f'WITH {D.CELLS}, q AS (SELECT "row" // 2 AS r, col // 2 AS c, sum(value * 0.25) AS v FROM cells GROUP BY ALL) SELECT r::INT AS "row", c::INT AS col, round(v, 4) AS value FROM q')
+X16 = f"""WITH {D.CELLS}, side AS (SELECT i::INT AS i, 0.3137 + i * 1.71 AS at FROM range(-1, 60) r(i)),
+n AS (SELECT a.i AS "row", b.i AS col, value, (1 - abs(a.at - c."row" - 0.5)) * (1 - abs(b.at - c.col - 0.5)) AS w
+  FROM side a CROSS JOIN side b JOIN cells c ON c."row" BETWEEN floor(a.at - 0.5) AND floor(a.at - 0.5) + 1 AND c.col BETWEEN floor(b.at - 0.5) AND floor(b.at - 0.5) + 1)
+SELECT "row", col, round(sum(value * w) / sum(w), 6) AS value FROM n GROUP BY ALL"""
+
+
+@register("x16_bilinear_resample", X16)
 def x16(s, d):
-    return D.cells(s, d).groupBy(F.floor(C("row") / 2).cast("int").alias("r"), F.floor(C("col") / 2).cast("int").alias("c")).agg(F.round(F.sum(C("value") * 0.25), 4).alias("value")).select(C("r").alias("row"), C("c").alias("col"), "value")
+    """To a grid of larger cells that begins elsewhere; cells without customers have no value."""
+    return G.bilinear(D.cells(s, d), 0.3137, 0.3137, 1.71).select("row", "col", F.round("value", 6).alias("value"))
 
 
 @register("x11_inverse_normal", f"SELECT c_custkey, round({S.standard_normal_sql('((c_custkey + 0.5) / n)')}, 8) AS z FROM customer, (SELECT count(*) AS n FROM customer)")

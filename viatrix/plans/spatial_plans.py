@@ -244,3 +244,33 @@ def s5(s, d):
     text = F.concat(F.lit("LINESTRING Z (1 2 9.5, "), C("s_suppkey") + 0.5, F.lit(" "), C("s_acctbal"), F.lit(" 8, 0 -7.25 7)"))
     x = table(s, d, "supplier").select("s_suppkey", geometry.wkt_points(text).alias("p"))
     return x.select("s_suppkey", F.size("p").cast("long").alias("n_points"), F.round(X.line_length(C("p")), 6).alias("length"))
+
+
+#: a straight road for each customer
+ROADS = "l AS (SELECT c_custkey AS line, (c_custkey * 37 % 997)::DOUBLE AS ax, (c_custkey * 53 % 991)::DOUBLE AS ay, (c_custkey * 37 % 997 + c_custkey * 11 % 41 - 20)::DOUBLE AS qx, (c_custkey * 53 % 991 + c_custkey * 7 % 43 - 21)::DOUBLE AS qy FROM customer)"
+G18N = f"""WITH RECURSIVE {ROADS},
+x AS (SELECT a.line AS one, b.line AS two, ((b.ax - a.ax) * (b.qy - b.ay) - (b.ay - a.ay) * (b.qx - b.ax)) / ((a.qx - a.ax) * (b.qy - b.ay) - (a.qy - a.ay) * (b.qx - b.ax)) AS t, a.ax, a.ay, a.qx, a.qy
+  FROM l a JOIN l b ON a.line < b.line AND abs(a.ax - b.ax) <= 42 AND abs(a.ay - b.ay) <= 44
+  WHERE sign((b.qx - b.ax) * (a.ay - b.ay) - (b.qy - b.ay) * (a.ax - b.ax)) * sign((b.qx - b.ax) * (a.qy - b.ay) - (b.qy - b.ay) * (a.qx - b.ax)) < 0
+    AND sign((a.qx - a.ax) * (b.ay - a.ay) - (a.qy - a.ay) * (b.ax - a.ax)) * sign((a.qx - a.ax) * (b.qy - a.ay) - (a.qy - a.ay) * (b.qx - a.ax)) < 0),
+p AS (SELECT (one, two) AS id, [one, two] AS lines, ax + t * (qx - ax) AS x, ay + t * (qy - ay) AS y FROM x
+  UNION ALL SELECT (line, -1::BIGINT), [line], ax, ay FROM l UNION ALL SELECT (line, -2::BIGINT), [line], qx, qy FROM l),
+near AS (SELECT p.id AS a, q.id AS b FROM p JOIN p q ON p.id <> q.id AND sqrt(pow(p.x - q.x, 2) + pow(p.y - q.y, 2)) <= 2),
+reach AS (SELECT id AS a, id AS b FROM p UNION SELECT r.a, n.b FROM reach r JOIN near n ON r.b = n.a),
+named AS (SELECT a AS id, min(b) AS node FROM reach GROUP BY a),
+nodes AS (SELECT node, avg(x) AS x, avg(y) AS y FROM p JOIN named USING (id) GROUP BY node),
+along AS (SELECT l.line, node, (p.x - ax) * (qx - ax) + (p.y - ay) * (qy - ay) AS pos FROM (SELECT id, x, y, unnest(lines) AS line FROM p) p JOIN named USING (id) JOIN l ON l.line = p.line),
+hops AS (SELECT line, node AS u, lead(node) OVER (PARTITION BY line ORDER BY pos, node) AS v FROM along),
+edges AS (SELECT DISTINCT line, least(u, v) AS u, greatest(u, v) AS v FROM hops WHERE v IS NOT NULL AND u <> v),
+degree AS (SELECT node, count(*) AS degree FROM (SELECT u AS node FROM edges UNION ALL SELECT v FROM edges) GROUP BY node)
+SELECT node[1] AS line, node[2] AS other, round(x, 6) AS x, round(y, 6) AS y, coalesce(degree, 0)::BIGINT AS degree FROM nodes LEFT JOIN degree USING (node)"""
+
+
+@register("g18_road_topology", G18N)
+def g18_topology(s, d):
+    """Roads split where they cross; ends and crossings no farther than two metres apart are one node. A node is named by its least line, and the line it crosses or -1 and -2 for ends."""
+    k = C("c_custkey")
+    x, y = k * 37 % 997, k * 53 % 991
+    roads = table(s, d, "customer").select(k.alias("line"), *[v.cast("double").alias(n) for n, v in (("ax", x), ("ay", y), ("bx", x + k * 11 % 41 - 20), ("by", y + k * 7 % 43 - 21))])
+    nodes, _ = G.noded(roads, 2.0, 40.0)
+    return nodes.select(C("node.one").alias("line"), C("node.two").alias("other"), F.round("x", 6).alias("x"), F.round("y", 6).alias("y"), "degree")
