@@ -67,19 +67,24 @@ def x13(s, d):
     return near.groupBy(F.when(C("distance") <= 1, 1).when(C("distance") <= 2.5, 2).otherwise(3).alias("ring")).agg(F.count(F.lit(1)).alias("n_cells"), F.round(F.sum("value"), 2).alias("exposed"))
 
 
-X14 = f"""WITH {SITES}, c AS (SELECT r AS "row", k AS col FROM range(100) a(r) CROSS JOIN range(100) b(k)),
-n AS (SELECT "row", col, arg_min(id, ("row" + 0.5 - x) * ("row" + 0.5 - x) + (col + 0.5 - y) * (col + 0.5 - y) + id * 1e-9) AS site FROM c CROSS JOIN sites GROUP BY ALL)
-SELECT site, count(*) AS area, min("row")::INT AS west, max("row")::INT AS east, min(col)::INT AS south, max(col)::INT AS north FROM n GROUP BY site"""
+#: a station for each supplier, on the raster of the customers' cells
+X14 = f"""WITH {D.SPEEDS}, sites AS (SELECT s_suppkey AS id, (s_suppkey * 17 % side) + 0.25 AS x, (s_suppkey * s_suppkey * 29 % side) + 0.75 AS y FROM supplier, side),
+n AS (SELECT "row", col, min((sqrt(("row" + 0.5 - x) * ("row" + 0.5 - x) + (col + 0.5 - y) * (col + 0.5 - y)), id))[2] AS site FROM cell CROSS JOIN sites GROUP BY ALL)
+SELECT site, count(*) AS area, min("row") AS west, max("row") AS east, min(col) AS south, max(col) AS north FROM n GROUP BY site"""
 
 
 @register("x14_voronoi_zones", X14)
 def x14(s, d):
-    # the list of sites is bounded by the network's stations; each cell scans it in place
-    near = sites(s, d).agg(F.sort_array(F.collect_list(F.struct("id", "x", "y"))).alias("sites"))
-    c = s.range(10000).select(F.floor(C("id") / 100).cast("int").alias("row"), (C("id") % 100).cast("int").alias("col")).join(F.broadcast(near))
-    far = lambda p: (C("row") + 0.5 - p["x"]) * (C("row") + 0.5 - p["x"]) + (C("col") + 0.5 - p["y"]) * (C("col") + 0.5 - p["y"])
-    site = F.array_min(F.transform("sites", lambda p: F.struct((far(p) + p["id"] * 1e-9).alias("d"), p["id"].alias("id"))))["id"]
-    return c.select("row", "col", site.alias("site")).groupBy("site").agg(F.count(F.lit(1)).alias("area"), F.min("row").alias("west"), F.max("row").alias("east"), F.min("col").alias("south"), F.max("col").alias("north"))
+    """The zone of each supplier's station: the cells that it is nearest to, of equally near ones the smallest id.
+
+    Cells meet the stations of their own and neighbouring squares only; squares double for cells that found none.
+    """
+    cells = D.speeds(s, d).select("row", "col", (C("row") + 0.5).alias("ax"), (C("col") + 0.5).alias("ay"))
+    side = table(s, d, "customer").agg(F.ceil(F.sqrt(F.count(F.lit(1)))).cast("long").alias("side"))  # one row
+    k = C("s_suppkey")
+    at = table(s, d, "supplier").join(F.broadcast(side)).select(k.alias("id"), (k * 17 % C("side") + 0.25).alias("bx"), (k * k * 29 % C("side") + 0.75).alias("by"))
+    near = R.nearest(N.saved(cells), ["row", "col"], N.saved(at), 4.0)
+    return near.groupBy(C("id").alias("site")).agg(F.count(F.lit(1)).alias("area"), F.min("row").alias("west"), F.max("row").alias("east"), F.min("col").alias("south"), F.max("col").alias("north"))
 
 
 X15 = """WITH z AS (SELECT r_regionkey AS zone, r_regionkey * 15.3 AS x0, r_regionkey * 7.1 AS y0 FROM region),
@@ -215,13 +220,24 @@ def k7(s, d):
     return x.select("id", "tracks", X.capacity(C("tracks"), C("stop"), C("pass"), C("n_stop"), C("n_pass"), "good", C("st"), C("pt"), "mixed").alias("capacity"))
 
 
-@register("e2_fewest_slope_changes")
-def e2(s, d):
-    """Profiles of users' values, 40 points each, at 3.5 a step; longest chains are tested by brute force."""
+def height_profiles(s, d):
+    """Profiles (link, at, z) of users' values, 40 points each."""
     w = Window.partitionBy("user_id").orderBy("ts", "event_id")
     p = table(s, d, "events").select("user_id", "ts", "event_id", "value").withColumn("n", F.row_number().over(w) - 1)
     p = p.select((C("user_id") * 1000 + F.floor(C("n") / 40)).alias("link"), (C("n") % 40).cast("int").alias("at"), C("value").alias("z"))
-    return E.fewest_changes(p.where("z is not null"), 3.5).select("link", "n", "changes")
+    return p.where("z is not null")
+
+
+@register("e2_fewest_slope_changes")
+def e2(s, d):
+    """At 3.5 a step; longest chains are tested by brute force."""
+    return E.fewest_changes(height_profiles(s, d), 3.5).select("link", "n", "changes")
+
+
+@register("e2_feasible_heights")
+def e2_heights(s, d):
+    """The heights themselves; tested for every slope, and by the number of points that move."""
+    return E.feasible_heights(N.saved(height_profiles(s, d)), 3.5).select("link", "at", "z", F.round("height", 6).alias("height"), "moved")
 
 
 P6 = """WITH h AS (SELECT left(o_orderpriority, 1) AS network, year(o_orderdate)::INT AS year, c_mktsegment AS scenario, sum(o_totalprice) / 1000 AS hours FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY ALL),
