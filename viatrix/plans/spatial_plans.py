@@ -61,6 +61,17 @@ NEAR = f"""p AS (SELECT "row", col, u, v, ax, ay, bx, "by", greatest(0.0, least(
 near AS (SELECT "row", col, min(sqrt(pow("row" + 0.5 - (ax + t * (bx - ax)), 2) + pow(col + 0.5 - (ay + t * ("by" - ay)), 2))) AS distance FROM p GROUP BY ALL)"""
 
 
+@register("j25_convex_overlay")
+def j25_convex(s, d):
+    """Customers' balances of cells by the share that each supplier's plot, a turned triangle, covers; tested against plain clipping."""
+    k = C("s_suppkey")
+    turn, x, y = k * 0.7, k * 37 % 83 + 0.3, k * 53 % 79 + 0.6
+    corner = lambda a, b: F.struct((x + a * F.cos(turn) - b * F.sin(turn)).alias("x"), (y + a * F.sin(turn) + b * F.cos(turn)).alias("y"))
+    plots = table(s, d, "supplier").select("s_suppkey", F.array(corner(F.lit(0.0), F.lit(0.0)), corner(F.lit(6.0), F.lit(0.0)), corner(F.lit(0.0), F.lit(8.0))).alias("ring"))
+    over = G.convex_cells(plots, "s_suppkey").join(D.cells(s, d), ["row", "col"])
+    return over.groupBy("s_suppkey").agg(F.count(F.lit(1)).alias("n_cells"), F.round(F.sum(C("share") * C("value")), 4).alias("value"))
+
+
 @register("x13_noise_rings", f"WITH {D.CELLS}, {D.EDGES}, {SITES}, {LINKS}, {NEAR} SELECT CASE WHEN distance <= 1 THEN 1 WHEN distance <= 2.5 THEN 2 ELSE 3 END AS ring, count(*) AS n_cells, round(sum(value), 2) AS exposed FROM near JOIN cells USING (\"row\", col) WHERE distance <= 4 GROUP BY ALL")
 def x13(s, d):
     near = G.cells_near(links(s, d), 4.0).join(D.cells(s, d), ["row", "col"])
