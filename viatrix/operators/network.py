@@ -80,14 +80,6 @@ def all_times(edges: DataFrame) -> DataFrame:
     return edges.groupBy("graph_id").applyInPandas(run, f"graph_id {dict(edges.dtypes)['graph_id']}, src {kind}, node {kind}, d double")
 
 
-def assign_flows(paths: DataFrame, trips: DataFrame) -> DataFrame:
-    """All-or-nothing loads of edges: paths (o, d, path), trips (o, d, trips)."""
-    from viatrix.operators.relational import explode_path
-
-    loaded = trips.where("o <> d and trips > 0").join(paths.select("o", "d", "path"), ["o", "d"])
-    return explode_path(loaded, "path", "trips").groupBy("from_node", "to_node").agg(F.sum("trips").alias("flow"))
-
-
 def assign_transit_flows(paths: DataFrame, trips: DataFrame) -> DataFrame:
     """Loads (from_node, to_node, service, direction, flow) of the rides on a transit graph's shortest paths.
 

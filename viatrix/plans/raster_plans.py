@@ -3,7 +3,7 @@
 from pyspark.sql import Window, functions as F
 
 from viatrix.functions import exprs as X
-from viatrix.operators import relational as R, routing as P, scenarios as S, spatial as G, value as V
+from viatrix.operators import relational as R, routing as P, scenarios as S, spatial as G
 from viatrix.plans import domain as D
 from viatrix.plans.appraisal_plans import B5, discounted
 from viatrix.plans.network_plans import LINES, lines
