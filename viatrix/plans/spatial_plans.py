@@ -8,7 +8,7 @@ from viatrix.plans import domain as D
 from viatrix.plans.registry import register
 from viatrix.plans.relational_plans import SITES, sites
 from viatrix.session import table
-from viatrix.sources import geometry, readers
+from viatrix.sources import geometry, geotiff, readers
 
 C = F.col
 LINKS = "links AS (SELECT u, v, p.x AS ax, p.y AS ay, q.x AS bx, q.y AS \"by\" FROM edges JOIN sites p ON u = p.id JOIN sites q ON v = q.id WHERE u < v)"
@@ -127,6 +127,17 @@ def s6(s, d):
     return readers.stack_bands({"pop": c, "empl": c.where("value > 100").withColumn("value", C("value") * 0.5)})
 
 
+@register("s6_geotiff", f"""WITH {D.SPEEDS}, c AS (SELECT 2600000 + (col + 0.5) * 25 AS x, 1200000 - ("row" + 0.5) * 25 AS y, speed FROM cell)
+SELECT band, x::DOUBLE AS x, y::DOUBLE AS y, value FROM (SELECT 'speed' AS band, x, y, speed AS value FROM c UNION ALL SELECT 'minutes', x, y, round(1.5 / speed, 9) FROM c WHERE speed > 0) WHERE x BETWEEN 2600100 AND 2600600 AND y >= 1190000""")
+def s6_geotiff(s, d):
+    """A raster of two bands as a folder of GeoTIFF tiles, of which a strip is read; cells that can't be passed have no minutes."""
+    x = D.speeds(s, d).select((2600000 + (C("col") + 0.5) * 25).alias("x"), (1200000 - (C("row") + 0.5) * 25).alias("y"), "speed")
+    minutes = x.where("speed > 0").select(F.lit("minutes").alias("band"), "x", "y", F.round(1.5 / C("speed"), 9).alias("value"))
+    cells = x.select(F.lit("speed").alias("band"), "x", "y", C("speed").alias("value")).unionByName(minutes)
+    geotiff.write_rasters(cells, path := readers.scratch(s, "raster"), 2600000, 1200000, 25, ["speed", "minutes"], 64)
+    return geotiff.read_rasters(s, path, (2600100.0, 1190000.0, 2600600.0, 1200000.0))
+
+
 @register("f13_select_and_rename", "SELECT c_custkey AS station, c_name AS name, c_acctbal AS balance FROM customer")
 def f13(s, d):
     return table(s, d, "customer").drop("c_mktsegment").withColumnsRenamed({"c_custkey": "station", "c_name": "name", "c_acctbal": "balance"}).select("station", "name", "balance")
