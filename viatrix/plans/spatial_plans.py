@@ -8,7 +8,7 @@ from viatrix.plans import domain as D
 from viatrix.plans.registry import register
 from viatrix.plans.relational_plans import SITES, sites
 from viatrix.session import table
-from viatrix.sources import geometry, geotiff, readers
+from viatrix.sources import geometry, geopackage, geotiff, readers
 
 C = F.col
 LINKS = "links AS (SELECT u, v, p.x AS ax, p.y AS ay, q.x AS bx, q.y AS \"by\" FROM edges JOIN sites p ON u = p.id JOIN sites q ON v = q.id WHERE u < v)"
@@ -284,6 +284,20 @@ def s5(s, d):
     return x.select("s_suppkey", F.size("p").cast("long").alias("n_points"), F.round(X.line_length(C("p")), 6).alias("length"))
 
 
+@register("s5_geopackage", """WITH r AS (SELECT c_custkey, c_name, c_acctbal, (c_custkey * 37 % 997)::DOUBLE AS ax, (c_custkey * 53 % 991)::DOUBLE AS ay, (c_custkey * 37 % 997 + c_custkey * 11 % 41 - 20)::DOUBLE AS bx, (c_custkey * 53 % 991 + c_custkey * 7 % 43 - 21)::DOUBLE AS by FROM customer)
+SELECT c_custkey, c_name, c_acctbal, 'LINESTRING' AS kind, 2::INT AS n_points, round(sqrt(pow(ax - bx, 2) + pow(ay - by, 2)), 6) AS length FROM r WHERE least(ax, bx) <= 400 AND greatest(ax, bx) >= 100 AND least(ay, by) <= 600 AND greatest(ay, by) >= 200""")
+def s5_geopackage(s, d):
+    """A road for each customer in GeoPackages by strips of land; the roads whose envelope meets a box are read again."""
+    k = C("c_custkey")
+    x, y = k * 37 % 997, k * 53 % 991
+    point = lambda a, b: F.struct(a.cast("double").alias("x"), b.cast("double").alias("y"))
+    line = F.array(F.array(point(x, y), point(x + k * 11 % 41 - 20, y + k * 7 % 43 - 21)))
+    roads = table(s, d, "customer").select("c_custkey", "c_name", "c_acctbal", F.floor(x / 100).alias("strip"), geopackage.points_wkb("LINESTRING", line).alias("geom"))
+    geopackage.write_layer(roads.repartitionByRange("strip").drop("strip"), path := readers.scratch(s, "roads"), "roads", "geom")
+    found = geopackage.read_layer(s, path, "roads", (100.0, 200.0, 400.0, 600.0)).withColumn("g", geopackage.wkb_parts(C("geom")))
+    return found.select("c_custkey", "c_name", "c_acctbal", "g.kind", F.size(C("g.parts")[0]).alias("n_points"), F.round(X.line_length(C("g.parts")[0]), 6).alias("length"))
+
+
 #: a straight road for each customer
 ROADS = "l AS (SELECT c_custkey AS line, (c_custkey * 37 % 997)::DOUBLE AS ax, (c_custkey * 53 % 991)::DOUBLE AS ay, (c_custkey * 37 % 997 + c_custkey * 11 % 41 - 20)::DOUBLE AS qx, (c_custkey * 53 % 991 + c_custkey * 7 % 43 - 21)::DOUBLE AS qy FROM customer)"
 G18N = f"""WITH RECURSIVE {ROADS},
