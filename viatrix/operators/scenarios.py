@@ -2,6 +2,9 @@
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from viatrix.operators.relational import complete
+from viatrix.session import saved
+
 P = 2_147_483_647
 
 
@@ -87,3 +90,27 @@ def allocate(zones: DataFrame, population: str, growth: float, power: float) ->
     total = zones.agg(F.sum(w).alias("_total"))
     x = zones.join(F.broadcast(total)).withColumn("allocated", F.lit(growth) * w / F.col("_total")).drop("_total")  # one row
     return x.withColumn("relative", F.try_divide("allocated", population) + 1)
+
+
+def district_population(panel: DataFrame, national: DataFrame, rates: DataFrame, first: int, base: int, last: int) -> DataFrame:
+    """(district, year, value, growth): observed from first to last, then as far as rates (year, rate) go.
+
+    Years without a value count zero; growth is null after a zero and in the first year. A district's yearly rate is the national
+    one times a factor: the root, of as many years as lie between base and last, of its growth in them by that of national (year,
+    value). Districts whose growth has another sign than the nation's, or that had nothing in the base year, have no factor and nulls from last on.
+    """
+    c = F.col
+    years = panel.select("district").distinct().select("district", F.explode(F.sequence(F.lit(first), F.lit(last))).alias("year"))
+    seen = complete(panel.groupBy("district", "year").agg(F.sum("value").alias("value")), years, ["district", "year"], {"value": 0.0}).select("district", "year", "value")
+    before = F.lag("value").over(Window.partitionBy("district").orderBy("year"))
+    seen = saved(seen.withColumn("growth", F.try_divide(c("value"), F.nullif(before, F.lit(0.0))) - 1))
+    at = lambda year: F.max(F.when(c("year") == year, c("value")))
+    grown = lambda: F.try_divide(at(last), F.nullif(at(base), F.lit(0.0))) - 1
+    nation = national.agg(grown().alias("nation"))
+    told = rates.where(c("year") > last).agg(F.array_sort(F.collect_list(F.struct("year", "rate"))).alias("rates"))  # a year each
+    x = seen.groupBy("district").agg(at(last).alias("start"), grown().alias("own")).join(F.broadcast(nation)).join(F.broadcast(told))  # one row each
+    relative = F.try_divide("own", F.nullif(c("nation"), F.lit(0.0)))
+    x = x.select("district", "start", F.when(relative >= 0, F.pow(relative, F.lit(1.0 / (last - base)))).alias("factor"), F.inline("rates"))
+    growth = c("rate") * c("factor")
+    so_far = F.when(c("factor").isNotNull(), F.exp(F.sum(F.log1p(growth)).over(Window.partitionBy("district").orderBy("year"))))
+    return seen.unionByName(x.select("district", "year", (c("start") * so_far).alias("value"), growth.alias("growth")))

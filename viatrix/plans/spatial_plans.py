@@ -284,8 +284,8 @@ def s5(s, d):
     return x.select("s_suppkey", F.size("p").cast("long").alias("n_points"), F.round(X.line_length(C("p")), 6).alias("length"))
 
 
-@register("s5_geopackage", """WITH r AS (SELECT c_custkey, c_name, c_acctbal, (c_custkey * 37 % 997)::DOUBLE AS ax, (c_custkey * 53 % 991)::DOUBLE AS ay, (c_custkey * 37 % 997 + c_custkey * 11 % 41 - 20)::DOUBLE AS bx, (c_custkey * 53 % 991 + c_custkey * 7 % 43 - 21)::DOUBLE AS by FROM customer)
-SELECT c_custkey, c_name, c_acctbal, 'LINESTRING' AS kind, 2::INT AS n_points, round(sqrt(pow(ax - bx, 2) + pow(ay - by, 2)), 6) AS length FROM r WHERE least(ax, bx) <= 400 AND greatest(ax, bx) >= 100 AND least(ay, by) <= 600 AND greatest(ay, by) >= 200""")
+@register("s5_geopackage", """WITH r AS (SELECT c_custkey, c_name, c_acctbal, (c_custkey * 37 % 997)::DOUBLE AS ax, (c_custkey * 53 % 991)::DOUBLE AS ay, (c_custkey * 37 % 997 + c_custkey * 11 % 41 - 20)::DOUBLE AS qx, (c_custkey * 53 % 991 + c_custkey * 7 % 43 - 21)::DOUBLE AS qy FROM customer)
+SELECT c_custkey, c_name, c_acctbal, 'LINESTRING' AS kind, 2::INT AS n_points, round(sqrt(pow(ax - qx, 2) + pow(ay - qy, 2)), 6) AS length FROM r WHERE least(ax, qx) <= 400 AND greatest(ax, qx) >= 100 AND least(ay, qy) <= 600 AND greatest(ay, qy) >= 200""")
 def s5_geopackage(s, d):
     """A road for each customer in GeoPackages by strips of land; the roads whose envelope meets a box are read again."""
     k = C("c_custkey")
