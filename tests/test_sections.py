@@ -73,3 +73,15 @@ def test_a_long_chain_and_a_ring(spark):
     line = [(0, *sorted(p), 1.0, "") for p in zip(names[:500], names[1:500])]
     ring = [(0, *sorted(p), 1.0, "") for p in zip(names[500:], names[501:] + names[500:501])]
     check(spark, line + ring)
+
+
+def test_merged_lines(spark):
+    """Pieces in any direction, repeated, branching, closed, of two keys; a piece without length."""
+    xy = lambda *p: [{"x": float(x), "y": float(y)} for x, y in p]
+    rows = [("a", xy((0, 0), (1, 0))), ("a", xy((2, 5), (1, 0))), ("a", xy((2, 5), (3, 5), (4, 5))), ("a", xy((1, 0), (0, 0))), ("b", xy((1, 0), (0, 0))), ("b", xy((1, 0), (2, 0))), ("b", xy((1, 0), (1, 7))),
+            ("c", xy((0, 0), (1, 1), (2, 0))), ("c", xy((2, 0), (-0.0, 0))), ("d", xy((3, 3))), ("d", xy((3, 3), (3, 3))), ("d", []), ("d", None)]
+    got = L.merged_lines(spark.createDataFrame(rows, "k string, points array<struct<x: double, y: double>>"), "k").collect()
+    found = sorted((r.k, [tuple(p) for p in r.points]) for r in got)
+    assert [(k, len(p)) for k, p in found] == [("a", 5), ("b", 2), ("b", 2), ("b", 2), ("c", 4)]
+    assert found[0][1] in ([(0, 0), (1, 0), (2, 5), (3, 5), (4, 5)], [(4, 5), (3, 5), (2, 5), (1, 0), (0, 0)])
+    assert found[4][1][0] == found[4][1][-1] and {*found[4][1]} == {(0, 0), (1, 1), (2, 0)}

@@ -79,6 +79,23 @@ def section_paths(chained: DataFrame) -> DataFrame:
     return x.select("network", "section", F.concat(F.array(F.get("x", F.lit(0))["from_node"]), F.transform("x", lambda s: s["to_node"])).alias("path"))
 
 
+def merged_lines(lines: DataFrame, key: str) -> DataFrame:
+    """(key, points) of lines (key, points) of one key put together where two of them meet, and only two.
+
+    Lines are taken apart into their segments, of which equal ones count once, and go on through points of two segments; so a line
+    that others branch off from is cut there, and a closed one begins and ends at one point. Segments that cross between their
+    ends are not split: spatial.noded() does that. Lines without a segment, and points with a null, are left out.
+    """
+    point = lambda p: F.concat_ws(" ", (p["x"] + F.lit(0.0)).cast("string"), (p["y"] + F.lit(0.0)).cast("string"))  # noqa: E731  0 and -0 are one place
+    known = F.transform(F.filter("points", lambda p: p["x"].isNotNull() & p["y"].isNotNull()), point)
+    x = lines.select(F.col(key).alias("network"), known.alias("p")).where("size(p) > 1")
+    x = x.select("network", F.explode(F.arrays_zip(F.slice("p", 1, F.size("p") - 1).alias("a"), F.slice("p", 2, F.size("p") - 1).alias("b"))).alias("s")).where("s.a <> s.b")
+    segments = x.select("network", F.least("s.a", "s.b").alias("u"), F.greatest("s.a", "s.b").alias("v")).distinct()
+    paths = section_paths(chains(segments.withColumn("tracks", F.lit(1.0))))
+    back = F.transform(F.transform("path", lambda n: F.split(n, " ")), lambda n: F.struct(n[0].cast("double").alias("x"), n[1].cast("double").alias("y")))
+    return paths.select(F.col("network").alias(key), back.alias("points"))
+
+
 def pattern(stops: list[bool]) -> str:
     """How a service stops along nodes: at all, at the two ends only, at some or at none."""
     n = sum(stops)

@@ -1,8 +1,9 @@
-"""Queries of report tables, district populations, access points and speeds of crossed cells (E6, N1, O5, P3, P8)."""
+"""Queries of report tables, district populations, access points, merged lines and speeds of crossed cells (A21, E6, N1, O5, P3, P8)."""
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
-from viatrix.operators import relational as R, reports as P, scenarios as S, spatial as G
+from viatrix.functions import exprs as X
+from viatrix.operators import relational as R, reports as P, scenarios as S, sections as L, spatial as G
 from viatrix.plans import domain as D
 from viatrix.plans.registry import register
 from viatrix.session import table
@@ -133,3 +134,23 @@ def e6_crossed(s, d):
     roads = x.select(*[c.cast("double").alias(n) for n, c in ends.items()], (30 + k % 6 * 10).alias("kph"))
     best = G.crossed_cells(roads, 1.0, "kph").groupBy("row", "col").agg(F.max("kph").alias("kph"))
     return cells.join(best, ["row", "col"], "left").select("row", "col", F.when(C("speed") == 0, 0).otherwise(F.coalesce("kph", F.lit(4))).cast("int").alias("speed"))
+
+
+A21 = """WITH o AS (SELECT c_nationkey AS line, o_orderkey AS k, o_custkey::DOUBLE AS y FROM orders JOIN customer ON o_custkey = c_custkey),
+s AS (SELECT line, k, y, lead(k) OVER w AS next, lead(y) OVER w AS next_y, (k // 97) % 3 = 0 AS tunnel FROM o WINDOW w AS (PARTITION BY line ORDER BY k)),
+c AS (SELECT *, CASE WHEN tunnel IS DISTINCT FROM lag(tunnel) OVER (PARTITION BY line ORDER BY k) THEN 1 ELSE 0 END AS fresh FROM s WHERE next IS NOT NULL),
+i AS (SELECT *, sum(fresh) OVER (PARTITION BY line ORDER BY k) AS island FROM c)
+SELECT (line * 10 + CASE WHEN tunnel THEN 1 ELSE 0 END)::BIGINT AS part_of, count(*) + 1 AS n_points, round(sum(sqrt(pow(next - k, 2) + pow(next_y - y, 2))), 4) AS length, min(k)::DOUBLE AS west, max(next)::DOUBLE AS east FROM i GROUP BY line, tunnel, island"""
+
+
+@register("a21_merged_lines", A21)
+def a21_lines(s, d):
+    """The pieces of each nation's line, from order to order, put together within and without tunnels; a piece lies between two orders."""
+    nation = table(s, d, "customer").select("c_custkey", C("c_nationkey").alias("line"))
+    o = table(s, d, "orders").select("o_custkey", C("o_orderkey").alias("k")).join(nation, C("o_custkey") == C("c_custkey"))
+    w = Window.partitionBy("line").orderBy("k")
+    here = F.struct(C("k").cast("double").alias("x"), C("o_custkey").cast("double").alias("y"))
+    x = o.select("k", (C("line") * 10 + (F.floor(C("k") / 97) % 3 == 0).cast("long")).alias("part_of"), F.array(here, F.lead(here).over(w)).alias("points")).where("points[1] is not null")
+    m = L.merged_lines(x, "part_of")
+    xs = F.transform("points", lambda p: p["x"])
+    return m.select("part_of", F.size("points").cast("long").alias("n_points"), F.round(X.line_length(C("points")), 4).alias("length"), F.array_min(xs).alias("west"), F.array_max(xs).alias("east"))
