@@ -40,6 +40,15 @@ def s4(s, d):
     return readers.read_workbook(s, path, "Population", schema(n_nationkey=LongType, n_name=StringType, share=DoubleType), 5)
 
 
+@register("s4_workbook_folder", "SELECT c_custkey, c_name, CASE WHEN c_custkey % 7 <> 0 THEN c_acctbal END AS c_acctbal FROM customer")
+def s4_folder(s, d):
+    """A workbook for each nation and 20,000 customers, written and read by tasks."""
+    k = C("c_custkey")
+    x = table(s, d, "customer").select("c_custkey", "c_name", F.when(k % 7 != 0, C("c_acctbal")).alias("c_acctbal"), "c_nationkey")
+    readers.write_workbooks(x, path := readers.scratch(s, "workbooks"), "Population", F.concat_ws("_", F.lit("nation"), "c_nationkey", F.floor(k / 20000)), 5)
+    return readers.read_workbook(s, f"{path}/*.xlsx", "Population", schema(c_custkey=LongType, c_name=StringType, c_acctbal=DoubleType), 5)
+
+
 @register("s7_elevation_grid", f'WITH {D.CELLS}, o AS (SELECT min("row") AS r, min(col) AS c FROM cells) SELECT 2600000.0 + "row" * 10 AS x, 1200000.0 + col * 10 AS y, round(value, 3) AS z FROM cells, o WHERE ("row" - r) % 5 = 0 AND (col - c) % 5 = 0')
 def s7(s, d):
     """Points of a ten-metre model, of which every fifth row and column is read."""

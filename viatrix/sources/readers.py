@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import DoubleType, FloatType, IntegerType, LongType, StringType, StructField, StructType
 
 from viatrix.session import shared_dir
-from viatrix.sources import workbooks
+from viatrix.sources import shared_files, workbooks
 
 #: fixed values: networks by name
 NETWORKS = {"AK_2035": "services_ak_2035", "AK_2035_extended": "services_ak_2035_extended", "current": "services_current", "2024_extended": "services_2024_extended"}
@@ -96,6 +96,19 @@ def write_workbook(spark: SparkSession, path: str, sheets: dict[str, list[list]]
     out.close()
 
 
+def write_workbooks(df: DataFrame, path: str, sheet: str, name: Column, header: int = 0) -> None:
+    """A workbook for each name, in the task that holds its rows, with its table below so many empty lines; a name's rows must fit a sheet."""
+    columns = df.columns
+
+    def book(pdf):
+        cells = pdf[columns].astype(object)
+        table = cells.where(cells.notna(), None).values.tolist()
+        return pdf[["_name"]].head(1).rename(columns={"_name": "name"}).assign(content=workbooks.workbook({sheet: [[]] * header + [columns, *table]}))
+
+    books = df.withColumn("_name", name).groupBy("_name").applyInPandas(book, "name string, content binary")
+    shared_files.write_files(books, path, ".xlsx")
+
+
 def read_numbered(spark: SparkSession, glob: str, pattern: str, name: str, **options) -> DataFrame:
     """CSV files of one folder, with the number that the file name holds as a column; null where it holds none."""
     return spark.read.csv(glob, **options).withColumn(name, F.regexp_extract(F.input_file_name(), pattern, 1).try_cast("int"))

@@ -5,7 +5,8 @@ from __future__ import annotations
 import uuid
 from dataclasses import dataclass
 
-from pyspark.sql.datasource import InputPartition, WriterCommitMessage
+from pyspark.sql import DataFrame
+from pyspark.sql.datasource import DataSource, DataSourceWriter, InputPartition, WriterCommitMessage
 
 #: no more tasks than this read a folder
 MOST_TASKS = 10_000
@@ -103,3 +104,32 @@ def box_of(text: str | None) -> tuple[float, float, float, float] | None:
 
 def meets(a: tuple[float, float, float, float], b: tuple[float, float, float, float] | None) -> bool:
     return b is None or (a[0] <= b[2] and a[2] >= b[0] and a[1] <= b[3] and a[3] >= b[1])
+
+
+class FileWriter(DataSourceWriter):
+    def __init__(self, options: dict[str, str], overwrite: bool):
+        self.path, self.ending, self.overwrite = options["path"], options["ending"], overwrite
+
+    def write(self, iterator):
+        return Written([(put(self.path, bytes(row.content)), row.name + self.ending) for row in iterator])
+
+    def commit(self, messages):
+        commit(self.path, messages, self.ending, self.overwrite)
+
+    def abort(self, messages):
+        abort(self.path, messages)
+
+
+class FileSink(DataSource):
+    @classmethod
+    def name(cls):
+        return "viatrix_files"
+
+    def writer(self, schema, overwrite):
+        return FileWriter(dict(self.options), overwrite)
+
+
+def write_files(df: DataFrame, path: str, ending: str) -> None:
+    """Rows (name, content) as a file each, which replace the folder's files of that ending; names must be unique."""
+    df.sparkSession.dataSource.register(FileSink)
+    df.select("name", "content").write.format("viatrix_files").options(path=path, ending=ending).mode("overwrite").save()
