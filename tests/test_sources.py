@@ -102,3 +102,19 @@ def test_workbook(spark, tmp_path):
     got = readers.read_workbook(spark, str(tmp_path / "*.xlsx"), "Two & more", schema, 1)
     assert sorted(map(tuple, got.collect()), key=str) == sorted([(1, 2.5, None), (3, None, None), (None, None, None), (9, 7.0, None)], key=str)
     assert [workbooks.column_number(x) for x in ("A1", "Z9", "AA10", "BC2")] == [0, 25, 26, 54]
+
+
+def test_workbooks_by_tasks(spark, tmp_path):
+    """A book for each name, with nulls, and what was there before gone; no rows make no book."""
+    import os
+
+    from pyspark.sql import functions as F
+
+    df = spark.createDataFrame([(1, "a", 1.5), (2, None, None), (3, "c", 2.0)], "id long, name string, x double")
+    path = str(tmp_path / "books")
+    readers.write_workbooks(df, path, "S", F.concat(F.lit("b"), F.col("id")), 1)
+    readers.write_workbooks(df, path, "S", F.concat(F.lit("b"), F.floor(F.col("id") / 2)), 2)
+    assert sorted(os.listdir(path)) == ["b0.xlsx", "b1.xlsx"]
+    assert sorted(map(tuple, readers.read_workbook(spark, f"{path}/*.xlsx", "S", df.schema, 2).collect())) == [(1, "a", 1.5), (2, None, None), (3, "c", 2.0)]
+    readers.write_workbooks(df.limit(0), path, "S", F.lit("b"))
+    assert os.listdir(path) == []
