@@ -53,7 +53,7 @@ def j25(s, d):
     k = C("p_partkey")
     x, y = (k % 90).cast("double") + 0.25, (k * 7 % 90).cast("double") + 0.5
     plots = table(s, d, "part").select(k.alias("plot"), x.alias("x0"), y.alias("y0"), (x + 1 + C("p_size") % 4).alias("x1"), (y + 0.75 + C("p_size") % 3).alias("y1"))
-    x = G.covered_cells(plots, "plot").join(D.cells(s, d), ["row", "col"])
+    x = G.covered_cells(plots, "plot").join(F.broadcast(D.cells(s, d)), ["row", "col"])  # 100 x 100 cells at most
     return x.groupBy("plot").agg(F.round(F.sum(C("value") * C("share")), 6).alias("potential"))
 
 
@@ -68,7 +68,7 @@ def j25_convex(s, d):
     turn, x, y = k * 0.7, k * 37 % 83 + 0.3, k * 53 % 79 + 0.6
     corner = lambda a, b: F.struct((x + a * F.cos(turn) - b * F.sin(turn)).alias("x"), (y + a * F.sin(turn) + b * F.cos(turn)).alias("y"))
     plots = table(s, d, "supplier").select("s_suppkey", F.array(corner(F.lit(0.0), F.lit(0.0)), corner(F.lit(6.0), F.lit(0.0)), corner(F.lit(0.0), F.lit(8.0))).alias("ring"))
-    over = G.convex_cells(plots, "s_suppkey").join(D.cells(s, d), ["row", "col"])
+    over = G.convex_cells(plots, "s_suppkey").join(F.broadcast(D.cells(s, d)), ["row", "col"])  # 100 x 100 cells at most
     return over.groupBy("s_suppkey").agg(F.count(F.lit(1)).alias("n_cells"), F.round(F.sum(C("share") * C("value")), 4).alias("value"))
 
 
