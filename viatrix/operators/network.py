@@ -144,12 +144,12 @@ def via_nodes(edges: DataFrame, wanted: DataFrame) -> DataFrame:
 
     -99 stands where there is no node between or no path; a link with an end that the network lacks is left out.
     """
-    from viatrix.operators.routing import paths_on
+    from viatrix.operators.routing import few_paths_on
 
     graph = edges.select(F.lit(0).alias("graph_id"), "u", "v", "w")
     known = edges.select(F.col("u").alias("n")).union(edges.select("v")).distinct()
     wanted = wanted.select("u", "v").join(known.withColumnRenamed("n", "u"), "u", "left_semi").join(known.withColumnRenamed("n", "v"), "v", "left_semi")
-    paths = paths_on(graph, wanted.select(F.lit(0).alias("graph_id"), F.col("u").alias("o"), F.col("v").alias("d"))).select(F.col("o").alias("u"), F.col("d").alias("v"), "path")
+    paths = few_paths_on(graph, wanted.select(F.lit(0).alias("graph_id"), F.col("u").alias("o"), F.col("v").alias("d"))).select(F.col("o").alias("u"), F.col("d").alias("v"), "path")
     inner = F.slice("path", 2, F.greatest(F.size("path") - 2, F.lit(0)))
     text = F.concat(F.lit("["), F.array_join(inner.cast("array<string>"), ","), F.lit("]"))
     return wanted.join(paths, ["u", "v"], "left").select("u", "v", F.when(F.size("path") > 2, text).otherwise("-99").alias("via"))
