@@ -1,6 +1,8 @@
 """Rounds of joins that move only what is not done, and results that no task holds whole."""
 
-from viatrix.operators import network as N
+from pyspark.sql import functions as F
+
+from viatrix.operators import network as N, sections as L
 from viatrix.plans import route_plans
 
 
@@ -11,3 +13,23 @@ def test_many_graphs_are_searched_from_the_wanted_stations_only(spark, monkeypat
     monkeypatch.setattr(N, "all_times", whole)
     got = route_plans.g2(spark, "/root/testdata/sf0.001")
     assert {x.src for x in got.select("src").distinct().collect()} == {"0", "9"}
+
+
+def test_arcs_that_came_to_an_end_move_no_more(spark):
+    # a list of 64 arcs, and 100 of one arc
+    long_ = [(0, i, i + 1, i + 2 if i < 63 else None) for i in range(64)]
+    short = [(0, 1000 + 2 * i, 1001 + 2 * i, None) for i in range(100)]
+    arcs = spark.createDataFrame(long_ + short, "network int, a int, b int, c int")
+    got, tables = L.ranked(arcs.select("*", F.struct("a", "b").alias("least"), F.least("a", "b").alias("low")))
+    assert [t.count() for t in tables] == [164, 63, 62, 60, 56, 48, 32]
+    assert {x.a: (x.last_a, x.hops) for x in got.where("a < 64").collect()} == {i: (63, 63 - i) for i in range(64)}
+    assert got.count() == 164 and got.where("not ends").isEmpty()
+
+
+def test_patterns_of_many_sections_in_one_batch(spark):
+    paths = spark.range(3000).select(F.lit(0).alias("network"), F.concat(F.lit("s"), "id").alias("section"), F.array(*[F.col("id") * 5 + i for i in range(5)]).alias("path"))
+    stops = spark.range(15000).where("id % 5 < 3").select(F.lit(0).alias("network"), F.col("id").alias("node"), F.lit("S1").alias("service"))
+    got = L.split_by_pattern(paths, stops)
+    assert "FlatMapGroups" not in got._jdf.queryExecution().executedPlan().toString()
+    parts = {(x.section, x.part): x.path for x in got.collect()}
+    assert len(parts) == 6000 and parts["s7", 0] == [35, 36, 37] and parts["s7", 1] == [37, 38, 39]

@@ -1,35 +1,41 @@
 """Line sections in order and split where a service changes how it stops; corridors, enrichment and tracks enough for the load."""
 
-import pandas as pd
+from functools import reduce
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from viatrix.functions.exprs import capacity
 from viatrix.operators.value import intervention
-from viatrix.session import saved, written
+from viatrix.session import discard, written
 
 
-def ranked(arcs: DataFrame) -> DataFrame:
-    """(network, a, b, last_a, last_b, hops, least, low, ends) of arcs (network, a, b, c, least, low), by pointer jumping.
+def ranked(arcs: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+    """(network, a, b, last_a, last_b, hops, least, low, ends) of arcs (network, a, b, c, least, low), by pointer jumping; and the tables of written() that it reads.
 
     An arc leads from a to b and on to the arc from b to c; c is null where the list ends. Each round an arc takes over what the
     arc that it points to knows, so that after round k it knows of 2**k arcs: the last of them, how many lie ahead, and the
-    least segment and node among them. A ring has no end: once 2**k exceeds the number of all arcs, ``ends`` is false for arcs of rings.
+    least segment and node among them. What has come to an end is told and moves no more. A ring has no end: once 2**k exceeds the number of
+    all arcs, ``ends`` is false for arcs of rings.
     """
     on = F.col("c").isNotNull()
     state = arcs.select(
         "network", "a", "b", F.when(on, F.col("b")).otherwise(F.col("a")).alias("last_a"), F.when(on, F.col("c")).otherwise(F.col("b")).alias("last_b"),
         on.cast("long").alias("hops"), "least", "low", (~on).alias("ends"),
     )
-    state, reach = saved(state), 1
-    total = state.count()
-    while reach <= 2 * total and not state.where("not ends").isEmpty():
-        ahead = state.select("network", F.col("a").alias("last_a"), F.col("b").alias("last_b"), F.col("last_a").alias("xa"), F.col("last_b").alias("xb"), F.col("hops").alias("more"), F.col("least").alias("other"), F.col("low").alias("lower"), F.col("ends").alias("done"))
-        # the last arc of a list points to itself, with nothing ahead: what has come to an end stays as it is
-        moved = state.join(ahead, ["network", "last_a", "last_b"])
+    tables, reach = [written(state)], 1
+    total = tables[0].count()
+
+    def known() -> DataFrame:
+        return reduce(DataFrame.unionByName, [t.where("ends") for t in tables[:-1]], tables[-1])
+
+    while reach <= 2 * total and not (open_ := tables[-1].where("not ends")).isEmpty():
+        ahead = known().select("network", F.col("a").alias("last_a"), F.col("b").alias("last_b"), F.col("last_a").alias("xa"), F.col("last_b").alias("xb"), F.col("hops").alias("more"), F.col("least").alias("other"), F.col("low").alias("lower"), F.col("ends").alias("done"))
+        moved = open_.join(ahead, ["network", "last_a", "last_b"])
         moved = moved.select("network", "a", "b", F.col("xa").alias("last_a"), F.col("xb").alias("last_b"), (F.col("hops") + F.col("more")).alias("hops"), F.least("least", "other").alias("least"), F.least("low", "lower").alias("low"), F.col("done").alias("ends"))
-        state = saved(moved.select(state.columns))
+        tables.append(written(moved))
         reach *= 2
-    return state
+    return known(), tables
 
 
 def chains(segments: DataFrame) -> DataFrame:
@@ -42,23 +48,27 @@ def chains(segments: DataFrame) -> DataFrame:
     """
     told = segments if "tokens" in segments.columns else segments.withColumn("tokens", F.lit(""))
     ends = F.array(F.struct(F.col("u").alias("a"), F.col("v").alias("b")), F.struct(F.col("v").alias("a"), F.col("u").alias("b")))
-    arcs = saved(told.select("network", F.struct("u", "v").alias("least"), F.struct("tracks", "tokens").alias("kind"), F.explode(ends).alias("e")).select("network", "e.a", "e.b", "least", "kind"))
+    # all segments of a section have its tracks, so the least one tells them too
+    arcs = written(told.select("network", F.struct("u", "v", "tracks").alias("least"), F.struct("tracks", "tokens").alias("kind"), F.explode(ends).alias("e")).select("network", "e.a", "e.b", "least", "kind"))
     # at a node of two segments of one kind, the arc into it goes on along the other
-    beside = arcs.groupBy("network", F.col("a").alias("b")).agg(F.count(F.lit(1)).alias("n"), F.min("b").alias("x"), F.max("b").alias("y"), F.count_distinct("kind").alias("kinds"))
-    through = beside.where("n = 2 and kinds = 1").select("network", "b", "x", "y")
-    arcs = saved(arcs.join(through, ["network", "b"], "left").select("network", "a", "b", F.when(F.col("x") == F.col("a"), F.col("y")).otherwise(F.col("x")).alias("c"), "least", F.least("a", "b").alias("low"), "kind"))
-    first = saved(ranked(arcs))
+    beside = arcs.groupBy("network", F.col("a").alias("b")).agg(F.count(F.lit(1)).alias("n"), F.min("b").alias("x"), F.max("b").alias("y"), F.min("kind").alias("lo"), F.max("kind").alias("hi"))
+    through = beside.where("n = 2 and lo <=> hi").select("network", "b", "x", "y")
+    lists = arcs.drop("kind").join(through, ["network", "b"], "left").select("network", "a", "b", F.when(F.col("x") == F.col("a"), F.col("y")).otherwise(F.col("x")).alias("c"), "least", F.least("a", "b").alias("low"))
+    first, tables = ranked(lists)
     # rings, and chains from a node back to it, are cut at their smallest node
     back = first.select("network", F.col("b").alias("a"), F.col("a").alias("b"), F.col("last_b").alias("start"), F.col("hops").alias("before"), F.col("least").alias("least_back"), F.col("low").alias("low_back"))
-    both = saved(first.join(back, ["network", "a", "b"]).withColumns({"least": F.least("least", "least_back"), "low": F.least("low", "low_back"), "closed": ~F.col("ends") | (F.col("last_b") == F.col("start"))}))
-    open_ = both.where("not closed and start < last_b").select("network", "a", "b", "least", F.col("before").alias("at"))
+    both = first.join(back, ["network", "a", "b"]).withColumns({"least": F.least("least", "least_back"), "low": F.least("low", "low_back"), "closed": ~F.col("ends") | (F.col("last_b") == F.col("start"))})
+    # of the two ways along an open chain the one from its smaller end
+    both = written(both.where("closed or start < last_b").select("network", "a", "b", "least", "low", "before", "closed"))
+    discard(arcs, *tables)
+    open_ = both.where("not closed").select("network", "a", "b", "least", F.col("before").alias("at"))
     ring = both.where("closed").select("network", "a", "b", "least", "low")
     if not ring.isEmpty():
         # where such a chain was closed by a node with other segments, it goes on there as a ring does
         ends_at = ring.select("network", "least", F.col("a").alias("from_a"), F.col("b").alias("from_b"))
         onward = ring.join(ends_at.select("network", "least", F.col("from_a").alias("b"), F.col("from_b").alias("c")), ["network", "least", "b"]).where("c <> a")
         cut = written(onward.select("network", "a", "b", F.when(F.col("b") == F.col("low"), None).otherwise(F.col("c")).alias("c"), "least", "low"))
-        again = ranked(cut)
+        again, _ = ranked(cut)
         size = ring.groupBy("network", "least").agg((F.count(F.lit(1)) / 2).cast("long").alias("n"))
         # of the two ways round the one that leaves the smallest node for its smaller neighbour
         leaves = cut.where("a = low").groupBy("network", "least").agg(F.min("b").alias("to"))
@@ -67,10 +77,9 @@ def chains(segments: DataFrame) -> DataFrame:
         last = leaves.join(cut.where("b = low").select("network", "least", F.col("a").alias("last_a")), ["network", "least"]).where("last_a <> to").select("network", "least", "last_a")
         way = way.join(last, ["network", "least", "last_a"]).join(size, ["network", "least"])
         open_ = open_.union(way.select("network", "a", "b", "least", (F.col("n") - 1 - F.col("hops")).alias("at")))
-    tracks = F.col("kind.tracks")
-    told = open_.join(arcs.select("network", "a", "b", "kind"), ["network", "a", "b"])
+    tracks = F.col("least.tracks")
     text = F.when(tracks == F.floor(tracks), F.floor(tracks).cast("string")).otherwise(tracks.cast("double").cast("string"))
-    return told.select("network", F.concat_ws("-", text, "least.u", "least.v").alias("section"), F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v"), F.col("a").alias("from_node"), F.col("b").alias("to_node"), "at")
+    return open_.select("network", F.concat_ws("-", text, "least.u", "least.v").alias("section"), F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v"), F.col("a").alias("from_node"), F.col("b").alias("to_node"), "at")
 
 
 def section_paths(chained: DataFrame) -> DataFrame:
@@ -96,14 +105,31 @@ def merged_lines(lines: DataFrame, key: str) -> DataFrame:
     return paths.select(F.col("network").alias(key), back.alias("points"))
 
 
-def pattern(stops: list[bool]) -> str:
-    """How a service stops along nodes: at all, at the two ends only, at some or at none."""
-    n = sum(stops)
-    if n == 0:
-        return "none"
-    if n == len(stops):
-        return "all"
-    return "ends" if n == 2 and stops[0] and stops[-1] else "some"
+def parts_of(calls: list[list[str]], from_path_start: bool) -> list[tuple[int, int]]:
+    """(first node, number of nodes) of the parts of a path whose nodes are called at by these services."""
+    before: dict[str, list[int]] = {s: [0] for s in sorted({s for c in calls for s in c})}  # stops before each node
+    for c in calls:
+        for service, n in before.items():
+            n.append(n[-1] + (service in c))
+
+    def pattern(n: list[int], a: int, i: int) -> str:
+        """How a service stops from a to i: at all, at the two ends only, at some or at none."""
+        stops = n[i + 1] - n[a]
+        if stops in (0, i + 1 - a):
+            return "all" if stops else "none"
+        return "ends" if stops == 2 and n[a + 1] > n[a] and n[i + 1] > n[i] else "some"
+
+    parts, start, last = [], 0, None
+    for i in range(2, len(calls)):
+        if i - start < 2:
+            continue
+        now = [pattern(n, 0 if from_path_start else start, i) for n in before.values()]
+        if last is not None and now != last:
+            parts.append((start, i - start))
+            start, last = i - 1, None
+        else:
+            last = now
+    return [*parts, (start, len(calls) - start)]
 
 
 def split_by_pattern(paths: DataFrame, stops: DataFrame, from_path_start: bool = False) -> DataFrame:
@@ -114,29 +140,20 @@ def split_by_pattern(paths: DataFrame, stops: DataFrame, from_path_start: bool =
     stops on stays whole.
     """
     nodes = paths.select("network", "section", F.posexplode("path").alias("at", "node"))
-    known = nodes.join(stops.select("network", "node", "service").distinct(), ["network", "node"], "left")
-
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        path = pdf.drop_duplicates("at").sort_values("at").node.tolist()
-        calls: dict = {}
-        for at, service in zip(pdf["at"], pdf.service):
-            if service is not None:
-                calls.setdefault(service, [False] * len(path))[at] = True
-        parts, start, before = [], 0, None
-        for i in range(2, len(path)):
-            if i - start < 2:
-                continue
-            a = 0 if from_path_start else start
-            now = {s: pattern(c[a : i + 1]) for s, c in calls.items()}
-            if before is not None and now != before:
-                parts.append(path[start:i])
-                start, before = i - 1, None
-            else:
-                before = now
-        parts.append(path[start:])
-        return pd.DataFrame([(*key, k, p) for k, p in enumerate(parts)], columns=["network", "section", "part", "path"])
-
-    return known.groupBy("network", "section").applyInPandas(run, f"network {dict(paths.dtypes)['network']}, section string, part int, path {dict(paths.dtypes)['path']}")
+    calls = stops.groupBy("network", "node").agg(F.collect_set(F.col("service").cast("string")).alias("calls"))  # services of one node
+    known = nodes.join(calls, ["network", "node"], "left").select("network", "section", F.struct("at", "node", F.coalesce("calls", F.array().cast("array<string>")).alias("calls")).alias("x"))
+    known = known.groupBy("network", "section").agg(F.array_sort(F.collect_list("x")).alias("x")).select("network", "section", "x.node", "x.calls")
+
+    def run(batches):
+        for batch in batches:  # many sections each
+            parts = [parts_of(c, from_path_start) for c in batch.column(3).to_pylist()]
+            first, n = ([[p[i] for p in of] for of in parts] for i in (0, 1))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(first, pa.list_(pa.int32())), pa.array(n, pa.list_(pa.int32()))], names=["network", "section", "path", "first", "n"])
+
+    kinds = dict(paths.dtypes)
+    cut = known.mapInArrow(run, f"network {kinds['network']}, section string, path {kinds['path']}, first array<int>, n array<int>")
+    cut = cut.select("network", "section", "path", F.posexplode(F.arrays_zip("first", "n")).alias("part", "p"))
+    return cut.select("network", "section", "part", F.slice("path", F.col("p.first") + 1, F.col("p.n")).alias("path"))
 
 
 def corridor_nodes(links: DataFrame, inside: DataFrame, new: DataFrame) -> DataFrame:
