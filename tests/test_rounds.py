@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from viatrix.operators import network as N, sections as L
+from viatrix.operators import network as N, relational as R, sections as L
 from viatrix.plans import route_plans
 
 
@@ -33,3 +33,29 @@ def test_patterns_of_many_sections_in_one_batch(spark):
     assert "FlatMapGroups" not in got._jdf.queryExecution().executedPlan().toString()
     parts = {(x.section, x.part): x.path for x in got.collect()}
     assert len(parts) == 6000 and parts["s7", 0] == [35, 36, 37] and parts["s7", 1] == [37, 38, 39]
+
+
+def test_nearest_meets_few_of_many_crowded_and_far_sites(spark, monkeypatch):
+    met = []
+    plain = R.written
+
+    def counted(df):
+        out = plain(df)
+        met.append(out.count())
+        return out
+
+    monkeypatch.setattr(R, "written", counted)
+    # 10,000 sites in one square of 100 by 100, five at each place; 400 points at 20 places, near and far
+    sites = spark.range(10000).select("id", (F.col("id") * 7 % 2000 % 50 * 2).cast("double").alias("bx"), F.floor(F.col("id") * 7 % 2000 / 50).cast("double").alias("by"))
+    points = spark.range(400).select(F.col("id").alias("k"), (F.col("id") % 20 * 53 - 300).cast("double").alias("ax"), (F.col("id") % 20 * 31 - 200).cast("double").alias("ay"))
+    got = {x.k: (x.distance, x.id) for x in R.nearest(points, ["k"], sites, 100.0).collect()}
+    assert max(met) == 2000 and sum(met) < 10000
+    place = {(x.bx, x.by): x.id for x in sites.groupBy("bx", "by").agg(F.min("id").alias("id")).collect()}
+    for p in points.collect():
+        assert got[p.k] == min((((p.ax - x) ** 2 + (p.ay - y) ** 2) ** 0.5, i) for (x, y), i in place.items())
+
+
+def test_nearest_leaves_points_without_a_place(spark):
+    sites = spark.createDataFrame([(1, 0.0, 0.0), (2, None, 1.0), (3, 0.0, 0.0)], "id long, bx double, by double")
+    points = spark.createDataFrame([(1, 3.0, 4.0), (2, None, 0.0), (3, float("nan"), 0.0)], "k int, ax double, ay double")
+    assert {x.k: (x.distance, x.id) for x in R.nearest(points, ["k"], sites, 2.0).collect()} == {1: (5.0, 1), 2: (None, None), 3: (None, None)}

@@ -4,7 +4,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from viatrix.session import saved
+from viatrix.session import discard, saved, written
 
 
 def group_known(df: DataFrame, keys: Sequence[str], *aggregates: Column) -> DataFrame:
@@ -80,19 +80,44 @@ def surrogate(df: DataFrame, name: str, base: int, *order: Column) -> DataFrame:
 def nearest(points: DataFrame, key: Sequence[str], sites: DataFrame, radius: float) -> DataFrame:
     """points (key, ax, ay) with the id and distance of their nearest site (id, bx, by); of equally near ones the smallest id.
 
-    Sites within the radius are sought first, and the radius doubles for points that have none.
+    Places count once, however many points or sites share them. Squares of land that hold sites are halved round by round: a place keeps those that
+    may hold its nearest site, which no other square is sure to come nearer than, until squares are smaller than the radius and hold few
+    sites each. So what a place meets depends neither on how far away nor on how crowded the sites are.
     """
-    kind = dict(sites.dtypes)["id"]
-    out, left = None, points
-    if sites.isEmpty():
+    C, kind = F.col, dict(sites.dtypes)["id"]
+    known = lambda df, *names: df.where(" and ".join(f"{n} is not null and not isnan({n})" for n in names))
+    at = written(known(sites.withColumns({"bx": C("bx").cast("double"), "by": C("by").cast("double")}), "bx", "by").groupBy("bx", "by").agg(F.min("id").alias("id")))
+    extent = at.agg(F.min("bx").alias("x"), F.min("by").alias("y"), F.greatest(F.max("bx") - F.min("bx"), F.max("by") - F.min("by")).alias("side")).first()  # one row
+    if extent["x"] is None:
         return points.withColumns({"distance": F.lit(None).cast("double"), "id": F.lit(None).cast(kind)})
-    while out is None or not left.isEmpty():
-        near = distance_join(left, sites, radius).groupBy(*key).agg(F.min(F.struct("distance", "id")).alias("m"))
-        near = saved(left.join(near, list(key), "left"))
-        found = near.where("m is not null").select(*points.columns, "m.distance", "m.id")
-        out = found if out is None else out.unionByName(found)
-        left, radius = near.where("m is null").drop("m"), 2 * radius
-    return out
+    side = 1.0
+    while side <= extent["side"]:
+        side *= 2
+    number = lambda c, low, size: F.floor((C(c) - low) / size).cast("long")
+    asked = known(points.select(C("ax").cast("double").alias("ax"), C("ay").cast("double").alias("ay")), "ax", "ay").distinct()
+    left = written(asked.withColumns({"i": F.lit(0).cast("long"), "j": F.lit(0).cast("long")}))
+    rounds = 0
+    while rounds < 48:
+        rounds, side = rounds + 1, side / 2
+        squares = at.groupBy(number("bx", extent["x"], side).alias("ki"), number("by", extent["y"], side).alias("kj"))
+        squares = written(squares.agg(*[f(c).alias(f"{n}{c[1]}") for c in ("bx", "by") for n, f in (("lo", F.min), ("hi", F.max))], F.count(F.lit(1)).alias("n")))
+        beyond = lambda c: F.greatest(C(f"lo{c}") - C(f"a{c}"), C(f"a{c}") - C(f"hi{c}"), F.lit(0.0))
+        across = lambda c: F.greatest(F.abs(C(f"a{c}") - C(f"lo{c}")), F.abs(C(f"a{c}") - C(f"hi{c}")))
+        halves = left.join(squares.withColumns({"i": F.floor(C("ki") / 2), "j": F.floor(C("kj") / 2)}), ["i", "j"])
+        halves = halves.select("ax", "ay", "ki", "kj", F.hypot(beyond("x"), beyond("y")).alias("near"), F.hypot(across("x"), across("y")).alias("far"))
+        # a square's sites are all as near as its far corner; sums of doubles may be off in their last digits
+        sure = halves.groupBy("ax", "ay").agg(F.min("far").alias("most"), F.collect_list(F.struct("ki", "kj", "near")).alias("of"))
+        kept = sure.select("ax", "ay", F.explode(F.filter("of", lambda s: s["near"] <= C("most") * (1 + 1e-9))).alias("s"))
+        old, left = left, written(kept.select("ax", "ay", C("s.ki").alias("i"), C("s.kj").alias("j")))
+        crowd = squares.agg(F.max("n")).first()[0]
+        discard(old, squares)
+        if side <= radius and crowd <= 16:
+            break
+    told = left.join(at.withColumns({"i": number("bx", extent["x"], side), "j": number("by", extent["y"], side)}), ["i", "j"])
+    d = F.sqrt((C("ax") - C("bx")) ** 2 + (C("ay") - C("by")) ** 2)
+    told = written(told.groupBy("ax", "ay").agg(F.min(F.struct(d.alias("distance"), "id")).alias("m")))
+    discard(left, at)
+    return points.join(told, ["ax", "ay"], "left").select(*points.columns, "m.distance", "m.id")
 
 
 def distance_join(a: DataFrame, b: DataFrame, radius: float, most: int = 4096) -> DataFrame:
