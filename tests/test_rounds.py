@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from viatrix.operators import network as N, relational as R, sections as L
+from viatrix.operators import network as N, relational as R, routing as P, sections as L
 from viatrix.plans import route_plans
 
 
@@ -59,3 +59,20 @@ def test_nearest_leaves_points_without_a_place(spark):
     sites = spark.createDataFrame([(1, 0.0, 0.0), (2, None, 1.0), (3, 0.0, 0.0)], "id long, bx double, by double")
     points = spark.createDataFrame([(1, 3.0, 4.0), (2, None, 0.0), (3, float("nan"), 0.0)], "k int, ax double, ay double")
     assert {x.k: (x.distance, x.id) for x in R.nearest(points, ["k"], sites, 2.0).collect()} == {1: (5.0, 1), 2: (None, None), 3: (None, None)}
+
+
+def test_only_asked_paths_are_written_out(spark, monkeypatch):
+    tables = []
+    plain = P.written
+
+    def told(df):
+        out = plain(df)
+        tables.append((out.count(), any(t.startswith("array") for _, t in out.dtypes)))
+        return out
+
+    monkeypatch.setattr(P, "written", told)
+    tree = spark.range(200).select(F.lit(0).alias("graph_id"), F.lit(199).cast("long").alias("goal"), F.col("id").alias("node"), (199.0 - F.col("id")).alias("d"), F.when(F.col("id") < 199, F.col("id") + 1).alias("next"))
+    pairs = spark.createDataFrame([(0, 3, 199), (0, 199, 199), (0, 500, 199)], "graph_id int, o long, d long")
+    got = {x.o: (x.cost, x.path) for x in P.follow(tree, pairs).collect()}
+    assert got == {3: (196.0, list(range(3, 200))), 199: (0.0, [199])}
+    assert [n for n, lists in tables if lists] == [2]
