@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from viatrix.functions import exprs as X
-from viatrix.operators import distances as V, network as N, relational as R
+from viatrix.operators import network as N, relational as R, routing as P
 from viatrix.plans import domain as D
 from viatrix.plans.registry import register
 from viatrix.plans.relational_plans import PATH, paths
@@ -41,10 +41,9 @@ def g3(s, d):
 
 @register("g3_min_plus_times", f"WITH RECURSIVE {D.FAR} SELECT src, node, d FROM best")
 def g3b(s, d):
-    """Vectors of distances to a block of sources, against the links."""
-    e = D.net(s, d).select(F.lit("sq").alias("graph_id"), C("v").alias("u"), C("u").alias("v"), C("tt").cast("double").alias("w"))
-    x = V.distances(*V.blocks(e, e.select("graph_id", C("v").alias("goal"))))
-    return x.where("goal <> node").select(C("goal").cast("int").alias("src"), C("node").cast("int").alias("node"), "d")
+    """Distances to blocks of sources, against the links."""
+    e = D.net(s, d).select(F.lit(0).alias("graph_id"), C("v").alias("u"), C("u").alias("v"), C("tt").cast("double").alias("w"))
+    return P.all_distances(e).where("goal <> node").select(C("goal").alias("src"), "node", "d")
 
 
 @register("g6_closest_of_many", f"WITH RECURSIVE {D.SHORTEST}, t AS (SELECT n_nationkey AS node, CASE WHEN n_nationkey % 7 = 0 THEN 0.0 END AS zero FROM nation) SELECT t.node, coalesce(zero, (SELECT min(d) FROM best WHERE best.node = t.node AND src % 7 = 0)) AS time FROM t")
