@@ -152,7 +152,7 @@ def via_nodes(edges: DataFrame, wanted: DataFrame) -> DataFrame:
     paths = few_paths_on(graph, wanted.select(F.lit(0).alias("graph_id"), F.col("u").alias("o"), F.col("v").alias("d"))).select(F.col("o").alias("u"), F.col("d").alias("v"), "path")
     inner = F.slice("path", 2, F.greatest(F.size("path") - 2, F.lit(0)))
     text = F.concat(F.lit("["), F.array_join(inner.cast("array<string>"), ","), F.lit("]"))
-    return wanted.join(paths.hint("merge"), ["u", "v"], "left")  # larger than the table that they come from.select("u", "v", F.when(F.size("path") > 2, text).otherwise("-99").alias("via"))
+    return wanted.join(paths.hint("merge"), ["u", "v"], "left").select("u", "v", F.when(F.size("path") > 2, text).otherwise("-99").alias("via"))
 
 
 def missing_connections(links: DataFrame, calls: DataFrame, inside: DataFrame) -> DataFrame:
